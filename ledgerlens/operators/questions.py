@@ -44,15 +44,14 @@ def savings_candidates(df: DataFrame, term: str, k: int = 3, party_col: str = "p
     hit = F.lower("category") == t
     overall = df.agg(F.coalesce(F.sum("withdrawal"), _zero()).alias("all_spent"))
     mine = df.where(hit).agg(F.count(F.lit(1)).alias("transactions"),
-                             F.coalesce(F.sum("withdrawal"), _zero()).alias("spent"),
-                             F.avg("withdrawal").alias("avg_spent"))
+                             F.coalesce(F.sum("withdrawal"), _zero()).alias("spent"))
     stats = (mine.withColumn("_k", F.lit(1))
              .join(F.broadcast(overall.withColumn("_k", F.lit(1))), "_k")
              .select("_k", "transactions", "spent",
-                     F.round(F.col("avg_spent").cast("double"), 2).alias("avg_spent"),
+                     F.when(F.col("transactions") > 0,
+                            F.col("spent").cast("double") / F.col("transactions")).alias("avg_spent"),
                      F.when(F.col("all_spent") > 0,
-                            F.round(F.col("spent").cast("double") / F.col("all_spent").cast("double"), 4))
-                     .alias("share")))
+                            F.col("spent").cast("double") / F.col("all_spent").cast("double")).alias("share")))
     payees = (df.where(hit & F.col(party_col).isNotNull() & F.col("withdrawal").isNotNull())
               .groupBy(F.col(party_col).alias("payee"))
               .agg(F.sum("withdrawal").alias("payee_spent"), F.count(F.lit(1)).alias("payee_transactions"))
