@@ -26,7 +26,7 @@ from ledgerlens.operators.backends import Backend, NativeBackend
 from ledgerlens.operators.prompts import (CATEGORY_SYSTEM_PROMPT, REMARK_SYSTEM_PROMPT,
                                           category_prompt, remark_prompt)
 from ledgerlens.schema import description_column
-from ledgerlens.session import apply_semantic_conf, materialize, shared_dir
+from ledgerlens.session import apply_semantic_conf, materialize, shared_dir, ship_package
 
 REPLY_SCHEMA = "prompt string, response string, error string, run_id string, written_at bigint"
 DEFAULT_MAX_CONCURRENCY = 10
@@ -96,6 +96,7 @@ def fetch_replies(prompts: DataFrame, backend: Backend, system_prompt: str | Non
 
     ``prompts`` must hold one distinct, non-null ``prompt`` per row.
     """
+    ship_package(prompts.sparkSession)
     existing = store.raw()
     todo = prompts if existing is None else prompts.join(
         existing.select("prompt"), "prompt", "left_anti")

@@ -264,9 +264,12 @@ def _amount(df: DataFrame, name: str) -> Column:
 
 
 def rule_categories(df: DataFrame, description: str | None = None, lexicon=None,
-                    small_amount=SMALL_AMOUNT) -> DataFrame:
+                    small_amount=SMALL_AMOUNT, party: str = "party") -> DataFrame:
     """Add ``category``, ``subcategory``, ``confidence``, ``category_rule``
-    and ``name_ok`` (category is 1-3 words) from the description and amounts."""
+    and ``name_ok`` (category is 1-3 words) from the description and amounts.
+
+    The small-amount rule needs a named payee: it fires only when ``party``
+    is a column of ``df`` and holds a name."""
     lexicon = LEXICON if lexicon is None else list(lexicon)
     if len(lexicon) > INLINE_LEXICON_LIMIT:
         raise ValueError(f"lexicon has {len(lexicon)} entries (> {INLINE_LEXICON_LIMIT}); "
@@ -275,10 +278,11 @@ def rule_categories(df: DataFrame, description: str | None = None, lexicon=None,
     wd, dp = _amount(df, "withdrawal"), _amount(df, "deposit")
     d = df.withColumn("_lex_norm", normalized_words(F.col(desc)))
     d = d.withColumn("_lex", _lexicon_index(F.col("_lex_norm"), wd, dp, lexicon)).drop("_lex_norm")
-    return _finish(d, desc, wd, lexicon, small_amount)
+    named = F.col(party).isNotNull() if party in df.columns else F.lit(False)
+    return _finish(d, desc, wd, lexicon, small_amount, named)
 
 
-def _finish(df: DataFrame, desc: str, wd: Column, lexicon, small_amount) -> DataFrame:
+def _finish(df: DataFrame, desc: str, wd: Column, lexicon, small_amount, named: Column) -> DataFrame:
     pos = F.col("_lex") + 1
     cats = F.array(*[F.lit(e[1]) for e in lexicon])
     subs = F.array(*[F.lit(e[2]) for e in lexicon])
@@ -286,7 +290,7 @@ def _finish(df: DataFrame, desc: str, wd: Column, lexicon, small_amount) -> Data
     kws = F.array(*[F.lit(e[0]) for e in lexicon])
     hit = F.col("_lex").isNotNull()
     blank = is_blank(F.col(desc))
-    small = ~blank & (wd > 0) & (wd < F.lit(small_amount))
+    small = ~blank & named & (wd > 0) & (wd < F.lit(small_amount))
     category = (F.when(hit, F.try_element_at(cats, pos))
                 .when(small, F.lit("Groceries")).otherwise(F.lit("Unclear")))
     out = df.withColumns({
@@ -302,7 +306,8 @@ def _finish(df: DataFrame, desc: str, wd: Column, lexicon, small_amount) -> Data
 
 def categorise_with_lexicon_table(df: DataFrame, lexicon_df: DataFrame, row_key: list[str],
                                   description: str | None = None,
-                                  small_amount=SMALL_AMOUNT, max_words: int = 3) -> DataFrame:
+                                  small_amount=SMALL_AMOUNT, max_words: int = 3,
+                                  party: str = "party") -> DataFrame:
     """Lexicon-join path for lexicons too large to inline.
 
     ``lexicon_df``: ``(keyword, category, subcategory, kind, direction,
@@ -315,9 +320,14 @@ def categorise_with_lexicon_table(df: DataFrame, lexicon_df: DataFrame, row_key:
     wd, dp = _amount(df, "withdrawal"), _amount(df, "deposit")
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(as_text(F.col(desc))), "[^a-z0-9&]+", " ")),
                              " "), lambda w: w != "")
+    empty = F.array().cast("array<string>")
+
+    def gram(n):  # binds n; transform() must see a one-argument lambda
+        return lambda i: F.array_join(F.slice(words, i, n), " ")
+
     grams = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(0))),
-                    lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
+        F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), gram(n)))
+        .otherwise(empty)
         for n in range(1, max_words + 1)]))
     base = df.select(*row_key, wd.alias("_wd"), dp.alias("_dp"), F.explode_outer(grams).alias("keyword"))
     hits = (base.join(lexicon_df, "keyword")
@@ -328,7 +338,8 @@ def categorise_with_lexicon_table(df: DataFrame, lexicon_df: DataFrame, row_key:
     out = df.join(hits, row_key, "left")
     hit = F.col("_best").isNotNull()
     blank = is_blank(F.col(desc))
-    small = ~blank & (wd > 0) & (wd < F.lit(small_amount))
+    named = F.col(party).isNotNull() if party in df.columns else F.lit(False)
+    small = ~blank & named & (wd > 0) & (wd < F.lit(small_amount))
     conf = F.when(F.col("_best.kind") == "purpose", F.lit("High")).otherwise(F.lit("Medium"))
     out = out.withColumns({
         "category": F.when(hit, F.col("_best.category")).when(small, F.lit("Groceries"))

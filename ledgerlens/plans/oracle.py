@@ -226,7 +226,7 @@ def reading_ctes(src: str) -> tuple[list[str], str]:
     return ctes, "r2"
 
 
-def category_rule_ctes(src: str, desc: str = "cleaned_remark") -> tuple[list[str], str]:
+def category_rule_ctes(src: str, desc: str = "cleaned_remark", party: str | None = "party") -> tuple[list[str], str]:
     lex = RU.LEXICON
     wd, dp = amount0("withdrawal"), amount0("deposit")
     whens = []
@@ -242,7 +242,8 @@ def category_rule_ctes(src: str, desc: str = "cleaned_remark") -> tuple[list[str
     subs = arr([e[2] for e in lex])
     confs = arr([RU.CONFIDENCE_BY_KIND[e[3]] for e in lex])
     kws = arr([e[0] for e in lex])
-    small = f"(NOT {blank(desc)} AND {wd} > 0 AND {wd} < {RU.SMALL_AMOUNT})"
+    named = f"{party} IS NOT NULL" if party else "FALSE"
+    small = f"(NOT {blank(desc)} AND {named} AND {wd} > 0 AND {wd} < {RU.SMALL_AMOUNT})"
     ctes = [
         f"c1 AS (SELECT *, ' ' || regexp_replace(lower(coalesce(CAST({desc} AS VARCHAR), '')), '[^a-z0-9&]+', ' ', 'g') || ' ' AS _norm FROM {src})",
         f"c2 AS (SELECT *, CASE {' '.join(whens)} END AS _lex FROM c1)",

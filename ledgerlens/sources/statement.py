@@ -97,12 +97,8 @@ def read_statements(spark: SparkSession, paths, fmt: str = "parquet",
     _check_paths(spark, paths)
     opts = dict(options or {})
     if fmt == "xlsx":
-        from ledgerlens.sources.workbook import register_workbook_source
-        register_workbook_source(spark)
-        for p in paths:
-            if not os.path.isdir(p) and not p.lower().endswith(WORKBOOK_SUFFIX) and "*" not in p:
-                raise ValueError("Input file must be an Excel file (.xlsx)")
-        raw = spark.read.format("statement_xlsx").options(**opts).load(",".join(paths))
+        from ledgerlens.sources.workbook import read_workbooks
+        raw = read_workbooks(spark, paths).drop("_row_id")
         src = F.col("_source_file")
     else:
         reader = spark.read.options(**opts)
