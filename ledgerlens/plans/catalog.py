@@ -32,19 +32,39 @@ def _dbl(*names):
     return {n: F.col(n).cast("double") for n in names}
 
 
+_ENRICHED: dict[tuple, str] = {}
+
+
+def _enriched_once(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+    """Build an enriched table once per application and data folder, write
+    it under the shared folder, and serve later questions from that table
+    (enrichment is the costly step; questions are cheap scans of its result)."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    path = _ENRICHED.get(key)
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # folder removed: rebuild
+            _ENRICHED.pop(key, None)
+    df = materialize(build(), name)
+    _ENRICHED[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
+    return df
+
+
 def categorised_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement plus parsed category replies (reply chosen by ``s_no``)."""
     apply_semantic_conf(spark)
     st = fixtures.statement(spark, sf_dir)
     st = st.withColumn("_reply", fixtures._pick(F.col("s_no"), fixtures.CATEGORY_REPLIES))
-    return materialize(with_parsed_category(st, "_reply").drop("_reply"), "categorised")
+    return _enriched_once(spark, "categorised", sf_dir,
+                          lambda: with_parsed_category(st, "_reply").drop("_reply"))
 
 
 def rule_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement read and categorised by the rule backend (keeps the remark parts)."""
     st = fixtures.statement(spark, sf_dir)
-    read = rules.read_remark(st)
-    return materialize(rules.rule_categories(read, description="cleaned_remark"), "rule_enriched")
+    return _enriched_once(spark, "rule_enriched", sf_dir, lambda: rules.rule_categories(
+        rules.read_remark(st), description="cleaned_remark"))
 
 
 def q_statement_scan(spark, sf_dir):

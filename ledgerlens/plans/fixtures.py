@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import spread
 from ledgerlens.sources.statement import derive_statement
 
 # Fixed test values: category replies by branch (s_no % 12). None = failed call.
@@ -64,7 +65,7 @@ def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remark_reply_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(s_no, response, error)``: one stored remark reply per statement row."""
     k = F.col("o_orderkey")
-    return (spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    return (spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")).select(
         k.alias("s_no"), _pick(k, REMARK_REPLIES).alias("response"),
         _failed(k, REMARK_REPLIES).alias("error")))
 
@@ -72,6 +73,6 @@ def remark_reply_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_reply_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(s_no, response, error)``: one stored category reply per statement row."""
     k = F.col("o_orderkey")
-    return (spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    return (spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")).select(
         k.alias("s_no"), _pick(k, CATEGORY_REPLIES).alias("response"),
         _failed(k, CATEGORY_REPLIES).alias("error")))

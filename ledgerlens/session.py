@@ -121,3 +121,16 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
+
+
+def spread(df):
+    """Round-robin repartition of a *file scan* to the cluster's core count
+    when it has fewer splits than that (e.g. one small file with one row
+    group), so the per-row CPU work after it uses every core. A no-op for
+    large inputs, which arrive in many splits, so it adds no shuffle at
+    scale. Call it on scans only: counting the partitions of a plan with
+    exchanges would make adaptive execution run those stages."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -13,6 +13,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import spread
 from ledgerlens.schema import (DISPLAY_NAMES, ENGINE_NAMES, ENGINE_TYPES, MONEY,
                                MissingColumnsError, REQUIRED_COLUMNS, extra_columns,
                                extras_notice, missing_required, quote)
@@ -121,8 +122,8 @@ def derive_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer key, left to the planner (AQE turns it into a broadcast only
     when the runtime size of ``customer`` is under Spark's own threshold).
     """
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
     k = F.col("o_orderkey")
