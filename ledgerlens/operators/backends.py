@@ -10,12 +10,36 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from dataclasses import dataclass
 from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Sequence
 
 Reply = tuple  # (response: str | None, error: str | None)
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Backend options, read once on the driver and shipped to tasks inside
+    the backend object (executors never read the environment)."""
+
+    base_url: str = "http://localhost:11434"
+    model: str = "gemma3:latest"
+    temperature: float = 0.1
+    max_concurrency: int = 10
+    timeout_s: float = 120.0
+
+    @classmethod
+    def from_env(cls, prefix: str = "LEDGERLENS_", env=None) -> "Settings":
+        env = os.environ if env is None else env
+        d = cls()
+        return cls(base_url=env.get(f"{prefix}MODEL_URL", d.base_url),
+                   model=env.get(f"{prefix}MODEL", d.model),
+                   temperature=float(env.get(f"{prefix}TEMPERATURE", d.temperature)),
+                   max_concurrency=int(env.get(f"{prefix}MAX_CONCURRENCY", d.max_concurrency)),
+                   timeout_s=float(env.get(f"{prefix}TIMEOUT_S", d.timeout_s)))
+
+
 class Backend:
     """Base class. Subclasses implement ``call_one`` (or ``call_batch``)."""
 
@@ -103,6 +127,10 @@ class ChatHttpBackend(Backend):
         self.timeout_s = timeout_s
         self.retries = retries
 
+    @classmethod
+    def from_settings(cls, s: Settings) -> "ChatHttpBackend":
+        return cls(s.base_url, s.model, s.temperature, s.timeout_s)
+
     def describe(self) -> dict:
         return {"name": self.name, "model": self.model, "temperature": self.temperature}
 

@@ -34,7 +34,8 @@ def _numeric_or_text(c: Column, dtype: str, target: str) -> Column:
     return c.try_cast(target)
 
 
-def normalize_statement(df: DataFrame, keep_extras: bool = True) -> tuple[DataFrame, list[str]]:
+def normalize_statement(df: DataFrame, keep_extras: bool = True,
+                        carry: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """Display-named statement -> engine-named, typed statement.
 
     Returns ``(statement, extras)``. Raises :class:`MissingColumnsError`
@@ -45,7 +46,7 @@ def normalize_statement(df: DataFrame, keep_extras: bool = True) -> tuple[DataFr
     missing = missing_required(cols)
     if missing:
         raise MissingColumnsError(missing)
-    extras = extra_columns(cols)
+    extras = [c for c in extra_columns(cols) if c not in carry]
     note = extras_notice(extras)
     if note:
         log.info(note)
@@ -68,6 +69,7 @@ def normalize_statement(df: DataFrame, keep_extras: bool = True) -> tuple[DataFr
         out.append(c.alias(eng))
     if keep_extras:
         out += [F.col(quote(e)).cast("string").alias(e) for e in extras]
+    out += [F.col(quote(c)) for c in carry]
     return df.select(*out), extras
 
 
@@ -110,8 +112,7 @@ def read_statements(spark: SparkSession, paths, fmt: str = "parquet",
     raw = raw.withColumn("_src", src)
     if "_source_file" in raw.columns:
         raw = raw.drop("_source_file")
-    # `_src` rides along as an extra column, then takes its public name.
-    stmt, _ = normalize_statement(raw, keep_extras=True)
+    stmt, _ = normalize_statement(raw, keep_extras=True, carry=("_src",))
     return stmt.withColumnRenamed("_src", "source_file")
 
 

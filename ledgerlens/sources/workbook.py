@@ -196,8 +196,3 @@ def read_workbooks(spark: SparkSession, paths) -> DataFrame:
                 yield pd.concat(frames, ignore_index=True)
 
     return files.mapInPandas(parse, schema)
-
-
-def register_workbook_source(spark: SparkSession) -> None:
-    """Kept for API symmetry; the workbook reader needs no registration."""
-    return None

@@ -97,3 +97,11 @@ def test_category_prompt_uses_cleaned_column_even_when_empty(spark, scratch):
     out = categorise(df, CountingBackend(log), store=ReplyStore(spark, os.path.join(scratch, "s"))).first()
     assert (out["category"], out["subcategory"], out["confidence"]) == ("Unclear", "", "Low")
     assert _calls(log) == []
+
+
+def test_settings_from_env():
+    from ledgerlens.operators.backends import ChatHttpBackend, Settings
+    s = Settings.from_env(env={"LEDGERLENS_MODEL": "m", "LEDGERLENS_TEMPERATURE": "0.3"})
+    assert (s.model, s.temperature, s.max_concurrency) == ("m", 0.3, 10)
+    b = ChatHttpBackend.from_settings(s)
+    assert b.model == "m" and b.fingerprint() != ChatHttpBackend.from_settings(Settings()).fingerprint()
