@@ -23,8 +23,14 @@ SEMANTIC_CONF = {
 def build_session(master: str | None = None, app: str = "ledgerlens",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Session for tests, bench and local runs (UI off, AQE on, UTC)."""
-    master = master or os.environ.get("LEDGERLENS_MASTER", "local[8]")
-    b = (SparkSession.builder.master(master).appName(app)
+    b = SparkSession.builder.appName(app)
+    # Under spark-submit (the JVM started this Python process) the cluster's
+    # master stands; otherwise default to a local session for tests and runs.
+    launched_by_submit = "PYSPARK_GATEWAY_PORT" in os.environ
+    master = master or os.environ.get("LEDGERLENS_MASTER") or (None if launched_by_submit else "local[8]")
+    if master:
+        b = b.master(master)
+    b = (b
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")

@@ -105,3 +105,34 @@ def test_settings_from_env():
     assert (s.model, s.temperature, s.max_concurrency) == ("m", 0.3, 10)
     b = ChatHttpBackend.from_settings(s)
     assert b.model == "m" and b.fingerprint() != ChatHttpBackend.from_settings(Settings()).fingerprint()
+
+
+def test_ask_sends_context_as_system_prompt(spark, scratch):
+    from ledgerlens.operators.backends import CallableBackend
+    from ledgerlens.operators.chat import ask
+    seen = {}
+
+    def fn(prompt, system):
+        seen["system"] = system
+        return "answer to " + prompt
+
+    df = spark.createDataFrame([(1, "01/02/2024", 10, "Food")],
+                               "s_no bigint, txn_date_raw string, withdrawal int, category string")
+    df = df.withColumn("withdrawal", df.withdrawal.cast("decimal(18,2)"))
+    assert ask(df, "how much on food?", CallableBackend(fn)) == "answer to how much on food?"
+    assert "- Food: ₹10.00" in seen["system"] and "- Total Transactions: 1" in seen["system"]
+
+
+def test_job_entry_point(spark, scratch, capsys):
+    from ledgerlens.__main__ import main
+    from tests.xlsx_fixture import write_xlsx
+    from ledgerlens.schema import REQUIRED_COLUMNS
+    path = os.path.join(scratch, "stmt.xlsx")
+    write_xlsx(path, REQUIRED_COLUMNS, [
+        [1, "01/02/2024", "UPI/A SHOP/a@x/milk/HDFC/563800000001/ICIab", 40, None, 100],
+        [2, "02/02/2024", "UPI/B/b@x/petrol bik/HDFC/563800000002/ICIcd", 500, None, 60]])
+    assert main([path]) == 0
+    out = capsys.readouterr().out
+    assert "Total Transactions: 2" in out and "Groceries: 1" in out and "Fuel: 1" in out
+    assert os.path.isdir(os.path.join(scratch, "stmt.csv"))
+    assert main([os.path.join(scratch, "missing.xlsx")]) == 1
