@@ -90,7 +90,8 @@ def _caller(backend: Backend, system_prompt: str | None, pool_size: int, run_id:
 
 def fetch_replies(prompts: DataFrame, backend: Backend, system_prompt: str | None,
                   store: ReplyStore, max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None,
+                  max_prompts_per_task: int | None = None) -> DataFrame:
     """Call the backend once per prompt not yet in ``store``; return the
     stored ``(prompt, response, error)`` table for all prompts.
 
@@ -101,6 +102,11 @@ def fetch_replies(prompts: DataFrame, backend: Backend, system_prompt: str | Non
     todo = prompts if existing is None else prompts.join(
         existing.select("prompt"), "prompt", "left_anti")
     k = max(1, min(partitions or max_concurrency, max_concurrency))
+    if max_prompts_per_task:
+        # Bound the work (and the calls lost to a failed task) per task. The
+        # cap then holds per task (pool); the cluster's free task slots bound
+        # how many of the k tasks run at once.
+        k = max(k, -(-todo.count() // max_prompts_per_task))
     pool = max(1, max_concurrency // k)
     run_id = uuid.uuid4().hex
     calls = todo.repartition(k).mapInPandas(_caller(backend, system_prompt, pool, run_id),
@@ -111,7 +117,7 @@ def fetch_replies(prompts: DataFrame, backend: Backend, system_prompt: str | Non
 
 def _attach(df: DataFrame, prompt_col: str, backend: Backend, system_prompt: str, stage: str,
             store: ReplyStore | None, dedupe: bool, max_concurrency: int,
-            partitions: int | None) -> DataFrame:
+            partitions: int | None, max_prompts_per_task: int | None = None) -> DataFrame:
     spark = df.sparkSession
     store = store or ReplyStore.default(spark, backend, stage)
     prompts = df.select(F.col(prompt_col).alias("prompt")).where(F.col("prompt").isNotNull())
@@ -119,13 +125,14 @@ def _attach(df: DataFrame, prompt_col: str, backend: Backend, system_prompt: str
         prompts = prompts.distinct()
     # Without dedupe every non-blank row is its own call; the store is still
     # keyed by prompt, so identical prompts end up sharing one stored reply.
-    replies = fetch_replies(prompts, backend, system_prompt, store, max_concurrency, partitions)
+    replies = fetch_replies(prompts, backend, system_prompt, store, max_concurrency, partitions,
+                            max_prompts_per_task)
     return df.join(replies.withColumnRenamed("prompt", prompt_col), prompt_col, "left")
 
 
 def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedupe: bool = True,
                   max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, max_prompts_per_task: int | None = None) -> DataFrame:
     """Add ``cleaned_remark`` and ``notes_doubts``. Blank remarks give
     ('', '') without a call; row count and all input columns are kept."""
     if "remarks" not in df.columns:
@@ -136,7 +143,7 @@ def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedup
     cols = [c for c in df.columns if c not in ("cleaned_remark", "notes_doubts")]
     with_prompt = df.withColumn("_prompt", remark_prompt("remarks"))
     joined = _attach(with_prompt, "_prompt", backend, REMARK_SYSTEM_PROMPT, "remark", store,
-                     dedupe, max_concurrency, partitions)
+                     dedupe, max_concurrency, partitions, max_prompts_per_task)
     parsed = with_parsed_remark(joined.drop(*[c for c in ("cleaned_remark", "notes_doubts")
                                               if c in joined.columns]), "response", "error")
     blank = F.col("_prompt").isNull()
@@ -147,7 +154,7 @@ def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedup
 
 def categorise(df: DataFrame, backend, store: ReplyStore | None = None, dedupe: bool = True,
                max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, max_prompts_per_task: int | None = None) -> DataFrame:
     """Add ``category``, ``subcategory``, ``confidence``. Reads the cleaned
     remark when that column exists, else the raw remark; blank text gives
     ('Unclear', '', 'Low') without a call."""
@@ -160,7 +167,7 @@ def categorise(df: DataFrame, backend, store: ReplyStore | None = None, dedupe:
     d = "deposit" if "deposit" in df.columns else F.lit(None)
     with_prompt = df.withColumn("_prompt", category_prompt(desc, w, d))
     joined = _attach(with_prompt, "_prompt", backend, CATEGORY_SYSTEM_PROMPT, "category", store,
-                     dedupe, max_concurrency, partitions)
+                     dedupe, max_concurrency, partitions, max_prompts_per_task)
     parsed = with_parsed_category(joined.drop(*[c for c in ("category", "subcategory", "confidence")
                                                 if c in joined.columns]), "response")
     blank = F.col("_prompt").isNull()

@@ -18,7 +18,7 @@ from ledgerlens.operators.backends import ScriptedBackend
 from ledgerlens.operators.enrich import enrich_statement
 from ledgerlens.operators.prompts import category_prompt, remark_prompt
 from ledgerlens.plans import fixtures
-from ledgerlens.session import apply_semantic_conf, materialize
+from ledgerlens.session import apply_semantic_conf, materialize_at
 from ledgerlens.sources.statement import normalize_statement, statement_to_display
 
 # Parameters of the question queries.
@@ -46,8 +46,7 @@ def _enriched_once(spark: SparkSession, name: str, sf_dir: str, build) -> DataFr
             return spark.read.parquet(path)
         except Exception:  # folder removed: rebuild
             _ENRICHED.pop(key, None)
-    df = materialize(build(), name)
-    _ENRICHED[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
+    df, _ENRICHED[key] = materialize_at(build(), name)
     return df
 
 
@@ -154,7 +153,8 @@ def q_remark_consensus(spark, sf_dir):
     k = F.col("s_no")
     st = st.withColumns({"_reply": fixtures._pick(k, fixtures.REMARK_REPLIES),
                          "_error": fixtures._failed(k, fixtures.REMARK_REPLIES)})
-    st = materialize(with_parsed_remark(st, "_reply", "_error").drop("_reply", "_error"), "consensus_in")
+    st, _ = materialize_at(with_parsed_remark(st, "_reply", "_error").drop("_reply", "_error"),
+                           "consensus_in")
     out = rules.remark_consensus(st)
     return out.select("s_no", "remark_key", "cleaned_remark", "consensus_remark")
 
@@ -165,6 +165,18 @@ def q_rule_categories(spark, sf_dir):
                     "category_rule", "name_ok")
 
 
+def q_rule_categories_join(spark, sf_dir):
+    """Same answer as ``rule_categories`` through the lexicon-join path used
+    for lexicons too large to inline (n-gram explode + shuffle join +
+    best-priority aggregate + join back on the row key)."""
+    read = rules.read_remark(fixtures.statement(spark, sf_dir))
+    read, _ = materialize_at(read, "remarks_read")
+    r = rules.categorise_with_lexicon_table(read, rules.lexicon_frame(spark), ["s_no"],
+                                            description="cleaned_remark")
+    return r.select("s_no", "cleaned_remark", "category", "subcategory", "confidence",
+                    "category_rule", "name_ok")
+
+
 def q_spend_on(spark, sf_dir):
     return questions.spend_on(rule_enriched(spark, sf_dir), SPEND_TERM).withColumns(
         _dbl("spent", "received"))
@@ -203,6 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "remark_rules": q_remark_rules,
     "remark_consensus": q_remark_consensus,
     "rule_categories": q_rule_categories,
+    "rule_categories_join": q_rule_categories_join,
     "spend_on": q_spend_on,
     "top_categories": q_top_categories,
     "savings_candidates": q_savings_candidates,

@@ -441,6 +441,10 @@ def q_rule_categories() -> str:
                            f"name_ok FROM {rel}")
 
 
+def q_rule_categories_join() -> str:
+    return q_rule_categories()
+
+
 def q_spend_on() -> str:
     ctes, rel = rule_enriched_ctes()
     t = catalog.SPEND_TERM

@@ -96,10 +96,15 @@ def materialize(df, name: str):
     columns hit a parquet scan instead of being rewritten into the
     derivation. Each call writes a new folder; nothing is overwritten.
     """
+    return materialize_at(df, name)[0]
+
+
+def materialize_at(df, name: str):
+    """:func:`materialize`, also returning the folder written."""
     spark = df.sparkSession
     path = fresh_shared_dir(spark, f"ledgerlens/tables/{name}")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
 
 
 _SHIPPED: set = set()
