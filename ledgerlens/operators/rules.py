@@ -9,7 +9,8 @@ for credits, a small-amount rule for named payees, else Unclear.
 
 Small fixed lexicons are compiled into CASE chains (whole-stage codegen, no
 join). A user lexicon above ``INLINE_LEXICON_LIMIT`` entries goes through a
-shuffle join on n-grams instead (:func:`categorise_with_lexicon_table`).
+join on n-grams instead (:func:`categorise_with_lexicon_table`): broadcast
+when its size is proven small, a shuffle join otherwise.
 """
 
 from __future__ import annotations
@@ -304,33 +305,53 @@ def _finish(df: DataFrame, desc: str, wd: Column, lexicon, small_amount, named:
     return out.drop("_lex")
 
 
+def word_ngrams(norm: Column, max_words: int = 3) -> Column:
+    """All word n-grams (1 <= n <= ``max_words``) of a normalised text (words
+    of ``[a-z0-9&]`` separated by single spaces), n-grams joined by one space.
+
+    Each n is one regex pass: a lookahead at every word start captures the
+    next n words, so overlapping n-grams come out in one ``regexp_extract_all``
+    (generated code; no lambda functions)."""
+    return F.concat(*[F.regexp_extract_all(norm, F.lit(r"(?<![^ ])(?=([^ ]+" + r" [^ ]+" * (n - 1) + "))"), 1)
+                      for n in range(1, max_words + 1)])
+
+
 def categorise_with_lexicon_table(df: DataFrame, lexicon_df: DataFrame, row_key: list[str],
                                   description: str | None = None,
                                   small_amount=SMALL_AMOUNT, max_words: int = 3,
-                                  party: str = "party") -> DataFrame:
+                                  party: str = "party", broadcast: bool | None = None) -> DataFrame:
     """Lexicon-join path for lexicons too large to inline.
 
     ``lexicon_df``: ``(keyword, category, subcategory, kind, direction,
-    priority)``. Each description is cut into word n-grams (n <= max_words),
-    joined to the lexicon on the n-gram (a shuffle join; no broadcast is
-    forced because the lexicon size is unbounded), reduced to the best
-    priority per row, and joined back on ``row_key``.
+    priority)``. Each description is cut into word n-grams (n <= max_words)
+    and joined to the lexicon on the n-gram, reduced to the best priority per
+    row, and joined back on ``row_key``.
+
+    The lexicon is broadcast only when a bounded check proves it small
+    (:func:`ledgerlens.session.fits_broadcast`; ``broadcast`` forces the
+    choice); beyond the bound the n-grams and the lexicon meet in a shuffled
+    hash join on the n-gram (lexicon as the build side), where AQE splits a
+    hot n-gram's partition.
     """
+    from ledgerlens.session import broadcast_if_small
+    from pyspark.sql.functions import broadcast as bc
     desc = description or description_column(df.columns)
     wd, dp = _amount(df, "withdrawal"), _amount(df, "deposit")
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(as_text(F.col(desc))), "[^a-z0-9&]+", " ")),
-                             " "), lambda w: w != "")
-    empty = F.array().cast("array<string>")
-
-    def gram(n):  # binds n; transform() must see a one-argument lambda
-        return lambda i: F.array_join(F.slice(words, i, n), " ")
-
-    grams = F.flatten(F.array(*[
-        F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), gram(n)))
-        .otherwise(empty)
-        for n in range(1, max_words + 1)]))
-    base = df.select(*row_key, wd.alias("_wd"), dp.alias("_dp"), F.explode_outer(grams).alias("keyword"))
-    hits = (base.join(lexicon_df, "keyword")
+    lex = lexicon_df.select("keyword", "category", "subcategory", "kind", "direction", "priority")
+    if broadcast is None:
+        lex, broadcast = broadcast_if_small(lex)
+    elif broadcast:
+        lex = bc(lex)
+    if not broadcast:
+        # Both sides shuffle on the n-gram; the lexicon's share of each
+        # partition is the hash-table side, the n-grams stream past it. The
+        # hint also keeps the planner from broadcasting the exploded
+        # statement side on an underestimated size.
+        lex = lex.hint("shuffle_hash")
+    norm = F.trim(F.regexp_replace(F.lower(as_text(F.col(desc))), "[^a-z0-9&]+", " "))
+    base = (df.select(*row_key, wd.alias("_wd"), dp.alias("_dp"), norm.alias("_norm"))
+            .select(*row_key, "_wd", "_dp", F.explode(word_ngrams(F.col("_norm"), max_words)).alias("keyword")))
+    hits = (base.join(lex, "keyword")
             .where((F.col("direction") == "any") | ((F.col("direction") == "credit") & (F.col("_dp") > 0))
                    | ((F.col("direction") == "debit") & (F.col("_wd") > 0)))
             .groupBy(*row_key).agg(F.min(F.struct("priority", "keyword", "category", "subcategory",

@@ -61,3 +61,23 @@ def test_parse_evaluates_json_once_per_row(spark):
     df = spark.range(10).withColumn("r", F.concat(F.lit('{"category":"'), F.col("id").cast("string"), F.lit('"}')))
     txt = plan(with_parsed_category(df, "r"))
     assert txt.count("parseJson") == 1
+
+
+def test_size_check_bounds_rows_and_bytes(spark):
+    from ledgerlens.session import fits_broadcast
+    small = spark.createDataFrame([("ab", 1)] * 5, "k string, v int")
+    assert fits_broadcast(small, max_rows=5, max_bytes=100)
+    assert not fits_broadcast(small, max_rows=4, max_bytes=100)   # too many rows
+    assert not fits_broadcast(small, max_rows=5, max_bytes=49)    # 5 x (2 + 8) bytes
+    assert not fits_broadcast(spark.range(10_000_000), max_rows=1000)  # reads at most 1001 rows
+
+
+def test_lexicon_join_broadcasts_the_lexicon_not_the_statement(spark):
+    from ledgerlens.operators import rules
+    st = catalog.rule_enriched(spark, SF_SMALL)
+    lex = rules.lexicon_frame(spark)
+    txt = plan(rules.categorise_with_lexicon_table(st, lex, ["s_no"], description="cleaned_remark"))
+    assert "BroadcastHashJoin [keyword" in txt and "BuildRight" in txt
+    txt = plan(rules.categorise_with_lexicon_table(st, lex, ["s_no"], description="cleaned_remark",
+                                                   broadcast=False))
+    assert "ShuffledHashJoin [keyword" in txt and "BroadcastHashJoin" not in txt

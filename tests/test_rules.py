@@ -57,9 +57,19 @@ def test_lexicon_join_path_agrees(spark):
     df = spark.createDataFrame(descs, "id int, cleaned_remark string, withdrawal int, deposit int")
     inline = {r["id"]: (r["category"], r["subcategory"], r["confidence"], r["category_rule"])
               for r in rules.rule_categories(df).collect()}
-    joined = {r["id"]: (r["category"], r["subcategory"], r["confidence"], r["category_rule"])
-              for r in rules.categorise_with_lexicon_table(df, rules.lexicon_frame(spark), ["id"]).collect()}
-    assert inline == joined
+    for broadcast in (None, True, False):  # size-checked, forced broadcast, shuffle join
+        joined = {r["id"]: (r["category"], r["subcategory"], r["confidence"], r["category_rule"])
+                  for r in rules.categorise_with_lexicon_table(df, rules.lexicon_frame(spark), ["id"],
+                                                               broadcast=broadcast).collect()}
+        assert inline == joined, broadcast
+
+
+def test_word_ngrams(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("a bb c&d e",), ("one",), ("",)], "t string")
+    got = [r[0] for r in df.select(rules.word_ngrams(F.col("t"), 3)).collect()]
+    assert got == [["a", "bb", "c&d", "e", "a bb", "bb c&d", "c&d e", "a bb c&d", "bb c&d e"],
+                   ["one"], []]
 
 
 def test_consensus_picks_most_frequent_then_lowest(spark):
