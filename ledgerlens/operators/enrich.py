@@ -4,7 +4,10 @@ Plan shape (per stage)::
 
     statement --project prompt--> distinct prompts --left_anti reply store-->
     repartition(k) --mapInPandas(backend)--> append to reply store (one action)
-    statement --left join on prompt--> stored replies --> native parse
+    statement --left join on sha256(prompt)--> stored replies --> native parse
+
+The join back carries a 32-byte digest of the prompt instead of its text, so
+the statement-sized shuffle is not widened by the prompt template.
 
 Each model call is paid once: the replies are written before anything reads
 them, so later actions (and retried downstream stages) read the stored
@@ -18,7 +21,7 @@ import time
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.replies import LOW, UNCLEAR, with_parsed_category, with_parsed_remark
@@ -32,6 +35,12 @@ REPLY_SCHEMA = "prompt string, response string, error string, run_id string, wri
 DEFAULT_MAX_CONCURRENCY = 10
 
 
+def prompt_key(c) -> Column:
+    """32-byte SHA-256 digest of a prompt (NULL for a NULL prompt): the join
+    key between statement rows and stored replies."""
+    return F.unhex(F.sha2(F.col(c) if isinstance(c, str) else c, 256))
+
+
 class ReplyStore:
     """Append-only parquet table of ``(prompt, response, error)`` per backend
     and stage, kept under the cluster's shared folder by default."""
@@ -65,6 +74,17 @@ class ReplyStore:
                 .select("prompt", F.col("b.response").alias("response"),
                         F.col("b.error").alias("error")))
 
+    def replies_by_key(self) -> DataFrame:
+        """``(prompt_key, response, error)``: as :meth:`replies`, keyed by
+        :func:`prompt_key` so the prompt text is not shuffled again."""
+        raw = self.raw()
+        if raw is None:
+            return self.spark.createDataFrame([], "prompt_key binary, response string, error string")
+        best = F.min(F.struct("written_at", "run_id", "response", "error")).alias("b")
+        return (raw.groupBy(prompt_key("prompt").alias("prompt_key")).agg(best)
+                .select("prompt_key", F.col("b.response").alias("response"),
+                        F.col("b.error").alias("error")))
+
     def append(self, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path)
 
@@ -88,19 +108,20 @@ def _caller(backend: Backend, system_prompt: str | None, pool_size: int, run_id:
     return run
 
 
-def fetch_replies(prompts: DataFrame, backend: Backend, system_prompt: str | None,
-                  store: ReplyStore, max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-                  partitions: int | None = None,
-                  max_prompts_per_task: int | None = None) -> DataFrame:
-    """Call the backend once per prompt not yet in ``store``; return the
-    stored ``(prompt, response, error)`` table for all prompts.
+def call_missing(prompts: DataFrame, backend: Backend, system_prompt: str | None,
+                 store: ReplyStore, max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
+                 partitions: int | None = None,
+                 max_prompts_per_task: int | None = None) -> None:
+    """Call the backend once per prompt of ``prompts`` not yet in ``store``
+    and append the replies to it (one write; nothing is re-called later).
 
     ``prompts`` must hold one distinct, non-null ``prompt`` per row.
     """
     ship_package(prompts.sparkSession)
     existing = store.raw()
-    todo = prompts if existing is None else prompts.join(
-        existing.select("prompt"), "prompt", "left_anti")
+    todo = prompts if existing is None else (
+        prompts.withColumn("_k", prompt_key("prompt"))
+        .join(existing.select(prompt_key("prompt").alias("_k")), "_k", "left_anti").drop("_k"))
     k = max(1, min(partitions or max_concurrency, max_concurrency))
     if max_prompts_per_task:
         # Bound the work (and the calls lost to a failed task) per task. The
@@ -112,6 +133,19 @@ def fetch_replies(prompts: DataFrame, backend: Backend, system_prompt: str | Non
     calls = todo.repartition(k).mapInPandas(_caller(backend, system_prompt, pool, run_id),
                                             REPLY_SCHEMA)
     store.append(calls)
+
+
+def fetch_replies(prompts: DataFrame, backend: Backend, system_prompt: str | None,
+                  store: ReplyStore, max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
+                  partitions: int | None = None,
+                  max_prompts_per_task: int | None = None) -> DataFrame:
+    """Call the backend once per prompt not yet in ``store``; return the
+    stored ``(prompt, response, error)`` table for all prompts.
+
+    ``prompts`` must hold one distinct, non-null ``prompt`` per row.
+    """
+    call_missing(prompts, backend, system_prompt, store, max_concurrency, partitions,
+                 max_prompts_per_task)
     return store.replies()
 
 
@@ -125,9 +159,12 @@ def _attach(df: DataFrame, prompt_col: str, backend: Backend, system_prompt: str
         prompts = prompts.distinct()
     # Without dedupe every non-blank row is its own call; the store is still
     # keyed by prompt, so identical prompts end up sharing one stored reply.
-    replies = fetch_replies(prompts, backend, system_prompt, store, max_concurrency, partitions,
-                            max_prompts_per_task)
-    return df.join(replies.withColumnRenamed("prompt", prompt_col), prompt_col, "left")
+    call_missing(prompts, backend, system_prompt, store, max_concurrency, partitions,
+                 max_prompts_per_task)
+    replies = store.replies_by_key().withColumnRenamed("prompt_key", "_pkey")
+    # Blank rows have no prompt, hence a NULL key: they keep NULL replies.
+    keyed = df.withColumn("_pkey", prompt_key(prompt_col)).drop(prompt_col)
+    return keyed.join(replies, "_pkey", "left")
 
 
 def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedupe: bool = True,
@@ -146,7 +183,7 @@ def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedup
                      dedupe, max_concurrency, partitions, max_prompts_per_task)
     parsed = with_parsed_remark(joined.drop(*[c for c in ("cleaned_remark", "notes_doubts")
                                               if c in joined.columns]), "response", "error")
-    blank = F.col("_prompt").isNull()
+    blank = F.col("_pkey").isNull()
     return parsed.select(*cols,
                          F.when(blank, F.lit("")).otherwise(F.col("cleaned_remark")).alias("cleaned_remark"),
                          F.when(blank, F.lit("")).otherwise(F.col("notes_doubts")).alias("notes_doubts"))
@@ -170,7 +207,7 @@ def categorise(df: DataFrame, backend, store: ReplyStore | None = None, dedupe:
                      dedupe, max_concurrency, partitions, max_prompts_per_task)
     parsed = with_parsed_category(joined.drop(*[c for c in ("category", "subcategory", "confidence")
                                                 if c in joined.columns]), "response")
-    blank = F.col("_prompt").isNull()
+    blank = F.col("_pkey").isNull()
     return parsed.select(
         *cols,
         F.when(blank, F.lit(UNCLEAR)).otherwise(F.col("category")).alias("category"),
