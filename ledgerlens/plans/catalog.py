@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.replies import with_parsed_category, with_parsed_remark
 from ledgerlens.operators import questions, rules, summary
 from ledgerlens.operators.backends import ScriptedBackend
-from ledgerlens.operators.enrich import enrich_statement
+from ledgerlens.operators.enrich import ReplyStore, enrich_statement
 from ledgerlens.operators.prompts import category_prompt, remark_prompt
 from ledgerlens.plans import fixtures
-from ledgerlens.session import apply_semantic_conf, materialize_at
+from ledgerlens.session import apply_semantic_conf, materialize_at, shared_dir
 from ledgerlens.sources.statement import normalize_statement, statement_to_display
 
 # Parameters of the question queries.
@@ -102,8 +102,15 @@ def q_parse_category_replies(spark, sf_dir):
 
 def q_enrich_statement(spark, sf_dir):
     st = fixtures.statement(spark, sf_dir)
-    done = enrich_statement(st, ScriptedBackend(fixtures.REMARK_REPLIES, fixtures.FAILED_CALL_ERROR),
-                            ScriptedBackend(fixtures.CATEGORY_REPLIES, fixtures.FAILED_CALL_ERROR))
+    rb = ScriptedBackend(fixtures.REMARK_REPLIES, fixtures.FAILED_CALL_ERROR)
+    cb = ScriptedBackend(fixtures.CATEGORY_REPLIES, fixtures.FAILED_CALL_ERROR)
+    # Reply stores scoped to the data folder: a run on one scale never reuses
+    # replies paid for on another, so each scale's calls are all measured.
+    tag = sf_dir.rstrip("/").replace("/", "_")
+    stores = {stage: ReplyStore(spark, shared_dir(spark, "ledgerlens", "replies", b.fingerprint(), tag, stage))
+              for stage, b in (("remark", rb), ("category", cb))}
+    done = enrich_statement(st, rb, cb, remark={"store": stores["remark"]},
+                            category={"store": stores["category"]})
     return done.select("s_no", "cleaned_remark", "notes_doubts", "category", "subcategory", "confidence")
 
 
