@@ -129,15 +129,30 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _abbr_map() -> Column:
-    return F.create_map(*[F.lit(x) for kv in ABBREVIATIONS for x in kv])
+# A word is a run between single spaces (as ``split(text, " ")`` cuts it):
+# these lookarounds mark its start and end without consuming the spaces.
+_WORD_START, _WORD_END = r"(?<![^ ])", r"(?![^ ])"
+_ABBR_KEYS = {a.lower() for a, _ in ABBREVIATIONS}
+# One pass of replacements equals a word-by-word lookup only if no expansion
+# contains a short form as a word of its own.
+assert not any(w.lower() in _ABBR_KEYS for _, e in ABBREVIATIONS for w in e.split(" "))
+assert all(a.isalnum() for a in _ABBR_KEYS | set(PURPOSE_WORDS))
+# Words (lower-case) that make a part a purpose part once expanded.
+_PURPOSE_TRIGGERS = sorted({w for w in PURPOSE_WORDS if w not in _ABBR_KEYS}
+                           | {a.lower() for a, e in ABBREVIATIONS
+                              if set(e.lower().split(" ")) & set(PURPOSE_WORDS)})
+# First "/"-separated part holding a trigger word (the part must start at the
+# string start or after "/", so the leftmost match is the first such part).
+_PURPOSE_PART = (r"(?iu)(?<![^/])([^/]*?(?<![^ /])(?:" + "|".join(_PURPOSE_TRIGGERS)
+                 + r")(?![^ /])[^/]*)")
 
 
 def expand_words(text: Column) -> Column:
     """Replace known short forms word by word (case-insensitive match)."""
-    m = _abbr_map()
-    return F.array_join(F.transform(F.split(text, " "),
-                                    lambda w: F.coalesce(F.try_element_at(m, F.lower(w)), w)), " ")
+    out = _c(text)
+    for abbr, expansion in ABBREVIATIONS:
+        out = F.regexp_replace(out, F.lit(f"(?iu){_WORD_START}{abbr}{_WORD_END}"), F.lit(expansion))
+    return out
 
 
 def _first_match(text_lower: Column, items: list[tuple[str, str]]) -> Column:
@@ -160,7 +175,9 @@ def remark_tokens(df: DataFrame, col: str = "remarks") -> DataFrame:
     Intermediate arrays are projected once (``_rt_*``) and dropped at the end.
     """
     d = df.withColumn("_rt_text", as_text(_c(col)))
-    d = d.withColumn("_rt_parts", F.transform(F.split("_rt_text", "/"), lambda p: F.trim(p)))
+    # Parts split on "/" with spaces trimmed from each ends (spaces around
+    # every "/" are part of the separator).
+    d = d.withColumn("_rt_parts", F.split(F.trim("_rt_text"), " */ *"))
     d = d.withColumns({"_rt_first": F.upper(F.try_element_at("_rt_parts", F.lit(1))),
                        "_rt_blank": is_blank(F.col("_rt_text")),
                        "_rt_low": F.lower("_rt_text")})
@@ -168,16 +185,16 @@ def remark_tokens(df: DataFrame, col: str = "remarks") -> DataFrame:
     d = d.withColumn("_rt_rest", F.when(F.col("_rt_has"), F.slice("_rt_parts", 2, F.size("_rt_parts")))
                      .otherwise(F.col("_rt_parts")))
     d = d.withColumn("_rt_kept", F.filter("_rt_rest", lambda p: (p != "") & ~p.rlike(ID_PATTERN)))
-    purpose_words = F.array(*[F.lit(w) for w in PURPOSE_WORDS])
     candidates = F.when(F.col("_rt_has"), F.slice("_rt_kept", 2, F.size("_rt_kept"))).otherwise(
         F.col("_rt_kept"))
-    with_purpose = F.filter(candidates, lambda p: F.arrays_overlap(
-        F.split(F.lower(expand_words(p)), " "), purpose_words))
+    # First candidate part with a purpose word (after expansion), found by one
+    # regex over the joined parts; parts never contain "/".
+    purpose_part = F.nullif(F.regexp_extract(F.array_join(candidates, "/"), _PURPOSE_PART, 1), F.lit(""))
     live = ~F.col("_rt_blank")
     d = d.withColumns({
         "channel": F.when(F.col("_rt_has"), F.col("_rt_first")),
         "party": F.when(live & F.col("_rt_has"), F.try_element_at("_rt_kept", F.lit(1))),
-        "purpose": F.when(live, expand_words(F.try_element_at(with_purpose, F.lit(1)))),
+        "purpose": F.when(live, expand_words(purpose_part)),
         "platform": F.when(live, _first_match(F.col("_rt_low"), [(p, p) for p in PLATFORMS])),
         "verb": F.when(live, _first_match(F.col("_rt_low"), PAYMENT_VERBS)),
         "reference": F.when(live, F.try_element_at(
