@@ -112,17 +112,19 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``ledgerlens`` importable on executors (as ``--py-files`` would):
-    zip the package once per application and add it with ``addPyFile``.
-    Skipped when executors can already import it (e.g. it is installed)."""
+    zip the package once per application into the shared folder and add it
+    with ``addPyFile``. Skipped when executors can already import it (e.g.
+    it is installed)."""
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    import io
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    zpath = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-pyfiles-"), "ledgerlens.zip")
-    with zipfile.ZipFile(zpath, "w") as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
         for dirpath, _dirs, files in os.walk(pkg_dir):
             if "__pycache__" in dirpath:
                 continue
@@ -130,7 +132,15 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
+    path = shared_dir(spark, "ledgerlens", "pyfiles", f"{key}-{uuid.uuid4().hex[:8]}", "ledgerlens.zip")
+    jvm = sc._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(sc._jsc.hadoopConfiguration()).create(jpath, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(path)
     _SHIPPED.add(key)
 
 
