@@ -136,3 +136,81 @@ def test_job_entry_point(spark, scratch, capsys):
     assert "Total Transactions: 2" in out and "Groceries: 1" in out and "Fuel: 1" in out
     assert os.path.isdir(os.path.join(scratch, "stmt.csv"))
     assert main([os.path.join(scratch, "missing.xlsx")]) == 1
+
+
+class InFlightBackend(Backend):
+    """Records how many calls are in flight at once, across tasks and
+    threads, in a counter file guarded by an OS file lock."""
+
+    name = "in-flight"
+
+    def __init__(self, path):
+        self.path = path
+
+    def describe(self):
+        return {"name": self.name, "path": self.path}
+
+    def _bump(self, delta):
+        import fcntl
+        with open(self.path, "a+") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            f.seek(0)
+            now, peak = (int(x) for x in (f.read().split() or ["0", "0"]))
+            now += delta
+            f.seek(0)
+            f.truncate()
+            f.write(f"{now} {max(peak, now)}")
+
+    def call_one(self, prompt, system_prompt):
+        import time
+        self._bump(1)
+        try:
+            time.sleep(0.05)
+            return '{"cleaned_remark": "x", "notes_doubts": ""}'
+        finally:
+            self._bump(-1)
+
+
+def test_global_concurrency_cap_holds(spark, scratch):
+    path = os.path.join(scratch, "inflight")
+    rows = [(i, f"remark {i}") for i in range(64)]
+    df = spark.createDataFrame(rows, "s_no bigint, remarks string")
+    store = ReplyStore(spark, os.path.join(scratch, "store"))
+    out = clean_remarks(df, InFlightBackend(path), store=store, max_concurrency=4, partitions=2)
+    assert out.where("cleaned_remark = 'x'").count() == 64
+    now, peak = (int(x) for x in open(path).read().split())
+    assert now == 0 and 2 <= peak <= 4  # 2 tasks x 2 threads, never more
+
+
+def test_remarks_column_is_required(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "x")], "s_no bigint, other string")
+    with pytest.raises(ValueError):
+        clean_remarks(df, ScriptedBackend(REMARK_REPLIES))
+
+
+def test_http_backend_sends_system_message_only_when_given(monkeypatch):
+    import io
+    import json
+    import urllib.request
+    from ledgerlens.operators.backends import ChatHttpBackend
+    sent = []
+
+    class Resp(io.BytesIO):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return False
+
+    def fake_urlopen(req, timeout):
+        sent.append(json.loads(req.data))
+        return Resp(json.dumps({"message": {"content": "ok"}}).encode())
+
+    monkeypatch.setattr(urllib.request, "urlopen", fake_urlopen)
+    b = ChatHttpBackend("http://model:1", "m", temperature=0.1)
+    assert b.call_one("hello", None) == "ok"
+    assert b.call_one("hello", "be brief") == "ok"
+    assert [m["role"] for m in sent[0]["messages"]] == ["user"]
+    assert [m["role"] for m in sent[1]["messages"]] == ["system", "user"]
+    assert sent[1]["options"]["temperature"] == 0.1 and sent[1]["stream"] is False
