@@ -53,8 +53,12 @@ def _assemble(shape: Column, y_txt: Column, m_txt: Column, d_txt: Column) -> Col
         shape.isin(*two_digit), y + 1900).otherwise(y)
     m = F.when(m_txt.rlike(r"^\d+$"), m_txt.cast("int")).otherwise(
         F.try_element_at(_month_map(), F.lower(m_txt)))
-    ymd = F.concat_ws("-", y.cast("string"), m.cast("string"), d_txt.cast("int").cast("string"))
-    return F.try_to_date(ymd, "y-M-d")
+    d = d_txt.cast("int")
+    # Built from integers (no text round trip through a date parser): the
+    # first of the month, then the day if that month has it. The guard keeps
+    # make_date on valid input only, so ANSI mode never raises.
+    first = F.when(y.between(0, 9999) & m.between(1, 12), F.make_date(y, m, F.lit(1)))
+    return F.when(d.between(1, 31) & (d <= F.dayofmonth(F.last_day(first))), F.date_add(first, d - 1))
 
 
 def parse_statement_date(c) -> Column:

@@ -35,3 +35,43 @@ def test_dates(spark):
     for k, v in cases.items():
         assert col[k] == v, k
         assert staged[k] == v, k
+
+
+def _py_date(s):
+    """Plain-Python statement of the day-first rules (first matching shape)."""
+    import re
+    from ledgerlens.functions.dates import DATE_SHAPES, MONTHS, TWO_DIGIT_YEAR_PIVOT
+    if s is None:
+        return None
+    s = s.strip(" ")
+    for pattern, yi, mi, di in DATE_SHAPES:
+        m = re.search(pattern, s)
+        if not m:
+            continue
+        y, mo, d = m.group(yi), m.group(mi), m.group(di)
+        y = int(y)
+        if pattern.endswith(r"(\d{2})$"):
+            y += 2000 if y < TWO_DIGIT_YEAR_PIVOT else 1900
+        mo = int(mo) if mo.isdigit() else (MONTHS.index(mo.lower()) + 1 if mo.lower() in MONTHS else None)
+        try:
+            return dt.date(y, mo, int(d)) if mo else None
+        except ValueError:
+            return None
+    return None
+
+
+def test_dates_match_python_rules_on_generated_text(spark):
+    import random
+    rnd = random.Random(11)
+    names = ["Jan", "feb", "MAR", "Apr", "xyz", "Sep", "dec", "Foo"]
+    out = []
+    for _ in range(4000):
+        d, m, y = rnd.randint(0, 33), rnd.randint(0, 13), rnd.randint(1, 9999)
+        shape = rnd.randrange(8)
+        out.append([f"{d}/{m}/{y:04d}", f"{d:02d}-{m:02d}-{y:04d}", f"{d}.{m}.{y:04d}",
+                    f"{y:04d}-{m}-{d}", f"{y:04d}/{m:02d}/{d:02d}", f"{d}-{rnd.choice(names)}-{y:04d}",
+                    f"{d}/{m}/{y % 100:02d}", f" {y:04d}-{m:02d}-{d:02d} 10:30 "][shape])
+    df = spark.createDataFrame([(s,) for s in out], "s string")
+    got = {r[0]: r[1] for r in with_statement_date(df, "s", "d").collect()}
+    bad = [(s, got[s], _py_date(s)) for s in out if got[s] != _py_date(s)]
+    assert bad[:5] == []
