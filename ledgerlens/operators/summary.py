@@ -152,33 +152,33 @@ def chat_context(df: DataFrame) -> DataFrame:
 
 
 def summary_report(df: DataFrame) -> DataFrame:
-    """Rendered summary as rows ``(section_no, section, label, value, count)``.
-
-    Order for display: ``section_no``, then ``count`` descending, then label.
+    """Rendered summary as rows ``(section_no, section, label, value, count)``,
+    sorted for display: sections in order, the totals as transactions,
+    withdrawals, deposits, breakdown lines by ``count`` descending then label.
     Scalar lines carry a NULL count. Breakdown sections appear only when the
     column exists (and, for subcategories, when any row passes the filter).
     """
     tot = summary_totals(df)
     scalars = tot.select(F.expr(
-        "stack(5, 1, 'Totals', 'Total Transactions', cast(total_transactions as string),"
-        " 1, 'Totals', 'Total Withdrawals', concat('₹', format_number(total_withdrawals, 2)),"
-        " 1, 'Totals', 'Total Deposits', concat('₹', format_number(total_deposits, 2)),"
-        " 2, 'Categories', 'Categories Found', cast(categories_found as string),"
-        " 4, 'Subcategories', 'Subcategories Found', cast(subcategories_found as string))"
-        " as (section_no, section, label, value)")).where(F.col("value").isNotNull()).withColumn(
+        "stack(5, 1, 1, 'Totals', 'Total Transactions', cast(total_transactions as string),"
+        " 1, 2, 'Totals', 'Total Withdrawals', concat('₹', format_number(total_withdrawals, 2)),"
+        " 1, 3, 'Totals', 'Total Deposits', concat('₹', format_number(total_deposits, 2)),"
+        " 2, 1, 'Categories', 'Categories Found', cast(categories_found as string),"
+        " 4, 1, 'Subcategories', 'Subcategories Found', cast(subcategories_found as string))"
+        " as (section_no, _line, section, label, value)")).where(F.col("value").isNotNull()).withColumn(
         "count", F.lit(None).cast("bigint"))
     parts = [scalars]
     if find_col(df, "category", pick="last"):
         parts.append(category_breakdown(df).select(
-            F.lit(3).alias("section_no"), F.lit("Category Breakdown").alias("section"),
+            F.lit(3).alias("section_no"), F.lit(1).alias("_line"), F.lit("Category Breakdown").alias("section"),
             F.col("category").alias("label"), F.col("transactions").cast("string").alias("value"),
             F.col("transactions").alias("count")))
     if find_col(df, "subcategory", pick="last"):
         parts.append(subcategory_breakdown(df).select(
-            F.lit(5).alias("section_no"), F.lit("Subcategory Breakdown").alias("section"),
+            F.lit(5).alias("section_no"), F.lit(1).alias("_line"), F.lit("Subcategory Breakdown").alias("section"),
             F.col("subcategory").alias("label"), F.col("transactions").cast("string").alias("value"),
             F.col("transactions").alias("count")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy("section_no", F.desc_nulls_first("count"), "label")
+    return out.orderBy("section_no", "_line", F.desc_nulls_first("count"), "label").drop("_line")

@@ -56,6 +56,9 @@ def test_date_range_and_context(spark):
 def test_report_order(spark):
     rep = [(r["section"], r["label"], r["value"]) for r in summary.summary_report(_df(spark)).collect()]
     assert rep[0][0] == "Totals" and ("Totals", "Total Withdrawals", "₹245.50") in rep
+    # Totals in the order the statement summary prints them.
+    assert [label for _s, label, _v in rep[:3]] == ["Total Transactions", "Total Withdrawals", "Total Deposits"]
+    assert rep[3][1] == "Categories Found" and rep[4][0] == "Category Breakdown"
     assert rep.index(("Category Breakdown", "Food", "3")) < rep.index(("Category Breakdown", "Refund", "1"))
 
 
