@@ -6,6 +6,9 @@ Plan shape (per stage)::
     repartition(k) --mapInPandas(backend)--> append to reply store (one action)
     statement --left join on sha256(prompt)--> stored replies --> native parse
 
+Prompts holding more than ``split_rows`` rows are spread over several tasks
+in the join back (:mod:`ledgerlens.operators.joins`).
+
 The join back carries a 32-byte digest of the prompt instead of its text, so
 the statement-sized shuffle is not widened by the prompt template.
 
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.replies import LOW, UNCLEAR, with_parsed_category, with_parsed_remark
 from ledgerlens.operators.backends import Backend, NativeBackend
+from ledgerlens.operators.joins import HOT_SPLIT_ROWS, hot_keys, split_hot_join
 from ledgerlens.operators.prompts import (CATEGORY_SYSTEM_PROMPT, REMARK_SYSTEM_PROMPT,
                                           category_prompt, remark_prompt)
 from ledgerlens.schema import description_column
@@ -151,25 +155,31 @@ def fetch_replies(prompts: DataFrame, backend: Backend, system_prompt: str | Non
 
 def _attach(df: DataFrame, prompt_col: str, backend: Backend, system_prompt: str, stage: str,
             store: ReplyStore | None, dedupe: bool, max_concurrency: int,
-            partitions: int | None, max_prompts_per_task: int | None = None) -> DataFrame:
+            partitions: int | None, max_prompts_per_task: int | None = None,
+            split_rows: int = HOT_SPLIT_ROWS) -> DataFrame:
     spark = df.sparkSession
     store = store or ReplyStore.default(spark, backend, stage)
-    prompts = df.select(F.col(prompt_col).alias("prompt")).where(F.col("prompt").isNotNull())
-    if dedupe:
-        prompts = prompts.distinct()
+    live = df.select(F.col(prompt_col).alias("prompt")).where(F.col("prompt").isNotNull())
+    # One aggregate gives the distinct prompts (for the calls) and the rows
+    # per prompt (for splitting hot prompts in the join back); it is written
+    # once and read by both.
+    counts = materialize(live.groupBy("prompt").agg(F.count(F.lit(1)).alias("n")),
+                         f"prompt_counts_{stage}")
     # Without dedupe every non-blank row is its own call; the store is still
     # keyed by prompt, so identical prompts end up sharing one stored reply.
-    call_missing(prompts, backend, system_prompt, store, max_concurrency, partitions,
-                 max_prompts_per_task)
+    call_missing(counts.select("prompt") if dedupe else live, backend, system_prompt, store,
+                 max_concurrency, partitions, max_prompts_per_task)
+    hot = hot_keys(counts.select(prompt_key("prompt").alias("_pkey"), "n"), "_pkey", split_rows=split_rows)
     replies = store.replies_by_key().withColumnRenamed("prompt_key", "_pkey")
     # Blank rows have no prompt, hence a NULL key: they keep NULL replies.
     keyed = df.withColumn("_pkey", prompt_key(prompt_col)).drop(prompt_col)
-    return keyed.join(replies, "_pkey", "left")
+    return split_hot_join(keyed, replies, "_pkey", hot)
 
 
 def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedupe: bool = True,
                   max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-                  partitions: int | None = None, max_prompts_per_task: int | None = None) -> DataFrame:
+                  partitions: int | None = None, max_prompts_per_task: int | None = None,
+                  split_rows: int = HOT_SPLIT_ROWS) -> DataFrame:
     """Add ``cleaned_remark`` and ``notes_doubts``. Blank remarks give
     ('', '') without a call; row count and all input columns are kept."""
     if "remarks" not in df.columns:
@@ -180,7 +190,7 @@ def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedup
     cols = [c for c in df.columns if c not in ("cleaned_remark", "notes_doubts")]
     with_prompt = df.withColumn("_prompt", remark_prompt("remarks"))
     joined = _attach(with_prompt, "_prompt", backend, REMARK_SYSTEM_PROMPT, "remark", store,
-                     dedupe, max_concurrency, partitions, max_prompts_per_task)
+                     dedupe, max_concurrency, partitions, max_prompts_per_task, split_rows)
     parsed = with_parsed_remark(joined.drop(*[c for c in ("cleaned_remark", "notes_doubts")
                                               if c in joined.columns]), "response", "error")
     blank = F.col("_pkey").isNull()
@@ -191,7 +201,8 @@ def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedup
 
 def categorise(df: DataFrame, backend, store: ReplyStore | None = None, dedupe: bool = True,
                max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-               partitions: int | None = None, max_prompts_per_task: int | None = None) -> DataFrame:
+               partitions: int | None = None, max_prompts_per_task: int | None = None,
+               split_rows: int = HOT_SPLIT_ROWS) -> DataFrame:
     """Add ``category``, ``subcategory``, ``confidence``. Reads the cleaned
     remark when that column exists, else the raw remark; blank text gives
     ('Unclear', '', 'Low') without a call."""
@@ -204,7 +215,7 @@ def categorise(df: DataFrame, backend, store: ReplyStore | None = None, dedupe:
     d = "deposit" if "deposit" in df.columns else F.lit(None)
     with_prompt = df.withColumn("_prompt", category_prompt(desc, w, d))
     joined = _attach(with_prompt, "_prompt", backend, CATEGORY_SYSTEM_PROMPT, "category", store,
-                     dedupe, max_concurrency, partitions, max_prompts_per_task)
+                     dedupe, max_concurrency, partitions, max_prompts_per_task, split_rows)
     parsed = with_parsed_category(joined.drop(*[c for c in ("category", "subcategory", "confidence")
                                                 if c in joined.columns]), "response")
     blank = F.col("_pkey").isNull()

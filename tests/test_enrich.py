@@ -214,3 +214,19 @@ def test_http_backend_sends_system_message_only_when_given(monkeypatch):
     assert [m["role"] for m in sent[0]["messages"]] == ["user"]
     assert [m["role"] for m in sent[1]["messages"]] == ["system", "user"]
     assert sent[1]["options"]["temperature"] == 0.1 and sent[1]["stream"] is False
+
+
+def test_hot_prompt_is_split_and_results_unchanged(spark, scratch):
+    from ledgerlens.operators.joins import hot_keys
+    rows = [(i, "HOT REMARK" if i % 3 == 0 else f"remark {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "s_no bigint, remarks string")
+    b = ScriptedBackend(REMARK_REPLIES)
+    plain = clean_remarks(df, b, store=ReplyStore(spark, os.path.join(scratch, "a")))
+    split = clean_remarks(df, b, store=ReplyStore(spark, os.path.join(scratch, "b")), split_rows=100)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan  # the join runs on (key, salt)
+    key = lambda r: (r["s_no"], r["cleaned_remark"], r["notes_doubts"])
+    assert sorted(map(key, plain.collect())) == sorted(map(key, split.collect()))
+    assert split.count() == 3000
+    counts = spark.createDataFrame([("a", 1000), ("b", 50), ("c", 301)], "k string, n long")
+    assert hot_keys(counts, "k", split_rows=100) == [("a", 10), ("c", 4)]
