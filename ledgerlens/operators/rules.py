@@ -234,21 +234,29 @@ def read_remark(df: DataFrame, col: str = "remarks") -> DataFrame:
     return t.withColumns({"cleaned_remark": cleaned, "notes_doubts": notes})
 
 
-def remark_consensus(df: DataFrame, key: str = "remark_key", value: str = "cleaned_remark") -> DataFrame:
+def remark_consensus(df: DataFrame, key: str = "remark_key", value: str = "cleaned_remark",
+                     split_rows: int | None = None) -> DataFrame:
     """Similar rows get one reading: per key, the most frequent non-empty
     value (ties: lowest value) becomes ``consensus_remark``; rows without a
     key or without any non-empty value keep their own.
 
-    Two aggregations (key+value counts, then best per key), each with a
-    map-side partial step, so a key holding a third of all rows is reduced
-    before it is shuffled; the join back relies on AQE's skew-join split.
+    One aggregation of (key, value) counts with a map-side partial step (a
+    key holding a third of all rows is reduced before it is shuffled) is
+    written once; the best value per key and the rows per key both come from
+    it. The join back splits keys with more than ``split_rows`` rows over
+    several tasks (:mod:`ledgerlens.operators.joins`).
     """
-    counts = (df.where(F.col(key).isNotNull() & (F.col(value) != ""))
-              .groupBy(key, value).agg(F.count(F.lit(1)).alias("_n")))
-    best = (counts.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("neg"), F.col(value).alias("v")))
-                                    .alias("_b"))
+    from ledgerlens.operators.joins import HOT_SPLIT_ROWS, hot_keys, split_hot_join
+    from ledgerlens.session import materialize
+    pairs = materialize(df.where(F.col(key).isNotNull())
+                        .groupBy(key, value).agg(F.count(F.lit(1)).alias("_n")), "consensus_counts")
+    best = (pairs.where(F.col(value) != "")
+            .groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("neg"), F.col(value).alias("v")))
+                              .alias("_b"))
             .select(key, F.col("_b.v").alias("_consensus")))
-    out = df.join(best, key, "left")
+    hot = hot_keys(pairs.groupBy(key).agg(F.sum("_n").alias("n")), key,
+                   split_rows=split_rows or HOT_SPLIT_ROWS)
+    out = split_hot_join(df, best, key, hot)
     return out.withColumn("consensus_remark", F.coalesce("_consensus", value)).drop("_consensus")
 
 

@@ -75,5 +75,7 @@ def test_word_ngrams(spark):
 def test_consensus_picks_most_frequent_then_lowest(spark):
     rows = [(1, "k", "A"), (2, "k", "B"), (3, "k", "B"), (4, "j", "Z"), (5, "j", "Y"), (6, None, "Q"), (7, "k", "")]
     df = spark.createDataFrame(rows, "id int, remark_key string, cleaned_remark string")
-    got = {r["id"]: r["consensus_remark"] for r in rules.remark_consensus(df).collect()}
-    assert got == {1: "B", 2: "B", 3: "B", 4: "Y", 5: "Y", 6: "Q", 7: "B"}
+    want = {1: "B", 2: "B", 3: "B", 4: "Y", 5: "Y", 6: "Q", 7: "B"}
+    for split_rows in (None, 1):  # unsplit, and every key with 2+ rows split
+        got = {r["id"]: r["consensus_remark"] for r in rules.remark_consensus(df, split_rows=split_rows).collect()}
+        assert got == want, split_rows
