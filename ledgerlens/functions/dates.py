@@ -31,53 +31,56 @@ def _month_map() -> Column:
     return F.create_map(*[x for i, m in enumerate(MONTHS, start=1) for x in (F.lit(m), F.lit(i))])
 
 
-def _shape_index(s: Column) -> Column:
+def _parts(s: Column) -> Column:
+    """``[year, month, day, two_digit_flag]`` texts from the first shape that
+    matches ``s`` (NULL when none does): one CASE, so each shape's regex is
+    tested at most once and only the matching shape's groups are extracted."""
     expr = None
-    for i, (pattern, *_rest) in enumerate(DATE_SHAPES):
-        expr = F.when(s.rlike(pattern), F.lit(i)) if expr is None else expr.when(s.rlike(pattern), F.lit(i))
+    for pattern, yi, mi, di in DATE_SHAPES:
+        two_digit = "1" if pattern.endswith(r"(\d{2})$") else "0"
+        val = F.array(F.regexp_extract(s, pattern, yi), F.regexp_extract(s, pattern, mi),
+                      F.regexp_extract(s, pattern, di), F.lit(two_digit))
+        cond = s.rlike(pattern)
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     return expr
 
 
-def _group(s: Column, shape: Column, which: int) -> Column:
-    expr = None
-    for i, shp in enumerate(DATE_SHAPES):
-        g = F.regexp_extract(s, shp[0], shp[which])
-        expr = F.when(shape == i, g) if expr is None else expr.when(shape == i, g)
-    return expr
-
-
-def _assemble(shape: Column, y_txt: Column, m_txt: Column, d_txt: Column) -> Column:
-    two_digit = [i for i, shp in enumerate(DATE_SHAPES) if shp[0].endswith(r"(\d{2})$")]
-    y = y_txt.cast("int")
-    y = F.when(shape.isin(*two_digit) & (y < TWO_DIGIT_YEAR_PIVOT), y + 2000).when(
-        shape.isin(*two_digit), y + 1900).otherwise(y)
-    m = F.when(m_txt.rlike(r"^\d+$"), m_txt.cast("int")).otherwise(
-        F.try_element_at(_month_map(), F.lower(m_txt)))
-    d = d_txt.cast("int")
-    # Built from integers (no text round trip through a date parser): the
-    # first of the month, then the day if that month has it. The guard keeps
-    # make_date on valid input only, so ANSI mode never raises.
+def _assemble(p: Column) -> Column:
+    """DATE from ``[year, month, day, two_digit_flag]``; NULL for an
+    impossible date. Built from integers (no text round trip through a date
+    parser): the first of the month, then the day if that month has it. The
+    guard keeps make_date on valid input only, so ANSI mode never raises."""
+    y0 = p[0].cast("int")
+    y = (F.when((p[3] == "1") & (y0 < TWO_DIGIT_YEAR_PIVOT), y0 + 2000)
+         .when(p[3] == "1", y0 + 1900).otherwise(y0))
+    m = F.when(p[1].rlike(r"^\d+$"), p[1].cast("int")).otherwise(F.try_element_at(_month_map(), F.lower(p[1])))
+    d = p[2].cast("int")
     first = F.when(y.between(0, 9999) & m.between(1, 12), F.make_date(y, m, F.lit(1)))
     return F.when(d.between(1, 31) & (d <= F.dayofmonth(F.last_day(first))), F.date_add(first, d - 1))
 
 
 def parse_statement_date(c) -> Column:
     """STRING -> DATE, day first; NULL when no shape matches or the day is
-    invalid. Column form; :func:`with_statement_date` evaluates the shape
-    test once per row and should be preferred on large inputs."""
+    invalid.
+
+    The regex work (:func:`_parts`) appears once in the expression: the
+    assembly reads it through a one-element ``transform``, which binds it to
+    a lambda variable. Without that binding every reference to a part would
+    copy the regex CASE, and a filter on the date (which the optimizer
+    inlines into the scan) grew to thousands of regex calls per row."""
     s = F.trim((F.col(c) if isinstance(c, str) else c).cast("string"))
-    shape = _shape_index(s)
-    return _assemble(shape, _group(s, shape, 1), _group(s, shape, 2), _group(s, shape, 3))
+    return F.element_at(F.transform(F.array(_parts(s)), _assemble), 1)
 
 
 def with_statement_date(df: DataFrame, raw: str = "txn_date_raw", out: str = "txn_date") -> DataFrame:
-    """Add ``out`` (DATE) parsed from ``raw``; staged so the shape test and
-    each capture group run once per row."""
+    """Add ``out`` (DATE) parsed from ``raw``. The regex CASE is its own
+    projected column (generated code, once per row); only the integer
+    assembly runs through the lambda binding, and a filter on ``out`` still
+    holds a single copy of the regex work."""
     s = F.trim(F.col(raw).cast("string"))
-    d = df.withColumn("_dt_s", s).withColumn("_dt_shape", _shape_index(F.col("_dt_s")))
-    d = d.withColumns({f"_dt_g{j}": _group(F.col("_dt_s"), F.col("_dt_shape"), j) for j in (1, 2, 3)})
-    d = d.withColumn(out, _assemble(F.col("_dt_shape"), F.col("_dt_g1"), F.col("_dt_g2"), F.col("_dt_g3")))
-    return d.drop("_dt_s", "_dt_shape", "_dt_g1", "_dt_g2", "_dt_g3")
+    d = df.withColumn("_dt_p", _parts(s))
+    d = d.withColumn(out, F.element_at(F.transform(F.array(F.col("_dt_p")), _assemble), 1))
+    return d.drop("_dt_p")
 
 
 def iso_date(c) -> Column:

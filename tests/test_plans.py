@@ -81,3 +81,13 @@ def test_lexicon_join_broadcasts_the_lexicon_not_the_statement(spark):
     txt = plan(rules.categorise_with_lexicon_table(st, lex, ["s_no"], description="cleaned_remark",
                                                    broadcast=False))
     assert "ShuffledHashJoin [keyword" in txt and "BroadcastHashJoin" not in txt
+
+
+def test_filter_on_parsed_date_keeps_one_copy_of_the_regex_work(spark):
+    from ledgerlens.functions.dates import DATE_SHAPES, with_statement_date
+    st = fixtures.statement(spark, SF_SMALL)
+    df = with_statement_date(st).where(F.col("txn_date").isNotNull())
+    opt = df._jdf.queryExecution().optimizedPlan().toString()
+    # Pushed into the scan's filter the date expression is inlined; the
+    # regex CASE must appear once, not once per reference (2,344 before).
+    assert opt.count("RLIKE") <= 2 * len(DATE_SHAPES)
