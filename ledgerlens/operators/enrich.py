@@ -33,7 +33,8 @@ from ledgerlens.operators.joins import HOT_SPLIT_ROWS, hot_keys, split_hot_join
 from ledgerlens.operators.prompts import (CATEGORY_SYSTEM_PROMPT, REMARK_SYSTEM_PROMPT,
                                           category_prompt, remark_prompt)
 from ledgerlens.schema import description_column
-from ledgerlens.session import apply_semantic_conf, materialize, shared_dir, ship_package
+from ledgerlens.session import (apply_semantic_conf, broadcast_if_small, materialize, shared_dir,
+                                ship_package)
 
 REPLY_SCHEMA = "prompt string, response string, error string, run_id string, written_at bigint"
 DEFAULT_MAX_CONCURRENCY = 10
@@ -78,14 +79,24 @@ class ReplyStore:
                 .select("prompt", F.col("b.response").alias("response"),
                         F.col("b.error").alias("error")))
 
-    def replies_by_key(self) -> DataFrame:
+    def replies_by_key(self, keys: DataFrame | None = None) -> DataFrame:
         """``(prompt_key, response, error)``: as :meth:`replies`, keyed by
-        :func:`prompt_key` so the prompt text is not shuffled again."""
+        :func:`prompt_key` so the prompt text is not shuffled again.
+
+        ``keys`` (one ``prompt_key`` column) restricts the store to the
+        prompts at hand before the per-prompt reduction, so a small batch
+        (a streaming micro-batch) does not reduce every reply ever stored.
+        The key list is broadcast only when a bounded check proves it small;
+        otherwise the restriction is a shuffled semi-join."""
         raw = self.raw()
         if raw is None:
             return self.spark.createDataFrame([], "prompt_key binary, response string, error string")
+        raw = raw.withColumn("prompt_key", prompt_key("prompt")).drop("prompt")
+        if keys is not None:
+            keys, _ = broadcast_if_small(keys.select("prompt_key"))
+            raw = raw.join(keys, "prompt_key", "left_semi")
         best = F.min(F.struct("written_at", "run_id", "response", "error")).alias("b")
-        return (raw.groupBy(prompt_key("prompt").alias("prompt_key")).agg(best)
+        return (raw.groupBy("prompt_key").agg(best)
                 .select("prompt_key", F.col("b.response").alias("response"),
                         F.col("b.error").alias("error")))
 
@@ -170,7 +181,8 @@ def _attach(df: DataFrame, prompt_col: str, backend: Backend, system_prompt: str
     call_missing(counts.select("prompt") if dedupe else live, backend, system_prompt, store,
                  max_concurrency, partitions, max_prompts_per_task)
     hot = hot_keys(counts.select(prompt_key("prompt").alias("_pkey"), "n"), "_pkey", split_rows=split_rows)
-    replies = store.replies_by_key().withColumnRenamed("prompt_key", "_pkey")
+    replies = store.replies_by_key(counts.select(prompt_key("prompt").alias("prompt_key")))
+    replies = replies.withColumnRenamed("prompt_key", "_pkey")
     # Blank rows have no prompt, hence a NULL key: they keep NULL replies.
     keyed = df.withColumn("_pkey", prompt_key(prompt_col)).drop(prompt_col)
     return split_hot_join(keyed, replies, "_pkey", hot)

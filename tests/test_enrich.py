@@ -230,3 +230,16 @@ def test_hot_prompt_is_split_and_results_unchanged(spark, scratch):
     assert split.count() == 3000
     counts = spark.createDataFrame([("a", 1000), ("b", 50), ("c", 301)], "k string, n long")
     assert hot_keys(counts, "k", split_rows=100) == [("a", 10), ("c", 4)]
+
+
+def test_reply_store_read_is_restricted_to_the_prompts_at_hand(spark, scratch):
+    from ledgerlens.operators.enrich import prompt_key
+    store = ReplyStore(spark, os.path.join(scratch, "store"))
+    rows = [(f"p{i}", f"r{i}", None, "run", i) for i in range(500)]
+    store.append(spark.createDataFrame(rows, "prompt string, response string, error string, "
+                                             "run_id string, written_at bigint"))
+    keys = spark.createDataFrame([("p7",), ("p9",), ("absent",)], "prompt string").select(
+        prompt_key("prompt").alias("prompt_key"))
+    got = store.replies_by_key(keys)
+    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["response"] for r in got.collect()) == ["r7", "r9"]
