@@ -134,9 +134,17 @@ def call_missing(prompts: DataFrame, backend: Backend, system_prompt: str | None
     """
     ship_package(prompts.sparkSession)
     existing = store.raw()
-    todo = prompts if existing is None else (
-        prompts.withColumn("_k", prompt_key("prompt"))
-        .join(existing.select(prompt_key("prompt").alias("_k")), "_k", "left_anti").drop("_k"))
+    if existing is None:
+        todo = prompts
+    else:
+        keyed = prompts.withColumn("_k", prompt_key("prompt"))
+        stored = existing.select(prompt_key("prompt").alias("_k"))
+        # A small batch's keys (size-checked) filter the store map-side first,
+        # so the anti-join does not shuffle the key of every stored reply.
+        batch_keys, small = broadcast_if_small(keyed.select("_k"))
+        if small:
+            stored = stored.join(batch_keys, "_k", "left_semi")
+        todo = keyed.join(stored, "_k", "left_anti").drop("_k")
     k = max(1, min(partitions or max_concurrency, max_concurrency))
     if max_prompts_per_task:
         # Bound the work (and the calls lost to a failed task) per task. The
