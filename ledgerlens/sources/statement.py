@@ -8,7 +8,6 @@ only (no job), so a bad file set fails before any work starts.
 from __future__ import annotations
 
 import logging
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -23,7 +23,6 @@ import xml.etree.ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlens.schema import REQUIRED_COLUMNS
 from ledgerlens.session import ship_package

@@ -2,7 +2,6 @@
 DuckDB oracle (row count, column names, values; order-insensitive)."""
 
 import math
-import os
 
 import duckdb
 import pytest

@@ -1,7 +1,6 @@
 """Reply parsing: every branch of FIXTURES.md section 4, plus edge cases."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerlens.functions import (parse_category_reply, parse_remark_reply,
                                   with_parsed_category, with_parsed_remark)

@@ -2,7 +2,6 @@
 
 import csv
 import glob
-import math
 import os
 
 import pytest
