@@ -11,12 +11,16 @@ before the join), so hot keys are split explicitly:
   rows, at most ``MAX_HOT_KEYS`` of them, largest first. Only this bounded
   list reaches the driver;
 * each row of a hot key gets a salt in ``[0, pieces)`` with
-  ``pieces = ceil(rows / split_rows)``; the key's single row on the other
+  ``pieces = ceil(rows / split_rows)``, from a hash of the row's content, so
+  a re-run task (after a lost executor) assigns every row the same salt
+  whatever order its input arrives in; the key's single row on the other
   side is repeated once per salt; all other keys use salt 0;
 * the join runs on ``(key, salt)``, so a key with a third of all rows is
   spread over many tasks of about ``split_rows`` rows each.
 
-Keys beyond the first ``MAX_HOT_KEYS`` still join exactly, unsplit.
+Keys beyond the first ``MAX_HOT_KEYS`` still join exactly, unsplit. Rows
+that are exact copies of each other share a salt (a statement row carries its
+own ``s_no`` and ``source_file``, so its rows are not exact copies).
 """
 
 from __future__ import annotations
@@ -28,8 +32,6 @@ from pyspark.sql import functions as F
 HOT_SPLIT_ROWS = 1_000_000
 # Upper bound on the hot-key list brought to the driver and broadcast.
 MAX_HOT_KEYS = 10_000
-# Fixed seed: a re-run task over the same input assigns the same salts.
-SALT_SEED = 17
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n", split_rows: int = HOT_SPLIT_ROWS) -> list[tuple]:
@@ -51,9 +53,10 @@ def split_hot_join(left: DataFrame, right: DataFrame, key: str, hot: list[tuple]
     spark = left.sparkSession
     ktype = dict(left.dtypes)[key]
     h = F.broadcast(spark.createDataFrame(hot, f"`{key}` {ktype}, _pieces int"))  # <= MAX_HOT_KEYS rows
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
     salted_left = (left.join(h, key, "left")
                    .withColumn("_salt", F.when(F.col("_pieces").isNotNull(),
-                                               F.floor(F.rand(SALT_SEED) * F.col("_pieces")).cast("int"))
+                                               F.pmod(row_hash, F.col("_pieces")).cast("int"))
                                .otherwise(F.lit(0)))
                    .drop("_pieces"))
     salted_right = (right.join(h, key, "left")
