@@ -46,6 +46,21 @@ def prompt_key(c) -> Column:
     return F.unhex(F.sha2(F.col(c) if isinstance(c, str) else c, 256))
 
 
+class BatchKeys:
+    """The prompt keys of one batch, with the broadcast decision made once
+    (:func:`ledgerlens.session.fits_broadcast`) and shared by every read of
+    the reply store for that batch."""
+
+    def __init__(self, frame: DataFrame, small: bool):
+        self.frame = frame
+        self.small = small
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> "BatchKeys":
+        frame, small = broadcast_if_small(keys)
+        return cls(frame, small)
+
+
 class ReplyStore:
     """Append-only parquet table of ``(prompt, response, error)`` per backend
     and stage, kept under the cluster's shared folder by default."""
@@ -79,7 +94,7 @@ class ReplyStore:
                 .select("prompt", F.col("b.response").alias("response"),
                         F.col("b.error").alias("error")))
 
-    def replies_by_key(self, keys: DataFrame | None = None) -> DataFrame:
+    def replies_by_key(self, keys: "DataFrame | BatchKeys | None" = None) -> DataFrame:
         """``(prompt_key, response, error)``: as :meth:`replies`, keyed by
         :func:`prompt_key` so the prompt text is not shuffled again.
 
@@ -93,8 +108,9 @@ class ReplyStore:
             return self.spark.createDataFrame([], "prompt_key binary, response string, error string")
         raw = raw.withColumn("prompt_key", prompt_key("prompt")).drop("prompt")
         if keys is not None:
-            keys, _ = broadcast_if_small(keys.select("prompt_key"))
-            raw = raw.join(keys, "prompt_key", "left_semi")
+            if not isinstance(keys, BatchKeys):
+                keys = BatchKeys.of(keys.select("prompt_key"))
+            raw = raw.join(keys.frame, "prompt_key", "left_semi")
         best = F.min(F.struct("written_at", "run_id", "response", "error")).alias("b")
         return (raw.groupBy("prompt_key").agg(best)
                 .select("prompt_key", F.col("b.response").alias("response"),
@@ -126,7 +142,8 @@ def _caller(backend: Backend, system_prompt: str | None, pool_size: int, run_id:
 def call_missing(prompts: DataFrame, backend: Backend, system_prompt: str | None,
                  store: ReplyStore, max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
                  partitions: int | None = None,
-                 max_prompts_per_task: int | None = None) -> None:
+                 max_prompts_per_task: int | None = None,
+                 batch_keys: BatchKeys | None = None) -> None:
     """Call the backend once per prompt of ``prompts`` not yet in ``store``
     and append the replies to it (one write; nothing is re-called later).
 
@@ -141,9 +158,9 @@ def call_missing(prompts: DataFrame, backend: Backend, system_prompt: str | None
         stored = existing.select(prompt_key("prompt").alias("_k"))
         # A small batch's keys (size-checked) filter the store map-side first,
         # so the anti-join does not shuffle the key of every stored reply.
-        batch_keys, small = broadcast_if_small(keyed.select("_k"))
-        if small:
-            stored = stored.join(batch_keys, "_k", "left_semi")
+        batch_keys = batch_keys or BatchKeys.of(keyed.select(F.col("_k").alias("prompt_key")))
+        if batch_keys.small:
+            stored = stored.join(batch_keys.frame.withColumnRenamed("prompt_key", "_k"), "_k", "left_semi")
         todo = keyed.join(stored, "_k", "left_anti").drop("_k")
     k = max(1, min(partitions or max_concurrency, max_concurrency))
     if max_prompts_per_task:
@@ -186,10 +203,11 @@ def _attach(df: DataFrame, prompt_col: str, backend: Backend, system_prompt: str
                          f"prompt_counts_{stage}")
     # Without dedupe every non-blank row is its own call; the store is still
     # keyed by prompt, so identical prompts end up sharing one stored reply.
+    keys = BatchKeys.of(counts.select(prompt_key("prompt").alias("prompt_key")))
     call_missing(counts.select("prompt") if dedupe else live, backend, system_prompt, store,
-                 max_concurrency, partitions, max_prompts_per_task)
+                 max_concurrency, partitions, max_prompts_per_task, batch_keys=keys)
     hot = hot_keys(counts.select(prompt_key("prompt").alias("_pkey"), "n"), "_pkey", split_rows=split_rows)
-    replies = store.replies_by_key(counts.select(prompt_key("prompt").alias("prompt_key")))
+    replies = store.replies_by_key(keys)
     replies = replies.withColumnRenamed("prompt_key", "_pkey")
     # Blank rows have no prompt, hence a NULL key: they keep NULL replies.
     keyed = df.withColumn("_pkey", prompt_key(prompt_col)).drop(prompt_col)
