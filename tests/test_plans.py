@@ -92,3 +92,46 @@ def test_filter_on_parsed_date_keeps_one_copy_of_the_regex_work(spark):
     # regex CASE must appear once, not once per reference (2,344 before).
     per_node = [line.count("RLIKE") for line in opt.splitlines()]
     assert max(per_node) <= 2 * len(DATE_SHAPES) and sum(per_node) <= 4 * len(DATE_SHAPES)
+
+
+def test_skew_handling_of_the_joins(spark, tmp_path):
+    """With AQE's skew thresholds lowered: the lexicon's shuffle fallback is
+    split by AQE itself; the reply join-back is not (its replies side comes
+    through an aggregate), which is why hot prompts are split explicitly."""
+    from ledgerlens.operators import rules
+    from ledgerlens.operators.backends import ScriptedBackend
+    from ledgerlens.operators.enrich import ReplyStore, clean_remarks
+    from ledgerlens.plans.fixtures import REMARK_REPLIES
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+
+        def final_plan(df):
+            df.collect()
+            return df._jdf.queryExecution().executedPlan().toString()
+
+        ids = spark.range(30000)
+        hot = F.col("id") % 3 == 0
+        desc = ids.select(F.col("id").alias("s_no"), F.when(hot, F.lit("petrol")).otherwise(
+            F.concat(F.lit("w"), F.col("id").cast("string"))).alias("cleaned_remark"))
+        lex = rules.categorise_with_lexicon_table(desc, rules.lexicon_frame(spark), ["s_no"], broadcast=False)
+        assert "ShuffledHashJoin(skew=true)" in final_plan(lex)
+        st = ids.select(F.col("id").alias("s_no"), F.when(hot, F.lit("HOT REMARK")).otherwise(
+            F.concat(F.lit("r"), F.col("id").cast("string"))).alias("remarks"))
+        b = ScriptedBackend(REMARK_REPLIES)
+        unsplit = final_plan(clean_remarks(st, b, store=ReplyStore(spark, str(tmp_path / "a")), split_rows=10**9))
+        assert "skew=true" not in unsplit
+        split = final_plan(clean_remarks(st, b, store=ReplyStore(spark, str(tmp_path / "b")), split_rows=1000))
+        assert "_salt" in split
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
