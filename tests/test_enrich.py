@@ -243,3 +243,36 @@ def test_reply_store_read_is_restricted_to_the_prompts_at_hand(spark, scratch):
     got = store.replies_by_key(keys)
     assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["response"] for r in got.collect()) == ["r7", "r9"]
+
+
+class SystemPromptBackend(Backend):
+    """Replies with a fixed object and records each distinct system prompt."""
+
+    name = "system-prompt"
+
+    def __init__(self, path, reply):
+        self.path = path
+        self.reply = reply
+
+    def describe(self):
+        return {"name": self.name, "path": self.path}
+
+    def call_one(self, prompt, system_prompt):
+        with open(self.path, "a") as f:
+            f.write((system_prompt or "").replace("\n", " ")[:60] + "\n")
+        return self.reply
+
+
+def test_rows_come_back_once_each_and_stages_send_their_system_prompts(spark, scratch):
+    from ledgerlens.operators.prompts import CATEGORY_SYSTEM_PROMPT, REMARK_SYSTEM_PROMPT
+    rows = [(i, f"remark {i % 7}" if i % 5 else "  ", i * 1.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "s_no bigint, remarks string, extra double").withColumns(
+        {"withdrawal": F.lit(10).cast("decimal(18,2)"), "deposit": F.lit(None).cast("decimal(18,2)")})
+    log1, log2 = os.path.join(scratch, "s1"), os.path.join(scratch, "s2")
+    out = enrich_statement(
+        df, SystemPromptBackend(log1, '{"cleaned_remark": "x", "notes_doubts": ""}'),
+        SystemPromptBackend(log2, '{"category": "Bills", "subcategory": "", "confidence": "High"}'))
+    got = sorted((r["s_no"], r["extra"]) for r in out.collect())
+    assert got == sorted((i, i * 1.5) for i in range(200))  # each input row once, own columns
+    assert set(_calls(log1)) == {REMARK_SYSTEM_PROMPT.replace("\n", " ")[:60]}    # C3
+    assert set(_calls(log2)) == {CATEGORY_SYSTEM_PROMPT.replace("\n", " ")[:60]}
