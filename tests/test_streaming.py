@@ -39,3 +39,25 @@ def test_monthly_spend_stream(spark, scratch):
     q.awaitTermination(300)
     rows = spark.sql("SELECT * FROM t_monthly").collect()
     assert rows and all(r["transactions"] > 0 for r in rows)
+
+
+def test_ingest_with_a_call_backend_matches_batch(spark, scratch):
+    from ledgerlens.operators.backends import ScriptedBackend
+    from ledgerlens.operators.enrich import ReplyStore
+    from ledgerlens.plans.fixtures import CATEGORY_REPLIES, REMARK_REPLIES
+    st = statement(spark, SF_SMALL).cache()
+    src = os.path.join(scratch, "in")
+    st.where(F.col("s_no") < 3000).write.parquet(os.path.join(src, "a"))
+    st.where(F.col("s_no") >= 3000).write.parquet(os.path.join(src, "b"))
+    out = os.path.join(scratch, "out")
+    rb, cb = ScriptedBackend(REMARK_REPLIES), ScriptedBackend(CATEGORY_REPLIES)
+    q = start_statement_stream(spark, os.path.join(src, "*"), out, backend=rb, category_backend=cb,
+                               checkpoint=os.path.join(scratch, "ck"), max_files_per_trigger=1,
+                               query_name="t_ingest_calls")
+    q.awaitTermination(300)
+    assert q.exception() is None
+    want = enrich_statement(st, rb, cb, remark={"store": ReplyStore(spark, os.path.join(scratch, "r1"))},
+                            category={"store": ReplyStore(spark, os.path.join(scratch, "r2"))})
+    cols = want.columns
+    got = spark.read.parquet(out).select(*cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
