@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -104,9 +106,37 @@ def materialize_at(df, name: str):
     spark = df.sparkSession
     path = fresh_shared_dir(spark, f"ledgerlens/tables/{name}")
     df.write.parquet(path)
+    scopes = getattr(_SCOPES, "stack", None)
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.parquet(path), path
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables materialized inside the block are intermediate: their folders
+    are deleted when it ends. Wrap work whose result has been written (one
+    streaming micro-batch) so a long-running job does not leave every
+    batch's intermediate tables in the shared folder. Per thread."""
+    stack = getattr(_SCOPES, "stack", None)
+    if stack is None:
+        stack = _SCOPES.stack = []
+    paths: list[str] = []
+    stack.append(paths)
+    try:
+        yield paths
+    finally:
+        stack.pop()
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            jp = jvm.org.apache.hadoop.fs.Path(p)
+            jp.getFileSystem(conf).delete(jp, True)
+
+
 _SHIPPED: set = set()
 
 

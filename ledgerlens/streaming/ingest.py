@@ -24,7 +24,7 @@ from ledgerlens.functions.dates import with_statement_date
 from ledgerlens.operators.enrich import enrich_statement
 from ledgerlens.operators.rules import RuleBackend
 from ledgerlens.schema import ENGINE_TYPES, REQUIRED_COLUMNS, STATEMENT_DDL, quote
-from ledgerlens.session import apply_semantic_conf, shared_dir
+from ledgerlens.session import apply_semantic_conf, scratch_scope, shared_dir
 from ledgerlens.sources.statement import normalize_statement
 
 DISPLAY_DDL = ", ".join(f"{quote(c)} string" for c in REQUIRED_COLUMNS)
@@ -59,9 +59,11 @@ def start_statement_stream(spark: SparkSession, source_dir: str, output_dir: str
     checkpoint = checkpoint or shared_dir(spark, "ledgerlens", "streams", query_name)
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        st = _prepare(batch)
-        out = enrich_statement(st, backend, category_backend)
-        out.write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/epoch={epoch_id}")
+        # Intermediate tables of the batch are removed once its output is written.
+        with scratch_scope(batch.sparkSession):
+            st = _prepare(batch)
+            out = enrich_statement(st, backend, category_backend)
+            out.write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/epoch={epoch_id}")
 
     w = (stream.writeStream.queryName(query_name).option("checkpointLocation", checkpoint)
          .foreachBatch(handle))

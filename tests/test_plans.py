@@ -135,3 +135,15 @@ def test_skew_handling_of_the_joins(spark, tmp_path):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_scratch_scope_removes_intermediate_tables(spark):
+    import os
+    from ledgerlens.session import materialize_at, scratch_scope
+    with scratch_scope(spark) as made:
+        df, path = materialize_at(spark.range(10), "scoped")
+        local = path.replace("file:", "")
+        assert df.count() == 10 and os.path.isdir(local) and made == [path]
+    assert not os.path.exists(local)
+    kept, path2 = materialize_at(spark.range(3), "unscoped")  # outside a scope: kept
+    assert os.path.isdir(path2.replace("file:", "")) and kept.count() == 3
