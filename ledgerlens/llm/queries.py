@@ -6,18 +6,46 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.llm import byte_bpe, packing, token_counts
 from ledgerlens.llm.exact_dedup import exact_groups
 from ledgerlens.llm.tables import ready, table
 
 
+def vocabulary_file(name: str) -> str:
+    """Where the installed public tokenizer files are."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the unigram reading of a 32k-piece vocabulary."""
+    ready(spark)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of equal text; the row with the largest id stays."""
     ready(spark)
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every document, as digests."""
+    ready(spark)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.tiktoken"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 2048."""
+    ready(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
