@@ -5,10 +5,24 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, packing, token_counts
+from ledgerlens.llm import byte_bpe, packing, quality, token_counts, toxicity, url_filter
 from ledgerlens.llm.exact_dedup import exact_groups
-from ledgerlens.llm.tables import ready, table
+from ledgerlens.llm.tables import in_fold, ready, table
+
+
+#: Scores from which a document counts as toxic, as good.
+TOXIC_FROM, GOOD_FROM = 0.3, 0.5
+
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 
 
 def vocabulary_file(name: str) -> str:
@@ -29,6 +43,33 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def _judged(scored: DataFrame, parts: int, part: int, threshold: float) -> DataFrame:
+    return scored.select("doc_id", in_fold(F.col("doc_id"), parts, part).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of the held-out quarter are not learnt from."""
+    ready(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=lambda i: ~in_fold(i, 4, 2))
+    return _judged(toxicity.score(docs, model), 4, 2, TOXIC_FROM)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of the held-out third are not learnt from."""
+    ready(spark)
+    scored = quality.fit_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                               learn=lambda i: ~in_fold(i, 3, 1))
+    return _judged(scored, 3, 1, GOOD_FROM)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or link-graph verdict of every page."""
+    ready(spark)
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     ready(spark)
@@ -43,12 +84,62 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
+    "op5_url_filter": op5_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # Rules as a table, the longest that fits first; ranks by recursion over the host links.
+    "op5_url_filter": r"""
+        WITH RECURSIVE u AS (
+            SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
+            FROM pages),
+        p AS (
+            SELECT row_number() OVER () AS row, page_id, html,
+                   translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+            FROM u),
+        r(what, rhost, rpath) AS (
+            VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                   ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        m AS (
+            SELECT p.*, r.what, r.rhost || r.rpath AS rule,
+                   row_number() OVER (PARTITION BY p.row ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS best
+            FROM p LEFT JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)),
+        j AS (SELECT * FROM m WHERE best = 1),
+        l AS (
+            SELECT host AS src, dst, count(*) AS n
+            FROM (SELECT host, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''),
+                         '(?i)href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"''\s<>]+)', 1),
+                         lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS dst FROM j WHERE host <> '')
+            WHERE host <> dst GROUP BY ALL),
+        e AS (
+            SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS out_share, n / sum(n) OVER (PARTITION BY dst) AS in_share
+            FROM l),
+        s AS (
+            SELECT host, sum(t) AS t, sum(d) AS d FROM (
+                SELECT host, avg((what IS NOT DISTINCT FROM 'allow')::INT) AS t, avg((what IS NOT DISTINCT FROM 'block')::INT) AS d
+                FROM j WHERE host <> '' GROUP BY host
+                UNION ALL SELECT src, 0, 0 FROM e UNION ALL SELECT dst, 0, 0 FROM e)
+            GROUP BY host),
+        k AS (
+            SELECT 0 AS i, host, 0.15 * t AS trust, 0.15 * d AS distrust FROM s
+            UNION ALL
+            SELECT any_value(f.i) + 1, s.host, 0.15 * any_value(s.t) + 0.85 * sum(f.t), 0.15 * any_value(s.d) + 0.85 * sum(f.d)
+            FROM s JOIN (
+                SELECT i, host, 0.0 AS t, 0.0 AS d FROM k
+                UNION ALL SELECT k.i, e.dst, k.trust * e.out_share, 0.0 FROM k JOIN e ON e.src = k.host
+                UNION ALL SELECT k.i, e.src, 0.0, k.distrust * e.in_share FROM k JOIN e ON e.dst = k.host) f ON f.host = s.host
+            WHERE f.i < 20 GROUP BY s.host)
+        SELECT j.page_id, j.host, j.path, j.rule,
+               coalesce(j.what, CASE WHEN k.distrust - k.trust > 0.075 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM j LEFT JOIN k ON k.host = j.host AND k.i = 20
+    """,
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
              g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)

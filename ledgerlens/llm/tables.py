@@ -39,7 +39,7 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def split_part(col: Column, parts: int, part: int) -> Column:
+def in_fold(col: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id's decimal text leaves ``part`` modulo ``parts``
     (the held-out fold). A null id belongs to no fold."""
     return F.coalesce(F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(parts)) == F.lit(part),
