@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, packing, quality, token_counts, toxicity, url_filter
+from ledgerlens.llm import byte_bpe, fingerprints, packing, quality, token_counts, toxicity, url_filter
 from ledgerlens.llm.exact_dedup import exact_groups
 from ledgerlens.llm.tables import in_fold, ready, table
 
@@ -31,6 +31,12 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    ready(spark)
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the unigram reading of a 32k-piece vocabulary."""
     ready(spark)
@@ -83,6 +89,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
@@ -93,6 +100,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_fingerprints": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        n AS (
+            SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+            FROM t WINDOW w AS (ORDER BY doc_id DESC, text)),
+        e AS (
+            SELECT *, left(text, length(text) - length(text) // 2) || left(next_text, length(text) // 2) AS edited FROM n),
+        s AS (
+            SELECT x, list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM (SELECT text AS x FROM e UNION SELECT edited FROM e)),
+        h AS (
+            SELECT x, CASE WHEN len(words) = 0 THEN [] ELSE list_transform(range(1, greatest(len(words) - 3, 2)),
+                          lambda i: left(md5(array_to_string(words[i:i + 4], ' ')), 16)) END AS hashes
+            FROM s),
+        f AS (
+            SELECT x, CASE WHEN len(list_filter(hashes, lambda v: v < '2000000000000000')) > 0
+                           THEN list_sort(list_distinct(list_filter(hashes, lambda v: v < '2000000000000000')))
+                           WHEN len(hashes) > 0 THEN [list_min(hashes)] ELSE [] END AS kept
+            FROM h),
+        r AS (
+            SELECT e.doc_id, length(e.text) AS n_chars, sha256(e.edited) AS edited_sha256, a.kept AS a, b.kept AS b, c.kept AS c
+            FROM e JOIN f a ON a.x = e.text JOIN f b ON b.x = e.edited JOIN f c ON c.x = e.next_text)
+        SELECT doc_id, n_chars, edited_sha256, array_to_string(a, ',') AS fingerprint, array_to_string(b, ',') AS edited_fingerprint,
+               CASE WHEN a = b THEN 1.0::DOUBLE WHEN least(len(a), len(b)) = 0 THEN 0.0::DOUBLE
+                    ELSE len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) END AS near_edited,
+               CASE WHEN a = c THEN 1.0::DOUBLE WHEN least(len(a), len(c)) = 0 THEN 0.0::DOUBLE
+                    ELSE len(list_intersect(a, c))::DOUBLE / least(len(a), len(c)) END AS near_next,
+               CASE WHEN a = b THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) END AS jaccard_edited,
+               CASE WHEN a = c THEN 1.0::DOUBLE ELSE len(list_intersect(a, c))::DOUBLE / len(list_distinct(a || c)) END AS jaccard_next
+        FROM r
+    """,
     # Rules as a table, the longest that fits first; ranks by recursion over the host links.
     "op5_url_filter": r"""
         WITH RECURSIVE u AS (
@@ -137,7 +176,7 @@ ORACLE_SQL: dict[str, str] = {
                 UNION ALL SELECT k.i, e.src, 0.0, k.distrust * e.in_share FROM k JOIN e ON e.dst = k.host) f ON f.host = s.host
             WHERE f.i < 20 GROUP BY s.host)
         SELECT j.page_id, j.host, j.path, j.rule,
-               coalesce(j.what, CASE WHEN k.distrust - k.trust > 0.075 THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(j.what, CASE WHEN k.distrust - k.trust > 0.075 + 1e-9 THEN 'block' ELSE 'allow' END) AS verdict
         FROM j LEFT JOIN k ON k.host = j.host AND k.i = 20
     """,
     "op7_exact_dedup": """

@@ -33,7 +33,7 @@ from ledgerlens.llm.arrow import Cache, slices
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Score of control, byte and unknown pieces: no path takes one for ordinary text.
-NEVER = -1e9
+NEVER = -1e6
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:

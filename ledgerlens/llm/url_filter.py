@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.tables import ascii_lower, stored
 
 DAMPING, ROUNDS, STORE_EVERY = 0.85, 20, 5
-#: A host is blocked where distrust - trust exceeds this; an unlinked host with all pages blocked has 1 - DAMPING.
+#: A host is blocked where distrust - trust exceeds this (by more than rounding); an unlinked host with all pages blocked has 1 - DAMPING.
 THRESHOLD = 0.075
 #: Ranks that no longer change by more than this are final.
 SETTLED = 1e-9
@@ -123,7 +123,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
     judged = judged_by_rules(pages, rules, id_col, url_col, html_col)
     links = stored(host_links(judged), "host-shares")
     ranks = propagate(seeds(judged), links)
-    bad = ranks.where(F.col("distrust") - F.col("trust") > threshold).select(F.col("host").alias("bad"))
+    bad = ranks.where(F.col("distrust") - F.col("trust") > threshold + SETTLED).select(F.col("host").alias("bad"))
     rows = judged_by_rules(pages, rules, id_col, url_col)
     return rows.hint("merge").join(bad, rows["host"] == bad["bad"], "left").select(
         "page_id", "host", "path", "rule",
