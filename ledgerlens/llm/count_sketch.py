@@ -1,0 +1,57 @@
+"""A fixed-size table of bucket counts over a distributed input.
+
+Tasks count into their own table and send it in chunks; chunks add up in two
+shuffles, salted first, so no task reads all of them. The result has a fixed
+number of buckets whatever the input, so it may go to the driver and to every
+task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+CHUNKS, SALTS = 64, 16
+_SCHEMA = "chunk int, salt int, counts binary"
+
+
+def _rows(counts: np.ndarray, salt: int) -> pa.RecordBatch:
+    parts = counts.reshape(CHUNKS, -1)
+    full = np.flatnonzero(parts.any(axis=1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), salt, np.int32)),
+                                       pa.array([parts[i].tobytes() for i in full], pa.binary())], ["chunk", "salt", "counts"])
+
+
+def _add(rows: DataFrame, first: bool) -> DataFrame:
+    """Sums by chunk and salt, or by chunk alone in the second round. Tasks count in 32 bits, sums are of 64."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for chunk, own, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                key = chunk, own if first else 0
+                counts = np.frombuffer(counts, "<i4" if first else "<i8").astype(np.int64)
+                sums[key] = sums[key] + counts if key in sums else counts
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()),
+                                          pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "salt", "counts"])
+    return rows.mapInArrow(run, _SCHEMA)
+
+
+def bucket_counts(df: DataFrame, buckets_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int) -> np.ndarray:
+    """How often each of ``size`` buckets occurs; ``buckets_of`` gives arrays of bucket numbers for a batch."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int32)
+        for batch in batches:
+            for some in buckets_of(batch):
+                counts += np.bincount(some, minlength=size).astype(np.int32)
+        yield _rows(counts.astype("<i4"), TaskContext.get().partitionId() % SALTS)
+
+    parts = df.mapInArrow(count, _SCHEMA).repartition(CHUNKS * SALTS // 4, "chunk", "salt")
+    sums = _add(_add(parts, True).repartition(CHUNKS, "chunk"), False)
+    out = np.zeros((CHUNKS, size // CHUNKS), np.int64)
+    for row in sums.collect():
+        out[row["chunk"]] += np.frombuffer(row["counts"], np.int64)
+    return out.ravel()

@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, fingerprints, packing, quality, token_counts, toxicity, url_filter
+from ledgerlens.llm import byte_bpe, fingerprints, ngram_join, packing, quality, token_counts, toxicity, url_filter
 from ledgerlens.llm.exact_dedup import exact_groups
 from ledgerlens.llm.tables import in_fold, ready, table
 
@@ -88,6 +88,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are similar by 0.9 or more."""
+    ready(spark)
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -186,4 +193,25 @@ ORACLE_SQL: dict[str, str] = {
                t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.text) AS text_sha256
         FROM t JOIN g ON t.text = g.text
     """,
+    "op10_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 1, 2)),
+                       lambda i: array_to_string(words[i:i + 2], ' '))) AS shingle
+            FROM w WHERE len(words) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (
+            SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+        JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = w.doc_id
+    """,
 }
