@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Text bytes handled at once inside a task (a longer single text is handled whole).
 SLICE_BYTES = 4 << 20
@@ -30,6 +31,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             begin = end
 
 
+def kept_rows(docs: DataFrame, text_col: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text ``judge`` finds worth keeping; nothing is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.array(judge(batch.column(text_col)), pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, bytes) of a string array without nulls."""
     offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset:strings.offset + len(strings) + 1]

@@ -51,16 +51,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     F.lower(F.hex("digest")).alias("text_sha256")))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                keep: str = "smallest") -> DataFrame:
-    """``docs`` without the rows whose text another kept row has.
-
-    One row per distinct text, all columns kept. Rows repeating a kept id and
-    text collapse to one (the other columns' smallest values decide which)."""
-    g = exact_groups(docs, id_col, text_col, keep).where("kept").select(
-        F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    g = g.dropDuplicates(["__keep", "__sha"])
-    keyed = docs.withColumn("__sha_doc", F.sha2(text_or_empty(docs[f"`{text_col}`"]).cast("binary"), 256))
-    kept = keyed.join(g.hint("merge"), keyed[f"`{id_col}`"].eqNullSafe(g["__keep"]) & (keyed["__sha_doc"] == g["__sha"]),
-                      "left_semi")
-    return kept.dropDuplicates([id_col, "__sha_doc"]).select(*[kept[f"`{c}`"] for c in docs.columns])
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """One row of ``docs`` for each distinct text, that of the kept id, with all its columns (of rows that repeat
+    both, any one). One shuffle carries the texts, combined in the map tasks first."""
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep must be 'smallest' or 'largest'")
+    id_, text = docs[f"`{id_col}`"], docs[f"`{text_col}`"]
+    others = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col], text.isNull().alias("__no_text"))
+    if keep == "smallest":
+        chosen = F.min_by("__row", F.struct(F.col("__id").isNull(), F.col("__id")))
+    else:
+        chosen = F.max_by("__row", F.struct(F.col("__id").isNotNull(), F.col("__id")))
+    rows = docs.select(F.unhex(F.md5(text_or_empty(text).cast("binary"))).alias("__hash"), text_or_empty(text).alias("__text"),
+                       id_.alias("__id"), others.alias("__row"))
+    kept = rows.groupBy("__hash", "__text").agg(chosen.alias("__row"))
+    return kept.select(*[F.when(~F.col("__row.__no_text"), F.col("__text")).alias(c) if c == text_col
+                         else F.col("__row")[c].alias(c) for c in docs.columns])

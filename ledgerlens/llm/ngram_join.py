@@ -81,12 +81,13 @@ def _digests(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def marked(ids: DataFrame, bits: int = ID_BITS) -> Column:
-    """A condition on ``doc_id`` that holds for every id of ``ids`` (one column, doc_id) and few others: a bit map
+def marked(ids: DataFrame, column: str = "doc_id", bits: int = ID_BITS) -> Column:
+    """A condition on ``column`` that holds for every id of ``ids`` (one column, doc_id) and few others: a bit map
     of hashed ids, ``2 ** bits`` bits whatever the input."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
     words = dict(ids.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(63).cast("int")).alias("bit"))
                  .groupBy("word").agg(F.bit_or("bit")).collect())
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << bits))
     held = F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(1 << bits - 6))), ",").cast("array<bigint>")
     return F.getbit(F.get(held, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
 
@@ -234,3 +235,18 @@ def join_components(docs: DataFrame, k: int, num: int, den: int, id_col: str = "
     rows = signed.select("doc_id", "n", "d1", "d2").where("n > 0").hint("merge").join(classes.drop("rep"), ["n", "d1", "d2"])
     alone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id")).unionAll(alone)
+
+
+def drop_near_copies(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id; rows without an id stay.
+
+    Only the ids that go are joined, and of the texts only those the bit map marks are shuffled for it."""
+    found = join_components(docs, k, num, den, id_col, text_col).where("doc_id IS NOT NULL AND component_id IS NOT NULL")
+    goes = stored(found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("goes")).where("goes")
+                  .select("doc_id"), "near-copies")
+    slot = docs.withColumn("__near_id", docs[f"`{id_col}`"].cast("bigint"))
+    maybe = marked(goes, "__near_id")
+    stays = slot.where(F.col("__near_id").isNull() | ~maybe)
+    looked = slot.where(F.col("__near_id").isNotNull() & maybe).hint("merge").join(
+        goes.select(F.col("doc_id").alias("__near_gone")), F.col("__near_id") == F.col("__near_gone"), "left_anti")
+    return stays.unionAll(looked).drop("__near_id")

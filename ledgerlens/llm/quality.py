@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.arrow import buffers, distinct_words, slices
+from ledgerlens.llm.arrow import buffers, distinct_words, kept_rows, slices
 from ledgerlens.llm.tables import stored
 
 #: Share of the pooled covariance in each class's, and of its diagonal in the result.
@@ -120,6 +120,9 @@ class Model:
     factors: np.ndarray  # inverse Cholesky factors of the covariances
     constants: np.ndarray
 
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(rows), -500, 500)))
+
     def log_odds(self, rows: np.ndarray) -> np.ndarray:
         density = [c - 0.5 * (((rows - m) @ f.T) ** 2).sum(axis=1)
                    for m, f, c in zip(self.means, self.factors, self.constants)]
@@ -165,8 +168,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             lists = batch.column("stats")
             rows = lists.flatten().to_numpy().reshape(batch.num_rows, len(STATISTICS))
-            odds = np.clip(model.log_odds(rows), -500, 500)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-odds)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(rows))], ["doc_id", "score"])
     return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {dict(stats.dtypes)['doc_id']}, score double")
 
 
@@ -175,3 +177,8 @@ def fit_score(docs: DataFrame, labels: DataFrame, learn=None, label_col: str = "
     """``doc_id, score`` of every document, the model fitted on the labelled ones."""
     stats = stored(with_statistics(docs, id_col, text_col), "quality-stats")
     return score(stats, fit(stats, labels, label_col, learn, id_col))
+
+
+def drop_poor(docs: DataFrame, model: Model, good_from: float, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score less than ``good_from``."""
+    return kept_rows(docs, text_col, lambda texts: model.scores(statistics(texts)) >= good_from)

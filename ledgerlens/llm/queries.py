@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, fingerprints, ngram_join, packing, quality, token_counts, toxicity, url_filter
+from ledgerlens.llm import byte_bpe, fingerprints, license_scan, ngram_join, packing, quality, token_counts, toxicity, url_filter
 from ledgerlens.llm.exact_dedup import exact_groups
 from ledgerlens.llm.tables import in_fold, ready, table
 
@@ -76,6 +76,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, taken as a file in its source's and language's directories."""
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return license_scan.licenses(docs)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     ready(spark)
@@ -100,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_url_filter": op5_url_filter,
+    "op6_license_scan": op6_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,

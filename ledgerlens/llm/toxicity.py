@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.arrow import distinct_words, gather, slices
+from ledgerlens.llm.arrow import distinct_words, gather, kept_rows, slices
 
 #: Toxic and other labelled documents taken for training, at most, and the longest text taken, in characters.
 SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 2500, 20_000
@@ -187,20 +187,29 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn=None
     return train(rows.column("text").to_pylist(), rows.column("label").to_pylist(), prior)
 
 
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """Score (0 to 1) of each text."""
+    words, index, offsets = _words(texts)
+    top = np.zeros(len(texts))
+    if len(words):
+        grams, ends = gram_buckets(words)
+        top, _, _ = worst_windows(_means(model.table[grams], ends)[index], offsets)
+    return 1 / (1 + np.exp(-np.clip(model.scale * top + model.shift, -500, 500)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` (0 to 1) of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in slices(batches, "text"):
-            words, index, offsets = _words(batch.column("text"))
-            if len(words):
-                grams, ends = gram_buckets(words)
-                top, _, _ = worst_windows(_means(model.table[grams], ends)[index], offsets)
-            else:
-                top = np.zeros(batch.num_rows)
-            odds = np.clip(model.scale * top + model.shift, -500, 500)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-odds)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(shared.value, batch.column("text")))],
+                                             ["doc_id", "score"])
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
         run, f"doc_id {dict(docs.dtypes)[id_col]}, score double")
+
+
+def drop_toxic(docs: DataFrame, model: Model, toxic_from: float, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``toxic_from`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, text_col, lambda texts: scores(shared.value, texts) < toxic_from)
