@@ -52,6 +52,15 @@ def _set(fingerprint: Column) -> Column:
     return F.when(fingerprint == "", F.array().cast("array<string>")).otherwise(F.split(fingerprint, ","))
 
 
+def _packed(fingerprint: Column) -> Column:
+    """Eight bytes a hash, for the shuffle."""
+    return F.unhex(F.replace(fingerprint, F.lit(","), F.lit("")))
+
+
+def _unpacked(packed: Column) -> Column:
+    return F.regexp_replace(F.lower(F.hex(packed)), "(.{16})(?=.)", "$1,")
+
+
 def merge(a: Column, b: Column, threshold: str = THRESHOLD) -> Column:
     """Fingerprint of the union of two shingle sets."""
     both = F.array_union(_set(a), _set(b))
@@ -130,11 +139,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ranges = min(MOST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), text_or_empty(docs[f"`{text_col}`"]).alias("text"))
     bounds = range_bounds(docs.select(docs[f"`{id_col}`"].alias("id")), ranges)
-    rows = with_next(with_fingerprint(rows, "text", "fingerprint"), ["text", "fingerprint"], bounds)
+    rows = with_fingerprint(rows, "text", "fingerprint").withColumn("fingerprint", _packed(F.col("fingerprint")))
+    rows = with_next(rows, ["text", "fingerprint"], bounds)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left(F.col("next.text"), half))
-    rows = rows.select("id", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"), "fingerprint",
-                       F.col("next.fingerprint").alias("next_fingerprint"))
+    rows = rows.select("id", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"),
+                       _unpacked(F.col("fingerprint")).alias("fingerprint"),
+                       _unpacked(F.col("next.fingerprint")).alias("next_fingerprint"))
     rows = with_fingerprint(rows, "edited", "edited_fingerprint")
     own, other, following = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
     return rows.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
