@@ -12,23 +12,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted shapes, in priority order: (regex, year, month, day
-# group numbers; month group may hold a three-letter English month name).
+# group numbers; the month group may hold an English month name, short or full).
+# A time of day may follow, with or without a zone; it is dropped.
+_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[AaPp][Mm])?(?:Z|[+-]\d{2}:?\d{2})?)?"
 DATE_SHAPES = [
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 3, 2, 1),
-    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", 3, 2, 1),
-    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", 3, 2, 1),
-    (r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$", 1, 2, 3),
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", 1, 2, 3),
-    (r"^(\d{1,2})[- ]([A-Za-z]{3})[- ](\d{4})$", 3, 2, 1),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{2})$", 3, 2, 1),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME + "$", 3, 2, 1),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})" + _TIME + "$", 3, 2, 1),
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})" + _TIME + "$", 3, 2, 1),
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})" + _TIME + "$", 1, 2, 3),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})" + _TIME + "$", 1, 2, 3),
+    (r"^(\d{1,2})[- /]([A-Za-z]{3,9})[- /,]{1,2}(\d{4})" + _TIME + "$", 3, 2, 1),
+    (r"^(\d{1,2})[- /]([A-Za-z]{3,9})[- /](\d{2})$", 3, 2, 1),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})$", 3, 2, 1),
 ]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+               "november", "december"]
 # Two-digit years below this pivot are 20xx, the rest 19xx.
-TWO_DIGIT_YEAR_PIVOT = 70
+TWO_DIGIT_YEAR_PIVOT = 69
 
 
 def _month_map() -> Column:
-    return F.create_map(*[x for i, m in enumerate(MONTHS, start=1) for x in (F.lit(m), F.lit(i))])
+    names = {m: i for months in (MONTHS, MONTH_NAMES) for i, m in enumerate(months, start=1)}
+    return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
 
 
 def _parts(s: Column) -> Column:

@@ -76,11 +76,14 @@ class Backend:
 
 
 class CallableBackend(Backend):
-    """Wrap a plain function ``f(prompt, system_prompt) -> reply``."""
+    """Wrap a plain function ``f(prompt, system_prompt) -> reply``. ``label``
+    names the function in the reply store: another function, another label."""
 
     name = "callable"
 
-    def __init__(self, fn: Callable[[str, str | None], str], label: str = "fn"):
+    def __init__(self, fn: Callable[[str, str | None], str], label: str):
+        if not label:
+            raise ValueError("label must name the function")
         self.fn = fn
         self.label = label
 

@@ -2,24 +2,29 @@
 
 Plan shape (per stage)::
 
-    statement --project prompt--> distinct prompts --left_anti reply store-->
-    repartition(k) --mapInPandas(backend)--> append to reply store (one action)
+    statement --project prompt--> distinct prompts --left_anti answered prompts-->
+    repartition(k) --mapInPandas(backend)--> append to reply store (committed in chunks)
     statement --left join on sha256(prompt)--> stored replies --> native parse
 
 Prompts holding more than ``split_rows`` rows are spread over several tasks
-in the join back (:mod:`ledgerlens.operators.joins`).
+in the join back, and rows without a prompt over all tasks
+(:mod:`ledgerlens.operators.joins`).
 
 The join back carries a 32-byte digest of the prompt instead of its text, so
-the statement-sized shuffle is not widened by the prompt template.
+the statement-sized shuffle is not widened by the prompt template. The store
+keeps that digest as a column and is partitioned by its first hex digit.
 
-Each model call is paid once: the replies are written before anything reads
+Each answered call is paid once: the replies are written before anything reads
 them, so later actions (and retried downstream stages) read the stored
-table instead of re-running the calls. Blank inputs never reach the backend.
-The global concurrency cap is ``k`` tasks x ``max_concurrency // k`` threads.
+table instead of re-running the calls. A call that failed is stored with its
+error and made again by the next run; a later success replaces it. Blank inputs
+never reach the backend. The global concurrency cap is ``k`` tasks x
+``max_concurrency // k`` threads, under every option.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 
@@ -32,46 +37,40 @@ from ledgerlens.operators.backends import Backend, NativeBackend
 from ledgerlens.operators.joins import HOT_SPLIT_ROWS, hot_keys, split_hot_join
 from ledgerlens.operators.prompts import (CATEGORY_SYSTEM_PROMPT, REMARK_SYSTEM_PROMPT,
                                           category_prompt, remark_prompt)
-from ledgerlens.schema import description_column
-from ledgerlens.session import (apply_semantic_conf, broadcast_if_small, materialize, shared_dir,
-                                ship_package)
+from ledgerlens.schema import AMOUNT_UNPARSEABLE, description_column
+from ledgerlens.session import apply_semantic_conf, materialize, shared_dir, ship_package
 
-REPLY_SCHEMA = "prompt string, response string, error string, run_id string, written_at bigint"
+REPLY_SCHEMA = ("prompt_key binary, prompt string, response string, error string, run_id string, "
+                "written_at bigint, key_prefix string")
 DEFAULT_MAX_CONCURRENCY = 10
+# Prompts called between two commits of the reply store: what a lost run pays for again, at most.
+CHUNK_PROMPTS = 100_000
 
 
 def prompt_key(c) -> Column:
     """32-byte SHA-256 digest of a prompt (NULL for a NULL prompt): the join
     key between statement rows and stored replies."""
-    return F.unhex(F.sha2(F.col(c) if isinstance(c, str) else c, 256))
+    return F.unhex(F.sha2((F.col(c) if isinstance(c, str) else c).cast("binary"), 256))
 
 
-class BatchKeys:
-    """The prompt keys of one batch, with the broadcast decision made once
-    (:func:`ledgerlens.session.fits_broadcast`) and shared by every read of
-    the reply store for that batch."""
-
-    def __init__(self, frame: DataFrame, small: bool):
-        self.frame = frame
-        self.small = small
-
-    @classmethod
-    def of(cls, keys: DataFrame) -> "BatchKeys":
-        frame, small = broadcast_if_small(keys)
-        return cls(frame, small)
+def _prefix(key: Column) -> Column:
+    return F.substring(F.lower(F.hex(key)), 1, 1)
 
 
 class ReplyStore:
-    """Append-only parquet table of ``(prompt, response, error)`` per backend
-    and stage, kept under the cluster's shared folder by default."""
+    """Append-only parquet table of replies per backend, stage and system
+    prompt, kept under the cluster's shared folder by default. One row per call:
+    ``prompt_key`` names the call (the prompt's digest; with one call per row, the
+    digest of prompt and row key)."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
 
     @classmethod
-    def default(cls, spark: SparkSession, backend: Backend, stage: str) -> "ReplyStore":
-        return cls(spark, shared_dir(spark, "ledgerlens", "replies", backend.fingerprint(), stage))
+    def default(cls, spark: SparkSession, backend: Backend, stage: str, system_prompt: str | None = None) -> "ReplyStore":
+        asked = hashlib.sha256((system_prompt or "").encode()).hexdigest()[:12]
+        return cls(spark, shared_dir(spark, "ledgerlens", "replies", backend.fingerprint(), f"{stage}-{asked}"))
 
     def _exists(self) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -79,45 +78,43 @@ class ReplyStore:
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return fs.exists(p)
 
-    def raw(self) -> DataFrame | None:
+    def raw(self, keys: DataFrame | None = None) -> DataFrame | None:
+        """Stored rows; with ``keys`` (a ``prompt_key`` column) only the
+        partitions that can hold them are read."""
         if not self._exists():
             return None
-        return self.spark.read.schema(REPLY_SCHEMA).parquet(self.path)
-
-    def replies(self) -> DataFrame:
-        """One row per prompt (earliest stored reply wins if runs overlapped)."""
-        raw = self.raw()
-        if raw is None:
-            return self.spark.createDataFrame([], "prompt string, response string, error string")
-        best = F.min(F.struct("written_at", "run_id", "response", "error")).alias("b")
-        return (raw.groupBy("prompt").agg(best)
-                .select("prompt", F.col("b.response").alias("response"),
-                        F.col("b.error").alias("error")))
+        rows = self.spark.read.schema(REPLY_SCHEMA).parquet(self.path)
+        if keys is not None:
+            # At most 16 values, whatever the batch.
+            held = [r[0] for r in keys.select(_prefix(F.col("prompt_key")).alias("p")).distinct().collect()]
+            rows = rows.where(F.col("key_prefix").isin(held))
+        return rows
+
+    def answered(self, keys: DataFrame | None = None) -> DataFrame | None:
+        """``prompt_key`` of the calls that have a response."""
+        rows = self.raw(keys)
+        return None if rows is None else rows.where(F.col("response").isNotNull()).select("prompt_key")
 
-    def replies_by_key(self, keys: "DataFrame | BatchKeys | None" = None) -> DataFrame:
-        """``(prompt_key, response, error)``: as :meth:`replies`, keyed by
-        :func:`prompt_key` so the prompt text is not shuffled again.
+    def replies_by_key(self, keys: DataFrame | None = None) -> DataFrame:
+        """``(prompt_key, response, error)``, one row per call: the earliest
+        response, or the earliest error where there is no response yet.
 
         ``keys`` (one ``prompt_key`` column) restricts the store to the
         prompts at hand before the per-prompt reduction, so a small batch
-        (a streaming micro-batch) does not reduce every reply ever stored.
-        The key list is broadcast only when a bounded check proves it small;
-        otherwise the restriction is a shuffled semi-join."""
-        raw = self.raw()
-        if raw is None:
+        (a streaming micro-batch) does not reduce every reply ever stored."""
+        rows = self.raw(keys)
+        if rows is None:
             return self.spark.createDataFrame([], "prompt_key binary, response string, error string")
-        raw = raw.withColumn("prompt_key", prompt_key("prompt")).drop("prompt")
+        rows = rows.select("prompt_key", "response", "error", "run_id", "written_at")
         if keys is not None:
-            if not isinstance(keys, BatchKeys):
-                keys = BatchKeys.of(keys.select("prompt_key"))
-            raw = raw.join(keys.frame, "prompt_key", "left_semi")
-        best = F.min(F.struct("written_at", "run_id", "response", "error")).alias("b")
-        return (raw.groupBy("prompt_key").agg(best)
+            rows = rows.join(keys.select("prompt_key"), "prompt_key", "left_semi")
+        best = F.min(F.struct(F.col("response").isNull(), "written_at", "run_id", "response", "error")).alias("b")
+        return (rows.groupBy("prompt_key").agg(best)
                 .select("prompt_key", F.col("b.response").alias("response"),
                         F.col("b.error").alias("error")))
 
     def append(self, df: DataFrame) -> None:
-        df.write.mode("append").parquet(self.path)
+        df.write.mode("append").partitionBy("key_prefix").parquet(self.path)
 
 
 def _caller(backend: Backend, system_prompt: str | None, pool_size: int, run_id: str):
@@ -125,14 +122,15 @@ def _caller(backend: Backend, system_prompt: str | None, pool_size: int, run_id:
         backend.open()
         try:
             for pdf in batches:
-                prompts = pdf["prompt"].tolist()
-                out = backend.call_batch(prompts, system_prompt, pool_size=pool_size)
+                out = backend.call_batch(pdf["prompt"].tolist(), system_prompt, pool_size=pool_size)
                 yield pd.DataFrame({
-                    "prompt": prompts,
+                    "prompt_key": pdf["prompt_key"],
+                    "prompt": pdf["prompt"],
                     "response": [r for r, _ in out],
                     "error": [e for _, e in out],
                     "run_id": run_id,
                     "written_at": int(time.time() * 1000),
+                    "key_prefix": [bytes(k).hex()[:1] for k in pdf["prompt_key"]],
                 })
         finally:
             backend.close()
@@ -141,83 +139,58 @@ def _caller(backend: Backend, system_prompt: str | None, pool_size: int, run_id:
 
 def call_missing(prompts: DataFrame, backend: Backend, system_prompt: str | None,
                  store: ReplyStore, max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-                 partitions: int | None = None,
-                 max_prompts_per_task: int | None = None,
-                 batch_keys: BatchKeys | None = None) -> None:
-    """Call the backend once per prompt of ``prompts`` not yet in ``store``
-    and append the replies to it (one write; nothing is re-called later).
+                 partitions: int | None = None, chunk_prompts: int = CHUNK_PROMPTS) -> None:
+    """Call the backend once per row of ``prompts`` (distinct ``prompt_key``,
+    ``prompt``) that ``store`` has no response for, and append the replies.
 
-    ``prompts`` must hold one distinct, non-null ``prompt`` per row.
-    """
+    The calls are committed to the store in chunks of about ``chunk_prompts``,
+    so a run that is lost repeats the calls of one chunk at most."""
     ship_package(prompts.sparkSession)
-    existing = store.raw()
-    if existing is None:
-        todo = prompts
-    else:
-        keyed = prompts.withColumn("_k", prompt_key("prompt"))
-        stored = existing.select(prompt_key("prompt").alias("_k"))
-        # A small batch's keys (size-checked) filter the store map-side first,
-        # so the anti-join does not shuffle the key of every stored reply.
-        batch_keys = batch_keys or BatchKeys.of(keyed.select(F.col("_k").alias("prompt_key")))
-        if batch_keys.small:
-            stored = stored.join(batch_keys.frame.withColumnRenamed("prompt_key", "_k"), "_k", "left_semi")
-        todo = keyed.join(stored, "_k", "left_anti").drop("_k")
+    answered = store.answered(prompts)
+    todo = prompts.select("prompt_key", "prompt")
+    if answered is not None:
+        todo = todo.join(answered, "prompt_key", "left_anti")
+    todo = materialize(todo, "prompts_to_call")
+    chunks = max(1, -(-todo.count() // chunk_prompts))
     k = max(1, min(partitions or max_concurrency, max_concurrency))
-    if max_prompts_per_task:
-        # Bound the work (and the calls lost to a failed task) per task. The
-        # cap then holds per task (pool); the cluster's free task slots bound
-        # how many of the k tasks run at once.
-        k = max(k, -(-todo.count() // max_prompts_per_task))
     pool = max(1, max_concurrency // k)
     run_id = uuid.uuid4().hex
-    calls = todo.repartition(k).mapInPandas(_caller(backend, system_prompt, pool, run_id),
-                                            REPLY_SCHEMA)
-    store.append(calls)
-
-
-def fetch_replies(prompts: DataFrame, backend: Backend, system_prompt: str | None,
-                  store: ReplyStore, max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-                  partitions: int | None = None,
-                  max_prompts_per_task: int | None = None) -> DataFrame:
-    """Call the backend once per prompt not yet in ``store``; return the
-    stored ``(prompt, response, error)`` table for all prompts.
-
-    ``prompts`` must hold one distinct, non-null ``prompt`` per row.
-    """
-    call_missing(prompts, backend, system_prompt, store, max_concurrency, partitions,
-                 max_prompts_per_task)
-    return store.replies()
+    for i in range(chunks):
+        part = todo if chunks == 1 else todo.where(F.pmod(F.xxhash64("prompt_key"), F.lit(chunks)) == i)
+        store.append(part.repartition(k).mapInPandas(_caller(backend, system_prompt, pool, run_id), REPLY_SCHEMA))
 
 
 def _attach(df: DataFrame, prompt_col: str, backend: Backend, system_prompt: str, stage: str,
-            store: ReplyStore | None, dedupe: bool, max_concurrency: int,
-            partitions: int | None, max_prompts_per_task: int | None = None,
-            split_rows: int = HOT_SPLIT_ROWS) -> DataFrame:
+            store: ReplyStore | None, dedupe: bool, row_key: list[str] | None, max_concurrency: int,
+            partitions: int | None, chunk_prompts: int, split_rows: int) -> DataFrame:
     spark = df.sparkSession
-    store = store or ReplyStore.default(spark, backend, stage)
-    live = df.select(F.col(prompt_col).alias("prompt")).where(F.col("prompt").isNotNull())
-    # One aggregate gives the distinct prompts (for the calls) and the rows
-    # per prompt (for splitting hot prompts in the join back); it is written
-    # once and read by both.
-    counts = materialize(live.groupBy("prompt").agg(F.count(F.lit(1)).alias("n")),
-                         f"prompt_counts_{stage}")
-    keys = BatchKeys.of(counts.select(prompt_key("prompt").alias("prompt_key")))
-    # Without dedupe every non-blank row is its own call; the store is still
-    # keyed by prompt, so identical prompts end up sharing one stored reply.
-    call_missing(counts.select("prompt") if dedupe else live, backend, system_prompt, store,
-                 max_concurrency, partitions, max_prompts_per_task, batch_keys=keys)
-    hot = hot_keys(counts.select(prompt_key("prompt").alias("_pkey"), "n"), "_pkey", split_rows=split_rows)
-    replies = store.replies_by_key(keys)
-    replies = replies.withColumnRenamed("prompt_key", "_pkey")
-    # Blank rows have no prompt, hence a NULL key: they keep NULL replies.
-    keyed = df.withColumn("_pkey", prompt_key(prompt_col)).drop(prompt_col)
-    return split_hot_join(keyed, replies, "_pkey", hot)
+    store = store or ReplyStore.default(spark, backend, stage, system_prompt)
+    if dedupe:
+        key = prompt_key(prompt_col)
+    else:
+        # One call per row: the row's key makes its call its own.
+        row_key = row_key or [c for c in ("source_file", "row_id") if c in df.columns]
+        if not row_key:
+            raise ValueError("one call per row needs row_key: columns that name a row")
+        named = F.to_json(F.struct(*[F.col(f"`{c}`") for c in row_key]), {"ignoreNullFields": "false"})
+        key = prompt_key(F.concat(F.col(prompt_col), F.lit("\n"), named))
+    keyed = df.withColumn("_pkey", key)
+    # One aggregate gives the distinct calls and the rows per call (for
+    # splitting hot prompts in the join back); it is written once and read by both.
+    counts = materialize(keyed.where(F.col("_pkey").isNotNull())
+                         .groupBy(F.col("_pkey").alias("prompt_key"), F.col(prompt_col).alias("prompt"))
+                         .agg(F.count(F.lit(1)).alias("n")), f"prompt_counts_{stage}")
+    call_missing(counts, backend, system_prompt, store, max_concurrency, partitions, chunk_prompts)
+    replies = store.replies_by_key(counts).withColumnRenamed("prompt_key", "_pkey")
+    hot = hot_keys(counts.select(F.col("prompt_key").alias("_pkey"), "n"), "_pkey", split_rows=split_rows)
+    # Rows without a prompt have a NULL key: they keep NULL replies.
+    return split_hot_join(keyed.drop(prompt_col), replies, "_pkey", hot)
 
 
 def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedupe: bool = True,
                   max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-                  partitions: int | None = None, max_prompts_per_task: int | None = None,
-                  split_rows: int = HOT_SPLIT_ROWS) -> DataFrame:
+                  partitions: int | None = None, chunk_prompts: int = CHUNK_PROMPTS,
+                  split_rows: int = HOT_SPLIT_ROWS, row_key: list[str] | None = None) -> DataFrame:
     """Add ``cleaned_remark`` and ``notes_doubts``. Blank remarks give
     ('', '') without a call; row count and all input columns are kept."""
     if "remarks" not in df.columns:
@@ -228,7 +201,7 @@ def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedup
     cols = [c for c in df.columns if c not in ("cleaned_remark", "notes_doubts")]
     with_prompt = df.withColumn("_prompt", remark_prompt("remarks"))
     joined = _attach(with_prompt, "_prompt", backend, REMARK_SYSTEM_PROMPT, "remark", store,
-                     dedupe, max_concurrency, partitions, max_prompts_per_task, split_rows)
+                     dedupe, row_key, max_concurrency, partitions, chunk_prompts, split_rows)
     parsed = with_parsed_remark(joined.drop(*[c for c in ("cleaned_remark", "notes_doubts")
                                               if c in joined.columns]), "response", "error")
     blank = F.col("_pkey").isNull()
@@ -239,11 +212,11 @@ def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedup
 
 def categorise(df: DataFrame, backend, store: ReplyStore | None = None, dedupe: bool = True,
                max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-               partitions: int | None = None, max_prompts_per_task: int | None = None,
-               split_rows: int = HOT_SPLIT_ROWS) -> DataFrame:
+               partitions: int | None = None, chunk_prompts: int = CHUNK_PROMPTS,
+               split_rows: int = HOT_SPLIT_ROWS, row_key: list[str] | None = None) -> DataFrame:
     """Add ``category``, ``subcategory``, ``confidence``. Reads the cleaned
-    remark when that column exists, else the raw remark; blank text gives
-    ('Unclear', '', 'Low') without a call."""
+    remark when that column exists, else the raw remark; blank text, or an
+    amount that is not a number, gives ('Unclear', '', 'Low') without a call."""
     desc = description_column(df.columns)
     if isinstance(backend, NativeBackend):
         return backend.categorise(df)
@@ -251,9 +224,12 @@ def categorise(df: DataFrame, backend, store: ReplyStore | None = None, dedupe:
     cols = [c for c in df.columns if c not in ("category", "subcategory", "confidence")]
     w = "withdrawal" if "withdrawal" in df.columns else F.lit(None)
     d = "deposit" if "deposit" in df.columns else F.lit(None)
-    with_prompt = df.withColumn("_prompt", category_prompt(desc, w, d))
+    prompt = category_prompt(desc, w, d)
+    if AMOUNT_UNPARSEABLE in df.columns:
+        prompt = F.when(~F.coalesce(AMOUNT_UNPARSEABLE, F.lit(False)), prompt)  # Unclear without a call
+    with_prompt = df.withColumn("_prompt", prompt)
     joined = _attach(with_prompt, "_prompt", backend, CATEGORY_SYSTEM_PROMPT, "category", store,
-                     dedupe, max_concurrency, partitions, max_prompts_per_task, split_rows)
+                     dedupe, row_key, max_concurrency, partitions, chunk_prompts, split_rows)
     parsed = with_parsed_category(joined.drop(*[c for c in ("category", "subcategory", "confidence")
                                                 if c in joined.columns]), "response")
     blank = F.col("_pkey").isNull()

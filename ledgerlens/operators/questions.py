@@ -65,8 +65,9 @@ def savings_candidates(df: DataFrame, term: str, k: int = 3, party_col: str = "p
 
 
 def monthly_trend(df: DataFrame) -> DataFrame:
-    """Withdrawals per (month, category) with the previous month's amount of
-    the same category and the change. Rows whose date does not parse have no
+    """Withdrawals per (month, category) with the amount of the calendar month
+    before in the same category, and the change (both NULL where the category
+    has no transaction in that month). Rows whose date does not parse have no
     month and are left out.
 
     The window runs over the aggregated table (one row per category-month),
@@ -74,11 +75,12 @@ def monthly_trend(df: DataFrame) -> DataFrame:
     """
     d = with_txn_date(df) if "txn_date" not in df.columns else df
     monthly = (d.where(F.col("txn_date").isNotNull() & F.col("category").isNotNull())
-               .groupBy(F.date_format("txn_date", "yyyy-MM").alias("month"), "category")
+               .groupBy(F.trunc("txn_date", "month").alias("_month"), "category")
                .agg(F.coalesce(F.sum("withdrawal"), _zero()).alias("spent"),
                     F.count(F.lit(1)).alias("transactions")))
-    w = Window.partitionBy("category").orderBy("month")
-    prev = F.lag("spent").over(w)
-    return (monthly.withColumn("prev_spent", prev)
-            .withColumn("change", F.col("spent") - F.col("prev_spent"))
+    w = Window.partitionBy("category").orderBy("_month")
+    before = F.lag("_month").over(w) == F.add_months("_month", -1)
+    return (monthly.withColumn("prev_spent", F.when(before, F.lag("spent").over(w)))
+            .select(F.date_format("_month", "yyyy-MM").alias("month"), "category", "spent", "transactions", "prev_spent",
+                    (F.col("spent") - F.col("prev_spent")).alias("change"))
             .orderBy("category", "month"))

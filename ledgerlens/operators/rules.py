@@ -7,10 +7,10 @@ find a purpose part, then prefer purpose > party > app > reference number.
 Categorising: whole-word lexicon match on the description, direction rules
 for credits, a small-amount rule for named payees, else Unclear.
 
-Small fixed lexicons are compiled into CASE chains (whole-stage codegen, no
-join). A user lexicon above ``INLINE_LEXICON_LIMIT`` entries goes through a
-join on n-grams instead (:func:`categorise_with_lexicon_table`): broadcast
-when its size is proven small, a shuffle join otherwise.
+Small fixed lexicons are looked up inside the expression (no join). A user
+lexicon above ``INLINE_LEXICON_LIMIT`` entries goes through a join on n-grams
+of the distinct descriptions (:func:`categorise_with_lexicon_table`), with the
+same answers.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import as_text, is_blank
 from ledgerlens.operators.backends import NativeBackend
-from ledgerlens.schema import MONEY, description_column
+from ledgerlens.schema import AMOUNT_UNPARSEABLE, MONEY, description_column
 
 # ---------------------------------------------------------------- fixed values
 # Payment channels that open a structured remark.
@@ -266,15 +266,23 @@ def normalized_words(text: Column) -> Column:
 
 
 def _lexicon_index(norm: Column, wd: Column, dp: Column, lexicon) -> Column:
-    expr = None
-    for i, (kw, _cat, _sub, _kind, direction) in enumerate(lexicon):
-        cond = F.contains(norm, F.lit(f" {kw} "))
-        if direction == "credit":
-            cond = cond & (dp > 0)
-        elif direction == "debit":
-            cond = cond & (wd > 0)
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
+    """Position of the first entry that fits, as one lookup per n-gram of the text in the list of
+    keywords (lists by direction, so each row tries only what its amounts allow). The keywords stand in
+    literals, not in a chain of conditions, so the expression stays small wherever it is inlined."""
+    words = max((len(e[0].split(" ")) for e in lexicon), default=1)
+    grams = word_ngrams(F.trim(norm), words)
+    best = None
+    for direction, cond in (("any", None), ("credit", dp > 0), ("debit", wd > 0)):
+        own = [(kw, i) for i, (kw, _c, _s, _k, d) in enumerate(lexicon) if d == direction]
+        if not own:
+            continue
+        keys = F.split(F.lit("\n".join(kw for kw, _ in own)), "\n")
+        places = F.split(F.lit(",".join(str(i) for _, i in own)), ",").cast("array<int>")
+        at = F.array_min(F.filter(F.transform(grams, lambda g: F.get(places, (F.array_position(keys, g) - 1).cast("int"))),
+                                  lambda i: i.isNotNull()))
+        at = at if cond is None else F.when(cond, at)
+        best = at if best is None else F.least(best, at)
+    return best if best is not None else F.lit(None).cast("int")
 
 
 def canonical_category(c) -> Column:
@@ -295,11 +303,11 @@ def rule_categories(df: DataFrame, description: str | None = None, lexicon=None,
     and ``name_ok`` (category is 1-3 words) from the description and amounts.
 
     The small-amount rule needs a named payee: it fires only when ``party``
-    is a column of ``df`` and holds a name."""
+    is a column of ``df`` and holds a name. A lexicon too long to compile into
+    the expression goes through :func:`categorise_with_lexicon_table`."""
     lexicon = LEXICON if lexicon is None else list(lexicon)
     if len(lexicon) > INLINE_LEXICON_LIMIT:
-        raise ValueError(f"lexicon has {len(lexicon)} entries (> {INLINE_LEXICON_LIMIT}); "
-                         "use categorise_with_lexicon_table")
+        return categorise_with_lexicon_table(df, lexicon_frame(df.sparkSession, lexicon), description, small_amount, party)
     desc = description or description_column(df.columns)
     wd, dp = _amount(df, "withdrawal"), _amount(df, "deposit")
     d = df.withColumn("_lex_norm", normalized_words(F.col(desc)))
@@ -309,28 +317,29 @@ def rule_categories(df: DataFrame, description: str | None = None, lexicon=None,
 
 
 def _finish(df: DataFrame, desc: str, wd: Column, lexicon, small_amount, named: Column) -> DataFrame:
-    pos = F.col("_lex") + 1
-    cats = F.array(*[F.lit(e[1]) for e in lexicon])
-    subs = F.array(*[F.lit(e[2]) for e in lexicon])
-    confs = F.array(*[F.lit(CONFIDENCE_BY_KIND[e[3]]) for e in lexicon])
-    kws = F.array(*[F.lit(e[0]) for e in lexicon])
-    hit = F.col("_lex").isNotNull()
+    """The four result columns from the entry's position, bound once through a one-element ``transform``."""
+    def lists(values):
+        return F.split(F.lit("\n".join(values)), "\n")
+    cats, subs = lists([e[1] for e in lexicon]), lists([e[2] for e in lexicon])
+    confs, kws = lists([CONFIDENCE_BY_KIND[e[3]] for e in lexicon]), lists([e[0] for e in lexicon])
     blank = is_blank(F.col(desc))
     small = ~blank & named & (wd > 0) & (wd < F.lit(small_amount))
-    category = (F.when(hit, F.try_element_at(cats, pos))
-                .when(small, F.lit("Groceries")).otherwise(F.lit("Unclear")))
-    out = df.withColumns({
-        "category": category,
-        "subcategory": F.when(hit, F.try_element_at(subs, pos)).otherwise(F.lit("")),
-        "confidence": F.when(hit, F.try_element_at(confs, pos)).otherwise(F.lit("Low")),
-        "category_rule": (F.when(hit, F.concat(F.lit("lexicon:"), F.try_element_at(kws, pos)))
-                          .when(small, F.lit("small_amount")).otherwise(F.lit("none"))),
-    })
+
+    def entry(i: Column) -> Column:
+        hit = i.isNotNull()
+        return F.struct(
+            F.when(hit, F.get(cats, i)).when(small, F.lit("Groceries")).otherwise(F.lit("Unclear")).alias("category"),
+            F.when(hit, F.get(subs, i)).otherwise(F.lit("")).alias("subcategory"),
+            F.when(hit, F.get(confs, i)).otherwise(F.lit("Low")).alias("confidence"),
+            F.when(hit, F.concat(F.lit("lexicon:"), F.get(kws, i))).when(small, F.lit("small_amount"))
+             .otherwise(F.lit("none")).alias("category_rule"))
+    out = df.withColumn("_entry", F.transform(F.array("_lex"), entry)[0])
+    out = out.withColumns({c: F.col(f"_entry.{c}") for c in ("category", "subcategory", "confidence", "category_rule")})
     out = out.withColumn("name_ok", F.size(F.split(F.col("category"), " ")) <= 3)
-    return out.drop("_lex")
+    return out.drop("_lex", "_entry")
 
 
-def word_ngrams(norm: Column, max_words: int = 3) -> Column:
+def word_ngrams(norm: Column, max_words: int) -> Column:
     """All word n-grams (1 <= n <= ``max_words``) of a normalised text (words
     of ``[a-z0-9&]`` separated by single spaces), n-grams joined by one space.
 
@@ -341,47 +350,38 @@ def word_ngrams(norm: Column, max_words: int = 3) -> Column:
                       for n in range(1, max_words + 1)])
 
 
-def categorise_with_lexicon_table(df: DataFrame, lexicon_df: DataFrame, row_key: list[str],
-                                  description: str | None = None,
-                                  small_amount=SMALL_AMOUNT, max_words: int = 3,
-                                  party: str = "party", broadcast: bool | None = None) -> DataFrame:
+def categorise_with_lexicon_table(df: DataFrame, lexicon_df: DataFrame, description: str | None = None,
+                                  small_amount=SMALL_AMOUNT, party: str = "party") -> DataFrame:
     """Lexicon-join path for lexicons too large to inline.
 
     ``lexicon_df``: ``(keyword, category, subcategory, kind, direction,
-    priority)``. Each description is cut into word n-grams (n <= max_words)
-    and joined to the lexicon on the n-gram, reduced to the best priority per
-    row, and joined back on ``row_key``.
-
-    The lexicon is broadcast only when a bounded check proves it small
-    (:func:`ledgerlens.session.fits_broadcast`; ``broadcast`` forces the
-    choice); beyond the bound the n-grams and the lexicon meet in a shuffled
-    hash join on the n-gram (lexicon as the build side), where AQE splits a
-    hot n-gram's partition.
+    priority)``. Each distinct description (normalised, with the directions its
+    amounts allow) is cut into word n-grams as long as the lexicon's longest
+    keyword, joined to the lexicon on the n-gram and reduced to the best
+    priority; rows then take their description's entry by its digest. No row key
+    is needed, and a description repeated in a third of all rows is matched once.
+
+    Both joins shuffle; the planner broadcasts a side that it knows to be
+    small, and adaptive execution splits a hot description in the join back.
     """
-    from ledgerlens.session import broadcast_if_small
-    from pyspark.sql.functions import broadcast as bc
+    from ledgerlens.session import materialize
     desc = description or description_column(df.columns)
     wd, dp = _amount(df, "withdrawal"), _amount(df, "deposit")
     lex = lexicon_df.select("keyword", "category", "subcategory", "kind", "direction", "priority")
-    if broadcast is None:
-        lex, broadcast = broadcast_if_small(lex)
-    elif broadcast:
-        lex = bc(lex)
-    if not broadcast:
-        # Both sides shuffle on the n-gram; the lexicon's share of each
-        # partition is the hash-table side, the n-grams stream past it. The
-        # hint also keeps the planner from broadcasting the exploded
-        # statement side on an underestimated size.
-        lex = lex.hint("shuffle_hash")
-    norm = F.trim(F.regexp_replace(F.lower(as_text(F.col(desc))), "[^a-z0-9&]+", " "))
-    base = (df.select(*row_key, wd.alias("_wd"), dp.alias("_dp"), norm.alias("_norm"))
-            .select(*row_key, "_wd", "_dp", F.explode(word_ngrams(F.col("_norm"), max_words)).alias("keyword")))
-    hits = (base.join(lex, "keyword")
-            .where((F.col("direction") == "any") | ((F.col("direction") == "credit") & (F.col("_dp") > 0))
-                   | ((F.col("direction") == "debit") & (F.col("_wd") > 0)))
-            .groupBy(*row_key).agg(F.min(F.struct("priority", "keyword", "category", "subcategory",
-                                                  "kind")).alias("_best")))
-    out = df.join(hits, row_key, "left")
+    # One number: how many words the longest keyword has.
+    longest = lex.agg(F.coalesce(F.max(F.size(F.split("keyword", " "))), F.lit(1))).first()[0]
+    norm = F.trim(normalized_words(F.col(desc)))
+    rows = df.withColumns({"_norm": norm, "_in": dp > 0, "_out": wd > 0})
+    rows = rows.withColumn("_desc", F.unhex(F.sha2(F.to_json(F.struct("_norm", "_in", "_out")).cast("binary"), 256)))
+    grams = (rows.select("_desc", "_norm", "_in", "_out").distinct()
+             .select("_desc", "_in", "_out", F.explode(word_ngrams(F.col("_norm"), longest)).alias("keyword")))
+    hits = (grams.join(lex, "keyword")
+            .where((F.col("direction") == "any") | ((F.col("direction") == "credit") & F.col("_in"))
+                   | ((F.col("direction") == "debit") & F.col("_out")))
+            .groupBy("_desc").agg(F.min(F.struct("priority", "keyword", "category", "subcategory",
+                                                 "kind")).alias("_best")))
+    # Stored, so the join back shuffles both sides and a hot description can be split.
+    out = rows.drop("_norm", "_in", "_out").join(materialize(hits, "lexicon_hits"), "_desc", "left").drop("_desc")
     hit = F.col("_best").isNotNull()
     blank = is_blank(F.col(desc))
     named = F.col(party).isNotNull() if party in df.columns else F.lit(False)
@@ -423,4 +423,8 @@ class RuleBackend(NativeBackend):
     def categorise(self, df: DataFrame) -> DataFrame:
         cols = [c for c in df.columns if c not in ("category", "subcategory", "confidence")]
         r = rule_categories(df.select(*cols), lexicon=self.lexicon, small_amount=self.small_amount)
+        if AMOUNT_UNPARSEABLE in cols:
+            bad = F.coalesce(AMOUNT_UNPARSEABLE, F.lit(False))
+            r = r.withColumns({c: F.when(bad, F.lit(v)).otherwise(F.col(c)) for c, v in
+                               (("category", "Unclear"), ("subcategory", ""), ("confidence", "Low"))})
         return r.select(*cols, "category", "subcategory", "confidence")

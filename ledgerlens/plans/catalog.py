@@ -174,11 +174,11 @@ def q_rule_categories(spark, sf_dir):
 
 def q_rule_categories_join(spark, sf_dir):
     """Same answer as ``rule_categories`` through the lexicon-join path used
-    for lexicons too large to inline (n-gram explode + shuffle join +
-    best-priority aggregate + join back on the row key)."""
+    for lexicons too large to inline (distinct descriptions, n-gram explode,
+    join, best-priority aggregate, join back on the description's digest)."""
     read = rules.read_remark(fixtures.statement(spark, sf_dir))
     read, _ = materialize_at(read, "remarks_read")
-    r = rules.categorise_with_lexicon_table(read, rules.lexicon_frame(spark), ["s_no"],
+    r = rules.categorise_with_lexicon_table(read, rules.lexicon_frame(spark),
                                             description="cleaned_remark")
     return r.select("s_no", "cleaned_remark", "category", "subcategory", "confidence",
                     "category_rule", "name_ok")

@@ -166,7 +166,8 @@ def date_parse(x: str) -> str:
          f"THEN CAST({grp(1)} AS INT) + 2000 WHEN ({shape}) IN ({two_s}) THEN CAST({grp(1)} AS INT) + 1900 "
          f"ELSE CAST({grp(1)} AS INT) END")
     mt = grp(2)
-    months = " ".join(f"WHEN {lit(m)} THEN {i}" for i, m in enumerate(dates.MONTHS, start=1))
+    months = " ".join(f"WHEN {lit(m)} THEN {i}" for names in (dates.MONTHS, dates.MONTH_NAMES) for i, m in enumerate(names, start=1)
+                      if names is dates.MONTHS or m != "may")
     m = f"CASE WHEN regexp_matches({mt}, '^\\d+$') THEN CAST({mt} AS INT) ELSE (CASE lower({mt}) {months} END) END"
     d = f"CAST({grp(3)} AS INT)"
     return f"try(make_date({y}, {m}, {d}))"
@@ -485,9 +486,10 @@ def q_monthly_trend() -> str:
     ctes = ctes + [f"m AS (SELECT strftime(txn_date, '%Y-%m') AS month, category, coalesce(sum(withdrawal), 0) AS spent, "
                    f"count(*) AS transactions FROM {rel} WHERE txn_date IS NOT NULL AND category IS NOT NULL "
                    "GROUP BY 1, 2)"]
-    lag = "lag(spent) OVER (PARTITION BY category ORDER BY month)"
-    return with_ctes(ctes, f"SELECT month, category, {dbl('spent')} AS spent, transactions, {dbl(lag)} AS prev_spent, "
-                           f"{dbl(f'spent - {lag}')} AS change FROM m ORDER BY category, month")
+    before = "strftime(CAST(m.month || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m')"
+    return with_ctes(ctes, f"SELECT m.month, m.category, {dbl('m.spent')} AS spent, m.transactions, {dbl('b.spent')} AS prev_spent, "
+                           f"{dbl('m.spent - b.spent')} AS change FROM m LEFT JOIN m b ON b.category = m.category "
+                           f"AND b.month = {before} ORDER BY m.category, m.month")
 
 
 ORACLE = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}

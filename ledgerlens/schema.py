@@ -14,7 +14,6 @@ REQUIRED_COLUMNS = [
     "Deposit Amount(INR)",
     "Balance(INR)",
 ]
-RESULT_COLUMNS = ["Cleaned Remark", "Notes / Doubts", "Category", "Subcategory", "Confidence"]
 
 # Display name -> engine (snake_case) name.
 ENGINE_NAMES = {
@@ -42,8 +41,10 @@ ENGINE_TYPES = {
     "balance": MONEY,
 }
 STATEMENT_DDL = ", ".join(f"{k} {v}" for k, v in ENGINE_TYPES.items())
-# Statement columns in engine names, in display order.
-STATEMENT_COLUMNS = list(ENGINE_TYPES)
+# Columns that ingest adds: the row's identity within its file, its date, and whether an amount is
+# text that is no number. They are not part of the exported statement.
+ROW_ID, TXN_DATE, AMOUNT_UNPARSEABLE = "row_id", "txn_date", "amount_unparseable"
+INTERNAL_COLUMNS = [ROW_ID, TXN_DATE, AMOUNT_UNPARSEABLE]
 # How many extra-column names the pass-through notice spells out.
 EXTRA_NOTICE_NAMES = 5
 
@@ -78,7 +79,7 @@ def extras_notice(extras: list[str]) -> str | None:
         return None
     names = ", ".join(extras[:EXTRA_NOTICE_NAMES])
     more = "..." if len(extras) > EXTRA_NOTICE_NAMES else ""
-    return f"Note: Found {len(extras)} additional column(s) that will be preserved: {names}{more}"
+    return f"Keeping {len(extras)} column(s) beyond the statement's own: {names}{more}"
 
 
 def find_col(df_or_cols, name: str, pick: str = "last") -> str | None:

@@ -24,7 +24,8 @@ SEMANTIC_CONF = {
 
 def build_session(master: str | None = None, app: str = "ledgerlens",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
-    """Session for tests, bench and local runs (UI off, AQE on, UTC)."""
+    """Session for tests, bench and local runs (UI off, AQE on, UTC). Under
+    spark-submit the cluster's settings stand; only the parsers' own are set."""
     b = SparkSession.builder.appName(app)
     # Under spark-submit (the JVM started this Python process) the cluster's
     # master stands; otherwise default to a local session for tests and runs.
@@ -32,16 +33,17 @@ def build_session(master: str | None = None, app: str = "ledgerlens",
     master = master or os.environ.get("LEDGERLENS_MASTER") or (None if launched_by_submit else "local[8]")
     if master:
         b = b.master(master)
-    b = (b
-         .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.adaptive.enabled", "true")
-         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.speculation", "false")
-         .config("spark.driver.memory", "8g"))
+    if not launched_by_submit:  # settings in code would override the cluster's
+        b = (b
+             .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+             .config("spark.sql.adaptive.skewJoin.enabled", "true")
+             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+             .config("spark.speculation", "false")
+             .config("spark.driver.memory", "8g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**SEMANTIC_CONF, **(extra or {})}.items():
@@ -185,36 +187,3 @@ def spread(df):
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
-
-
-# Default bounds for broadcasting a side table whose size is not known in
-# advance (a user lexicon, a lookup table): at most this many rows and this
-# many bytes of string payload.
-BROADCAST_MAX_ROWS = 200_000
-BROADCAST_MAX_BYTES = 32 << 20
-
-
-def fits_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS,
-                   max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """Check that ``df`` is small enough to broadcast: at most ``max_rows``
-    rows and ``max_bytes`` of column payload (strings by their UTF-8 length,
-    other columns by 8 bytes). The check reads at most ``max_rows + 1`` rows,
-    so a huge table is rejected without being scanned in full."""
-    from pyspark.sql import functions as F
-    width = [F.coalesce(F.octet_length(F.col(f"`{n}`")), F.lit(0)) if t == "string" else F.lit(8)
-             for n, t in df.dtypes]
-    row_bytes = sum(width[1:], width[0])
-    got = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                     F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()
-    return got["n"] <= max_rows and got["b"] <= max_bytes
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS,
-                       max_bytes: int = BROADCAST_MAX_BYTES):
-    """``(df_or_broadcast_hint, broadcasted)``: the broadcast hint only when
-    :func:`fits_broadcast` proves the bound; otherwise ``df`` unchanged, so
-    the join falls back to a shuffle join on its keys."""
-    from pyspark.sql import functions as F
-    if fits_broadcast(df, max_rows, max_bytes):
-        return F.broadcast(df), True
-    return df, False

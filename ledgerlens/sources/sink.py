@@ -9,11 +9,9 @@ strings), so they are set explicitly. Money is DECIMAL, so no float text
 
 from __future__ import annotations
 
-from pathlib import PurePath
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ledgerlens.schema import INTERNAL_COLUMNS
 from ledgerlens.sources.statement import statement_to_display
 
 CSV_OPTIONS = {
@@ -29,25 +27,32 @@ CSV_OPTIONS = {
 
 
 def default_output_path(input_path: str) -> str:
-    """Input path with its suffix replaced by ``.csv``."""
-    return str(PurePath(input_path).with_suffix(".csv"))
+    """Input path with its suffix replaced by ``.csv``; a URI keeps its scheme."""
+    folder, slash, name = input_path.rstrip("/").rpartition("/")
+    stem, dot, _ = name.rpartition(".")
+    return f"{folder}{slash}{stem if dot and stem else name}.csv"
 
 
 def write_csv(df: DataFrame, path: str, display_names: bool = True,
               partition_by_source: bool = False, sort_keys: list[str] | None = None) -> None:
-    """Write the enriched statement as CSV (overwrite).
+    """Write the enriched statement as CSV (overwrite), without the columns
+    that ingest added for its own use.
 
     Output is one part file per task; ``partition_by_source`` writes one
-    folder per input statement instead. Rows are ordered only when
-    ``sort_keys`` is given (a global sort is a range shuffle).
+    folder per input statement instead, named by its full path, its rows
+    brought together first. Rows are ordered only when ``sort_keys`` is given
+    (a global sort is a range shuffle).
     """
-    out = df
+    out = df.drop(*INTERNAL_COLUMNS) if display_names else df
+    if partition_by_source and "source_file" in out.columns:
+        out = out.repartition("source_file")
+        if sort_keys:
+            out = out.sortWithinPartitions("source_file", *sort_keys)
+        out = statement_to_display(out) if display_names else out
+        out.write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("source_file").csv(path)
+        return
     if sort_keys:
         out = out.orderBy(*sort_keys)
     if display_names:
         out = statement_to_display(out)
-    w = out.write.mode("overwrite").options(**CSV_OPTIONS)
-    if partition_by_source and "source_file" in out.columns:
-        out = out.withColumn("source_file", F.regexp_extract("source_file", r"([^/]+)$", 1))
-        w = out.write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("source_file")
-    w.csv(path)
+    out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)

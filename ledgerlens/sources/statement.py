@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.session import spread
-from ledgerlens.schema import (DISPLAY_NAMES, ENGINE_NAMES, ENGINE_TYPES, MONEY,
-                               MissingColumnsError, REQUIRED_COLUMNS, extra_columns,
+from ledgerlens.functions.dates import with_statement_date
+from ledgerlens.functions.text import is_blank
+from ledgerlens.schema import (AMOUNT_UNPARSEABLE, DISPLAY_NAMES, ENGINE_NAMES, ENGINE_TYPES, MONEY,
+                               MissingColumnsError, REQUIRED_COLUMNS, ROW_ID, TXN_DATE, extra_columns,
                                extras_notice, missing_required, quote)
 
 log = logging.getLogger(__name__)
@@ -33,13 +35,21 @@ def _numeric_or_text(c: Column, dtype: str, target: str) -> Column:
     return c.try_cast(target)
 
 
+def _not_a_number(c: Column, dtype: str, value: Column) -> Column:
+    """Text that is there but names no amount."""
+    return (~is_blank(c) & value.isNull()) if dtype == "string" else F.lit(False)
+
+
 def normalize_statement(df: DataFrame, keep_extras: bool = True,
                         carry: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """Display-named statement -> engine-named, typed statement.
 
     Returns ``(statement, extras)``. Raises :class:`MissingColumnsError`
-    listing every absent required column in declared order. Extra columns
-    pass through as strings under their own names.
+    listing every absent required column in declared order. Result columns of
+    an earlier run take their engine names, so enriching again overwrites
+    them; other extra columns pass through as strings under their own names.
+    ``amount_unparseable`` marks rows whose withdrawal or deposit is text that
+    names no amount.
     """
     cols = df.columns
     missing = missing_required(cols)
@@ -50,7 +60,7 @@ def normalize_statement(df: DataFrame, keep_extras: bool = True,
     if note:
         log.info(note)
     types = dict(df.dtypes)
-    out = []
+    out, bad = [], F.lit(False)
     for disp in REQUIRED_COLUMNS:
         eng = ENGINE_NAMES[disp]
         c = F.col(quote(disp))
@@ -58,7 +68,10 @@ def normalize_statement(df: DataFrame, keep_extras: bool = True,
         if eng == "s_no":
             c = _numeric_or_text(c, t, "bigint")
         elif eng in ("withdrawal", "deposit", "balance"):
-            c = _numeric_or_text(c, t, MONEY)
+            value = _numeric_or_text(c, t, MONEY)
+            if eng != "balance":
+                bad = bad | _not_a_number(c, t, value)
+            c = value
         elif eng == "txn_date_raw":
             c = (F.date_format(c, "yyyy-MM-dd") if t in ("date",)
                  else F.date_format(c, "yyyy-MM-dd HH:mm:ss") if t.startswith("timestamp")
@@ -67,9 +80,9 @@ def normalize_statement(df: DataFrame, keep_extras: bool = True,
             c = c.cast("string")
         out.append(c.alias(eng))
     if keep_extras:
-        out += [F.col(quote(e)).cast("string").alias(e) for e in extras]
+        out += [F.col(quote(e)).cast("string").alias(ENGINE_NAMES.get(e, e)) for e in extras]
     out += [F.col(quote(c)) for c in carry]
-    return df.select(*out), extras
+    return df.select(*out, bad.alias(AMOUNT_UNPARSEABLE)), extras
 
 
 def statement_to_display(df: DataFrame) -> DataFrame:
@@ -87,10 +100,17 @@ def _check_paths(spark: SparkSession, paths: list[str]) -> None:
             raise FileNotFoundError(f"File not found: {p}")
 
 
+# How the CSV sink writes, which is what its reader expects.
+CSV_READ_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "emptyValue": "",
+                    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def read_statements(spark: SparkSession, paths, fmt: str = "parquet",
                     options: dict | None = None) -> DataFrame:
     """Read statement files (``parquet``, ``csv`` or ``xlsx``) into one
-    validated, engine-named DataFrame with a ``source_file`` column.
+    validated, engine-named DataFrame with ``source_file``, ``row_id`` (which
+    names the row within its file; numbered from 1 in workbooks and parquet
+    files, unique but with gaps in CSV) and ``txn_date``.
 
     ``xlsx`` uses the workbook data source (one partition per workbook);
     other suffixes are rejected for it, as for the single-file tool.
@@ -100,19 +120,17 @@ def read_statements(spark: SparkSession, paths, fmt: str = "parquet",
     opts = dict(options or {})
     if fmt == "xlsx":
         from ledgerlens.sources.workbook import read_workbooks
-        raw = read_workbooks(spark, paths).drop("_row_id")
-        src = F.col("_source_file")
+        raw = read_workbooks(spark, paths)
+        src, row = F.col("_source_file"), F.col("_row_id")
     else:
-        reader = spark.read.options(**opts)
         if fmt == "csv":
-            reader = reader.option("header", "true")
-        raw = reader.format(fmt).load(paths)
+            opts = {**CSV_READ_OPTIONS, **opts}
+        raw = spark.read.options(**opts).format(fmt).load(paths)
         src = F.col("_metadata.file_path")
-    raw = raw.withColumn("_src", src)
-    if "_source_file" in raw.columns:
-        raw = raw.drop("_source_file")
-    stmt, _ = normalize_statement(raw, keep_extras=True, carry=("_src",))
-    return stmt.withColumnRenamed("_src", "source_file")
+        row = F.col("_metadata.row_index") + 1 if fmt == "parquet" else F.monotonically_increasing_id() + 1
+    raw = raw.withColumns({"_src": src, "_row": row}).drop("_source_file", "_row_id")
+    stmt, _ = normalize_statement(raw, keep_extras=True, carry=("_src", "_row"))
+    return with_statement_date(stmt.withColumnsRenamed({"_src": "source_file", "_row": ROW_ID}), out=TXN_DATE)
 
 
 def derive_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +170,4 @@ def derive_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def derive_display_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived statement under the bank's display names (as exported)."""
-    return statement_to_display(derive_statement(spark, sf_dir))
-
-
 assert set(ENGINE_TYPES) <= set(DISPLAY_NAMES)

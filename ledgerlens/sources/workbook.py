@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import itertools
 import re
 import zipfile
 import xml.etree.ElementTree as ET
@@ -32,6 +33,9 @@ NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
 # Built-in number formats that display dates/times.
 BUILTIN_DATE_FORMATS = set(range(14, 23)) | {45, 46, 47}
+# Cell texts that count as missing, as the single-file reader's defaults do.
+MISSING_TEXTS = {"", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                 "NA", "NULL", "NaN", "None", "n/a", "nan", "null"}
 SUFFIX_GLOB = "*.[xX][lL][sS][xX]"
 _CELL_REF = re.compile(r"([A-Z]+)(\d+)")
 
@@ -92,45 +96,43 @@ def _serial_to_text(v: float, date1904: bool) -> str:
     return t.strftime("%Y-%m-%d") if t.time() == dt.time(0) else t.strftime("%Y-%m-%d %H:%M:%S")
 
 
-def read_sheet(data: bytes, header_only: bool = False) -> tuple[list[str], list[list]]:
-    """First sheet of one workbook -> (header names, rows of text cells)."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        strings = _shared_strings(z)
-        dates = _date_styles(z)
-        d1904 = _date1904(z)
-        sheet = z.read(_first_sheet_path(z))
-    rows: dict[int, dict[int, str | None]] = {}
-    for row in ET.fromstring(sheet).iter(f"{{{NS['m']}}}row"):
-        rnum = int(row.get("r")) if row.get("r") else (max(rows) + 1 if rows else 1)
-        cells = {}
-        for pos, c in enumerate(row.findall("m:c", NS)):
-            ref = c.get("r")
-            ci = _col_index(_CELL_REF.match(ref).group(1)) if ref else pos
-            t = c.get("t", "n")
-            v = c.find("m:v", NS)
-            val = None
-            if t == "s" and v is not None:
-                val = strings[int(v.text)]
-            elif t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{NS['m']}}}t"))
-            elif t == "b" and v is not None:
-                val = "True" if v.text == "1" else "False"
-            elif t in ("str", "n", "d") and v is not None and v.text is not None:
-                val = v.text
-                if t == "n" and int(c.get("s", "0")) in dates:
-                    val = _serial_to_text(float(v.text), d1904)
-            cells[ci] = val
-        rows[rnum] = cells
-        if header_only:
-            break
-    if not rows:
-        return [], []
-    first = min(rows)
-    head_cells = rows[first]
-    width = max(head_cells) + 1 if head_cells else 0
+def _cell(c, strings: list[str], dates: set[int], d1904: bool) -> str | None:
+    t = c.get("t", "n")
+    v = c.find("m:v", NS)
+    if t == "inlineStr":
+        return "".join(x.text or "" for x in c.iter(f"{{{NS['m']}}}t"))
+    if v is None or v.text is None:
+        return None
+    if t == "s":
+        return strings[int(v.text)]
+    if t == "b":
+        return "True" if v.text == "1" else "False"
+    if t == "n" and int(c.get("s", "0")) in dates:
+        return _serial_to_text(float(v.text), d1904)
+    return v.text if t in ("str", "n", "d") else None
+
+
+def _sheet_rows(z: zipfile.ZipFile):
+    """(row number, {column: text}) in file order, one row held at a time."""
+    strings, dates, d1904 = _shared_strings(z), _date_styles(z), _date1904(z)
+    number = 0
+    with z.open(_first_sheet_path(z)) as f:
+        for _, row in ET.iterparse(f):
+            if row.tag != f"{{{NS['m']}}}row":
+                continue
+            number = int(row.get("r")) if row.get("r") else number + 1
+            cells = {}
+            for pos, c in enumerate(row.findall("m:c", NS)):
+                ref = c.get("r")
+                cells[_col_index(_CELL_REF.match(ref).group(1)) if ref else pos] = _cell(c, strings, dates, d1904)
+            row.clear()
+            yield number, cells
+
+
+def _header(cells: dict[int, str | None], width: int) -> list[str]:
     header, seen = [], {}
     for i in range(width):
-        name = head_cells.get(i)
+        name = cells.get(i)
         name = f"Unnamed: {i}" if name is None or str(name).strip() == "" else str(name)
         if name in seen:
             seen[name] += 1
@@ -138,18 +140,49 @@ def read_sheet(data: bytes, header_only: bool = False) -> tuple[list[str], list[
         else:
             seen[name] = 0
         header.append(name)
-    body = []
-    if not header_only:
-        last = max(rows)
-        for rnum in range(first + 1, last + 1):
-            cells = rows.get(rnum, {})
-            body.append([cells.get(i) for i in range(width)])
-    return header, body
+    return header
+
+
+def sheet_header(data: bytes) -> list[str]:
+    """Column names of one workbook's first sheet: row 1, and ``Unnamed: <i>``
+    for cells of later rows to the right of it. Rows are read one by one."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        head, width = None, 0
+        for _, cells in _sheet_rows(z):
+            head = cells if head is None else head
+            width = max(width, max((i for i, v in cells.items() if v is not None or cells is head), default=-1) + 1)
+    return _header(head or {}, width)
+
+
+def sheet_rows(data: bytes):
+    """Data rows of one workbook's first sheet as {column: text}; texts that
+    mean a missing value are None, skipped rows are empty."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        last = None
+        for number, cells in _sheet_rows(z):
+            if last is not None:
+                yield from ({} for _ in range(last + 1, number))
+                yield {i: None if v in MISSING_TEXTS else v for i, v in cells.items()}
+            last = number
+
+
+def read_sheet(data: bytes) -> tuple[list[str], list[list]]:
+    """First sheet of one workbook -> (column names, rows of text cells)."""
+    header = sheet_header(data)
+    return header, [[cells.get(i) for i in range(len(header))] for cells in sheet_rows(data)]
+
+
+#: Rows of one workbook handed to Spark at a time.
+ROWS_AT_ONCE = 10_000
 
 
 def _list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        if not p.lower().endswith(".xlsx") and not p.endswith("/") and "." in p.rsplit("/", 1)[-1] and "*" not in p:
+        if p.lower().endswith(".xlsx") or "*" in p:
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if not path.getFileSystem(conf).getFileStatus(path).isDirectory():
             raise ValueError("Input file must be an Excel file (.xlsx)")
     return (spark.read.format("binaryFile").option("pathGlobFilter", SUFFIX_GLOB)
             .option("recursiveFileLookup", "true").load(paths).select("path", "content"))
@@ -159,8 +192,8 @@ def read_workbooks(spark: SparkSession, paths) -> DataFrame:
     """Display-named statement rows from every workbook under ``paths``, as
     strings, plus ``_source_file`` and ``_row_id`` (data row number, 1-based).
 
-    A first small job reads only header rows and keeps the distinct header
-    sets; the output schema is their union (required columns first).
+    A first job reads each workbook's column names row by row and keeps the
+    distinct lists; the output schema is their union (required columns first).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     ship_package(spark)
@@ -168,7 +201,7 @@ def read_workbooks(spark: SparkSession, paths) -> DataFrame:
 
     def headers(batches):
         for pdf in batches:
-            yield pd.DataFrame({"columns": [read_sheet(b, header_only=True)[0] for b in pdf["content"]]})
+            yield pd.DataFrame({"columns": [sheet_header(b) for b in pdf["content"]]})
 
     sets = [r["columns"] for r in files.mapInPandas(headers, "columns array<string>").distinct().collect()]
     names: list[str] = []
@@ -182,16 +215,14 @@ def read_workbooks(spark: SparkSession, paths) -> DataFrame:
 
     def parse(batches):
         for pdf in batches:
-            frames = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                header, body = read_sheet(content)
-                pos = {h: i for i, h in enumerate(header)}
-                cols = {c: pd.Series([row[pos[c]] if c in pos else None for row in body], dtype=object)
-                        for c in ordered}
-                cols["_source_file"] = pd.Series([path] * len(body), dtype=object)
-                cols["_row_id"] = pd.Series(range(1, len(body) + 1), dtype="int64")
-                frames.append(pd.DataFrame(cols))
-            if frames:
-                yield pd.concat(frames, ignore_index=True)
+                pos = {h: i for i, h in enumerate(sheet_header(content))}
+                rows, begin = sheet_rows(content), 1
+                while some := list(itertools.islice(rows, ROWS_AT_ONCE)):
+                    cols = {c: pd.Series([row.get(pos.get(c)) for row in some], dtype=object) for c in ordered}
+                    cols["_source_file"] = pd.Series([path] * len(some), dtype=object)
+                    cols["_row_id"] = pd.Series(range(begin, begin + len(some)), dtype="int64")
+                    yield pd.DataFrame(cols)
+                    begin += len(some)
 
     return files.mapInPandas(parse, schema)
