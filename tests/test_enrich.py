@@ -57,16 +57,17 @@ def test_calls_once_per_distinct_prompt_and_never_for_blanks(spark, scratch):
     assert res[1] == res[2] == ("MILK", "—")
     assert res[3] == ("", "") and res[4] == ("", "")
     assert res[6] == ("", "Error: backend down")
-    # Re-running against the same store calls nothing new.
+    # Re-running against the same store repeats the failed call only.
     clean_remarks(_statement(spark), b, store=store).collect()
-    assert len(_calls(log)) == 3
+    assert len(_calls(log)) == 4 and _calls(log)[-1].count("boom") == 1
 
 
 def test_dedupe_off_calls_per_row_same_result(spark, scratch):
     log = os.path.join(scratch, "calls.log")
     b = CountingBackend(log)
     on = clean_remarks(_statement(spark), b, store=ReplyStore(spark, os.path.join(scratch, "s1")))
-    off = clean_remarks(_statement(spark), b, store=ReplyStore(spark, os.path.join(scratch, "s2")), dedupe=False)
+    off = clean_remarks(_statement(spark), b, store=ReplyStore(spark, os.path.join(scratch, "s2")), dedupe=False,
+                        row_key=["s_no"])
     assert sorted(on.collect()) == sorted(off.collect())
     assert len(_calls(log)) == 3 + 4
 
@@ -119,7 +120,7 @@ def test_ask_sends_context_as_system_prompt(spark, scratch):
     df = spark.createDataFrame([(1, "01/02/2024", 10, "Food")],
                                "s_no bigint, txn_date_raw string, withdrawal int, category string")
     df = df.withColumn("withdrawal", df.withdrawal.cast("decimal(18,2)"))
-    assert ask(df, "how much on food?", CallableBackend(fn)) == "answer to how much on food?"
+    assert ask(df, "how much on food?", CallableBackend(fn, "answers")) == "answer to how much on food?"
     assert "- Food: ₹10.00" in seen["system"] and "- Total Transactions: 1" in seen["system"]
 
 
@@ -229,15 +230,16 @@ def test_hot_prompt_is_split_and_results_unchanged(spark, scratch):
     assert sorted(map(key, plain.collect())) == sorted(map(key, split.collect()))
     assert split.count() == 3000
     counts = spark.createDataFrame([("a", 1000), ("b", 50), ("c", 301)], "k string, n long")
-    assert hot_keys(counts, "k", split_rows=100) == [("a", 10), ("c", 4)]
+    assert sorted(map(tuple, hot_keys(counts, "k", split_rows=100).collect())) == [("a", 10), ("c", 4)]
 
 
 def test_reply_store_read_is_restricted_to_the_prompts_at_hand(spark, scratch):
     from ledgerlens.operators.enrich import prompt_key
     store = ReplyStore(spark, os.path.join(scratch, "store"))
-    rows = [(f"p{i}", f"r{i}", None, "run", i) for i in range(500)]
-    store.append(spark.createDataFrame(rows, "prompt string, response string, error string, "
-                                             "run_id string, written_at bigint"))
+    rows = spark.createDataFrame([(f"p{i}", f"r{i}", None, "run", i) for i in range(500)],
+                                 "prompt string, response string, error string, run_id string, written_at bigint")
+    key = prompt_key("prompt")
+    store.append(rows.select(key.alias("prompt_key"), "*", F.substring(F.lower(F.hex(key)), 1, 1).alias("key_prefix")))
     keys = spark.createDataFrame([("p7",), ("p9",), ("absent",)], "prompt string").select(
         prompt_key("prompt").alias("prompt_key"))
     got = store.replies_by_key(keys)
@@ -245,6 +247,68 @@ def test_reply_store_read_is_restricted_to_the_prompts_at_hand(spark, scratch):
     assert sorted(r["response"] for r in got.collect()) == ["r7", "r9"]
 
 
+def test_failed_calls_are_made_again_and_answers_are_not(spark, scratch):
+    st = _statement(spark)
+    store = ReplyStore(spark, os.path.join(scratch, "store"))
+    broken = clean_remarks(st, ScriptedBackend([None]), store=store).collect()
+    assert {r["notes_doubts"] for r in broken if r["s_no"] in (1, 2, 5, 6)} == {"Error: timeout"}
+    log = os.path.join(scratch, "calls.log")
+    healthy = {r["s_no"]: r["cleaned_remark"] for r in clean_remarks(st, CountingBackend(log), store=store).collect()}
+    assert healthy[1] == "MILK" and healthy[5] == "RENT" and len(_calls(log)) == 3
+    clean_remarks(st, CountingBackend(log), store=store).collect()
+    assert len(_calls(log)) == 4  # only the one that fails
+
+
+def test_stores_are_named_by_backend_label_and_system_prompt(spark):
+    import pytest
+    from ledgerlens.operators.backends import CallableBackend
+    one, two = CallableBackend(lambda p, s: "a", "one"), CallableBackend(lambda p, s: "b", "two")
+    paths = {ReplyStore.default(spark, b, "remark", s).path for b in (one, two) for s in ("x", "y")}
+    assert len(paths) == 4
+    with pytest.raises(ValueError):
+        CallableBackend(lambda p, s: "a", "")
+
+
+def test_one_call_per_row_gives_each_row_its_own_reply(spark, scratch):
+    import pytest
+    log = os.path.join(scratch, "n")
+
+    class Counter(Backend):
+        name = "counter"
+
+        def call_one(self, prompt, system_prompt):
+            with open(log, "a") as f:
+                f.write("x\n")
+                n = f.tell() // 2
+            return '{"cleaned_remark": "reply %d", "notes_doubts": ""}' % n
+
+    df = spark.createDataFrame([(i, "same") for i in range(20)], "s_no bigint, remarks string").coalesce(1)
+    store = ReplyStore(spark, os.path.join(scratch, "store"))
+    got = clean_remarks(df, Counter(), store=store, dedupe=False, row_key=["s_no"], max_concurrency=1).collect()
+    assert len({r["cleaned_remark"] for r in got}) == 20
+    with pytest.raises(ValueError):
+        clean_remarks(df, Counter(), store=store, dedupe=False)
+
+
+def test_calls_are_committed_in_chunks_within_the_cap(spark, scratch):
+    path = os.path.join(scratch, "inflight")
+    df = spark.createDataFrame([(i, f"remark {i}") for i in range(48)], "s_no bigint, remarks string")
+    store = ReplyStore(spark, os.path.join(scratch, "store"))
+    out = clean_remarks(df, InFlightBackend(path), store=store, max_concurrency=2, chunk_prompts=10)
+    assert out.where("cleaned_remark = 'x'").count() == 48
+    assert int(open(path).read().split()[1]) <= 2
+    assert store.raw().select("written_at").distinct().count() >= 5
+
+
+def test_unparseable_amount_is_unclear_without_a_call(spark, scratch):
+    log = os.path.join(scratch, "calls.log")
+    df = spark.createDataFrame([(1, "petrol", True), (2, "petrol", False)], "s_no int, remarks string, amount_unparseable boolean")
+    for backend in (RuleBackend(), CountingBackend(log)):
+        got = {r["s_no"]: (r["category"], r["subcategory"], r["confidence"]) for r in categorise(df, backend).collect()}
+        assert got[1] == ("Unclear", "", "Low")
+    assert len(_calls(log)) == 1
+
+
 class SystemPromptBackend(Backend):
     """Replies with a fixed object and records each distinct system prompt."""
 

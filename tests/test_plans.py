@@ -63,24 +63,63 @@ def test_parse_evaluates_json_once_per_row(spark):
     assert txt.count("parseJson") == 1
 
 
-def test_size_check_bounds_rows_and_bytes(spark):
-    from ledgerlens.session import fits_broadcast
-    small = spark.createDataFrame([("ab", 1)] * 5, "k string, v int")
-    assert fits_broadcast(small, max_rows=5, max_bytes=100)
-    assert not fits_broadcast(small, max_rows=4, max_bytes=100)   # too many rows
-    assert not fits_broadcast(small, max_rows=5, max_bytes=49)    # 5 x (2 + 8) bytes
-    assert not fits_broadcast(spark.range(10_000_000), max_rows=1000)  # reads at most 1001 rows
-
-
-def test_lexicon_join_broadcasts_the_lexicon_not_the_statement(spark):
+def test_lexicon_join_forces_no_broadcast(spark):
     from ledgerlens.operators import rules
     st = catalog.rule_enriched(spark, SF_SMALL)
     lex = rules.lexicon_frame(spark)
-    txt = plan(rules.categorise_with_lexicon_table(st, lex, ["s_no"], description="cleaned_remark"))
-    assert "BroadcastHashJoin [keyword" in txt and "BuildRight" in txt
-    txt = plan(rules.categorise_with_lexicon_table(st, lex, ["s_no"], description="cleaned_remark",
-                                                   broadcast=False))
-    assert "ShuffledHashJoin [keyword" in txt and "BroadcastHashJoin" not in txt
+    df = rules.categorise_with_lexicon_table(st, lex, description="cleaned_remark")
+    assert "broadcast" not in df._jdf.queryExecution().logical().toString().lower()
+
+
+def test_lexicon_stands_once_in_the_plan(spark):
+    """The keywords are literals of one lookup, not a chain of conditions
+    copied into every consumer of the category."""
+    from ledgerlens.operators.enrich import enrich_statement
+    from ledgerlens.operators.rules import RuleBackend
+    df = summary.category_breakdown(enrich_statement(fixtures.statement(spark, SF_SMALL), RuleBackend()))
+    opt = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(_lex_norm" not in opt
+    assert max(line.count("array_position") for line in opt.splitlines()) <= 6
+
+
+def rows_per_task(df):
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_blank_rows_are_spread_over_the_tasks(spark, tmp_path):
+    """A third of all rows has no key; none of the join backs sends them to one task."""
+    from ledgerlens.operators import rules
+    from ledgerlens.operators.backends import ScriptedBackend
+    from ledgerlens.operators.enrich import ReplyStore, clean_remarks
+    from ledgerlens.plans.fixtures import REMARK_REPLIES
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 12_000
+        st = spark.range(n).select(F.col("id").alias("s_no"), F.when(F.col("id") % 3 > 0, F.concat(
+            F.lit("r"), (F.col("id") % 4001).cast("string"))).alias("remarks"))
+        done = clean_remarks(st, ScriptedBackend(REMARK_REPLIES), store=ReplyStore(spark, str(tmp_path / "a")), split_rows=100)
+        sizes = rows_per_task(done)
+        assert sum(sizes) == n and sizes[-1] <= 2 * n / len(sizes)
+        keyed = st.withColumns({"remark_key": F.col("remarks"), "cleaned_remark": F.coalesce("remarks", F.lit(""))})
+        sizes = rows_per_task(rules.remark_consensus(keyed, split_rows=100))
+        assert sum(sizes) == n and sizes[-1] <= 2 * n / len(sizes)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_store_read_is_pruned_to_the_partitions_at_hand(spark, tmp_path):
+    from ledgerlens.operators.backends import ScriptedBackend
+    from ledgerlens.operators.enrich import ReplyStore, clean_remarks, prompt_key
+    store = ReplyStore(spark, str(tmp_path / "s"))
+    st = spark.range(200).select(F.col("id").alias("s_no"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("remarks"))
+    clean_remarks(st, ScriptedBackend(['{"cleaned_remark":"x","notes_doubts":""}']), store=store)
+    one = spark.createDataFrame([("p",)], "p string").select(prompt_key("p").alias("prompt_key"))
+    txt = formatted(store.raw(one))
+    assert re.search(r"PartitionFilters: \[.*key_prefix", txt)
 
 
 def test_filter_on_parsed_date_keeps_one_copy_of_the_regex_work(spark):
@@ -95,8 +134,8 @@ def test_filter_on_parsed_date_keeps_one_copy_of_the_regex_work(spark):
 
 
 def test_skew_handling_of_the_joins(spark, tmp_path):
-    """With AQE's skew thresholds lowered: the lexicon's shuffle fallback is
-    split by AQE itself; the reply join-back is not (its replies side comes
+    """With AQE's skew thresholds lowered: the join back of the lexicon's
+    hits is split by AQE itself; the reply join-back is not (its replies side comes
     through an aggregate), which is why hot prompts are split explicitly."""
     from ledgerlens.operators import rules
     from ledgerlens.operators.backends import ScriptedBackend
@@ -120,8 +159,8 @@ def test_skew_handling_of_the_joins(spark, tmp_path):
         hot = F.col("id") % 3 == 0
         desc = ids.select(F.col("id").alias("s_no"), F.when(hot, F.lit("petrol")).otherwise(
             F.concat(F.lit("w"), F.col("id").cast("string"))).alias("cleaned_remark"))
-        lex = rules.categorise_with_lexicon_table(desc, rules.lexicon_frame(spark), ["s_no"], broadcast=False)
-        assert "ShuffledHashJoin(skew=true)" in final_plan(lex)
+        lex = rules.categorise_with_lexicon_table(desc, rules.lexicon_frame(spark))
+        assert "skew=true" in final_plan(lex)
         st = ids.select(F.col("id").alias("s_no"), F.when(hot, F.lit("HOT REMARK")).otherwise(
             F.concat(F.lit("r"), F.col("id").cast("string"))).alias("remarks"))
         b = ScriptedBackend(REMARK_REPLIES)

@@ -57,11 +57,33 @@ def test_lexicon_join_path_agrees(spark):
     df = spark.createDataFrame(descs, "id int, cleaned_remark string, withdrawal int, deposit int")
     inline = {r["id"]: (r["category"], r["subcategory"], r["confidence"], r["category_rule"])
               for r in rules.rule_categories(df).collect()}
-    for broadcast in (None, True, False):  # size-checked, forced broadcast, shuffle join
-        joined = {r["id"]: (r["category"], r["subcategory"], r["confidence"], r["category_rule"])
-                  for r in rules.categorise_with_lexicon_table(df, rules.lexicon_frame(spark), ["id"],
-                                                               broadcast=broadcast).collect()}
-        assert inline == joined, broadcast
+    joined = {r["id"]: (r["category"], r["subcategory"], r["confidence"], r["category_rule"])
+              for r in rules.categorise_with_lexicon_table(df, rules.lexicon_frame(spark)).collect()}
+    assert inline == joined
+
+
+def test_long_keywords_and_long_lexicons(spark):
+    """Keywords of any length, and lexicons of any length, through either path."""
+    entries = [(f"word{i} thing", "Things", f"T{i}", "purpose", "any") for i in range(3000)]
+    entries += [("credit card bill payment", "Bills", "Card", "purpose", "any"), ("very long keyword of six words", "Long", "", "vendor", "debit"),
+                ("bill", "Other", "", "purpose", "any")]
+    rows = [(1, "Paid my credit card bill payment today", 10, None), (2, "a word2999 thing", None, 5), (3, "phone bill", 1, None),
+            (4, "the very long keyword of six words", 10, None), (5, "the very long keyword of six words", None, 10), (6, "none", 900, None)]
+    df = spark.createDataFrame(rows, "id int, cleaned_remark string, withdrawal int, deposit int")
+    want = {1: ("Bills", "Card", "High"), 2: ("Things", "T2999", "High"), 3: ("Other", "", "High"), 4: ("Long", "", "Medium"),
+            5: ("Unclear", "", "Low"), 6: ("Unclear", "", "Low")}
+    got = lambda out: {r["id"]: (r["category"], r["subcategory"], r["confidence"]) for r in out.collect()}
+    assert len(entries) > rules.INLINE_LEXICON_LIMIT
+    assert got(rules.RuleBackend(lexicon=entries).categorise(df)) == want
+    short = [e for e in entries if not e[0].startswith("word")] + [entries[2999]]
+    assert got(rules.rule_categories(df, lexicon=short)) == want
+    assert got(rules.categorise_with_lexicon_table(df, rules.lexicon_frame(spark, short))) == want
+
+
+def test_equal_row_numbers_of_two_statements_do_not_mix(spark):
+    df = spark.createDataFrame([(1, "a", "zzz"), (1, "b", "petrol")], "s_no int, source_file string, cleaned_remark string")
+    got = {r["source_file"]: r["category"] for r in rules.categorise_with_lexicon_table(df, rules.lexicon_frame(spark)).collect()}
+    assert got == {"a": "Unclear", "b": "Fuel"}
 
 
 def test_word_ngrams(spark):
