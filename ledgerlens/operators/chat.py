@@ -15,9 +15,9 @@ from ledgerlens.operators.backends import Backend
 from ledgerlens.operators.summary import chat_context
 
 # Own wording around the rendered context.
-ASSISTANT_HEAD = "You help a customer understand the transactions in their bank statement.\n\n"
-ASSISTANT_TAIL = ("\n\nAnswer questions about spending patterns, point out insights and suggest "
-                  "ways to save. Keep answers short.")
+ASSISTANT_HEAD = "The figures below come from one customer's bank statement.\n\n"
+ASSISTANT_TAIL = ("\n\nReply to the customer's question from these figures alone, in a few sentences, "
+                  "and say when they do not hold the answer.")
 
 
 def system_prompt(df: DataFrame) -> str:

@@ -6,53 +6,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import as_text, is_blank, money_text
+from ledgerlens.operators.rules import (ABBREVIATIONS, CHANNELS, LEXICON, NOTE_PURPOSE, PLATFORMS,
+                                        PURPOSE_WORDS)
 from ledgerlens.schema import MONEY
 
-REMARK_SYSTEM_PROMPT = """You read the payment remarks printed on Indian bank statements \
-(UPI, NEFT and IMPS references) and say in plain words what each payment was for.
-
-How to read a remark:
-- Only the remark text carries meaning. Skip transaction ids, long numbers and bank \
-codes such as 563842971184 or ICIf635d23e7a.
-- Useful pieces are person or shop names, purpose words (rent, milk, grocery, ticket, \
-savings), short forms (oc = October, au = August, rever = reversal, bik = bike, \
-temp = temporary), apps (Google Pay, Paytm, BharatPe, Amazon Pay, IRCTC) and verbs \
-(payment from, pay to, refund, transfer).
-- When several remarks look alike, read them the same way.
-- Prefer the purpose over the person, the person over the app, and the app over a \
-reference number.
-
-Answer with one JSON object and nothing else:
-{"cleaned_remark": "<short plain-language meaning>", "notes_doubts": "<why you are unsure, or —>"}"""
-
-CATEGORY_SYSTEM_PROMPT = """You sort bank statement transactions into spending categories.
-
-For each transaction decide what it was for and give:
-- category: a short name of one to three words, for example Groceries, Fuel, Bills, \
-Transfers, Work Credit, Refund, Online Shopping, Family Support, Subscriptions, Medical, \
-Cash Withdrawal, Food & Beverage, Travel, Utilities, Savings. New names are allowed; \
-always use the same name for the same kind of spend (Fuel, never Petrol or Gas).
-- subcategory: a finer label when one fits (Travel: Train, Flight, Bus, Cab, Metro, Auto; \
-Groceries: Ration, Vegetables, Fruits, Dairy, Meat, Grains; Fuel: Petrol, Diesel; \
-Utilities: Electricity, Water, Internet, Mobile; Medical: Doctor, Medicine, Hospital, \
-Pharmacy; Food & Beverage: Food, Beverage, Snacks, Restaurant), else "".
-  Salary, Refund and Cash Withdrawal take no subcategory.
-- confidence: High, Medium or Low.
-
-Use shop names, UPI handles, brand words (Amazon, Airtel, IRCTC, Paytm) and the amount. \
-A shop name with a small amount is most likely groceries or food. Split money received \
-into Salary, Family Support, Work Credit and Refund, and transfers into savings and \
-internal ones. If it stays ambiguous, answer Unclear with Low confidence.
-
-Answer with one JSON object and nothing else:
-{"category": "...", "subcategory": "...", "confidence": "High|Medium|Low"}"""
+
+def _known_groups() -> dict[str, list[str]]:
+    """Category -> its subcategories, from the lexicon's fixed values."""
+    groups: dict[str, list[str]] = {}
+    for _kw, category, subcategory, _kind, _direction in LEXICON:
+        own = groups.setdefault(category, [])
+        if subcategory and subcategory not in own:
+            own.append(subcategory)
+    return groups
+
+
+_GROUPS = _known_groups()
+_SHORT_FORMS = ", ".join(f"{short} is {long}" for short, long in ABBREVIATIONS)
+
+REMARK_SYSTEM_PROMPT = f"""Every message holds one payment remark from an Indian bank account \
+({", ".join(CHANNELS)}), its parts divided by slashes. Say what the payment was for.
+
+Work in this order and stop at the first that applies:
+1. a part that names a purpose ({", ".join(PURPOSE_WORDS[:6])} and the like);
+2. a person or a shop, with the payment verb if there is one;
+3. a payment app ({", ".join(PLATFORMS)});
+4. nothing but a reference number: say so.
+Handles, account numbers and bank codes say nothing about the purpose. Expand short forms: {_SHORT_FORMS}. \
+Give remarks that differ only in their numbers the same reading.
+
+Output: a JSON object with two string members. "cleaned_remark" is the reading in a few plain words; \
+"notes_doubts" says what stays uncertain, or is {NOTE_PURPOSE} when nothing does. No other text."""
+
+CATEGORY_SYSTEM_PROMPT = f"""Every message holds one bank transaction: a description and the amounts that left \
+and entered the account. File it under a spending category.
+
+Categories in use, each with its subcategories in brackets: \
+{"; ".join(name + (f" [{', '.join(own)}]" if own else "") for name, own in _GROUPS.items())}.
+Another category may be made up if none fits: one to three words, the same words every time. \
+A category listed without brackets has an empty subcategory.
+
+Money that enters the account is a salary, a refund, family support or work credit; money moved between \
+the holder's own accounts is a transfer. A known brand decides where no purpose is stated. A small payment \
+to a named shop is most often for groceries. Where nothing decides, the category is Unclear.
+
+Output: a JSON object with the string members "category", "subcategory" and "confidence" (High for a stated \
+purpose, Medium for a brand, Low for a guess). No other text."""
 
 REMARK_PROMPT_HEAD = "Explain this transaction remark in plain words:\n\nTransaction Remark: "
-REMARK_PROMPT_TAIL = ('\n\nReply with JSON only: '
-                      '{"cleaned_remark": "...", "notes_doubts": "..."}')
+REMARK_PROMPT_TAIL = "\n\nAnswer as the JSON object described."
 CATEGORY_PROMPT_HEAD = "Categorise this transaction:\n\nTransaction Remarks: "
-CATEGORY_PROMPT_TAIL = ('\n\nReply with JSON only: '
-                        '{"category": "...", "subcategory": "...", "confidence": "..."}')
+CATEGORY_PROMPT_TAIL = "\n\nAnswer as the JSON object described."
 
 
 def _c(c) -> Column:

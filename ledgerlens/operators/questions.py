@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.summary import category_spending, with_txn_date
 from ledgerlens.schema import MONEY
+from ledgerlens.session import materialize
 
 
 def _zero():
@@ -36,32 +37,34 @@ def savings_candidates(df: DataFrame, term: str, k: int = 3, party_col: str = "p
     """Where to save on ``term``: the category's share of all withdrawals,
     count, mean, and its ``k`` largest payees (one row per payee, ranked).
 
-    Totals are global aggregates (one row each, joined on a constant key);
-    the payee ranking is a per-payee aggregate followed by a distributed
-    top-k, so no single task sees more than one partition of payees.
+    The statement is read once: grouped by whether the category is the term
+    and by payee, and stored. The totals are sums of those rows, and the ranking is
+    a distributed top-k of them, so no single task sees more than one partition of
+    payees.
     """
     t = term.strip().lower()
-    hit = F.lower("category") == t
-    overall = df.agg(F.coalesce(F.sum("withdrawal"), _zero()).alias("all_spent"))
-    mine = df.where(hit).agg(F.count(F.lit(1)).alias("transactions"),
-                             F.coalesce(F.sum("withdrawal"), _zero()).alias("spent"))
-    stats = (mine.withColumn("_k", F.lit(1))
-             .join(F.broadcast(overall.withColumn("_k", F.lit(1))), "_k")
-             .select("_k", "transactions", "spent",
-                     F.when(F.col("transactions") > 0,
-                            F.col("spent").cast("double") / F.col("transactions")).alias("avg_spent"),
-                     F.when(F.col("all_spent") > 0,
-                            F.col("spent").cast("double") / F.col("all_spent").cast("double")).alias("share")))
-    payees = (df.where(hit & F.col(party_col).isNotNull() & F.col("withdrawal").isNotNull())
-              .groupBy(F.col(party_col).alias("payee"))
-              .agg(F.sum("withdrawal").alias("payee_spent"), F.count(F.lit(1)).alias("payee_transactions"))
-              .orderBy(F.desc("payee_spent"), F.asc("payee")).limit(k))
-    ranked = payees.withColumn("_k", F.lit(1)).withColumn(
-        "payee_rank", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("payee_spent"), "payee")))
-    # `ranked` has at most k rows (limit above), so one window partition is bounded.
-    return (F.broadcast(stats).join(ranked, "_k", "left")
-            .select(F.lit(t).alias("term"), "transactions", "spent", "avg_spent", "share",
-                    "payee_rank", "payee", "payee_spent", "payee_transactions"))
+    mine = F.coalesce(F.lower("category") == t, F.lit(False))
+    groups = materialize(
+        df.select(mine.alias("mine"), F.when(mine, F.col(party_col)).alias("payee"), "withdrawal")
+        .groupBy("mine", "payee").agg(F.count(F.lit(1)).alias("n"), F.count("withdrawal").alias("paid"),
+                                      F.sum("withdrawal").alias("spent")), "savings_groups")
+    stats = groups.agg(F.coalesce(F.sum(F.when(F.col("mine"), F.col("n"))), F.lit(0)).cast("bigint").alias("transactions"),
+                       F.coalesce(F.sum(F.when(F.col("mine"), F.col("spent"))), _zero()).cast(MONEY).alias("spent"),
+                       F.coalesce(F.sum("spent"), _zero()).alias("all_spent"))
+    top = (groups.where(F.col("mine") & F.col("payee").isNotNull() & (F.col("paid") > 0))
+           .orderBy(F.desc("spent"), F.asc("payee")).limit(k)
+           .select(F.struct(F.negative("spent").alias("low"), "payee", "paid").alias("p")))
+    # At most k rows (limit above), gathered beside the one row of totals and spread out again by rank.
+    ranked = top.agg(F.array_sort(F.collect_list("p")).alias("payees"))
+    one = F.lit(1).alias("_one")  # both sides are global aggregates of one row
+    out = stats.select("*", one).join(F.broadcast(ranked.select("*", one)), "_one").select(
+        "*", F.posexplode_outer("payees").alias("at", "p"))
+    return out.select(
+        F.lit(t).alias("term"), "transactions", "spent",
+        F.when(F.col("transactions") > 0, F.col("spent").cast("double") / F.col("transactions")).alias("avg_spent"),
+        F.when(F.col("all_spent") > 0, F.col("spent").cast("double") / F.col("all_spent").cast("double")).alias("share"),
+        (F.col("at") + 1).alias("payee_rank"), F.col("p.payee").alias("payee"),
+        F.negative("p.low").cast(MONEY).alias("payee_spent"), F.col("p.paid").alias("payee_transactions"))
 
 
 def monthly_trend(df: DataFrame) -> DataFrame:

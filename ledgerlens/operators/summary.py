@@ -13,15 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import iso_date, with_statement_date
-from ledgerlens.functions.text import money_text, py_strip
-from ledgerlens.schema import MONEY, find_col, quote
-
-
-def _money_total(df: DataFrame, name: str) -> Column:
-    """Sum with missing skipped; 0 when all missing or the column is absent."""
-    if name not in df.columns:
-        return F.lit(0).cast(MONEY)
-    return F.coalesce(F.sum(name), F.lit(0).cast(MONEY))
+from ledgerlens.functions.text import is_blank, money_text, py_strip
+from ledgerlens.schema import AMOUNT_UNPARSEABLE, MONEY, find_col, quote
+from ledgerlens.session import materialize
 
 
 def _kept_subcategory(c: Column) -> Column:
@@ -30,27 +24,53 @@ def _kept_subcategory(c: Column) -> Column:
     return c.isNull() | (py_strip(c.cast("string")) != "")
 
 
+def grouped(df: DataFrame) -> DataFrame:
+    """One pass over the statement: one row per (category, subcategory) with
+    ``transactions``, ``withdrawals``, ``deposits``, ``start`` and ``end``. The
+    totals, breakdowns and contexts below are all derived from these few rows."""
+    cat = find_col(df, "category", pick="last")
+    sub = find_col(df, "subcategory", pick="last")
+    d = with_txn_date(df) if "txn_date_raw" in df.columns or "txn_date" in df.columns else df.withColumn(
+        "txn_date", F.lit(None).cast("date"))
+    amount = lambda n: F.col(n) if n in df.columns else F.lit(None).cast(MONEY)
+    rows = d.select((F.col(quote(cat)) if cat else F.lit(None).cast("string")).alias("category"),
+                    (F.col(quote(sub)) if sub else F.lit(None).cast("string")).alias("subcategory"),
+                    amount("withdrawal").alias("withdrawal"), amount("deposit").alias("deposit"), "txn_date")
+    return rows.groupBy("category", "subcategory").agg(
+        F.count(F.lit(1)).alias("transactions"), F.sum("withdrawal").alias("withdrawals"),
+        F.sum("deposit").alias("deposits"), F.min("txn_date").alias("start"), F.max("txn_date").alias("end"))
+
+
+def _totals(groups: DataFrame, has_category: bool, has_subcategory: bool) -> DataFrame:
+    s = F.col("subcategory")
+    kept = F.count(F.when(_kept_subcategory(s), 1))
+    distinct = F.count_distinct(F.when(_kept_subcategory(s), s))
+    none = F.lit(None).cast("bigint")
+    return groups.agg(
+        F.coalesce(F.sum("transactions"), F.lit(0)).cast("bigint").alias("total_transactions"),
+        F.coalesce(F.sum("withdrawals"), F.lit(0)).cast(MONEY).alias("total_withdrawals"),
+        F.coalesce(F.sum("deposits"), F.lit(0)).cast(MONEY).alias("total_deposits"),
+        (F.count_distinct("category") if has_category else none).alias("categories_found"),
+        (F.when(kept > 0, distinct) if has_subcategory else none).alias("subcategories_found"))
+
+
 def summary_totals(df: DataFrame) -> DataFrame:
     """One row: total_transactions, total_withdrawals, total_deposits,
     categories_found, subcategories_found (NULL when that column is absent,
-    or, for subcategories, when no row has a non-empty value)."""
-    cat = find_col(df, "category", pick="last")
-    sub = find_col(df, "subcategory", pick="last")
-    aggs = [F.count(F.lit(1)).alias("total_transactions"),
-            _money_total(df, "withdrawal").alias("total_withdrawals"),
-            _money_total(df, "deposit").alias("total_deposits")]
-    if cat:
-        aggs.append(F.count_distinct(F.col(quote(cat))).alias("categories_found"))
-    else:
-        aggs.append(F.lit(None).cast("bigint").alias("categories_found"))
-    if sub:
-        s = F.col(quote(sub))
-        kept = F.count(F.when(_kept_subcategory(s), 1))
-        distinct = F.count_distinct(F.when(_kept_subcategory(s), s))
-        aggs.append(F.when(kept > 0, distinct).alias("subcategories_found"))
-    else:
-        aggs.append(F.lit(None).cast("bigint").alias("subcategories_found"))
-    return df.agg(*aggs)
+    or, for subcategories, when no row has a non-empty value). The distinct
+    counts run over the grouped rows, not over the statement."""
+    return _totals(grouped(df), find_col(df, "category") is not None, find_col(df, "subcategory") is not None)
+
+
+def quality_counts(df: DataFrame) -> DataFrame:
+    """One row: how many rows have an amount that is no number, no amount at
+    all, and a date text that no accepted shape reads."""
+    d = with_txn_date(df) if "txn_date_raw" in df.columns else df.withColumn("txn_date", F.lit(None).cast("date"))
+    flag = F.col(AMOUNT_UNPARSEABLE) if AMOUNT_UNPARSEABLE in df.columns else F.lit(False)
+    undated = (~is_blank(F.col("txn_date_raw")) & F.col("txn_date").isNull()) if "txn_date_raw" in df.columns else F.lit(False)
+    return d.agg(F.count(F.lit(1)).alias("rows"), F.count_if(flag).alias("unparseable_amounts"),
+                 F.count_if(F.col("withdrawal").isNull() & F.col("deposit").isNull()).alias("without_amount"),
+                 F.count_if(undated).alias("unparsed_dates"))
 
 
 def category_breakdown(df: DataFrame, name: str = "category") -> DataFrame:
@@ -106,7 +126,7 @@ def category_spending(df: DataFrame, pick: str = "first") -> DataFrame:
             .orderBy("category"))
 
 
-# Fixed-shape context text (own wording); one line per fact.
+# The context's labels, one line per fact.
 CONTEXT_HEADER = "Statement overview:"
 
 
@@ -130,36 +150,43 @@ def chat_context(df: DataFrame) -> DataFrame:
     """One row: total_transactions, start_date, end_date, categories
     (array of (category, spent) ascending) and the rendered context_text.
 
-    The statement is reduced twice in parallel branches (one global
-    aggregate, one per-category aggregate); only the per-category result,
-    one row per category, is gathered into the context array.
+    The statement is read once, into one row per category; those rows are
+    gathered into the context, which lists every category.
     """
-    spark = df.sparkSession
-    base = with_txn_date(df) if "txn_date_raw" in df.columns else df.withColumn(
-        "txn_date", F.lit(None).cast("date"))
-    head = base.agg(F.count(F.lit(1)).alias("total_transactions"),
-                    iso_date(F.min("txn_date")).alias("start_date"),
-                    iso_date(F.max("txn_date")).alias("end_date"))
-    spend = category_spending(df, pick="first")
-    cats = spend.agg(F.array_sort(F.collect_list(F.struct("category", "spent"))).alias("categories"))
-    # Both sides are single-row global aggregates: size is proven to be one row.
-    ctx = head.withColumn("_k", F.lit(1)).join(F.broadcast(cats.withColumn("_k", F.lit(1))), "_k")
-    ctx = ctx.withColumn("categories", F.coalesce("categories", F.array().cast(
-        f"array<struct<category:string,spent:{MONEY}>>")))
+    cat = find_col(df, "category", pick="first")
+    spending = cat is not None and "withdrawal" in df.columns
+    source = df if cat is None else df.select(*[F.col(quote(c)) for c in df.columns if c == cat or c.lower() != "category"])
+    per = grouped(source).groupBy("category").agg(
+        F.sum("transactions").alias("n"), F.coalesce(F.sum("withdrawals"), F.lit(0)).cast(MONEY).alias("spent"),
+        F.min("start").alias("start"), F.max("end").alias("end"))
+    listed = F.when(F.col("category").isNotNull() & F.lit(spending), F.struct("category", "spent"))
+    ctx = per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_transactions"),
+                  iso_date(F.min("start")).alias("start_date"), iso_date(F.max("end")).alias("end_date"),
+                  F.array_sort(F.collect_list(listed)).alias("categories"))
     return ctx.select("total_transactions", "start_date", "end_date", "categories",
                       render_context(F.col("total_transactions"), F.col("start_date"),
                                      F.col("end_date"), F.col("categories")).alias("context_text"))
 
 
+def _counted(groups: DataFrame, name: str, section_no: int, section: str, kept: Column) -> DataFrame:
+    counts = groups.where(kept).groupBy(F.col(name).alias("label")).agg(F.sum("transactions").alias("count"))
+    return counts.select(F.lit(section_no).alias("section_no"), F.lit(1).alias("_line"), F.lit(section).alias("section"),
+                         "label", F.col("count").cast("string").alias("value"), "count")
+
+
 def summary_report(df: DataFrame) -> DataFrame:
     """Rendered summary as rows ``(section_no, section, label, value, count)``,
     sorted for display: sections in order, the totals as transactions,
     withdrawals, deposits, breakdown lines by ``count`` descending then label.
     Scalar lines carry a NULL count. Breakdown sections appear only when the
     column exists (and, for subcategories, when any row passes the filter).
+
+    The statement is read once; its grouped rows are stored and every section comes from them.
     """
-    tot = summary_totals(df)
-    scalars = tot.select(F.expr(
+    groups = materialize(grouped(df), "summary_groups")
+    has_category, has_subcategory = find_col(df, "category") is not None, find_col(df, "subcategory") is not None
+    # Section names and labels of the single-file tool's summary.
+    scalars = _totals(groups, has_category, has_subcategory).select(F.expr(
         "stack(5, 1, 1, 'Totals', 'Total Transactions', cast(total_transactions as string),"
         " 1, 2, 'Totals', 'Total Withdrawals', concat('₹', format_number(total_withdrawals, 2)),"
         " 1, 3, 'Totals', 'Total Deposits', concat('₹', format_number(total_deposits, 2)),"
@@ -167,18 +194,10 @@ def summary_report(df: DataFrame) -> DataFrame:
         " 4, 1, 'Subcategories', 'Subcategories Found', cast(subcategories_found as string))"
         " as (section_no, _line, section, label, value)")).where(F.col("value").isNotNull()).withColumn(
         "count", F.lit(None).cast("bigint"))
-    parts = [scalars]
-    if find_col(df, "category", pick="last"):
-        parts.append(category_breakdown(df).select(
-            F.lit(3).alias("section_no"), F.lit(1).alias("_line"), F.lit("Category Breakdown").alias("section"),
-            F.col("category").alias("label"), F.col("transactions").cast("string").alias("value"),
-            F.col("transactions").alias("count")))
-    if find_col(df, "subcategory", pick="last"):
-        parts.append(subcategory_breakdown(df).select(
-            F.lit(5).alias("section_no"), F.lit(1).alias("_line"), F.lit("Subcategory Breakdown").alias("section"),
-            F.col("subcategory").alias("label"), F.col("transactions").cast("string").alias("value"),
-            F.col("transactions").alias("count")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = scalars
+    if has_category:
+        out = out.unionByName(_counted(groups, "category", 3, "Category Breakdown", F.col("category").isNotNull()))
+    if has_subcategory:
+        out = out.unionByName(_counted(groups, "subcategory", 5, "Subcategory Breakdown",
+                                       F.col("subcategory").isNotNull() & (py_strip("subcategory") != "")))
     return out.orderBy("section_no", "_line", F.desc_nulls_first("count"), "label").drop("_line")

@@ -12,13 +12,14 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.dates import with_statement_date
 from ledgerlens.functions.replies import with_parsed_category, with_parsed_remark
 from ledgerlens.operators import questions, rules, summary
 from ledgerlens.operators.backends import ScriptedBackend
-from ledgerlens.operators.enrich import ReplyStore, enrich_statement
+from ledgerlens.operators.enrich import ReplyStore, clean_remarks, enrich_statement
 from ledgerlens.operators.prompts import category_prompt, remark_prompt
 from ledgerlens.plans import fixtures
-from ledgerlens.session import apply_semantic_conf, materialize_at, shared_dir
+from ledgerlens.session import apply_semantic_conf, materialize_at, shared_dir, spread
 from ledgerlens.sources.statement import normalize_statement, statement_to_display
 
 # Parameters of the question queries.
@@ -35,11 +36,24 @@ def _dbl(*names):
 _ENRICHED: dict[tuple, str] = {}
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files the statement is read from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in ("orders", "customer"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def _enriched_once(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
-    """Build an enriched table once per application and data folder, write
-    it under the shared folder, and serve later questions from that table
-    (enrichment is the costly step; questions are cheap scans of its result)."""
-    key = (spark.sparkContext.applicationId, name, sf_dir)
+    """Build an enriched table once per application and state of the input
+    files, write it under the shared folder, and serve later questions from that
+    table (enrichment is the costly step; questions are cheap scans of its result)."""
+    key = (spark.sparkContext.applicationId, name, _stamp(spark, sf_dir))
     path = _ENRICHED.get(key)
     if path is not None:
         try:
@@ -50,6 +64,11 @@ def _enriched_once(spark: SparkSession, name: str, sf_dir: str, build) -> DataFr
     return df
 
 
+def forget_enriched() -> None:
+    """Drop the memory of enriched tables, so the next query builds its own."""
+    _ENRICHED.clear()
+
+
 def categorised_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement plus parsed category replies (reply chosen by ``s_no``)."""
     apply_semantic_conf(spark)
@@ -204,6 +223,65 @@ def q_monthly_trend(spark, sf_dir):
     return m.withColumns(_dbl("spent", "prev_spent", "change"))
 
 
+def q_date_formats(spark, sf_dir):
+    """Every accepted date shape, texts that are no dates, and both sides of the two-digit year pivot."""
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate"))
+    n, d = F.col("o_orderkey") % 22, F.col("o_orderdate")
+    patterns = ["dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "dd-MMM-yyyy", "dd MMM yyyy", "dd-MMM-yy",
+                "d MMMM yyyy", "dd/MM/yy", "dd-MM-yy", "dd/MM/yyyy' 10:30:00'", "yyyy-MM-dd'T10:00:00Z'", "yyyy-MM-dd' 23:59'"]
+    raw = F.lit(None).cast("string")
+    for i, p in enumerate(patterns):
+        raw = F.when(n == i, F.date_format(d, p)).otherwise(raw)
+    raw = (F.when(n == 14, "not a date").when(n == 16, "31/02/2024").when(n == 17, F.concat(F.lit("  "), F.date_format(d, "dd/MM/yyyy"), F.lit(" ")))
+           .when(n == 18, F.upper(F.date_format(d, "dd-MMM-yyyy"))).when(n == 19, F.date_format(d, "yyyy-MM-dd'T01:00:00+05:30'"))
+           .when(n == 20, "01/01/69").when(n == 21, "01-Jan-68").otherwise(raw))
+    return with_statement_date(o.select(F.col("o_orderkey").alias("s_no"), raw.alias("txn_date_raw"))).select(
+        "s_no", F.date_format("txn_date", "yyyy-MM-dd").alias("txn_date"))
+
+
+def q_amount_quality(spark, sf_dir):
+    """Amount texts as exported: numbers, thousands separators, blanks, and text that names no amount."""
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice"))
+    n = F.col("o_orderkey") % 6
+    amount = (F.when(n == 0, F.col("o_totalprice").cast("decimal(18,2)").cast("string")).when(n == 1, "abc").when(n == 2, "12.5 INR")
+              .when(n == 3, "  ").when(n == 4, "1,234.50").otherwise(" 12 "))
+    display = o.select(F.col("o_orderkey").alias("S No."), F.lit("01/02/2024").alias("Transaction Date"), F.lit("petrol").alias("Transaction Remarks"),
+                       amount.alias("Withdrawal Amount(INR)"), F.lit(None).cast("string").alias("Deposit Amount(INR)"),
+                       F.lit(None).cast("string").alias("Balance(INR)"))
+    out = rules.RuleBackend().categorise(normalize_statement(display)[0])
+    return out.select("s_no", F.col("withdrawal").cast("double").alias("withdrawal"), "amount_unparseable", "category", "confidence")
+
+
+def q_lexicon_long_keywords(spark, sf_dir):
+    """A lexicon of thousands of entries, some of four and more words, through the rule backend."""
+    entries = [(f"code c{i} of list", "Codes", f"C{i}", "purpose", "any") for i in range(2500)]
+    entries += [("credit card bill payment", "Bills", "Card", "purpose", "any"), ("bill", "Bills", "", "purpose", "any"),
+                ("health insurance premium for two", "Insurance", "Health", "vendor", "any")]
+    texts = ["Paid credit card bill payment to the bank", "water bill", "health insurance premium for two parents", "nothing known",
+             "see code c1999 of list"]
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("s_no")))
+    st = o.withColumn("cleaned_remark", F.element_at(F.array(*map(F.lit, texts)), (F.col("s_no") % 5 + 1).cast("int")))
+    return rules.RuleBackend(lexicon=entries).categorise(st).select("s_no", "category", "subcategory", "confidence")
+
+
+def q_overwrite_results(spark, sf_dir):
+    """An exported statement that already has result columns is read and enriched again."""
+    display = statement_to_display(fixtures.statement(spark, sf_dir)).withColumns(
+        {"Category": F.lit("old"), "Cleaned Remark": F.lit("old"), "Confidence": F.lit("old")})
+    out = enrich_statement(normalize_statement(display)[0], rules.RuleBackend())
+    return out.select("s_no", "cleaned_remark", "category", "subcategory", "confidence")
+
+
+def q_enrich_retry(spark, sf_dir):
+    """Remarks read while the backend is down, then again with it up: failed calls are made again."""
+    from ledgerlens.session import fresh_shared_dir
+    st = fixtures.statement(spark, sf_dir)
+    store = ReplyStore(spark, fresh_shared_dir(spark, "ledgerlens/replies/retry"))
+    clean_remarks(st, ScriptedBackend([None], fixtures.FAILED_CALL_ERROR), store=store)
+    done = clean_remarks(st, ScriptedBackend(fixtures.REMARK_REPLIES, fixtures.FAILED_CALL_ERROR), store=store)
+    return done.select("s_no", "cleaned_remark", "notes_doubts")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "statement_scan": q_statement_scan,
     "remark_prompts": q_remark_prompts,
@@ -227,4 +305,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_categories": q_top_categories,
     "savings_candidates": q_savings_candidates,
     "monthly_trend": q_monthly_trend,
+    "date_formats": q_date_formats,
+    "amount_quality": q_amount_quality,
+    "lexicon_long_keywords": q_lexicon_long_keywords,
+    "overwrite_results": q_overwrite_results,
+    "enrich_retry": q_enrich_retry,
 }

@@ -41,15 +41,21 @@ STATEMENT = f"""st AS (
     CASE o.o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'not a date'
       WHEN 2 THEN strftime(o.o_orderdate, '%Y-%m-%d') ELSE strftime(o.o_orderdate, '%d/%m/%Y') END AS txn_date_raw,
     CASE o.o_orderkey % 13 WHEN 0 THEN NULL WHEN 1 THEN '   '
-      ELSE concat('UPI/', c.c_name, '/',
-        CASE o.o_orderkey % 7 WHEN 0 THEN 'temp rever' WHEN 1 THEN 'savings oc' WHEN 2 THEN 'petrol bik'
-          WHEN 3 THEN 'milk' WHEN 4 THEN 'IRCTC ticket' WHEN 5 THEN 'rent au' ELSE 'Pay to' END,
-        '/Kotak Mahi/', lpad(CAST(o.o_orderkey AS VARCHAR), 12, '5'),
-        '/ICI', md5(CAST(o.o_orderkey AS VARCHAR))) END AS remarks,
-    CASE WHEN o.o_orderstatus <> 'F' THEN CAST(o.o_totalprice AS {MONEY}) END AS withdrawal,
-    CASE WHEN o.o_orderstatus = 'F' THEN CAST(o.o_totalprice AS {MONEY}) END AS deposit,
+      ELSE CASE o.o_orderkey % 19
+        WHEN 10 THEN concat('NEFT/', c.c_name, '/Pay to', tail) WHEN 11 THEN concat('IMPS/AMAZON/Pay to', tail)
+        WHEN 12 THEN 'Paytm' WHEN 13 THEN lpad(CAST(o.o_orderkey AS VARCHAR), 12, '5')
+        WHEN 14 THEN concat('ICI', md5(CAST(o.o_orderkey AS VARCHAR))) WHEN 15 THEN concat('NEFT/ACME CORP/salary', tail)
+        WHEN 16 THEN concat('UPI/FAMILY TRUST/Pay to', tail) WHEN 17 THEN concat('NEFT/FREELANCE DESK/payment fr', tail)
+        WHEN 18 THEN concat('IMPS/ATM CASH/Pay to', tail)
+        ELSE concat('UPI/', c.c_name, '/',
+          CASE o.o_orderkey % 7 WHEN 0 THEN 'temp rever' WHEN 1 THEN 'savings oc' WHEN 2 THEN 'petrol bik'
+            WHEN 3 THEN 'milk' WHEN 4 THEN 'IRCTC ticket' WHEN 5 THEN 'rent au' ELSE 'Pay to' END, tail) END END AS remarks,
+    CASE WHEN o.o_orderstatus <> 'F' THEN amount END AS withdrawal,
+    CASE WHEN o.o_orderstatus = 'F' THEN amount END AS deposit,
     CAST(c.c_acctbal AS {MONEY}) AS balance
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
+  FROM (SELECT *, CAST(CASE WHEN o_orderkey % 19 = 10 THEN o_totalprice / 1000 ELSE o_totalprice END AS {MONEY}) AS amount,
+          concat('/Kotak Mahi/', lpad(CAST(o_orderkey AS VARCHAR), 12, '5'), '/ICI', md5(CAST(o_orderkey AS VARCHAR))) AS tail
+        FROM orders) o JOIN customer c ON o.o_custkey = c.c_custkey)"""
 
 
 def pick(key: str, values) -> str:
@@ -492,6 +498,44 @@ def q_monthly_trend() -> str:
                            f"AND b.month = {before} ORDER BY m.category, m.month")
 
 
+# The expected values of the following stand literally in the SQL: nothing is shared with the code under test.
+def q_date_formats() -> str:
+    return """SELECT o_orderkey AS s_no, CASE
+  WHEN o_orderkey % 22 IN (14, 15, 16) THEN NULL WHEN o_orderkey % 22 = 20 THEN '1969-01-01'
+  WHEN o_orderkey % 22 = 21 THEN '2068-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS txn_date FROM orders"""
+
+
+def q_amount_quality() -> str:
+    return """SELECT o_orderkey AS s_no,
+  CASE o_orderkey % 6 WHEN 0 THEN CAST(o_totalprice AS DECIMAL(18,2))::DOUBLE WHEN 4 THEN 1234.5 WHEN 5 THEN 12.0 END AS withdrawal,
+  o_orderkey % 6 IN (1, 2) AS amount_unparseable,
+  CASE WHEN o_orderkey % 6 IN (1, 2) THEN 'Unclear' ELSE 'Fuel' END AS category,
+  CASE WHEN o_orderkey % 6 IN (1, 2) THEN 'Low' ELSE 'High' END AS confidence FROM orders"""
+
+
+def q_lexicon_long_keywords() -> str:
+    return """SELECT o_orderkey AS s_no,
+  ['Bills', 'Bills', 'Insurance', 'Unclear', 'Codes'][o_orderkey % 5 + 1] AS category,
+  ['Card', '', 'Health', '', 'C1999'][o_orderkey % 5 + 1] AS subcategory,
+  ['High', 'High', 'Medium', 'Low', 'High'][o_orderkey % 5 + 1] AS confidence FROM orders"""
+
+
+def q_overwrite_results() -> str:
+    ctes, rel = reading_ctes("st")
+    c2, rel2 = category_rule_ctes(rel, party=None)
+    return with_ctes([STATEMENT] + ctes + c2, f"SELECT s_no, cleaned_remark, category, subcategory, confidence FROM {rel2}")
+
+
+def q_enrich_retry() -> str:
+    rem = fixtures.REMARK_REPLIES
+    s1 = f"e1 AS (SELECT *, {remark_prompt('remarks')} AS _p1 FROM st)"
+    s1r = (f"e2 AS (SELECT *, CASE WHEN _p1 IS NOT NULL THEN {pick('length(_p1)', rem)} END AS _r1, "
+           f"CASE WHEN _p1 IS NOT NULL THEN {failed('length(_p1)', rem)} END AS _e1 FROM e1)")
+    c1, rel1, cleaned, notes = remark_parse("pr", "e2", "_r1", "_e1")
+    return with_ctes([STATEMENT, s1, s1r] + c1, f"SELECT s_no, CASE WHEN _p1 IS NULL THEN '' ELSE {cleaned} END AS cleaned_remark, "
+                     f"CASE WHEN _p1 IS NULL THEN '' ELSE {notes} END AS notes_doubts FROM {rel1}")
+
+
 ORACLE = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
 
 

@@ -154,12 +154,21 @@ def derive_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(k % 7 == 2, "petrol bik").when(k % 7 == 3, "milk")
                .when(k % 7 == 4, "IRCTC ticket").when(k % 7 == 5, "rent au")
                .otherwise("Pay to"))
-    remark = F.concat(F.lit("UPI/"), F.col("c_name"), F.lit("/"), purpose,
-                      F.lit("/Kotak Mahi/"), F.lpad(key_text, 12, "5"),
-                      F.lit("/ICI"), F.md5(key_text))
+    tail = F.concat(F.lit("/Kotak Mahi/"), F.lpad(key_text, 12, "5"), F.lit("/ICI"), F.md5(key_text))
+    form = k % 19  # 0-9: the common form; the others make every reading and category rule fire
+    remark = (F.when(form == 10, F.concat(F.lit("NEFT/"), F.col("c_name"), F.lit("/Pay to"), tail))
+              .when(form == 11, F.concat(F.lit("IMPS/AMAZON/Pay to"), tail))
+              .when(form == 12, F.lit("Paytm"))
+              .when(form == 13, F.lpad(key_text, 12, "5"))
+              .when(form == 14, F.concat(F.lit("ICI"), F.md5(key_text)))
+              .when(form == 15, F.concat(F.lit("NEFT/ACME CORP/salary"), tail))
+              .when(form == 16, F.concat(F.lit("UPI/FAMILY TRUST/Pay to"), tail))
+              .when(form == 17, F.concat(F.lit("NEFT/FREELANCE DESK/payment fr"), tail))
+              .when(form == 18, F.concat(F.lit("IMPS/ATM CASH/Pay to"), tail))
+              .otherwise(F.concat(F.lit("UPI/"), F.col("c_name"), F.lit("/"), purpose, tail)))
     remarks = (F.when(k % 13 == 0, F.lit(None).cast("string"))
                .when(k % 13 == 1, F.lit("   ")).otherwise(remark))
-    amount = F.col("o_totalprice").cast(MONEY)
+    amount = (F.when(form == 10, F.col("o_totalprice") / 1000).otherwise(F.col("o_totalprice"))).cast(MONEY)
     return j.select(
         k.alias("s_no"),
         txn_date.alias("txn_date_raw"),
