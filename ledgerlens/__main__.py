@@ -11,16 +11,28 @@ question with the same backend after the summary.
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
+from pyspark.sql import SparkSession
+
 from ledgerlens.operators import summary
 from ledgerlens.operators.backends import ChatHttpBackend, Settings
 from ledgerlens.operators.enrich import enrich_statement
 from ledgerlens.operators.rules import RuleBackend
-from ledgerlens.session import build_session, materialize
+from ledgerlens.session import build_session, materialize, scratch_scope
 from ledgerlens.sources import default_output_path, read_statements, write_csv
 
 
+def _work_folder(output: str) -> dict:
+    """Where a local run without ``spark.checkpoint.dir`` keeps its replies: beside the output, so that the
+    next run finds what this one has paid for. A cluster's or an open session's own setting stands."""
+    session = SparkSession.getActiveSession()
+    if "PYSPARK_GATEWAY_PORT" in os.environ or (session and session.conf.get("spark.checkpoint.dir", None)):
+        return {}
+    return {"spark.checkpoint.dir": os.path.abspath(output) + ".work"}
+
+
 def main(argv=None) -> int:
     p = argparse.ArgumentParser(prog="ledgerlens", description="Enrich and summarise bank statements")
     p.add_argument("inputs", nargs="+", help="statement files or folders")
@@ -31,23 +43,27 @@ def main(argv=None) -> int:
     p.add_argument("--ask", default=None, help="one question to answer after the summary")
     a = p.parse_args(argv)
     fmt = a.format or ("xlsx" if a.inputs[0].lower().endswith(".xlsx") else "parquet")
-    spark = build_session(a.master)
+    output = a.output or default_output_path(a.inputs[0])
+    spark = build_session(a.master, extra=_work_folder(output))
     try:
-        settings = Settings.from_env()
-        backend = RuleBackend() if a.backend == "rules" else ChatHttpBackend.from_settings(settings)
-        st = read_statements(spark, a.inputs, fmt=fmt)
-        kw = {} if a.backend == "rules" else {
-            "remark": {"max_concurrency": settings.max_concurrency},
-            "category": {"max_concurrency": settings.max_concurrency}}
-        out = materialize(enrich_statement(st, backend, **kw), "enriched")
-        write_csv(out.drop("source_file") if len(a.inputs) == 1 else out,
-                  a.output or default_output_path(a.inputs[0]))
-        for r in summary.summary_report(out).collect():
-            print(f"{r['section']:<22} {r['label']}: {r['value']}")
-        if a.ask:
-            from ledgerlens.operators.chat import ask
-            qb = backend if isinstance(backend, ChatHttpBackend) else ChatHttpBackend.from_settings(settings)
-            print(ask(out, a.ask, qb))
+        with scratch_scope(spark):  # intermediate tables go when the job ends; replies stay
+            settings = Settings.from_env()
+            backend = RuleBackend() if a.backend == "rules" else ChatHttpBackend.from_settings(settings)
+            st = read_statements(spark, a.inputs, fmt=fmt)
+            kw = {} if a.backend == "rules" else {
+                "remark": {"max_concurrency": settings.max_concurrency},
+                "category": {"max_concurrency": settings.max_concurrency}}
+            out = materialize(enrich_statement(st, backend, **kw), "enriched")
+            write_csv(out.drop("source_file") if len(a.inputs) == 1 else out, output)
+            for r in summary.summary_report(out).toLocalIterator():  # a partition at a time, not all at once
+                print(f"{r['section']:<22} {r['label']}: {r['value']}")
+            q = summary.quality_counts(out).first()
+            if q["unparseable_amounts"] or q["unparsed_dates"]:
+                print(f"Not read: {q['unparseable_amounts']} amounts, {q['unparsed_dates']} dates of {q['rows']} rows", file=sys.stderr)
+            if a.ask:
+                from ledgerlens.operators.chat import ask
+                qb = backend if isinstance(backend, ChatHttpBackend) else ChatHttpBackend.from_settings(settings)
+                print(ask(out, a.ask, qb))
     except (FileNotFoundError, ValueError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

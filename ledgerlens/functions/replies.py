@@ -53,60 +53,6 @@ def strict_pattern(fields) -> str:
     return r"\{[^{}]*" + body + r"[^{}]*\}"
 
 
-def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def extract_object(reply: Column, fields) -> Column:
-    """Strict object if present, else first ``{`` to last ``}``; '' if none."""
-    strict = F.regexp_extract(reply, strict_pattern(fields), 0)
-    loose = F.regexp_extract(reply, LOOSE_PATTERN, 0)
-    return F.when(strict != "", strict).otherwise(loose)
-
-
-def _parse(js: Column) -> tuple[Column, Column]:
-    """(variant array, malformed flag). The ``[..]`` wrapper turns text after
-    the object into either a parse failure or a second element."""
-    v = F.try_parse_json(F.concat(F.lit("["), js, F.lit("]")))
-    malformed = v.isNull() | F.variant_get(v, "$[1]", "variant").isNotNull()
-    return v, malformed
-
-
-def _field(v: Column, name: str) -> tuple[Column, Column, Column]:
-    """(present, is_string, value) for one top-level key."""
-    path = f"$[0].{name}"
-    kind = F.schema_of_variant(F.variant_get(v, path, "variant"))
-    present = kind.isNotNull()
-    is_string = kind == F.lit("STRING")
-    value = F.try_variant_get(v, path, "string")
-    return present, is_string, value
-
-
-def parse_remark_reply(reply, error=None) -> Column:
-    """Reply text (+ backend error) -> struct<cleaned_remark, notes_doubts>."""
-    r = _c(reply)
-    err = _c(error) if error is not None else F.lit(None).cast("string")
-    js = extract_object(r, REMARK_FIELDS)
-    v, malformed = _parse(js)
-    fields = [_field(v, f) for f in REMARK_FIELDS]
-    bad_type = F.lit(False)
-    for present, is_string, _ in fields:
-        bad_type = bad_type | (present & ~is_string)
-    cleaned = py_strip(F.coalesce(fields[0][2], F.lit("")))
-    notes = py_strip(F.coalesce(fields[1][2], F.lit("")))
-    notes = F.when(F.lower(notes).isin(*NO_DOUBT_NOTES), F.lit(NO_DOUBT)).otherwise(notes)
-
-    def out(a, b):
-        return F.struct(a.alias("cleaned_remark"), b.alias("notes_doubts"))
-
-    e = F.lit("")
-    return (F.when(r.isNull(), out(e, F.concat(F.lit("Error: "), F.coalesce(err, F.lit("no reply")))))
-            .when(js == "", out(e, F.lit(ERR_NO_JSON)))
-            .when(malformed, out(F.substring(r, 1, FALLBACK_CHARS), F.lit(JSON_ERROR)))
-            .when(bad_type, out(e, F.lit(ERR_NOT_STRING)))
-            .otherwise(out(cleaned, notes)))
-
-
 def malformed_reply_category(reply: Column) -> Column:
     low = F.lower(reply)
     expr = None
@@ -118,36 +64,10 @@ def malformed_reply_category(reply: Column) -> Column:
     return expr.otherwise(F.lit(UNCLEAR))
 
 
-def parse_category_reply(reply) -> Column:
-    """Reply text -> struct<category, subcategory, confidence>."""
-    r = _c(reply)
-    js = extract_object(r, CATEGORY_FIELDS)
-    v, malformed = _parse(js)
-    fields = [_field(v, f) for f in CATEGORY_FIELDS]
-    bad_type = F.lit(False)
-    for present, is_string, _ in fields:
-        bad_type = bad_type | (present & ~is_string)
-    cat = py_strip(F.coalesce(fields[0][2], F.lit(UNCLEAR)))
-    sub = py_strip(F.coalesce(fields[1][2], F.lit("")))
-    conf = py_strip(F.coalesce(fields[2][2], F.lit(LOW)))
-    cat = F.when(cat == "", F.lit(UNCLEAR)).otherwise(cat)
-    conf = F.when(conf.isin(*CONFIDENCE_LEVELS), conf).otherwise(F.lit(LOW))
-
-    def out(a, b, c):
-        return F.struct(a.alias("category"), b.alias("subcategory"), c.alias("confidence"))
-
-    default = out(F.lit(UNCLEAR), F.lit(""), F.lit(LOW))
-    return (F.when(r.isNull() | (js == ""), default)
-            .when(malformed, out(malformed_reply_category(r), F.lit(""), F.lit(LOW)))
-            .when(bad_type, default)
-            .otherwise(out(cat, sub, conf)))
-
-
-# ------------------------------------------------------------------ staged
-# DataFrame-level versions. Each costly step (regex extract, JSON parse) is
-# its own projected column, referenced several times downstream, so the
-# optimizer keeps it as one evaluation per row instead of inlining copies
-# into every branch and every output field.
+# Each costly step (regex extract, JSON parse) is its own projected column,
+# referenced several times downstream, so the optimizer keeps it as one
+# evaluation per row instead of inlining copies into every branch. The ``[..]``
+# wrapper turns text after the object into a parse failure or a second element.
 
 def _staged(df: DataFrame, reply: str, fields, tmp: str) -> DataFrame:
     strict, js, v = f"{tmp}_strict", f"{tmp}_js", f"{tmp}_v"
