@@ -2,14 +2,17 @@
 
 Two texts whose shingle sets have Jaccard similarity t or more share a token
 among the first ``n - ceil(t n) + 1`` of each set, whichever global order the
-tokens are put in. Three orders are used: rarest first with two different
-tie-breaking hashes (the second with counts on a coarse scale), and a hash
-alone. Candidates come from the first order's postings; a pair must share a
-prefix token under every other order too before its sets are compared exactly.
-
-How common a token is comes from a fixed table of bucket counts over all
-documents, so common passages lie at the end of the order, outside nearly
-every prefix, and their posting lists are never built.
+tokens are put in. Three orders are used: rarest first, and two by hashes of
+their own. Candidates come from the first order's postings; a pair must share a
+prefix token under both other orders too before its sets are compared exactly.
+
+Rarest first needs every token's document frequency. Tokens whose hash falls in
+a fixed share of the hash range, twice that of a prefix, stand before all
+others in the order, so only they are counted (exactly, over all documents) and
+shuffled; a set too small to fill its prefix from them adds its next hashes. A
+document with enough tokens that nobody else has needs no further look: its
+prefix is settled by the counts alone. Common passages lie at the end of the
+order, outside nearly every prefix.
 
 Rows with the same set are one class from the start. Within a posting list
 classes are first compared with a pivot of the list, not with each other, and
@@ -32,51 +35,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.arrow import slices
 from ledgerlens.llm.components import components
-from ledgerlens.llm.count_sketch import bucket_counts
 from ledgerlens.llm.shingles import mixed, shingle_sets
 from ledgerlens.llm.tables import stored
 
-#: log2 of the token buckets (4 MB of counts) and of the bits that mark candidates (half a megabyte).
-TOKEN_BITS, ID_BITS = 20, 22
+#: log2 of the bits that mark ids (half a megabyte).
+ID_BITS = 22
+#: Hash orders after the first order.
+HASH_ORDERS = (1, 2)
+#: Share of the tokens that come first in the first order, in prefixes.
+COUNTED = 2
 #: Rounds in which lists are compared with a pivot, before all remaining pairs are.
 PIVOT_ROUNDS = 2
 
 
-def least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """ceil(num / den * n): tokens of a set that any similar set shares."""
-    return -(-n * num // den)
+def prefix_size(n, num: int, den: int):
+    """n - ceil(num / den * n) + 1 for sets that are not empty (arrays or columns of integers)."""
+    if isinstance(n, Column):
+        return n - F.floor((n * num + (den - 1)) / den).cast("bigint") + 1
+    return np.where(n > 0, n - -(-n * num // den) + 1, 0)
+
+
+def counted_below(num: int, den: int) -> int:
+    """Hashes below this belong to the counted share."""
+    return min((1 << 64) - 1, COUNTED * (den - num) * (1 << 64) // den)
+
 
+def hash_prefixes(hashes: np.ndarray, offsets: np.ndarray, num: int, den: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit tokens, offsets): the prefix of each set under the order of another hash."""
+    n = np.diff(offsets)
+    doc = np.repeat(np.arange(len(n)), n)
+    other = mixed(hashes, 100 + order)
+    placed = np.lexsort((other, doc))
+    length = prefix_size(n, num, den)
+    kept = placed[np.arange(len(hashes)) - offsets[:-1][doc] < length[doc]]
+    return (other[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.concatenate([[0], np.cumsum(length)])
 
-def prefixes(hashes: np.ndarray, offsets: np.ndarray, counts: np.ndarray, num: int, den: int,
-             order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit tokens, offsets): the prefix of each set under one global order."""
+
+def first_tokens(hashes: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, offsets, late): the counted tokens of each set, or its prefix size of smallest hashes if they are
+    fewer; ``late`` is the place in the order of a token that is not counted, else -1."""
     n = np.diff(offsets)
+    counts = np.concatenate([[0], np.cumsum(hashes < np.uint64(counted_below(num, den)))])
+    m = counts[offsets[1:]] - counts[offsets[:-1]]  # hashes ascend, so these are the first
+    length = np.maximum(m, prefix_size(n, num, den))
     doc = np.repeat(np.arange(len(n)), n)
-    tie = mixed(hashes, 100 + order)
-    common = counts[hashes >> np.uint64(64 - TOKEN_BITS)]
-    if order == 1:
-        common = np.floor(np.log2(common + 1)).astype(np.int64)
-    placed = np.lexsort((tie, doc)) if order >= 2 else np.lexsort((tie, common, doc))
-    length = np.where(n > 0, n - least_overlap(n, num, den) + 1, 0)
     rank = np.arange(len(hashes)) - offsets[:-1][doc]
-    kept = placed[rank < length[doc]]
-    return (tie[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.concatenate([[0], np.cumsum(length)])
+    at = np.flatnonzero(rank < length[doc])
+    late = np.where(rank[at] < m[doc[at]], -1, rank[at])
+    return at, np.concatenate([[0], np.cumsum(length)]), late
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets.astype(np.int32), values)
 
 
-def _digests(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def _digests(hashes: np.ndarray, offsets: np.ndarray, salt: int) -> list[np.ndarray]:
     """Two 64-bit sums of each set's mixed hashes."""
     out = []
-    for salt in (7, 8):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes, salt), dtype=np.uint64)])
+    for which in (0, 1):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes, 10 + 2 * salt + which), dtype=np.uint64)])
         out.append((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
     return out
 
@@ -93,67 +115,105 @@ def marked(ids: DataFrame, column: str = "doc_id", bits: int = ID_BITS) -> Colum
 
 
 class NgramJoin:
-    """The join of one table: ``k``-word shingles, similarity of at least ``num / den``."""
+    """The join of one table: ``k``-word shingles, similarity of at least ``num / den``. A node is a class of equal
+    sets, named by its digest."""
 
     def __init__(self, docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text"):
         if not 0 < num <= den or k < 1:
             raise ValueError("need 0 < num <= den and k >= 1")
-        self.k, self.num, self.den = k, num, den
+        self.k, self.num, self.den, self.salt = k, num, den, 0
         self.docs = docs.select(docs[f"`{id_col}`"].cast("bigint").alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
-        self.sc = docs.sparkSession.sparkContext
 
-    def common_tokens(self) -> np.ndarray:
-        """Documents with a token in each bucket."""
-        k = self.k
+    def signatures(self) -> DataFrame:
+        """``doc_id, n, m, node, check``: set size, counted tokens, digest."""
+        k, num, den, salt = self.k, self.num, self.den, self.salt
 
-        def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-            for part in slices(iter([batch]), "text"):
-                yield (shingle_sets(part.column("text"), k)[0] >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
-        return bucket_counts(self.docs.select("text"), buckets, 1 << TOKEN_BITS)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                hashes, offsets = shingle_sets(batch.column("text"), k)
+                counted = np.concatenate([[0], np.cumsum(hashes < np.uint64(counted_below(num, den)))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(counted[offsets[1:]] - counted[offsets[:-1]]),
+                     *map(pa.array, _digests(hashes, offsets, salt))], ["doc_id", "n", "m", "node", "check"])
+        return self.docs.mapInArrow(run, "doc_id bigint, n bigint, m bigint, node bigint, check bigint")
+
+    def _texts_of(self, ids: DataFrame) -> DataFrame:
+        """The rows whose id is in ``ids`` (doc_id). A bit map of fixed size keeps most others out of the shuffle."""
+        return self.docs.where(F.col("doc_id").isNotNull() & marked(ids)).hint("merge").join(ids, "doc_id", "left_semi")
 
-    def signatures(self, counts) -> DataFrame:
-        """``doc_id, n, d1, d2, prefix``: set size, digest and prefix under the first order."""
-        k, num, den = self.k, self.num, self.den
+    def postings(self, signed: DataFrame, classes: DataFrame) -> DataFrame:
+        """``token, node, late`` of one row of every class, that of its smallest id."""
+        k, num, den, salt = self.k, self.num, self.den, self.salt
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 hashes, offsets = shingle_sets(batch.column("text"), k)
-                d1, d2 = _digests(hashes, offsets)
-                prefix = _lists(*prefixes(hashes, offsets, counts.value, num, den, 0))
+                at, ends, late = first_tokens(hashes, offsets, num, den)
+                doc = np.repeat(np.arange(batch.num_rows), np.diff(ends))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(d1), pa.array(d2), prefix],
-                    ["doc_id", "n", "d1", "d2", "prefix"])
-        return self.docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<int>")
-
-    def sets(self, wanted: DataFrame, counts) -> DataFrame:
-        """``doc_id, n, tokens, second, third``: sorted hashes and further prefixes of the documents in ``wanted``
-        (doc_id). A bit map of fixed size keeps most other texts out of the shuffle of the semi-join."""
-        k, num, den = self.k, self.num, self.den
+                    [pa.array(hashes[at].view(np.int64)), pa.array(_digests(hashes, offsets, salt)[0][doc]),
+                     pa.array(late.astype(np.int32)), batch.column("doc_id").take(pa.array(doc))],
+                    ["token", "node", "late", "doc_id"])
+        schema = "token bigint, node bigint, late int, doc_id bigint"
+        # Rows that are not their class's first one go, and ids on several rows are looked at by themselves.
+        ids = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("node").alias("node"))
+        ids = ids.hint("merge").join(classes.select("node", "rep"), "node")
+        odd = stored(ids.where("rows > 1 OR rep != doc_id").select("doc_id", (F.col("rows") > 1).alias("repeats")), "not-first")
+        odd_ids = odd.select("doc_id")
+        maybe = marked(odd_ids)
+        known = self.docs.where("doc_id IS NOT NULL")
+        plain = known.where(~maybe).unionAll(known.where(maybe).hint("merge").join(odd_ids, "doc_id", "left_anti"))
+        rows = plain.mapInArrow(run, schema)
+        again = odd.where("repeats").select("doc_id")
+        if not again.isEmpty():
+            more = self._texts_of(again).mapInArrow(run, schema).hint("merge").join(
+                classes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
+            rows = rows.unionAll(more.select("token", "node", "late", "doc_id").dropDuplicates(["token", "node"]))
+        return rows.select("token", "node", "late")
+
+    def prefixes(self, signed: DataFrame, classes: DataFrame) -> DataFrame:
+        """``token, node, n, pos``: tokens of the first order's prefixes that more than one class has."""
+        rows = self.postings(signed, classes)
+        shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        rows = stored(rows.hint("merge").join(shared, "token"), "shared-tokens")
+        own = Window.partitionBy("node")
+        early = F.col("late") < 0
+        rows = rows.hint("merge").join(classes.select("node", "n", "m"), "node")
+        rows = rows.withColumn("alone", F.col("m") - F.count(F.when(early, 1)).over(own))  # counted tokens of this class only
+        rows = rows.withColumn("rank", F.row_number().over(own.orderBy(F.when(early, F.lit(0)).otherwise(F.lit(1)), "df", "token")))
+        rows = rows.withColumn("pos", F.when(early, F.col("alone") + F.col("rank") - 1).otherwise(F.col("late")))
+        return rows.where(F.col("pos") < prefix_size(F.col("n"), self.num, self.den)).select("token", "node", "n", "pos")
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``node, n, tokens, second, third``: sorted hashes and the other orders' prefixes of the rows with the ids in
+        ``wanted`` (doc_id)."""
+        k, num, den, salt = self.k, self.num, self.den, self.salt
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 hashes, offsets = shingle_sets(batch.column("text"), k)
                 raw = hashes.astype("<u8").tobytes()
                 tokens = pa.array([raw[8 * a:8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
-                others = [_lists(*prefixes(hashes, offsets, counts.value, num, den, order)) for order in (1, 2)]
+                others = [_lists(*hash_prefixes(hashes, offsets, num, den, order)) for order in HASH_ORDERS]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.diff(offsets)), tokens, *others], ["doc_id", "n", "tokens", "second", "third"])
-        texts = self.docs.where(F.col("doc_id").isNotNull() & marked(wanted)).hint("merge").join(wanted, "doc_id", "left_semi")
-        return texts.mapInArrow(run, "doc_id bigint, n bigint, tokens binary, second array<int>, third array<int>")
+                    [pa.array(_digests(hashes, offsets, salt)[0]), pa.array(np.diff(offsets)), tokens, *others],
+                    ["node", "n", "tokens", "second", "third"])
+        return self._texts_of(wanted).mapInArrow(run, "node bigint, n bigint, tokens binary, second array<int>, third array<int>")
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar: the other orders' filters, then the sets themselves."""
         num, den = self.num, self.den
-        narrow = sets.select("doc_id", "n", "second", "third")
-        a = narrow.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("second").alias("second_a"), F.col("third").alias("third_a"))
-        b = narrow.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("second").alias("second_b"), F.col("third").alias("third_b"))
-        near = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-        passed = (pairs.hint("merge").join(a, "a").hint("merge").join(b, "b")
+
+        def side(name: str, *columns: str) -> DataFrame:
+            return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+        near = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+        passed = (pairs.hint("merge").join(side("a", "n", "second", "third"), "a").hint("merge").join(side("b", "n", "second", "third"), "b")
                   .where(near & F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
                   .select("a", "b").distinct())
-        left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"))
-        whole = passed.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "tokens_a", "tokens_b")
+        passed = stored(passed, "candidates")
+        whole = (passed.hint("merge").join(side("a", "tokens"), "a").hint("merge").join(side("b", "tokens"), "b")
+                 .select("a", "b", "tokens_a", "tokens_b"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -165,21 +225,26 @@ class NgramJoin:
                     shared = int((both[1:] == both[:-1]).sum())
                     same.append(shared * den >= (len(both) - shared) * num)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(same, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-        return whole.mapInArrow(run, "a bigint, b bigint")
+        return whole.mapInArrow(run, "a bigint, b bigint").distinct()
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
-        """(signatures; ``n, d1, d2, rep, label``: the component of every class of equal sets)."""
-        num, den = self.num, self.den
-        counts = self.sc.broadcast(self.common_tokens())
-        signed = stored(self.signatures(counts), "signatures")
-        reps = stored(signed.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-        postings = reps.where("n > 0 AND rep IS NOT NULL").select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+        """(signatures; ``n, node, check, label``: the smallest id of the component of every class)."""
+        while True:
+            signed = stored(self.signatures(), "signatures")
+            classes = stored(signed.where("n > 0").groupBy("n", "node", "check").agg(
+                F.min("doc_id").alias("rep"), F.first("m").alias("m")), "classes")
+            if classes.groupBy("node").count().where("count > 1").isEmpty():
+                break
+            self.salt += 1  # two classes with one name: name them anew
+        named = classes.where("rep IS NOT NULL")
+        postings = stored(self.prefixes(signed, named), "prefixes")
         mask = F.xxhash64("token")  # another pivot for each list
-        lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("rep").bitwiseXOR(mask)).alias("low")).where(
+        lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("node").bitwiseXOR(mask)).alias("low")).where(
             "size > 1").select("token", F.col("low").bitwiseXOR(mask).alias("pivot"))
         shared = stored(postings.hint("merge").join(lists, "token"), "postings")
-        wanted = stored(shared.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
-        sets = stored(self.sets(wanted, counts), "sets")
+        wanted = stored(shared.select("node").distinct().hint("merge").join(named, "node").select(
+            F.col("rep").alias("doc_id")).distinct(), "wanted")
+        sets = stored(self.sets(wanted), "sets")
 
         edges, labels = None, None
         for i in range(PIVOT_ROUNDS + 1):
@@ -190,16 +255,18 @@ class NgramJoin:
             if i and found.isEmpty():
                 continue
             labels = components(edges)
-        out = reps.drop("prefix").hint("merge").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        return signed, out.withColumn("label", F.coalesce("label", "rep"))
+        least = labels.hint("merge").join(named.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
+        least = stored(labels.hint("merge").join(least, "label").select("node", "least"), "component-ids")
+        out = classes.select("n", "node", "check", "rep").hint("merge").join(least, "node", "left")
+        return signed, out.select("n", "node", "check", F.coalesce("least", "rep").alias("label"))
 
     @staticmethod
     def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
         """Postings, with the label of each class, of the lists that hold several components; ``main`` is the most
         frequent one, the pivot the smallest class of it."""
-        known = shared.select("token", "rep", "n", "pos").hint("merge").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        known = stored(known.withColumn("label", F.coalesce("label", "rep")), "labelled")
-        by_label = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least"))
+        known = shared.select("token", "node", "n", "pos").hint("merge").join(labels, "node", "left")
+        known = stored(known.withColumn("label", F.coalesce("label", "node")), "labelled")
+        by_label = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
         lists = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", "size").alias("main"),
                                               F.max_by("least", "size").alias("pivot")).where("labels > 1").drop("labels")
         return known.hint("merge").join(lists, "token")
@@ -207,32 +274,32 @@ class NgramJoin:
     @staticmethod
     def _pivot_pairs(rows: DataFrame) -> DataFrame:
         """Each class with one pivot of its lists; in later rounds only where their components differ."""
-        rows = rows.where("rep != pivot") if "label" not in rows.columns else rows.where("label != main")
-        mask = F.xxhash64("rep")
-        chosen = rows.groupBy("rep").agg(F.min(F.col("pivot").bitwiseXOR(mask)).alias("low")).select(
-            "rep", F.col("low").bitwiseXOR(mask).alias("pivot"))
-        return chosen.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        rows = rows.where("node != pivot") if "label" not in rows.columns else rows.where("label != main")
+        mask = F.xxhash64("node")
+        chosen = rows.groupBy("node").agg(F.min(F.col("pivot").bitwiseXOR(mask)).alias("low")).select(
+            "node", F.col("low").bitwiseXOR(mask).alias("pivot"))
+        return chosen.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
     def _all_pairs(self, rows: DataFrame) -> DataFrame:
         """Every pair of a list whose components differ, by size and position: what follows the first shared token
         must leave room for the overlap."""
         num, den = self.num, self.den
         rows = stored(rows, "open")
-        x = rows.where("label != main").select("token", *[F.col(c).alias(c + "_x") for c in ("rep", "n", "pos", "label")])
-        y = rows.select("token", "main", *[F.col(c).alias(c + "_y") for c in ("rep", "n", "pos", "label")])
+        x = rows.where("label != main").select("token", *[F.col(c).alias(c + "_x") for c in ("node", "n", "pos", "label")])
+        y = rows.select("token", "main", *[F.col(c).alias(c + "_y") for c in ("node", "n", "pos", "label")])
         room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
         meet = ((x["token"] == y["token"]) & (F.col("label_x") != F.col("label_y"))
-                & ((F.col("label_y") == F.col("main")) | (F.col("rep_x") < F.col("rep_y")))
+                & ((F.col("label_y") == F.col("main")) | (F.col("node_x") < F.col("node_y")))
                 & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
                 & (room * (num + den) >= (F.col("n_x") + F.col("n_y")) * num))
         return x.hint("merge").join(y, meet).select(
-            F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+            F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def join_components(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the smallest id reachable by links, itself included."""
     signed, classes = NgramJoin(docs, k, num, den, id_col, text_col).classes()
-    rows = signed.select("doc_id", "n", "d1", "d2").where("n > 0").hint("merge").join(classes.drop("rep"), ["n", "d1", "d2"])
+    rows = signed.select("doc_id", "n", "node", "check").where("n > 0").hint("merge").join(classes, ["n", "node", "check"])
     alone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id")).unionAll(alone)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -189,15 +190,40 @@ def test_join_components_on_awkward_rows(spark, awkward, nothing):
 def test_prefixes_of_similar_sets_meet_under_every_order():
     rows = near_rows(5)
     hashes, at = shingle_sets(pa.array([t for _, t in rows]), 2)
-    import numpy as np
-    counts = np.bincount((hashes >> np.uint64(64 - ngram_join.TOKEN_BITS)).astype(np.int64), minlength=1 << ngram_join.TOKEN_BITS)
-    for order in range(3):
-        tokens, ends = ngram_join.prefixes(hashes, at, counts, 3, 5, order)
-        for x in range(len(rows)):
-            for y in range(x):
-                a, b = set(hashes[at[x]:at[x + 1]]), set(hashes[at[y]:at[y + 1]])
-                if a and 5 * len(a & b) >= 3 * len(a | b):
-                    assert set(tokens[ends[x]:ends[x + 1]]) & set(tokens[ends[y]:ends[y + 1]])
+    below = ngram_join.counted_below(3, 5)
+    df = {}
+    for h in hashes.tolist():
+        df[h] = df.get(h, 0) + 1
+    first = []
+    for a, b in zip(at, at[1:]):
+        own = sorted(hashes[a:b].tolist(), key=lambda h: (h >= below, df[h] if h < below else 0, h))
+        first.append(own[:int(ngram_join.prefix_size(np.array([b - a]), 3, 5)[0])])
+    others = [ngram_join.hash_prefixes(hashes, at, 3, 5, order) for order in ngram_join.HASH_ORDERS]
+    places, ends, late = ngram_join.first_tokens(hashes, at, 3, 5)
+    for x in range(len(rows)):
+        posted = hashes[places[ends[x]:ends[x + 1]]].tolist()
+        assert set(first[x]) <= set(posted) and all((h >= below) == (k >= 0) for h, k in zip(posted, late[ends[x]:ends[x + 1]]))
+        for y in range(x):
+            a, b = set(hashes[at[x]:at[x + 1]]), set(hashes[at[y]:at[y + 1]])
+            if a and 5 * len(a & b) >= 3 * len(a | b):
+                assert set(first[x]) & set(first[y])
+                assert all(set(t[e[x]:e[x + 1]]) & set(t[e[y]:e[y + 1]]) for t, e in others)
+
+
+def test_classes_with_one_name_are_named_anew(spark, monkeypatch):
+    plain = ngram_join._digests
+    monkeypatch.setattr(ngram_join, "_digests", lambda h, o, salt: [x * (salt > 0) if i == 0 else x for i, x in enumerate(plain(h, o, salt))])
+    join = ngram_join.NgramJoin(frame(spark, [(1, "a b c d e"), (2, "a b c d e"), (3, "x y z")]), 3, 9, 10)
+    signed, classes = join.classes()
+    assert join.salt == 1 and sorted(r["label"] for r in classes.collect()) == [1, 3]
+
+
+def test_ids_on_several_rows(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(5, text), (5, text.upper()), (5, "quite another text than that one here"), (3, "quite another text than that one here"),
+            (8, text + " end"), (8, text + " end"), (9, text + "  END")]
+    got = sorted(map(tuple, ngram_join.join_components(frame(spark, rows), 3, 9, 10).collect()))
+    assert got == [(3, 5, 3), (5, 5, 3), (5, 38, 5), (5, 38, 5), (8, 39, 5), (8, 39, 5), (9, 39, 5)]
 
 
 def test_components_of_chains_and_hubs(spark):
