@@ -139,7 +139,7 @@ class NgramJoin:
 
     def _texts_of(self, ids: DataFrame) -> DataFrame:
         """The rows whose id is in ``ids`` (doc_id). A bit map of fixed size keeps most others out of the shuffle."""
-        return self.docs.where(F.col("doc_id").isNotNull() & marked(ids)).hint("merge").join(ids, "doc_id", "left_semi")
+        return self.docs.where(F.col("doc_id").isNotNull() & marked(ids)).join(ids, "doc_id", "left_semi")
 
     def postings(self, signed: DataFrame, classes: DataFrame) -> DataFrame:
         """``token, node, late`` of one row of every class, that of its smallest id."""
@@ -158,32 +158,33 @@ class NgramJoin:
         # Rows that are not their class's first one go, and ids on several rows are looked at by themselves.
         ids = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
             F.count(F.lit(1)).alias("rows"), F.min("node").alias("node"))
-        ids = ids.hint("merge").join(classes.select("node", "rep"), "node")
+        ids = ids.join(classes.select("node", "rep"), "node")
         odd = stored(ids.where("rows > 1 OR rep != doc_id").select("doc_id", (F.col("rows") > 1).alias("repeats")), "not-first")
         odd_ids = odd.select("doc_id")
         maybe = marked(odd_ids)
         known = self.docs.where("doc_id IS NOT NULL")
-        plain = known.where(~maybe).unionAll(known.where(maybe).hint("merge").join(odd_ids, "doc_id", "left_anti"))
+        plain = known.where(~maybe).unionAll(known.where(maybe).join(odd_ids, "doc_id", "left_anti"))
         rows = plain.mapInArrow(run, schema)
         again = odd.where("repeats").select("doc_id")
         if not again.isEmpty():
-            more = self._texts_of(again).mapInArrow(run, schema).hint("merge").join(
+            more = self._texts_of(again).mapInArrow(run, schema).join(
                 classes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
             rows = rows.unionAll(more.select("token", "node", "late", "doc_id").dropDuplicates(["token", "node"]))
         return rows.select("token", "node", "late")
 
     def prefixes(self, signed: DataFrame, classes: DataFrame) -> DataFrame:
-        """``token, node, n, pos``: tokens of the first order's prefixes that more than one class has."""
+        """``token, node, n, pos, alone``: tokens of the first order's prefixes that more than one class has;
+        ``alone`` counts the class's tokens that no other has."""
         rows = self.postings(signed, classes)
         shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        rows = stored(rows.hint("merge").join(shared, "token"), "shared-tokens")
+        rows = stored(rows.join(shared, "token"), "shared-tokens")
         own = Window.partitionBy("node")
         early = F.col("late") < 0
-        rows = rows.hint("merge").join(classes.select("node", "n", "m"), "node")
+        rows = rows.join(classes.select("node", "n", "m"), "node")
         rows = rows.withColumn("alone", F.col("m") - F.count(F.when(early, 1)).over(own))  # counted tokens of this class only
         rows = rows.withColumn("rank", F.row_number().over(own.orderBy(F.when(early, F.lit(0)).otherwise(F.lit(1)), "df", "token")))
         rows = rows.withColumn("pos", F.when(early, F.col("alone") + F.col("rank") - 1).otherwise(F.col("late")))
-        return rows.where(F.col("pos") < prefix_size(F.col("n"), self.num, self.den)).select("token", "node", "n", "pos")
+        return rows.where(F.col("pos") < prefix_size(F.col("n"), self.num, self.den)).select("token", "node", "n", "pos", "alone")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """``node, n, tokens, second, third``: sorted hashes and the other orders' prefixes of the rows with the ids in
@@ -208,11 +209,11 @@ class NgramJoin:
         def side(name: str, *columns: str) -> DataFrame:
             return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
         near = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-        passed = (pairs.hint("merge").join(side("a", "n", "second", "third"), "a").hint("merge").join(side("b", "n", "second", "third"), "b")
+        passed = (pairs.join(side("a", "n", "second", "third"), "a").join(side("b", "n", "second", "third"), "b")
                   .where(near & F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
                   .select("a", "b").distinct())
         passed = stored(passed, "candidates")
-        whole = (passed.hint("merge").join(side("a", "tokens"), "a").hint("merge").join(side("b", "tokens"), "b")
+        whole = (passed.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
                  .select("a", "b", "tokens_a", "tokens_b"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,53 +239,61 @@ class NgramJoin:
             self.salt += 1  # two classes with one name: name them anew
         named = classes.where("rep IS NOT NULL")
         postings = stored(self.prefixes(signed, named), "prefixes")
-        mask = F.xxhash64("token")  # another pivot for each list
-        lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("node").bitwiseXOR(mask)).alias("low")).where(
-            "size > 1").select("token", F.col("low").bitwiseXOR(mask).alias("pivot"))
-        shared = stored(postings.hint("merge").join(lists, "token"), "postings")
-        wanted = stored(shared.select("node").distinct().hint("merge").join(named, "node").select(
+        lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", self._central()).alias("pivot")).where("size > 1")
+        shared = stored(postings.join(lists, "token"), "postings")
+        wanted = stored(shared.select("node").distinct().join(named, "node").select(
             F.col("rep").alias("doc_id")).distinct(), "wanted")
         sets = stored(self.sets(wanted), "sets")
 
         edges, labels = None, None
         for i in range(PIVOT_ROUNDS + 1):
-            rows = shared if labels is None else self._open(shared, labels)
+            rows = shared if labels is None else stored(self._open(shared, labels), "open")
+            if labels is not None and rows.isEmpty():
+                break
             pairs = self._pivot_pairs(rows) if i < PIVOT_ROUNDS else self._all_pairs(rows)
             found = stored(self.links(pairs, sets), "links")
             edges = found if edges is None else edges.unionAll(found)
             if i and found.isEmpty():
                 continue
             labels = components(edges)
-        least = labels.hint("merge").join(named.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
-        least = stored(labels.hint("merge").join(least, "label").select("node", "least"), "component-ids")
-        out = classes.select("n", "node", "check", "rep").hint("merge").join(least, "node", "left")
+        least = labels.join(named.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
+        least = stored(labels.join(least, "label").select("node", "least"), "component-ids")
+        out = classes.select("n", "node", "check", "rep").join(least, "node", "left")
         return signed, out.select("n", "node", "check", F.coalesce("least", "rep").alias("label"))
 
     @staticmethod
-    def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    def _central() -> Column:
+        """Least for the class of a list with the fewest tokens of its own: of near copies with edits each, the text
+        they were made from, to which all are nearer than to each other. Ties by a hash, another one in every list."""
+        return F.col("alone") * (1 << 32) + F.xxhash64("token", "node").bitwiseAND((1 << 32) - 1)
+
+    @classmethod
+    def _open(cls, shared: DataFrame, labels: DataFrame) -> DataFrame:
         """Postings, with the label of each class, of the lists that hold several components; ``main`` is the most
-        frequent one, the pivot the smallest class of it."""
-        known = shared.select("token", "node", "n", "pos").hint("merge").join(labels, "node", "left")
+        frequent one, the pivot its central class."""
+        known = shared.select("token", "node", "n", "pos", "alone").join(labels, "node", "left")
         known = stored(known.withColumn("label", F.coalesce("label", "node")), "labelled")
-        by_label = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
+        by_label = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", cls._central()).alias("central"))
         lists = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", "size").alias("main"),
-                                              F.max_by("least", "size").alias("pivot")).where("labels > 1").drop("labels")
-        return known.hint("merge").join(lists, "token")
+                                              F.max_by("central", "size").alias("pivot")).where("labels > 1").drop("labels")
+        return known.join(lists, "token")
 
     @staticmethod
     def _pivot_pairs(rows: DataFrame) -> DataFrame:
-        """Each class with one pivot of its lists; in later rounds only where their components differ."""
-        rows = rows.where("node != pivot") if "label" not in rows.columns else rows.where("label != main")
-        mask = F.xxhash64("node")
-        chosen = rows.groupBy("node").agg(F.min(F.col("pivot").bitwiseXOR(mask)).alias("low")).select(
-            "node", F.col("low").bitwiseXOR(mask).alias("pivot"))
-        return chosen.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        """Each class with one pivot of its lists, that of its longest list; in later rounds with one of any list, only
+        where their components differ."""
+        hashed = F.xxhash64("token", "node").bitwiseAND((1 << 32) - 1)
+        if "label" in rows.columns:
+            rows, chosen = rows.where("label != main"), F.max_by("pivot", hashed)
+        else:
+            rows, chosen = rows.where("node != pivot"), F.max_by("pivot", F.col("size") * (1 << 32) + hashed)
+        return rows.groupBy("node").agg(chosen.alias("pivot")).select(
+            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
     def _all_pairs(self, rows: DataFrame) -> DataFrame:
         """Every pair of a list whose components differ, by size and position: what follows the first shared token
         must leave room for the overlap."""
         num, den = self.num, self.den
-        rows = stored(rows, "open")
         x = rows.where("label != main").select("token", *[F.col(c).alias(c + "_x") for c in ("node", "n", "pos", "label")])
         y = rows.select("token", "main", *[F.col(c).alias(c + "_y") for c in ("node", "n", "pos", "label")])
         room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
@@ -292,14 +301,14 @@ class NgramJoin:
                 & ((F.col("label_y") == F.col("main")) | (F.col("node_x") < F.col("node_y")))
                 & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
                 & (room * (num + den) >= (F.col("n_x") + F.col("n_y")) * num))
-        return x.hint("merge").join(y, meet).select(
+        return x.join(y, meet).select(
             F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def join_components(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the smallest id reachable by links, itself included."""
     signed, classes = NgramJoin(docs, k, num, den, id_col, text_col).classes()
-    rows = signed.select("doc_id", "n", "node", "check").where("n > 0").hint("merge").join(classes, ["n", "node", "check"])
+    rows = signed.select("doc_id", "n", "node", "check").where("n > 0").join(classes, ["n", "node", "check"])
     alone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id")).unionAll(alone)
 
@@ -314,6 +323,6 @@ def drop_near_copies(docs: DataFrame, k: int, num: int, den: int, id_col: str =
     slot = docs.withColumn("__near_id", docs[f"`{id_col}`"].cast("bigint"))
     maybe = marked(goes, "__near_id")
     stays = slot.where(F.col("__near_id").isNull() | ~maybe)
-    looked = slot.where(F.col("__near_id").isNotNull() & maybe).hint("merge").join(
+    looked = slot.where(F.col("__near_id").isNotNull() & maybe).join(
         goes.select(F.col("doc_id").alias("__near_gone")), F.col("__near_id") == F.col("__near_gone"), "left_anti")
     return stays.unionAll(looked).drop("__near_id")
