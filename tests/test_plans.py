@@ -157,7 +157,7 @@ def test_skew_handling_of_the_joins(spark, tmp_path):
 
         ids = spark.range(30000)
         hot = F.col("id") % 3 == 0
-        desc = ids.select(F.col("id").alias("s_no"), F.when(hot, F.lit("petrol")).otherwise(
+        desc = ids.select(F.col("id").alias("s_no"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("pad"), F.when(hot, F.lit("petrol")).otherwise(
             F.concat(F.lit("w"), F.col("id").cast("string"))).alias("cleaned_remark"))
         lex = rules.categorise_with_lexicon_table(desc, rules.lexicon_frame(spark))
         assert "skew=true" in final_plan(lex)
