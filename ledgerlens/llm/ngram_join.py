@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.arrow import slices
 from ledgerlens.llm.components import components
 from ledgerlens.llm.shingles import mixed, shingle_sets
-from ledgerlens.llm.tables import stored
+from ledgerlens.llm.tables import arrow_rows, stored
 
 #: log2 of the bits that mark ids (half a megabyte).
 ID_BITS = 22
@@ -49,6 +49,8 @@ ID_BITS = 22
 HASH_ORDERS = (1, 2)
 #: Share of the tokens that come first in the first order, in prefixes.
 COUNTED = 2
+#: Pairs of whole sets that a task compares at a time.
+PAIRS_AT_ONCE = 200
 #: Rounds in which lists are compared with a pivot, before all remaining pairs are.
 PIVOT_ROUNDS = 2
 
@@ -251,7 +253,8 @@ class NgramJoin:
             if labels is not None and rows.isEmpty():
                 break
             pairs = self._pivot_pairs(rows) if i < PIVOT_ROUNDS else self._all_pairs(rows)
-            found = stored(self.links(pairs, sets), "links")
+            with arrow_rows(self.docs.sparkSession, PAIRS_AT_ONCE):
+                found = stored(self.links(pairs, sets), "links")
             edges = found if edges is None else edges.unionAll(found)
             if i and found.isEmpty():
                 continue
