@@ -252,7 +252,7 @@ class NgramJoin:
             rows = shared if labels is None else stored(self._open(shared, labels), "open")
             if labels is not None and rows.isEmpty():
                 break
-            pairs = self._pivot_pairs(rows) if i < PIVOT_ROUNDS else self._all_pairs(rows)
+            pairs = self._pivot_pairs(rows) if i < PIVOT_ROUNDS else self._all_pairs(stored(self._placed(rows, sets, labels), "placed"))
             with arrow_rows(self.docs.sparkSession, PAIRS_AT_ONCE):
                 found = stored(self.links(pairs, sets), "links")
             edges = found if edges is None else edges.unionAll(found)
@@ -293,6 +293,25 @@ class NgramJoin:
         return rows.groupBy("node").agg(chosen.alias("pivot")).select(
             F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
+    def _placed(self, rows: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """Postings as in :meth:`_open`, but of the open classes alone and by the counts of all their tokens. Any pair
+        still to be found is among them, and rarest first is a global order of their tokens too; with every token
+        counted, a class's own ones push its shared ones as far back as they belong."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for node, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                    tokens = np.frombuffer(raw, "<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), node)), pa.array(np.full(len(tokens), n))],
+                                                     ["token", "node", "n"])
+        nodes = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "tokens").dropDuplicates(["node"])
+        tokens = stored(nodes.mapInArrow(run, "token bigint, node bigint, n bigint"), "open-tokens")
+        shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        own = Window.partitionBy("node")
+        placed = tokens.join(shared, "token").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own))
+        placed = placed.withColumn("pos", F.col("alone") + F.row_number().over(own.orderBy("df", "token")) - 1)
+        placed = placed.where(F.col("pos") < prefix_size(F.col("n"), self.num, self.den)).select("token", "node", "n", "pos", "alone")
+        return self._open(placed, labels)
+
     def _all_pairs(self, rows: DataFrame) -> DataFrame:
         """Every pair of a list whose components differ, by size and position: what follows the first shared token
         must leave room for the overlap."""
