@@ -1,8 +1,10 @@
 """Toxicity, quality, URL and licence operators: held-out accuracy and brute force."""
 
+import os
 import random
 import re
 import zlib
+from importlib import metadata
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import license_scan, quality, toxicity, url_filter
+from ledgerlens.llm.license_texts import TEXTS
 from ledgerlens.llm.queries import URL_RULES
 from ledgerlens.llm.tables import in_fold
 from tests.llm.conftest import ROWS, frame
@@ -215,3 +218,48 @@ def test_license_scan_finds_every_notice_line(spark):
     want = {r["doc_id"]: told[line] for r in docs.collect() for line in r["text"].split("\n") if line in told}
     got = {r["doc_id"]: r["license"] for r in license_scan.licenses(docs).where("via = 'own'").collect()}
     assert got == want and want
+
+
+#: Texts of installed packages; none of them is among the templates.
+INSTALLED = [("MPL-2.0", "hypothesis", "LICENSE.txt"), ("BSD-2-Clause", "xxhash", "LICENSE"), ("MIT", "pyspark", "LICENSE-jquery.txt"),
+             ("BSD-3-Clause", "pyspark", "LICENSE-join.txt"), ("CC0-1.0", "pyspark", "LICENSE-CC0.txt")]
+HEADERS = [
+    ("MPL-2.0", "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed\n# with this file, get one.\nimport os\n" + "x = some_words(y)\n" * 60),
+    ("MIT", "This small tool was written in a week. Released under the MIT License. Its authors take no money for it, whatever you do.\n" + "more prose\n" * 90),
+    ("Apache-2.0", "/*\n * (c) 2020 Some Firm. All rights reserved.\n *\n * Licensed under the Apache\n * License, Version 2.0.\n */\n" + "int a = b;\n" * 90),
+    ("LGPL-2.1", "rem Licensed under the GNU Lesser General\nrem Public License, version 2.1.\n" + "echo some words\n" * 90),
+    ("MIT", "/*\n" + "\n".join(f" * {line}" for line in dict(TEXTS)["MIT"].split("\n")) + "\n */\n" + "int a = other_name(b);\n" * 200),
+    ("BSD-2-Clause", "\n".join(f"// {line}" for line in dict(TEXTS)["BSD-2-Clause"].split("\n")) + "\nint a = other_name(b);\n" * 200),
+    (None, "released under the license agreement of the firm\n" + "more prose\n" * 90),
+    (None, "Wer the license of the driver mit his car wants, must pay\n" + "more prose\n" * 90),
+]
+
+
+def test_license_texts_and_wrapped_headers(spark):
+    files = [(name, f"{k}/LICENSE", next(f for f in metadata.files(package) if f.name == file).read_text())
+             for k, (name, package, file) in enumerate(INSTALLED)]
+    common = "/usr/share/common-licenses/"
+    files += [(name, f"c/{file}/text", open(common + file).read()) for name, file in
+              (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("LGPL-3.0", "LGPL-3"), ("BSD-3-Clause", "BSD")) if os.path.exists(common + file)]
+    files += [(name, f"h/{k}/x.c", text) for k, (name, text) in enumerate(HEADERS)]
+    df = spark.createDataFrame([(i, p, t) for i, (_, p, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.licenses(df).collect()}
+    assert [got[i] for i in range(len(files))] == [name for name, _, _ in files]
+    declared = {r["path"] for r in license_scan.scan(df).where("declares").collect()}
+    assert declared == {p for _, p, _ in files if not p.startswith("h/")}
+
+
+def test_license_windows_against_brute_force():
+    rng = random.Random(5)
+    templates = [("A", "licensed under the a b license"), ("B", "licensed under the b c license"), ("C", "copyright c d d")]
+    matcher = license_scan.Matcher(templates)
+    for _ in range(300):
+        found = rng.choices("licensed under the a b c d license copyright other".split(), k=rng.randint(1, 30))
+        want = []
+        for i, (name, text) in enumerate(templates):
+            size = min(len(text.split()), len(found))
+            spans = [found[k:k + size] for k in range(len(found) - size + 1)]
+            top = max((matcher.cosines(s).get(i, 0.0) for s in spans if any(license_scan.TELLING.match(w) for w in s)), default=0.0)
+            if top >= 0.8:
+                want.append((top, name))
+        assert sorted(matcher.windows(found, 0.8)) == sorted(want)
