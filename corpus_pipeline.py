@@ -52,7 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
     ready(spark)
-    return packing.pack(docs, vocabulary_file("word_bpe_49k.json"))
+    return packing.pack(docs, vocabulary_file("word_bpe_49k.json"), added_tokens=True)
 
 
 STAGES = [

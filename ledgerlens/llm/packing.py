@@ -10,7 +10,9 @@ numbers carry the partition in their high bits.
 Token ids are those of a BPE tokenizer file with word ends. Text is lower-cased
 and normalised as the file says, cut by :mod:`pretokenize` and merged by
 :mod:`merges`; texts beyond the plain Latin blocks go through the tokenizer
-library's own normaliser first.
+library's own normaliser first. With ``added_tokens``, as the library does at its
+defaults, the file's added tokens (such as ``<|endoftext|>``) inside a text are cut
+out before normalising and stand as their own ids; without, they are ordinary text.
 
 Behaviour on awkward input: null and empty texts are one piece holding the
 end token only; a null id is carried through; repeated rows are packed each;
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -88,7 +91,13 @@ class WordBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]):
+            raise ValueError("added tokens that are normalised, strip white space or are single words are not supported")
+        # Of those that begin at the same place the longest is taken.
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=lambda t: (-len(t), t)))) or r"(?!)")
         ids, end = model["vocab"], model["end_of_word_suffix"]
         letters = _byte_letters()
         self.inner = np.array([ids[c] for c in letters], np.int64)
@@ -120,6 +129,31 @@ class WordBpe:
         at, offsets = gather(starts[index], ends[index])
         return self.cache.values[at], offsets[of_text]
 
+    def encode_with_added(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with the added tokens inside the texts as their own ids."""
+        texts = pc.fill_null(texts, "")
+        holding = np.zeros(len(texts), bool)
+        for token in self.added:
+            holding |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not holding.any():
+            return self.encode(texts)
+        parts, own, counts = [], [], []  # own: the id of the added token after each part, or -1
+        for text, held in zip(texts.to_pylist(), holding.tolist()):
+            marks = self.cut.findall(text) if held else []
+            parts += self.cut.split(text) if held else [text]
+            own += [self.added[m] for m in marks] + [-1]
+            counts.append(len(marks) + 1)
+        ids, offsets = self.encode(pa.array(parts, pa.string()))
+        own = np.array(own, np.int64)
+        marked = own >= 0
+        after = offsets + np.concatenate([[0], np.cumsum(marked)])
+        out = np.empty(after[-1], ids.dtype)
+        place = after[1:][marked] - 1
+        plain = np.ones(after[-1], bool)
+        plain[place] = False
+        out[plain], out[place] = ids, own[marked]
+        return out, after[np.concatenate([[0], np.cumsum(counts)])]
+
 
 @functools.cache
 def tokenizer(path: str) -> WordBpe:
@@ -138,7 +172,7 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-         text_col: str = "text", open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
+         text_col: str = "text", open_bins: int = OPEN_BINS, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32,
     sequence_id, offset`` and, if asked, its ``ids``."""
     if capacity < 1 or open_bins < 1:
@@ -147,9 +181,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, packer = tokenizer(path), BestFit(capacity, open_bins)
+        encode = bpe.encode_with_added if added_tokens else bpe.encode
         base = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            ids, offsets = with_end(*bpe.encode(batch.column("text")), end_id)
+            ids, offsets = with_end(*encode(batch.column("text")), end_id)
             counts = -(-np.diff(offsets) // capacity)
             doc = np.repeat(np.arange(batch.num_rows), counts)
             piece = gather(np.zeros(len(counts), np.int64), counts)[0]

@@ -93,7 +93,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 2048."""
     ready(spark)
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), capacity=2048, end_id=0,
+                        added_tokens=True)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

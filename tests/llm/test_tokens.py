@@ -16,10 +16,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from ledgerlens.llm import byte_bpe, packing, token_counts
+import corpus_pipeline
+from ledgerlens.llm import byte_bpe, packing, queries, token_counts
 from ledgerlens.llm.merges import PairTable, merge_words
 from ledgerlens.llm.pretokenize import IDENTITY, prefix_functions, tokens
-from tests.llm.conftest import ROWS
+from tests.llm.conftest import ROWS, frame
 
 ALPHABET = list("'''''  \n\tstmdrevlLE abc12!?.é　\x85\x1c²\U0001F600ǅİΣςßŉ") + ["<|endoftext|>", "<s>", "<0x0A>"]
 TEXT = st.lists(st.sampled_from(ALPHABET), max_size=60).map("".join)
@@ -138,6 +139,29 @@ def test_packing(spark, awkward, nothing, reference_words):
         packing.pack(nothing, WORDS, capacity=0)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*ALPHABET, "<|startoftext|>", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|>", "<|", "\u0301"]), max_size=40).map("".join),
+                min_size=1, max_size=5))
+def test_added_tokens_equal_the_library_at_its_defaults(texts):
+    library = Tokenizer.from_file(WORDS)
+    ids, at = packing.tokenizer(WORDS).encode_with_added(pa.array([*texts, None], pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+
+
+def test_queries_pack_added_tokens(spark, scratch):
+    library = Tokenizer.from_file(WORDS)
+    rows = [(1, "a <|endoftext|> b"), (2, "<|startoftext|>" * 3000), (3, "no mark"), (4, None)]
+    frame(spark, rows).write.parquet(f"{scratch}/documents.parquet")
+    docs = spark.read.parquet(f"{scratch}/documents.parquet")
+    want = {}
+    for i, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [0]
+        want |= {(i, k): (len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k, p in enumerate([ids[a:a + 2048] for a in range(0, len(ids), 2048)])}
+    assert library.encode(rows[0][1], add_special_tokens=False).ids == [320, 49407, 321]
+    for packed in (queries.op9_best_fit_packing(spark, scratch), corpus_pipeline.pack(spark, docs, scratch)):
+        assert {(r["doc_id"], r["piece"]): (r["length"], r["ids_crc32"]) for r in packed.collect()} == want
+
+
 def test_best_fit_against_plain_search():
     rng = random.Random(3)
     own, open_, made = packing.BestFit(100, 4), {}, 0
