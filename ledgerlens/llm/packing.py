@@ -4,8 +4,10 @@ Bounded-space online best-fit: a task keeps a fixed number of open sequences,
 indexed by their free space in the bits of one integer. A piece goes to the
 open sequence with the least free space that holds it; when one too many is
 open, the fullest closes. Pieces meet the packer an Arrow batch at a time, the
-longer ones first. Nothing is shuffled: tasks pack their own rows, and sequence
-numbers carry the partition in their high bits.
+longer ones first. Tasks pack their own rows, and sequence numbers carry the
+partition in their high bits. What a task leaves open at its end (at most so many
+sequences) is taken apart: those pieces, small rows without text, are shuffled to
+few tasks, which pack them anew, longest first, with every sequence kept open.
 
 Token ids are those of a BPE tokenizer file with word ends. Text is lower-cased
 and normalised as the file says, cut by :mod:`pretokenize` and merged by
@@ -38,9 +40,12 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.arrow import Cache, buffers, gather, slices
 from ledgerlens.llm.merges import PairTable, merge_words
 from ledgerlens.llm.pretokenize import tokens
+from ledgerlens.llm.tables import stored
 
 #: Sequences a task keeps open.
 OPEN_BINS = 256
+#: Sequences left open by the tasks that one task packs anew.
+LEFT_BINS = 4096
 
 
 class BestFit:
@@ -183,6 +188,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
         bpe, packer = tokenizer(path), BestFit(capacity, open_bins)
         encode = bpe.encode_with_added if added_tokens else bpe.encode
         base = TaskContext.get().partitionId() << 40
+        held = None  # rows whose sequence is still open
         for batch in slices(batches, "text"):
             ids, offsets = with_end(*encode(batch.column("text")), end_id)
             counts = -(-np.diff(offsets) // capacity)
@@ -200,8 +206,32 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
                    pa.array(length), pa.array(crc, pa.int64()), pa.array(place[:, 0] + base), pa.array(place[:, 1])]
             if with_ids:
                 out.append(pa.ListArray.from_arrays(np.append(begin, offsets[-1]).astype(np.int32), ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(out, names)
+            rows = pa.Table.from_arrays(out, names)
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            still = np.array([w for stack in packer.bins.values() for w in stack], np.int64) + base
+            is_open = pc.is_in(rows.column("sequence_id"), value_set=pa.array(still))
+            yield from _marked(rows.filter(pc.invert(is_open)), False)
+            held = rows.filter(is_open).combine_chunks()
+        if held is not None:
+            yield from _marked(held, True)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, base = BestFit(capacity, 1 << 62), 1 << 62 | TaskContext.get().partitionId() << 40
+        for batch in batches:
+            place = np.array([packer.place(n) for n in batch.column("length").to_pylist()], np.int64).reshape(-1, 2)
+            columns = {name: batch.column(name) for name in names} | {"sequence_id": pa.array(place[:, 0] + base), "offset": pa.array(place[:, 1])}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
     schema = (f"doc_id {dict(docs.dtypes)[id_col]}, piece int, start bigint, length bigint, ids_crc32 bigint, "
               "sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    packed = stored(texts.mapInArrow(run, schema + ", open boolean"), "packed")
+    left = packed.where("open").drop("open")
+    # Whether a sequence's first piece is here tells the sequences apart without a shuffle.
+    count = left.where("offset = 0").count()
+    dealt = left.repartition(-(-count // LEFT_BINS) or 1, "sequence_id").sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+    return packed.where("NOT open").drop("open").unionByName(dealt.mapInArrow(again, schema))
+
+
+def _marked(rows: pa.Table, is_open: bool) -> list[pa.RecordBatch]:
+    return rows.append_column("open", pa.array(np.full(len(rows), is_open))).to_batches()

@@ -162,6 +162,23 @@ def test_queries_pack_added_tokens(spark, scratch):
         assert {(r["doc_id"], r["piece"]): (r["length"], r["ids_crc32"]) for r in packed.collect()} == want
 
 
+def test_number_of_sequences_does_not_grow_with_the_partitions(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["one", "two", "three", "four"], k=rng.randint(1, 120)))) for i in range(600)]
+    made = {}
+    for parts in (1, 40):
+        got = packing.pack(frame(spark, rows).repartition(parts, "doc_id"), WORDS, capacity=1024, open_bins=64).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(600))
+        ends = defaultdict(int)
+        for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert r["offset"] == ends[r["sequence_id"]]
+            ends[r["sequence_id"]] += r["length"]
+        assert max(ends.values()) <= 1024
+        made[parts] = len(ends)
+    tokens_ = sum(len(t.split()) + 1 for _, t in rows)
+    assert -(-tokens_ // 1024) <= made[40] <= made[1] + 1
+
+
 def test_best_fit_against_plain_search():
     rng = random.Random(3)
     own, open_, made = packing.BestFit(100, 4), {}, 0
