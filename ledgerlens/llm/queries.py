@@ -7,7 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, fingerprints, license_scan, ngram_join, packing, quality, token_counts, toxicity, url_filter
+from ledgerlens.llm import byte_bpe, fingerprints, license_scan, merkle, ngram_join, packing, quality, sentence_piece, spelling_variants
+from ledgerlens.llm import token_counts, toxicity, url_filter
 from ledgerlens.llm.exact_dedup import exact_groups
 from ledgerlens.llm.tables import in_fold, ready, table
 
@@ -103,6 +104,24 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proof of every document, and whether it holds after some texts are tampered with."""
+    ready(spark)
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent words they are variants of."""
+    ready(spark)
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests; ``agrees``: the library gives the same."""
+    ready(spark)
+    return sentence_piece.round_trip(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"), checked=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
@@ -114,8 +133,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_sentence_piece": op13_sentence_piece,
 }
 
+
+def _crc32(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of an expression's UTF-8 bytes, a bit at a time, low bits first."""
+    bits = f"list_transform(range(0, 8 * strlen({text})), lambda k: get_bit(encode({text})::BIT, (8 * (k // 8) + 7 - k % 8)::INT)::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295, {bits}), "
+            "lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)")
+
+
+def _field(text: str) -> str:
+    return f"coalesce(strlen({text}::VARCHAR)::VARCHAR || ':' || {text}::VARCHAR, '-')"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIELDS = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+
 ORACLE_SQL: dict[str, str] = {
     "op1_fingerprints": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -224,4 +261,78 @@ ORACLE_SQL: dict[str, str] = {
         FROM w LEFT JOIN n ON n.doc_id = w.doc_id
         JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = w.doc_id
     """,
+    # Every tree level by recursion, then every row's way up, first in its source's tree, then in the upper one.
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, source, lang, n_chars, text FROM documents),
+        l AS (
+            SELECT row, doc_id, source, sha256({_FIELDS} || {_field("text")}) AS leaf,
+                   sha256({_FIELDS} || {_field(_LOWER.format("text"))}) AS lowered,
+                   coalesce({_crc32("doc_id::VARCHAR")} % 5 = 0, false) AS tampered
+            FROM d),
+        o AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS i,
+                   count(*) OVER (PARTITION BY source) AS n
+            FROM l),
+        t AS (
+            SELECT source, 0 AS level, i, n, leaf AS h FROM o
+            UNION ALL
+            SELECT source, level + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i))
+            FROM t WHERE n > 1 GROUP BY source, level, i // 16),
+        s AS (
+            SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+            FROM t WHERE n = 1),
+        u AS (
+            SELECT 0 AS level, i, n, subroot AS h FROM s
+            UNION ALL
+            SELECT level + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i))
+            FROM u WHERE n > 1 GROUP BY level, i // 16),
+        p AS (
+            SELECT row, source, 0 AS level, i, n, CASE WHEN tampered THEN lowered ELSE leaf END AS node, '' AS proof FROM o
+            UNION ALL
+            SELECT p.row, p.source, p.level + 1, p.i // 16, (any_value(p.n) + 15) // 16,
+                   sha256(string_agg(CASE WHEN t.i = p.i THEN p.node ELSE t.h END, '' ORDER BY t.i)),
+                   any_value(p.proof) || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i <> p.i), '')
+            FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source AND t.level = p.level AND t.i // 16 = p.i // 16
+            WHERE p.n > 1 GROUP BY p.row, p.source, p.level, p.i),
+        q AS (
+            SELECT p.row, 0 AS level, s.i, s.n, p.node, p.proof
+            FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source WHERE p.n = 1
+            UNION ALL
+            SELECT q.row, q.level + 1, q.i // 16, (any_value(q.n) + 15) // 16,
+                   sha256(string_agg(CASE WHEN u.i = q.i THEN q.node ELSE u.h END, '' ORDER BY u.i)),
+                   any_value(q.proof) || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i <> q.i), '')
+            FROM q JOIN u ON u.level = q.level AND u.i // 16 = q.i // 16
+            WHERE q.n > 1 GROUP BY q.row, q.level, q.i)
+        SELECT o.doc_id, o.leaf, s.subroot, r.h AS root, sha256(q.proof) AS proof_sha256, q.node AS folded_root,
+               q.node = r.h AS verified
+        FROM o JOIN s ON s.source IS NOT DISTINCT FROM o.source JOIN q ON q.row = o.row AND q.n = 1 JOIN u r ON r.n = 1
+    """,
+    # Pairs one replacement apart are equal without the same letter; one insertion apart, without one letter of the longer.
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE r AS (
+            SELECT doc_id, run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+        k AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS key, run, n FROM r),
+        h AS (SELECT run, n, {_crc32("key")} AS h FROM k),
+        o AS (
+            SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+            FROM h),
+        w AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        c AS (SELECT word, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM w)),
+        m AS (
+            SELECT a.word, b.word AS near FROM c a JOIN c b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT c.word, w.word FROM c JOIN w ON w.word = c.rest
+            UNION SELECT w.word, c.word FROM c JOIN w ON w.word = c.rest),
+        b AS (
+            SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+                   row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place
+            FROM (SELECT m.word, m.near, w.n AS near_n FROM m JOIN w ON w.word = m.near)),
+        f AS (
+            SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form,
+                   CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+            FROM w LEFT JOIN b ON b.word = w.word AND b.place = 1),
+        g AS (SELECT word, word AS root FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, g.root, f.n, f.n_near, f.form_n
+        FROM f JOIN g ON g.word = f.word JOIN f e ON e.word = g.root AND e.form IS NULL
+    """,
 }
