@@ -42,7 +42,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Kind of model: pairs merged by score.
 MERGES = 2
-_GONE = -2
+#: Segments of up to so many symbols keep their agenda in a list.
+SHORT = 32
+#: The place of a pair that no piece joins; a character without a symbol; a symbol merged into the one before it.
+NEVER, _NONE, _GONE = 1 << 30, -(1 << 40), -(1 << 41)
 
 
 class PieceBpe:
@@ -74,8 +77,14 @@ class PieceBpe:
                 self.symbol.setdefault(c, len(pieces) + len(self.symbol))
         place = {s: r for r, s in enumerate(sorted({pieces[i][1] for i in normal.values()}, reverse=True))}
         known = self.symbol | normal
-        self.pairs = {(known[p[:k]], known[p[k:]]): (place[pieces[i][1]], i)
-                      for p, i in normal.items() for k in range(1, len(p)) if p[:k] in known and p[k:] in known}
+        self.width = len(pieces) + len(self.symbol) + 1
+        #: left * width + right -> place of the joined piece's score; -> the joined piece. Characters without a symbol find nothing.
+        self.place, self.joined = {}, {}
+        for p, i in normal.items():
+            for k in range(1, len(p)):
+                if p[:k] in known and p[k:] in known:
+                    pair = known[p[:k]] * self.width + known[p[k:]]
+                    self.place[pair], self.joined[pair] = place[pieces[i][1]], i
         self.size = len(pieces)
         surface = [b"" if kind == CONTROL else bytes([int(p[3:5], 16)]) if kind == BYTE
                    else trained.unk_surface.encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in pieces]
@@ -87,39 +96,56 @@ class PieceBpe:
 
     def agenda(self, segment: str) -> list[int]:
         """Ids of one segment."""
-        pairs, symbol = self.pairs, self.symbol
-        symbols = [symbol.get(c, -1) for c in segment]
-        n = len(symbols)
+        symbols = [self.symbol.get(c, _NONE) for c in segment]
+        ends = (self._short if len(symbols) <= SHORT else self._long)(symbols)
+        out, begin = [], 0
+        for symbol, end in ends:
+            if 0 <= symbol < self.size:
+                out.append(symbol)
+            else:
+                out += [self.of_byte[b] for b in segment[begin:end].encode()]
+            begin = end
+        return out
+
+    def _short(self, symbols: list[int]) -> list[tuple[int, int]]:
+        """(symbol, place after it) of what remains: the agenda as a list in the order of the text, its best pair sought anew."""
+        place, width = self.place, self.width
+        waiting = [place.get(a * width + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        ends = list(range(1, len(symbols) + 1))
+        while waiting:
+            best = min(waiting)
+            if best == NEVER:
+                break
+            i = waiting.index(best)  # the leftmost of equal ones
+            joined = symbols[i] = self.joined[symbols[i] * width + symbols[i + 1]]
+            del symbols[i + 1], ends[i], waiting[i]
+            if i < len(waiting):
+                waiting[i] = place.get(joined * width + symbols[i + 1], NEVER)
+            if i:
+                waiting[i - 1] = place.get(symbols[i - 1] * width + joined, NEVER)
+        return list(zip(symbols, ends))
+
+    def _long(self, symbols: list[int]) -> list[tuple[int, int]]:
+        """As :meth:`_short`, with the agenda as a heap."""
+        place, width, n = self.place, self.width, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = []
-        for i in range(n - 1):
-            found = pairs.get((symbols[i], symbols[i + 1]))
-            if found:
-                waiting.append((found[0], i, i + 1, symbols[i], symbols[i + 1], found[1]))
+        waiting = [(place[pair], i, pair) for i, pair in enumerate(a * width + b for a, b in zip(symbols, symbols[1:])) if pair in place]
         heapq.heapify(waiting)
         while waiting:
-            _, i, j, left, right, joined = heapq.heappop(waiting)
-            if symbols[i] != left or symbols[j] != right:
-                continue  # one of them has been merged since
-            symbols[i], symbols[j] = joined, _GONE
+            _, i, pair = heapq.heappop(waiting)
+            j = after[i]
+            if symbols[i] == _GONE or j >= n or symbols[i] * width + symbols[j] != pair:
+                continue  # one of the two has been merged since
+            symbols[i], symbols[j] = self.joined[pair], _GONE
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = pairs.get((joined, symbols[k]))
-                if found:
-                    heapq.heappush(waiting, (found[0], i, k, joined, symbols[k], found[1]))
-            h = before[i]
-            if h >= 0:
-                found = pairs.get((symbols[h], joined))
-                if found:
-                    heapq.heappush(waiting, (found[0], h, i, symbols[h], joined, found[1]))
-        out = []
-        for c, s in zip(segment, symbols):
-            if 0 <= s < self.size:
-                out.append(s)
-            elif s != _GONE:
-                out += [self.of_byte[b] for b in c.encode()]
-        return out
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n:
+                    pair = symbols[left] * width + symbols[right]
+                    if pair in place:
+                        heapq.heappush(waiting, (place[pair], left, pair))
+        return [(s, e) for s, e in zip(symbols, after) if s != _GONE]
 
     def _solve(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         rows = [self.agenda(s) for s in segments.to_pylist()]
