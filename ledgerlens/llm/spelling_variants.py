@@ -107,7 +107,8 @@ def near_words(words: DataFrame) -> DataFrame:
         crowds = stored(keyed.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowds")
         last = symbols >= len(LETTERS) or crowds.isEmpty()
         targets = keyed if last else keyed.join(crowds, "key", "left_anti")
-        meeting = neighbourhoods(words, symbols).join(targets, "key").where("word != near")
+        # Merged, since the planner takes the neighbourhoods for as small as the words and might broadcast them.
+        meeting = neighbourhoods(words, symbols).hint("merge").join(targets, "key").where("word != near")
         found = meeting.where(F.levenshtein("word", "near", 1) == 1).select(
             F.least("word", "near").alias("word"), F.greatest("word", "near").alias("near"))
         pairs = found if pairs is None else pairs.unionAll(found)
