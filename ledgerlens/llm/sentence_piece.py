@@ -3,8 +3,11 @@
 A text's spaces become the piece mark and one mark is put in front. Its symbols,
 single characters at first, are merged along an agenda of adjacent pairs: the
 pair whose joined piece has the highest score comes first, of equal ones the
-leftmost, and a pair one of whose symbols has since changed is passed over.
-What no piece covers in the end is written as its UTF-8 bytes.
+leftmost. The agendas of a batch's segments are worked off side by side
+(:mod:`merges`): a row of a matrix holds the waiting pairs of one segment, and each
+step takes the best of every row; a long segment has a heap, in which a pair is
+passed over if one of its symbols has since changed. What no piece covers in the
+end is written as its UTF-8 bytes.
 
 No piece of such a vocabulary has the mark after another character, so no merge
 crosses the beginning of a run of marks: each distinct segment between these
@@ -26,7 +29,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.arrow import Cache, buffers, gather, slices
+from ledgerlens.llm.merges import PairTable, merge_words
+from ledgerlens.llm.pretokenize import code_points
 
 MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Kind of model: pairs merged by score.
 MERGES = 2
-#: Segments of up to so many symbols keep their agenda in a list.
-SHORT = 32
-#: The place of a pair that no piece joins; a character without a symbol; a symbol merged into the one before it.
-NEVER, _NONE, _GONE = 1 << 30, -(1 << 40), -(1 << 41)
 
 
 class PieceBpe:
@@ -70,21 +70,16 @@ class PieceBpe:
         self.is_control = np.array([kind == CONTROL for _, _, kind in pieces])
         normal = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
         self.whole = any(MARK in p.lstrip(MARK) for p in normal)
-        # Symbols: pieces by their id, then single characters that only occur inside pieces.
-        self.symbol = {p: i for p, i in normal.items() if len(p) == 1}
-        for p in normal:
-            for c in p:
-                self.symbol.setdefault(c, len(pieces) + len(self.symbol))
-        place = {s: r for r, s in enumerate(sorted({pieces[i][1] for i in normal.values()}, reverse=True))}
-        known = self.symbol | normal
-        self.width = len(pieces) + len(self.symbol) + 1
-        #: left * width + right -> place of the joined piece's score; -> the joined piece. Characters without a symbol find nothing.
-        self.place, self.joined = {}, {}
+        # Symbols: pieces by their id, characters that are no piece by ``size`` plus their code point.
+        self.symbol = np.arange(0x110000) + len(pieces)
         for p, i in normal.items():
-            for k in range(1, len(p)):
-                if p[:k] in known and p[k:] in known:
-                    pair = known[p[:k]] * self.width + known[p[k:]]
-                    self.place[pair], self.joined[pair] = place[pieces[i][1]], i
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        place = {s: r for r, s in enumerate(sorted({pieces[i][1] for i in normal.values()}, reverse=True))}
+        known = normal | {c: int(self.symbol[ord(c)]) for p in normal for c in p}
+        joins = [(known[p[:k]], known[p[k:]], place[pieces[i][1]], i)
+                 for p, i in normal.items() for k in range(1, len(p)) if p[:k] in known and p[k:] in known]
+        self.pairs = PairTable(*np.array(joins, np.int64).reshape(-1, 4).T)
         self.size = len(pieces)
         surface = [b"" if kind == CONTROL else bytes([int(p[3:5], 16)]) if kind == BYTE
                    else trained.unk_surface.encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in pieces]
@@ -94,63 +89,20 @@ class PieceBpe:
         self.bytes = np.frombuffer(b"".join(surface), np.uint8)
         self.cache = Cache(self._solve)
 
-    def agenda(self, segment: str) -> list[int]:
-        """Ids of one segment."""
-        symbols = [self.symbol.get(c, _NONE) for c in segment]
-        ends = (self._short if len(symbols) <= SHORT else self._long)(symbols)
-        out, begin = [], 0
-        for symbol, end in ends:
-            if 0 <= symbol < self.size:
-                out.append(symbol)
-            else:
-                out += [self.of_byte[b] for b in segment[begin:end].encode()]
-            begin = end
-        return out
-
-    def _short(self, symbols: list[int]) -> list[tuple[int, int]]:
-        """(symbol, place after it) of what remains: the agenda as a list in the order of the text, its best pair sought anew."""
-        place, width = self.place, self.width
-        waiting = [place.get(a * width + b, NEVER) for a, b in zip(symbols, symbols[1:])]
-        ends = list(range(1, len(symbols) + 1))
-        while waiting:
-            best = min(waiting)
-            if best == NEVER:
-                break
-            i = waiting.index(best)  # the leftmost of equal ones
-            joined = symbols[i] = self.joined[symbols[i] * width + symbols[i + 1]]
-            del symbols[i + 1], ends[i], waiting[i]
-            if i < len(waiting):
-                waiting[i] = place.get(joined * width + symbols[i + 1], NEVER)
-            if i:
-                waiting[i - 1] = place.get(symbols[i - 1] * width + joined, NEVER)
-        return list(zip(symbols, ends))
-
-    def _long(self, symbols: list[int]) -> list[tuple[int, int]]:
-        """As :meth:`_short`, with the agenda as a heap."""
-        place, width, n = self.place, self.width, len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [(place[pair], i, pair) for i, pair in enumerate(a * width + b for a, b in zip(symbols, symbols[1:])) if pair in place]
-        heapq.heapify(waiting)
-        while waiting:
-            _, i, pair = heapq.heappop(waiting)
-            j = after[i]
-            if symbols[i] == _GONE or j >= n or symbols[i] * width + symbols[j] != pair:
-                continue  # one of the two has been merged since
-            symbols[i], symbols[j] = self.joined[pair], _GONE
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-            for left, right in ((before[i], i), (i, k)):
-                if left >= 0 and right < n:
-                    pair = symbols[left] * width + symbols[right]
-                    if pair in place:
-                        heapq.heappush(waiting, (place[pair], left, pair))
-        return [(s, e) for s, e in zip(symbols, after) if s != _GONE]
-
     def _solve(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        rows = [self.agenda(s) for s in segments.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
-        return np.fromiter((i for r in rows for i in r), np.int32, offsets[-1]), offsets
+        """(ids, offsets): the agendas of distinct segments, worked off side by side."""
+        points, offsets, _ = code_points(segments)
+        symbols, ends = merge_words(self.symbol[points], offsets, self.pairs)
+        bare = np.flatnonzero(symbols >= self.size)
+        if not len(bare):
+            return symbols, ends
+        spelt = [[self.of_byte[b] for b in chr(s).encode()] for s in (symbols[bare] - self.size).tolist()]
+        counts = np.ones(len(symbols), np.int64)
+        counts[bare] = [len(x) for x in spelt]
+        after = np.concatenate([[0], np.cumsum(counts)])
+        out = np.repeat(symbols, counts)
+        out[gather(after[bare], after[bare + 1])[0]] = [i for x in spelt for i in x]
+        return out, after[ends]
 
     def segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """(distinct segments, index of each segment, offsets of the texts in it); an empty text has none."""
