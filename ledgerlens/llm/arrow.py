@@ -6,6 +6,7 @@ kernels; Spark partitions and moves the rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,15 @@ from pyspark.sql import DataFrame
 SLICE_BYTES = 4 << 20
 
 
+def release_memory() -> None:
+    """Freed memory back to the system: Python workers live on after a task, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut, without copying, where their text passes ``limit`` bytes."""
     for batch in batches:
@@ -29,6 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(begin + 1, int(np.searchsorted(size, before + limit, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    release_memory()
 
 
 def kept_rows(docs: DataFrame, text_col: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:

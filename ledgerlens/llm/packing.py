@@ -110,7 +110,9 @@ class WordBpe:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.pairs = PairTable([ids[a] for a, _ in pairs], [ids[b] for _, b in pairs], range(len(pairs)),
                                [ids[a + b] for a, b in pairs])
-        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
+        # The normaliser alone: the library need not hold the vocabulary too.
+        bare = {**file, "added_tokens": [], "post_processor": None, "model": {**model, "vocab": {}, "merges": []}}
+        self.normalise = Tokenizer.from_str(json.dumps(bare)).normalizer.normalize_str
         self.cache = Cache(self._merge)
 
     def _merge(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:

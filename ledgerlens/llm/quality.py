@@ -14,8 +14,8 @@ the input. The statistics are computed in one pass over the texts and stored
 
 Behaviour on awkward input: null is the empty text, whose statistics are
 those of no characters, words or lines; rows that repeat are scored each; long
-texts are read whole; labels that are null or name no document teach nothing;
-with fewer than two labelled documents of a class every score is the smoothed
+texts are read whole; labels that are null or name no document teach nothing,
+nor do those of an id with both labels; with fewer than two labelled documents of a class every score is the smoothed
 share of good ones; an empty table gives an empty result; only the id and text
 columns (and of the labels the id and label columns) are read.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.arrow import buffers, distinct_words, kept_rows, slices
-from ledgerlens.llm.tables import stored
+from ledgerlens.llm.tables import settled, stored
 
 #: Share of the pooled covariance in each class's, and of its diagonal in the result.
 SHRINK_POOLED, SHRINK_DIAGONAL = 0.3, 0.1
@@ -136,7 +136,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", learn=N
         F.col("label").isin(0, 1) & F.col("id").isNotNull())
     if learn is not None:
         known = known.where(learn(F.col("id")))
-    rows = stats.hint("merge").join(known.dropDuplicates(["id"]), stats["doc_id"] == known["id"])
+    rows = stats.hint("merge").join(settled(known), stats["doc_id"] == known["id"])
     x = [F.col("stats")[i] for i in range(p)]
     sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)]
     products = [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(p) for j in range(i + 1)]

@@ -12,6 +12,9 @@ from ledgerlens.session import apply_semantic_conf, ensure_checkpoint_dir, fresh
 #: ASCII white space, as a character class body: space, tab to carriage return.
 ASCII_SPACE = r"\x20\x09-\x0D"
 
+#: Bytes of an Arrow batch sent to a Python worker, so that whole long texts do not pile up in it.
+ARROW_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ready(spark: SparkSession) -> None:
     """Shared folder known and the package importable on the executors."""
     apply_semantic_conf(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     ensure_checkpoint_dir(spark)
     ship_package(spark)
 
@@ -58,3 +62,8 @@ def in_fold(col: Column, parts: int, part: int) -> Column:
     (the held-out fold). A null id belongs to no fold."""
     return F.coalesce(F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(parts)) == F.lit(part),
                       F.lit(False))
+
+
+def settled(known: DataFrame) -> DataFrame:
+    """``id, label`` once for every id of ``known`` (id, label) whose rows agree on the label; ids with both teach nothing."""
+    return known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("id", "label")

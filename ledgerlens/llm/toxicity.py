@@ -13,8 +13,9 @@ number per n-gram bucket (half a megabyte, whatever the input).
 
 Behaviour on awkward input: a null or empty text, or one without words, has
 one empty window, whose average is zero; rows that repeat are scored each; long
-texts are scored whole; labels that are null or name no document teach nothing;
-without labelled documents of both classes every score is the smoothed share
+texts are scored whole; labels that are null or name no document teach nothing,
+nor do those of an id with both labels; of several rows with one id the smallest
+text teaches; without labelled documents of both classes every score is the smoothed share
 of toxic labels; an empty table gives an empty result; only the id and
 text columns (and of the labels the id and label columns) are read.
 """
@@ -30,12 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.arrow import distinct_words, gather, kept_rows, slices
+from ledgerlens.llm.arrow import buffers, distinct_words, gather, kept_rows, release_memory, slices
+from ledgerlens.llm.tables import settled
 
 #: Toxic and other labelled documents taken for training, at most, and the longest text taken, in characters.
 SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 2500, 20_000
 #: Character n-grams, hash buckets, embedding width, words in a window.
 GRAMS, BUCKETS, WIDTH, WINDOW = (3, 4, 5, 6), 1 << 17, 8, 2
+#: Bytes of distinct words whose n-grams are held at a time.
+WORD_BYTES = 128 << 10
 #: Passes over whole documents, then over worst windows; documents a step; step sizes.
 WHOLE_EPOCHS, EPOCHS, BATCH, RATE, RATE_SCALE = 4, 8, 128, 0.5, 0.3
 EDGE = " .,;:!?\"'()[]{}<>*#$%&|/\\-_~`"
@@ -52,22 +56,42 @@ class Model:
 
 def gram_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, offsets): the hashed n-grams of each word, marked at both ends."""
+    parts = [_gram_buckets(part) for part in _pieces(words)]
+    counts = [np.diff(ends) for _, ends in parts]
+    return (np.concatenate([found for found, _ in parts] or [np.zeros(0, np.int32)]),
+            np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.zeros(0, np.int64)]))]))
+
+
+def _pieces(words: pa.Array) -> Iterator[pa.Array]:
+    """The words in runs of ``WORD_BYTES``, so that the arrays of their n-grams stay small; a longer word is one run."""
+    ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(words):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + WORD_BYTES, side="right")))
+        yield words.slice(begin, end - begin)
+        begin = end
+
+
+def word_values(table: np.ndarray, words: pa.Array) -> np.ndarray:
+    """The mean of each word's n-grams in ``table``."""
+    return np.concatenate([_means(table[grams], ends) for grams, ends in map(_gram_buckets, _pieces(words))] or [np.zeros(0)])
+
+
+def _gram_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     marked = pc.binary_join_element_wise("<", pc.utf8_trim(words, characters=EDGE), ">", "")
-    offsets = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset:marked.offset + len(marked) + 1].astype(np.int64)
-    data = np.frombuffer(marked.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
-    offsets -= offsets[0]
-    owner = np.repeat(np.arange(len(words)), np.diff(offsets))
-    room = offsets[1:][owner] - np.arange(len(data))  # bytes from here to the word's end
+    offsets, data = buffers(marked)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(offsets))
+    room = (offsets[1:][owner] - np.arange(len(data))).astype(np.int32)  # bytes from here to the word's end
     found, owners = [], []
     hashes = np.full(len(data), 2166136261, np.uint64)
     for n in range(1, max(GRAMS) + 1):
         shifted = np.zeros(len(data), np.uint64)
-        shifted[:len(data) - n + 1] = data[n - 1:]
+        shifted[:max(len(data) - n + 1, 0)] = data[n - 1:]
         hashes = (hashes ^ shifted) * np.uint64(1099511628211)
         if n in GRAMS:
             at = np.flatnonzero(room >= n)
             found.append(((hashes[at] >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int32))
-            owners.append(owner[at].astype(np.int32))
+            owners.append(owner[at])
     found, owners = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return found[order], np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
@@ -100,12 +124,12 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return distinct_words(pc.utf8_lower(pc.fill_null(texts, "")))
 
 
-def train(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Model:
-    """Fit embeddings and softmax together; ``prior``: share of toxic documents."""
+def train(texts, labels: list[int], prior: float, seed: int = 7) -> Model:
+    """Fit embeddings and softmax together; ``texts``: a list or Arrow strings; ``prior``: share of toxic documents."""
     labels = np.asarray(labels, np.float64)
     if not 0 < labels.sum() < len(labels):
         return Model(np.zeros(BUCKETS, np.float32), 0.0, float(np.log(prior / (1 - prior))))
-    words, index, offsets = _words(pa.array(texts, pa.string()))
+    words, index, offsets = _words(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string()))
     grams, ends = gram_buckets(words)
     size = np.maximum(np.diff(ends), 1)
     rng = np.random.default_rng(seed)
@@ -174,17 +198,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn=None
         F.col("label").isin(0, 1) & F.col("id").isNotNull())
     if learn is not None:
         known = known.where(learn(F.col("id")))
-    counts = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("k")).first()
-    picked = known.dropDuplicates(["id"])
+    picked = settled(known)
+    counts = picked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("k")).first()
     order = F.xxhash64("id")
     sample = picked.where("label = 1").orderBy(order, "id").limit(SAMPLE_TOXIC).unionAll(
         picked.where("label = 0").orderBy(order, "id").limit(SAMPLE_OTHER))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(
         F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = (texts.join(F.broadcast(sample), "id").limit(SAMPLE_TOXIC + SAMPLE_OTHER).toArrow()
-            .sort_by([("id", "ascending"), ("text", "ascending")]))
+    # At most SAMPLE_TOXIC + SAMPLE_OTHER rows are broadcast, and as many texts come back.
+    rows = (texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text")).toArrow()
+            .sort_by([("id", "ascending")]))
     prior = (counts["k"] + 1) / (counts["n"] + 2)
-    return train(rows.column("text").to_pylist(), rows.column("label").to_pylist(), prior)
+    model = train(rows.column("text"), rows.column("label").to_pylist(), prior)
+    del rows
+    release_memory()
+    return model
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
@@ -192,8 +220,7 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     words, index, offsets = _words(texts)
     top = np.zeros(len(texts))
     if len(words):
-        grams, ends = gram_buckets(words)
-        top, _, _ = worst_windows(_means(model.table[grams], ends)[index], offsets)
+        top, _, _ = worst_windows(word_values(model.table, words)[index], offsets)
     return 1 / (1 + np.exp(-np.clip(model.scale * top + model.shift, -500, 500)))
 
 

@@ -3,6 +3,8 @@
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from importlib import metadata
 
@@ -49,6 +51,68 @@ def test_toxicity_learns_stems_and_catches_new_forms():
     assert toxicity.scores(model, pa.array([clean[0]])) == pytest.approx(own[:1])
 
 
+def plain_toxicity(model, text):
+    """The score of one text, letter by letter."""
+    def value(word):
+        marked = ("<" + word.strip(toxicity.EDGE) + ">").encode()
+        grams = []
+        for i in range(len(marked)):
+            h = 2166136261
+            for n, byte in enumerate(marked[i:i + max(toxicity.GRAMS)], 1):
+                h = (h ^ byte) * 1099511628211 % 2 ** 64
+                if n in toxicity.GRAMS:
+                    grams.append((h >> 20) % toxicity.BUCKETS)
+        return sum(float(model.table[g]) for g in grams) / max(len(grams), 1)
+    values = [value(w) for w in re.split("[\\x20\\x09-\\x0D]+", (text or "").lower()) if w]
+    size = min(len(values), toxicity.WINDOW)
+    worst = max((sum(values[i:i + size]) / size for i in range(len(values) - size + 1)), default=0.0) if size else 0.0
+    return 1 / (1 + np.exp(-(model.scale * worst + model.shift)))
+
+
+def test_toxicity_scores_against_plain_python(monkeypatch):
+    rows = toxic_rows(300, 3)
+    model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], 0.5)
+    texts = [t for _, t in ROWS] + [t for _, t, _ in rows[:60]] + ["ab", "a", "...", "x é", "Straße ÄÖ", "!a! ?b"]
+    want = [plain_toxicity(model, t) for t in texts]
+    for limit in (toxicity.WORD_BYTES, 7):
+        monkeypatch.setattr(toxicity, "WORD_BYTES", limit)
+        assert toxicity.scores(model, pa.array(texts, pa.string())) == pytest.approx(want)
+        assert [float(toxicity.scores(model, pa.array([t], pa.string()))[0]) for t in texts[-6:]] == pytest.approx(want[-6:])
+
+
+def test_labels_that_disagree_teach_nothing_whatever_their_order(spark):
+    rows = toxic_rows(200, 5)
+    docs = frame(spark, [(i, t) for i, t, _ in rows] + [(3, "another text with the same id")])
+    labels = [(i, y) for i, _, y in rows] + [(i, 1 - y) for i, _, y in rows[:40]] + [(i, y) for i, _, y in rows[60:90]]
+    sure = [(i, y) for i, y in labels[40:200]]
+    stats = quality.with_statistics(docs)
+    models = []
+    for some in (labels, labels[::-1], sure):
+        table = spark.createDataFrame(some, "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+        models.append((toxicity.fit(docs, table), quality.fit(stats, table)))
+    for tox, good in models[1:]:
+        assert np.array_equal(tox.table, models[0][0].table) and tox.shift == models[0][0].shift
+        assert np.allclose(good.means, models[0][1].means) and np.allclose(good.constants, models[0][1].constants)
+
+
+def test_memory_of_a_slice_of_distinct_words():
+    code = """if True:
+        import resource, numpy as np, pyarrow as pa
+        from ledgerlens.llm import toxicity
+        letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+        data = letters[np.random.default_rng(1).integers(0, 26, 4 << 20)]
+        data[8::9] = 32
+        texts = pa.array([data.tobytes().decode()[i:i + 4500] for i in range(0, 4 << 20, 4500)])
+        model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 1.0, 0.0)
+        toxicity.scores(model, texts.slice(0, 1))
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        toxicity.scores(model, texts)
+        print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+    """
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert float(out.stdout) < 120
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels, learn=lambda i: ~in_fold(i, 4, 2))

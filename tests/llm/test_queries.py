@@ -89,7 +89,6 @@ def test_pipeline_stages(spark, scratch):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     kept, pieces, left = check_stages(spark, docs, SF_SMALL, scratch)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     want = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in kept}
     assert {i: sum(p["length"] for p in pieces if p["doc_id"] == i) for i in want} == want
     assert 0 < left["ngram_jaccard"] <= left["exact_dedup"] <= left["quality"] <= left["toxicity"]
