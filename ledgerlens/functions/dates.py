@@ -92,3 +92,32 @@ def with_statement_date(df: DataFrame, raw: str = "txn_date_raw", out: str = "tx
 def iso_date(c) -> Column:
     """DATE -> ``yyyy-MM-dd`` text (``%Y-%m-%d``)."""
     return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd")
+
+
+# Two numbers that may be day and month, in either order, before the year.
+_LEADING_PAIR = r"^(\d{1,2})([-/.])(\d{1,2})([-/.])"
+
+
+def with_statement_date_by_file(df: DataFrame, raw: str = "txn_date_raw", out: str = "txn_date", file: str = "source_file",
+                                split_rows: int | None = None) -> DataFrame:
+    """Add ``out`` (DATE) parsed from ``raw``, day and month in the order of the row's ``file``.
+
+    Two passes. In the first, values that are a date in one order only (``13/02/2024``, ``02/13/2024``) vote for
+    it; in the second, values that are one in both orders follow the majority of their file. A tie, a file without
+    votes and rows without a file are day-first. Values with one possible order are read in it in any file, so a file
+    that mixes both is right in those and follows the majority in the others. ISO texts and month names have one order.
+
+    Votes are sums per file, combined before the shuffle; no file is gathered, and the one row per file is joined
+    back with files of many rows split over tasks."""
+    from ledgerlens.operators.joins import HOT_SPLIT_ROWS, hot_keys, split_hot_join
+    from ledgerlens.session import materialize
+    read = df.withColumn("_swapped", F.regexp_replace(F.trim(F.col(raw).cast("string")), _LEADING_PAIR, "$3$2$1$4"))
+    read = with_statement_date(with_statement_date(read, raw, "_day_first"), "_swapped", "_month_first").drop("_swapped")
+    votes = materialize(read.where(F.col(file).isNotNull()).groupBy(file).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_day_first").isNotNull() & F.col("_month_first").isNull()).alias("day"),
+        F.count_if(F.col("_month_first").isNotNull() & F.col("_day_first").isNull()).alias("month")), "date_votes")
+    order = votes.select(file, (F.col("month") > F.col("day")).alias("_month_files"))
+    read = split_hot_join(read, order, file, hot_keys(votes, file, split_rows=split_rows or HOT_SPLIT_ROWS))
+    first, second = F.col("_day_first"), F.col("_month_first")
+    date = F.when(F.coalesce("_month_files", F.lit(False)), F.coalesce(second, first)).otherwise(F.coalesce(first, second))
+    return read.select(*[F.col(f"`{c}`") for c in df.columns if c != out], date.alias(out))

@@ -115,6 +115,17 @@ class ScriptedBackend(Backend):
         return r
 
 
+class EchoBackend(Backend):
+    """Offline backend that answers with the remark of the prompt, all its words and slots kept. Used to test templates."""
+
+    name = "echo"
+
+    def call_one(self, prompt, system_prompt):
+        from ledgerlens.operators.prompts import REMARK_PROMPT_HEAD, REMARK_PROMPT_TAIL
+        text = prompt.removeprefix(REMARK_PROMPT_HEAD).removesuffix(REMARK_PROMPT_TAIL)
+        return json.dumps({"cleaned_remark": f"Seen: {text}", "notes_doubts": ""}, ensure_ascii=False)
+
+
 class ChatHttpBackend(Backend):
     """Chat-completion backend for a model server speaking the common
     ``/api/chat`` JSON protocol (system message + user message). Uses only

@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import time
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,15 +37,17 @@ from ledgerlens.functions.replies import LOW, UNCLEAR, with_parsed_category, wit
 from ledgerlens.operators.backends import Backend, NativeBackend
 from ledgerlens.operators.joins import HOT_SPLIT_ROWS, hot_keys, split_hot_join
 from ledgerlens.operators.prompts import (CATEGORY_SYSTEM_PROMPT, REMARK_SYSTEM_PROMPT,
-                                          category_prompt, remark_prompt)
+                                          category_prompt, filled, remark_prompt, with_remark_template)
 from ledgerlens.schema import AMOUNT_UNPARSEABLE, description_column
-from ledgerlens.session import apply_semantic_conf, materialize, shared_dir, ship_package
+from ledgerlens.session import apply_semantic_conf, fresh_shared_dir, intermediate, materialize, shared_dir, ship_package
 
 REPLY_SCHEMA = ("prompt_key binary, prompt string, response string, error string, run_id string, "
                 "written_at bigint, key_prefix string")
 DEFAULT_MAX_CONCURRENCY = 10
 # Prompts called between two commits of the reply store: what a lost run pays for again, at most.
 CHUNK_PROMPTS = 100_000
+# Partitions of the reply store: first hex digits of the digest.
+PREFIXES = 16
 
 
 def prompt_key(c) -> Column:
@@ -85,7 +88,7 @@ class ReplyStore:
             return None
         rows = self.spark.read.schema(REPLY_SCHEMA).parquet(self.path)
         if keys is not None:
-            # At most 16 values, whatever the batch.
+            # At most PREFIXES values, whatever the batch.
             held = [r[0] for r in keys.select(_prefix(F.col("prompt_key")).alias("p")).distinct().collect()]
             rows = rows.where(F.col("key_prefix").isin(held))
         return rows
@@ -145,19 +148,36 @@ def call_missing(prompts: DataFrame, backend: Backend, system_prompt: str | None
 
     The calls are committed to the store in chunks of about ``chunk_prompts``,
     so a run that is lost repeats the calls of one chunk at most."""
-    ship_package(prompts.sparkSession)
+    spark = prompts.sparkSession
+    ship_package(spark)
     answered = store.answered(prompts)
     todo = prompts.select("prompt_key", "prompt")
     if answered is not None:
         todo = todo.join(answered, "prompt_key", "left_anti")
-    todo = materialize(todo, "prompts_to_call")
-    chunks = max(1, -(-todo.count() // chunk_prompts))
     k = max(1, min(partitions or max_concurrency, max_concurrency))
     pool = max(1, max_concurrency // k)
     run_id = uuid.uuid4().hex
-    for i in range(chunks):
-        part = todo if chunks == 1 else todo.where(F.pmod(F.xxhash64("prompt_key"), F.lit(chunks)) == i)
-        store.append(part.repartition(k).mapInPandas(_caller(backend, system_prompt, pool, run_id), REPLY_SCHEMA))
+    for part in _in_chunks(materialize(todo, "prompts_to_call"), chunk_prompts):
+        replies = part.repartition(k).mapInPandas(_caller(backend, system_prompt, pool, run_id), REPLY_SCHEMA)
+        store.append(replies.repartition(PREFIXES, "key_prefix"))  # a file for each prefix
+
+
+def _in_chunks(todo: DataFrame, chunk_prompts: int) -> Iterator[DataFrame]:
+    """The calls in chunks of about ``chunk_prompts``, by their digest. They are written once more with a folder for each
+    chunk, and a chunk is read from its own folder: each call is read once, however many chunks there are."""
+    spark = todo.sparkSession
+    chunks = -(-todo.count() // chunk_prompts)
+    if chunks < 2:
+        yield from [todo] * chunks
+        return
+    path = fresh_shared_dir(spark, "ledgerlens/tables/prompts_by_chunk")
+    dealt = todo.withColumn("chunk", F.pmod(F.xxhash64("prompt_key"), F.lit(chunks)).cast("int"))
+    dealt.repartitionByRange("chunk", "prompt_key").write.partitionBy("chunk").parquet(path)
+    intermediate(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    for name in sorted(f.getPath().getName() for f in found if f.isDirectory()):
+        yield spark.read.schema(todo.schema).parquet(f"{path}/{name}")
 
 
 def _attach(df: DataFrame, prompt_col: str, backend: Backend, system_prompt: str, stage: str,
@@ -190,18 +210,30 @@ def _attach(df: DataFrame, prompt_col: str, backend: Backend, system_prompt: str
 def clean_remarks(df: DataFrame, backend, store: ReplyStore | None = None, dedupe: bool = True,
                   max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
                   partitions: int | None = None, chunk_prompts: int = CHUNK_PROMPTS,
-                  split_rows: int = HOT_SPLIT_ROWS, row_key: list[str] | None = None) -> DataFrame:
+                  split_rows: int = HOT_SPLIT_ROWS, row_key: list[str] | None = None,
+                  templated: bool = False) -> DataFrame:
     """Add ``cleaned_remark`` and ``notes_doubts``. Blank remarks give
-    ('', '') without a call; row count and all input columns are kept."""
+    ('', '') without a call; row count and all input columns are kept.
+
+    ``templated``: one call per remark template instead of one per remark. The ids in a remark (numbers, handles,
+    bank codes) are sent as numbered slots, and where the reply names a slot the row's own text is put back
+    (:func:`ledgerlens.operators.prompts.with_remark_template`). A backend that copies slots as it copies other words gives the
+    results of one call per remark; one that drops them leaves ids out of the reading."""
     if "remarks" not in df.columns:
         raise ValueError("statement must contain a remarks column")
     if isinstance(backend, NativeBackend):
         return backend.clean_remarks(df)
     apply_semantic_conf(df.sparkSession)
     cols = [c for c in df.columns if c not in ("cleaned_remark", "notes_doubts")]
-    with_prompt = df.withColumn("_prompt", remark_prompt("remarks"))
+    if templated:
+        with_prompt = with_remark_template(df)
+        with_prompt = with_prompt.withColumn("_prompt", remark_prompt("_template")).drop("_template")
+    else:
+        with_prompt = df.withColumn("_prompt", remark_prompt("remarks"))
     joined = _attach(with_prompt, "_prompt", backend, REMARK_SYSTEM_PROMPT, "remark", store,
                      dedupe, row_key, max_concurrency, partitions, chunk_prompts, split_rows)
+    if templated:
+        joined = joined.withColumn("response", filled(F.col("response"), F.col("_slots")))
     parsed = with_parsed_remark(joined.drop(*[c for c in ("cleaned_remark", "notes_doubts")
                                               if c in joined.columns]), "response", "error")
     blank = F.col("_pkey").isNull()

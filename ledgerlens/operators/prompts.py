@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import as_text, is_blank, money_text
-from ledgerlens.operators.rules import (ABBREVIATIONS, CHANNELS, LEXICON, NOTE_PURPOSE, PLATFORMS,
+from ledgerlens.operators.rules import (ABBREVIATIONS, CHANNELS, ID_PATTERN, LEXICON, NOTE_PURPOSE, PLATFORMS,
                                         PURPOSE_WORDS)
 from ledgerlens.schema import MONEY
 
@@ -70,6 +70,37 @@ def remark_prompt(remarks) -> Column:
                                             F.lit(REMARK_PROMPT_TAIL)))
 
 
+# A place in a template where a row's own text goes: mark, number from 1, mark.
+SLOT_OPEN, SLOT_CLOSE = "⟦", "⟧"
+
+
+def with_remark_template(df, remarks: str = "remarks", template: str = "_template", slots: str = "_slots"):
+    """Add the remark with its id parts (numbers, handles, bank codes) as numbered slots, and the slots' texts.
+
+    Remarks that differ in such parts only have one template. A part is what slashes divide, without the spaces
+    around it; the rest of the remark stays as it is. A remark that holds a slot mark itself is its own template, without slots."""
+    text = as_text(_c(remarks))
+    d = df.withColumn("_tp_parts", F.split(text, "/"))
+    is_id = F.transform("_tp_parts", lambda p: F.trim(p).rlike(ID_PATTERN))
+    plain = F.contains(text, F.lit(SLOT_OPEN)) | F.contains(text, F.lit(SLOT_CLOSE))
+    d = d.withColumn("_tp_ids", F.when(plain, F.transform("_tp_parts", lambda p: F.lit(False))).otherwise(is_id))
+    numbered = F.transform("_tp_parts", lambda p, i: F.when(
+        F.get(F.col("_tp_ids"), i), F.regexp_replace(p, F.lit(r"^( *).*?( *)$"), F.concat(
+            F.lit("$1" + SLOT_OPEN), F.size(F.filter(F.slice(F.col("_tp_ids"), F.lit(1), i + 1), lambda x: x)).cast("string"),
+            F.lit(SLOT_CLOSE + "$2")))).otherwise(p))
+    own = F.transform(F.filter("_tp_parts", lambda p, i: F.get(F.col("_tp_ids"), i)), lambda p: F.trim(p))
+    return d.withColumns({template: F.when(_c(remarks).isNotNull(), F.array_join(numbered, "/")), slots: own}).drop("_tp_parts", "_tp_ids")
+
+
+def filled(reply: Column, slots: Column) -> Column:
+    """A reply with the slots' texts put back, as JSON writes them inside a string."""
+    def put(text, slot):
+        written = F.to_json(F.struct(slot["v"].alias("v")))
+        return F.replace(text, F.concat(F.lit(SLOT_OPEN), slot["i"].cast("string"), F.lit(SLOT_CLOSE)),
+                         F.substring(written, F.lit(7), F.length(written) - 8))
+    return F.aggregate(F.transform(slots, lambda v, i: F.struct((i + 1).alias("i"), v.alias("v"))), reply, put)
+
+
 def amount_or_zero(c) -> Column:
     """Missing amount -> 0 (so the prompt shows 0.00)."""
     return F.coalesce(_c(c).try_cast(MONEY), F.lit(0).cast(MONEY))

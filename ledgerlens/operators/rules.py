@@ -167,11 +167,18 @@ def capitalize_first(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
 
 
-def remark_tokens(df: DataFrame, col: str = "remarks") -> DataFrame:
+# The same part where short forms have been expanded already.
+_EXPANDED_PURPOSE_PART = r"(?iu)(?<![^/])([^/]*?(?<![^ /])(?:" + "|".join(PURPOSE_WORDS) + r")(?![^ /])[^/]*)"
+
+
+def remark_tokens(df: DataFrame, col: str = "remarks", short_forms: DataFrame | None = None) -> DataFrame:
     """Add the remark's parts: ``channel``, ``party``, ``purpose`` (expanded),
     ``platform``, ``verb``, ``reference`` and ``remark_key`` (the parts left
     after ids are dropped, lower-cased; similar remarks share it).
 
+    ``short_forms``: a table ``(key, value)`` to use instead of the fixed list
+    (:func:`ledgerlens.operators.wordlists.expand_short_forms`).
+
     Intermediate arrays are projected once (``_rt_*``) and dropped at the end.
     """
     d = df.withColumn("_rt_text", as_text(_c(col)))
@@ -189,12 +196,18 @@ def remark_tokens(df: DataFrame, col: str = "remarks") -> DataFrame:
         F.col("_rt_kept"))
     # First candidate part with a purpose word (after expansion), found by one
     # regex over the joined parts; parts never contain "/".
-    purpose_part = F.nullif(F.regexp_extract(F.array_join(candidates, "/"), _PURPOSE_PART, 1), F.lit(""))
     live = ~F.col("_rt_blank")
+    if short_forms is None:
+        purpose = expand_words(F.nullif(F.regexp_extract(F.array_join(candidates, "/"), _PURPOSE_PART, 1), F.lit("")))
+    else:
+        from ledgerlens.operators.wordlists import expand_short_forms
+        d = d.withColumn("_rt_candidates", F.array_join(candidates, "/"))
+        d = expand_short_forms(d, "_rt_candidates", short_forms, "_rt_expanded")
+        purpose = F.nullif(F.regexp_extract("_rt_expanded", _EXPANDED_PURPOSE_PART, 1), F.lit(""))
     d = d.withColumns({
         "channel": F.when(F.col("_rt_has"), F.col("_rt_first")),
         "party": F.when(live & F.col("_rt_has"), F.try_element_at("_rt_kept", F.lit(1))),
-        "purpose": F.when(live, expand_words(purpose_part)),
+        "purpose": F.when(live, purpose),
         "platform": F.when(live, _first_match(F.col("_rt_low"), [(p, p) for p in PLATFORMS])),
         "verb": F.when(live, _first_match(F.col("_rt_low"), PAYMENT_VERBS)),
         "reference": F.when(live, F.try_element_at(
@@ -202,13 +215,14 @@ def remark_tokens(df: DataFrame, col: str = "remarks") -> DataFrame:
         "remark_key": F.when(live & (F.size("_rt_kept") > 0), F.lower(F.array_join("_rt_kept", "/"))),
     })
     return d.drop("_rt_text", "_rt_parts", "_rt_first", "_rt_blank", "_rt_low", "_rt_has",
-                  "_rt_rest", "_rt_kept")
+                  "_rt_rest", "_rt_kept", "_rt_candidates", "_rt_expanded")
 
 
-def read_remark(df: DataFrame, col: str = "remarks") -> DataFrame:
+def read_remark(df: DataFrame, col: str = "remarks", short_forms: DataFrame | None = None) -> DataFrame:
     """Rule-based ``cleaned_remark`` / ``notes_doubts`` plus ``reading_rule``
-    (which priority level fired). Blank remarks give ('', '')."""
-    t = remark_tokens(df, col)
+    (which priority level fired). Blank remarks give ('', ''). ``short_forms`` as for
+    :func:`remark_tokens`."""
+    t = remark_tokens(df, col, short_forms)
     blank = is_blank(as_text(_c(col)))
     rule = (F.when(blank, F.lit("blank"))
             .when(F.col("purpose").isNotNull(), F.lit("purpose"))
@@ -286,7 +300,8 @@ def _lexicon_index(norm: Column, wd: Column, dp: Column, lexicon) -> Column:
 
 
 def canonical_category(c) -> Column:
-    """Map synonyms to one category name (Fuel, not Petrol or Gas)."""
+    """Map synonyms to one category name (Fuel, not Petrol or Gas). For a table of synonyms see
+    :func:`ledgerlens.operators.wordlists.canonicalise`."""
     m = F.create_map(*[F.lit(x) for kv in CATEGORY_SYNONYMS for x in kv])
     col = _c(c)
     return F.coalesce(F.try_element_at(m, F.lower(col)), col)

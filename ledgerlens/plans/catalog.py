@@ -12,10 +12,10 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.dates import with_statement_date
+from ledgerlens.functions.dates import with_statement_date, with_statement_date_by_file
 from ledgerlens.functions.replies import with_parsed_category, with_parsed_remark
-from ledgerlens.operators import questions, rules, summary
-from ledgerlens.operators.backends import ScriptedBackend
+from ledgerlens.operators import questions, rules, similar, summary, wordlists
+from ledgerlens.operators.backends import EchoBackend, ScriptedBackend
 from ledgerlens.operators.enrich import ReplyStore, clean_remarks, enrich_statement
 from ledgerlens.operators.prompts import category_prompt, remark_prompt
 from ledgerlens.plans import fixtures
@@ -282,6 +282,60 @@ def q_enrich_retry(spark, sf_dir):
     return done.select("s_no", "cleaned_remark", "notes_doubts")
 
 
+def q_user_word_lists(spark, sf_dir):
+    """Short forms and synonyms as tables of two chained entries per part, one key of three words."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey").cast("string")
+    entries = part.select(F.concat(F.lit("Item "), k, F.lit(" q")).alias("key"), F.concat(F.lit("ref"), k).alias("value")).unionAll(
+        part.select(F.concat(F.lit("ref"), k).alias("key"), F.concat(F.col("p_brand"), F.lit(" bill")).alias("value")))
+    synonyms = part.select(F.concat(F.lit("code "), k).alias("key"), F.concat(F.lit("Alias "), k).alias("value")).unionAll(
+        part.select(F.concat(F.lit("alias "), k).alias("key"), F.col("p_type").alias("value")))
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
+    own = (F.col("o_orderkey") % 500).cast("string")
+    st = o.select(F.col("o_orderkey").alias("s_no"),
+                  F.concat(F.lit("UPI/PAYEE "), F.col("o_custkey").cast("string"), F.lit("/paid ITEM "), own, F.lit(" q now/Bank/5"),
+                           F.lpad(F.col("o_orderkey").cast("string"), 11, "0")).alias("remarks"),
+                  F.concat(F.lit("Code "), own).alias("category"))
+    read = wordlists.canonicalise(rules.read_remark(st, short_forms=entries), "category", synonyms)
+    return read.select("s_no", "purpose", "cleaned_remark", "reading_rule", "category")
+
+
+def q_similar_remarks(spark, sf_dir):
+    """Misspelt shop names: remarks one edit apart, and what is linked through others, get one reading."""
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
+    k, shop = F.col("o_orderkey"), F.concat(F.lit("shop "), F.substring(F.md5(F.col("o_custkey").cast("string")), 1, 12))
+    at = (k % 11 + 6).cast("int")
+    before, after = F.substring(shop, F.lit(1), at - 1), F.substring(shop, at + 1, F.lit(12))
+    written = (F.when(k % 5 == 1, F.concat(before, after)).when(k % 5 == 2, F.concat(before, F.lit("x"), after))
+               .when(k % 5 == 3, F.concat(F.substring(shop, F.lit(1), at), F.lit("zz"), after)).otherwise(shop))
+    st = o.select(k.alias("s_no"), F.concat(F.lit("UPI/"), written, F.lit("/5"), F.lpad(k.cast("string"), 11, "0")).alias("remarks"))
+    read, _ = materialize_at(rules.read_remark(st), "similar_in")
+    out = similar.similar_consensus(read)
+    return out.select("s_no", "remark_key", "remark_group", "cleaned_remark", "consensus_remark")
+
+
+def q_templated_calls(spark, sf_dir):
+    """Remarks read with one call per template by a backend that keeps slots; ``calls``: what was called in all."""
+    from ledgerlens.session import fresh_shared_dir
+    st = fixtures.statement(spark, sf_dir)
+    store = ReplyStore(spark, fresh_shared_dir(spark, "ledgerlens/replies/templated"))
+    done = clean_remarks(st, EchoBackend(), store=store, templated=True)
+    calls = store.raw().agg(F.count(F.lit(1)).alias("calls"))  # one row
+    return done.select("s_no", "cleaned_remark", "notes_doubts").crossJoin(F.broadcast(calls))
+
+
+def q_date_order_by_file(spark, sf_dir):
+    """Fifty files of numeric dates: day-first, month-first, mixed and undecided ones."""
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate"))
+    file, k = F.col("o_custkey") % 50, F.col("o_orderkey")
+    day_first, month_first = F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "M-d-yyyy")
+    raw = (F.when(file % 5 == 0, month_first).when((file % 5 == 1) & (k % 4 == 0), month_first)
+           .when(file % 5 == 2, F.date_format("o_orderdate", "'0'M/'0'M/yyyy")).when((file % 5 == 3) & (k % 3 == 0), F.date_format("o_orderdate", "yyyy-MM-dd"))
+           .otherwise(day_first))
+    st = o.select(k.alias("s_no"), F.concat(F.lit("file "), file.cast("string")).alias("source_file"), raw.alias("txn_date_raw"))
+    return with_statement_date_by_file(st).select("s_no", "source_file", F.date_format("txn_date", "yyyy-MM-dd").alias("txn_date"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "statement_scan": q_statement_scan,
     "remark_prompts": q_remark_prompts,
@@ -310,4 +364,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lexicon_long_keywords": q_lexicon_long_keywords,
     "overwrite_results": q_overwrite_results,
     "enrich_retry": q_enrich_retry,
+    "user_word_lists": q_user_word_lists,
+    "similar_remarks": q_similar_remarks,
+    "date_order_by_file": q_date_order_by_file,
+    "templated_calls": q_templated_calls,
 }

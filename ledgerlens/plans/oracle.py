@@ -536,6 +536,62 @@ def q_enrich_retry() -> str:
                      f"CASE WHEN _p1 IS NULL THEN '' ELSE {notes} END AS notes_doubts FROM {rel1}")
 
 
+def q_user_word_lists() -> str:
+    return """SELECT o_orderkey AS s_no,
+  CASE WHEN p_partkey IS NOT NULL THEN 'paid ' || p_brand || ' bill now' END AS purpose,
+  CASE WHEN p_partkey IS NOT NULL THEN 'Paid ' || p_brand || ' bill now - PAYEE ' || o_custkey
+       ELSE 'Payment to PAYEE ' || o_custkey END AS cleaned_remark,
+  CASE WHEN p_partkey IS NOT NULL THEN 'purpose' ELSE 'party' END AS reading_rule,
+  coalesce(p_type, 'Code ' || (o_orderkey % 500)) AS category
+FROM orders LEFT JOIN part ON p_partkey = o_orderkey % 500"""
+
+
+def q_similar_remarks() -> str:
+    # Equal without one letter at the same place, or one is the other without a letter; closure within the few names of a shop.
+    return """WITH RECURSIVE w AS (
+  SELECT o_orderkey AS s_no, o_orderkey % 11 + 6 AS pos, 'shop ' || substr(md5(CAST(o_custkey AS VARCHAR)), 1, 12) AS shop FROM orders),
+r AS (
+  SELECT s_no, CASE s_no % 5 WHEN 1 THEN substr(shop, 1, pos - 1) || substr(shop, pos + 1) WHEN 2 THEN substr(shop, 1, pos - 1) || 'x' || substr(shop, pos + 1)
+    WHEN 3 THEN substr(shop, 1, pos) || 'zz' || substr(shop, pos + 1) ELSE shop END AS name FROM w),
+k AS (SELECT DISTINCT name FROM r),
+d AS (SELECT name, p, substr(name, 1, p - 1) || substr(name, p + 1) AS rest FROM (SELECT name, unnest(range(1, length(name) + 1)) AS p FROM k)),
+e AS (
+  SELECT x.name AS a, y.name AS b FROM d x JOIN d y ON x.p = y.p AND x.rest = y.rest AND x.name <> y.name
+  UNION SELECT d.name, k.name FROM d JOIN k ON k.name = d.rest
+  UNION SELECT k.name, d.name FROM d JOIN k ON k.name = d.rest),
+c AS (SELECT name, name AS other FROM k UNION SELECT c.name, e.b FROM c JOIN e ON e.a = c.other),
+g AS (SELECT name, min(other) AS label FROM c GROUP BY name),
+n AS (SELECT label, 'Payment to ' || name AS v, count(*) AS n FROM r JOIN g USING (name) GROUP BY ALL),
+b AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY n DESC, v) AS place FROM n)
+SELECT s_no, name AS remark_key, g.label AS remark_group, 'Payment to ' || name AS cleaned_remark, b.v AS consensus_remark
+FROM r JOIN g USING (name) JOIN b ON b.label = g.label AND b.place = 1"""
+
+
+def q_templated_calls() -> str:
+    # Slashes divide parts; a part of digits, a bank code or a handle is a slot.
+    return with_ctes([STATEMENT], f"""SELECT s_no, CASE WHEN {blank('remarks')} THEN '' ELSE {strip("'Seen: ' || remarks")} END AS cleaned_remark,
+  CASE WHEN {blank('remarks')} THEN '' ELSE '—' END AS notes_doubts,
+  (SELECT count(DISTINCT list_transform(string_split(remarks, '/'), lambda p: CASE WHEN regexp_matches(trim(p), '^[0-9]{{6,}}$|^ICI[0-9a-fA-F]+$|@')
+     THEN '<id>' ELSE p END)) FROM st WHERE NOT {blank('remarks')}) AS calls FROM st""")
+
+
+def q_date_order_by_file() -> str:
+    # Files 0, 5, ..: month-first by far; 1, 6, ..: a quarter month-first, so only days over 12 show; 2, 7, ..: one number twice.
+    return """WITH d AS (SELECT o_orderkey AS k, o_custkey % 50 AS f, CAST(o_orderdate AS DATE) AS d FROM orders),
+v AS (
+  SELECT *, CASE WHEN f % 5 = 0 OR (f % 5 = 1 AND k % 4 = 0) THEN 'm' WHEN f % 5 = 2 THEN 'same' WHEN f % 5 = 3 AND k % 3 = 0 THEN 'iso' ELSE 'd' END AS how
+  FROM d),
+u AS (
+  SELECT f, count(*) FILTER (WHERE how = 'd' AND day(d) > 12) AS day_votes, count(*) FILTER (WHERE how = 'm' AND day(d) > 12) AS month_votes
+  FROM v GROUP BY f)
+SELECT k AS s_no, 'file ' || v.f AS source_file, strftime(CASE
+  WHEN how = 'iso' OR (how <> 'same' AND day(d) > 12) THEN d
+  WHEN how = 'same' THEN CASE WHEN month(d) <= 9 THEN make_date(year(d), month(d), month(d)) END
+  WHEN (how = 'm') = (month_votes > day_votes) THEN d
+  ELSE make_date(year(d), day(d), month(d)) END, '%Y-%m-%d') AS txn_date
+FROM v JOIN u ON u.f = v.f"""
+
+
 ORACLE = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
 
 

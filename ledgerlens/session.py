@@ -108,10 +108,15 @@ def materialize_at(df, name: str):
     spark = df.sparkSession
     path = fresh_shared_dir(spark, f"ledgerlens/tables/{name}")
     df.write.parquet(path)
+    intermediate(path)
+    return spark.read.parquet(path), path
+
+
+def intermediate(path: str) -> None:
+    """Leave a folder to the :func:`scratch_scope` around the call, if there is one."""
     scopes = getattr(_SCOPES, "stack", None)
     if scopes:
         scopes[-1].append(path)
-    return spark.read.parquet(path), path
 
 
 _SCOPES = threading.local()

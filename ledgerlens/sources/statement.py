@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.session import spread
-from ledgerlens.functions.dates import with_statement_date
+from ledgerlens.functions.dates import with_statement_date, with_statement_date_by_file
 from ledgerlens.functions.text import is_blank
 from ledgerlens.schema import (AMOUNT_UNPARSEABLE, DISPLAY_NAMES, ENGINE_NAMES, ENGINE_TYPES, MONEY,
                                MissingColumnsError, REQUIRED_COLUMNS, ROW_ID, TXN_DATE, extra_columns,
@@ -106,7 +106,7 @@ CSV_READ_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine":
 
 
 def read_statements(spark: SparkSession, paths, fmt: str = "parquet",
-                    options: dict | None = None) -> DataFrame:
+                    options: dict | None = None, date_order: str = "day_first") -> DataFrame:
     """Read statement files (``parquet``, ``csv`` or ``xlsx``) into one
     validated, engine-named DataFrame with ``source_file``, ``row_id`` (which
     names the row within its file; numbered from 1 in workbooks and parquet
@@ -114,7 +114,12 @@ def read_statements(spark: SparkSession, paths, fmt: str = "parquet",
 
     ``xlsx`` uses the workbook data source (one partition per workbook);
     other suffixes are rejected for it, as for the single-file tool.
+
+    ``date_order``: ``day_first``, or ``by_file`` to let the dates of each file say
+    whether it is month-first (:func:`ledgerlens.functions.dates.with_statement_date_by_file`).
     """
+    if date_order not in ("day_first", "by_file"):
+        raise ValueError(f"unknown date_order: {date_order}")
     paths = [paths] if isinstance(paths, str) else list(paths)
     _check_paths(spark, paths)
     opts = dict(options or {})
@@ -130,7 +135,8 @@ def read_statements(spark: SparkSession, paths, fmt: str = "parquet",
         row = F.col("_metadata.row_index") + 1 if fmt == "parquet" else F.monotonically_increasing_id() + 1
     raw = raw.withColumns({"_src": src, "_row": row}).drop("_source_file", "_row_id")
     stmt, _ = normalize_statement(raw, keep_extras=True, carry=("_src", "_row"))
-    return with_statement_date(stmt.withColumnsRenamed({"_src": "source_file", "_row": ROW_ID}), out=TXN_DATE)
+    stmt = stmt.withColumnsRenamed({"_src": "source_file", "_row": ROW_ID})
+    return (with_statement_date_by_file if date_order == "by_file" else with_statement_date)(stmt, out=TXN_DATE)
 
 
 def derive_statement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def _key(rows, cols):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("orders", "customer"):
+    for t in ("orders", "customer", "part"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return c
 
