@@ -27,21 +27,36 @@ import pyarrow as pa
 from ledgerlens.llm.arrow import buffers
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
+#: Characters given to a library at a time.
+PROBED = 4096
 
 # States: an apostrophe here begins a token; is absorbed; one, two letters of a contraction to come.
 FREE, HELD, ONE, TWO = range(4)
 
 
+def _matched_by_tiktoken(pattern: str, everything: str) -> str:
+    """The characters that the pattern matches in ``tiktoken``, which drops what no match covers."""
+    import tiktoken
+    plain = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return bytes(plain.encode_ordinary(everything)).decode()
+
+
+def _matched_by_tokenizers(pattern: str, everything: str) -> str:
+    """The characters that the pattern matches in ``tokenizers``."""
+    from tokenizers import Regex, pre_tokenizers
+    split = pre_tokenizers.Split(Regex(pattern + "+"), "removed", invert=True)
+    return "".join(piece for i in range(0, len(everything), PROBED) for piece, _ in split.pre_tokenize_str(everything[i:i + PROBED]))
+
+
 @functools.cache
-def class_table() -> np.ndarray:
-    """Class of every code point: Unicode letters, numbers, White_Space, the rest."""
-    import regex
+def class_table(attach: bool) -> np.ndarray:
+    """Class of every code point: letter, number, white space or the rest, as the library itself reads the pattern
+    (``tiktoken`` for ``attach``, else ``tokenizers``): each has Unicode tables of its own version."""
     everything = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
-    points = np.frombuffer(everything.encode("utf-32-le"), np.uint32)
+    matched = _matched_by_tiktoken if attach else _matched_by_tokenizers
     table = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, everything):
-            table[points[m.start():m.end()]] = kind
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        table[np.frombuffer(matched(pattern, everything).encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
@@ -97,7 +112,7 @@ def token_starts(points: np.ndarray, texts: np.ndarray, attach: bool) -> tuple[n
     """(whether a token starts at each code point, the classes). ``texts``:
     offsets of the texts, each of which is split by itself."""
     n = len(points)
-    kind = class_table()[points]
+    kind = class_table(attach)[points]
     if not n:
         return np.zeros(0, bool), kind
     first = np.zeros(n, bool)

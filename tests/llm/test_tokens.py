@@ -89,6 +89,19 @@ def test_both_tokenizers_equal_their_libraries(reference_bytes, reference_words,
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [reference(t) for t in texts]
 
 
+@pytest.mark.parametrize("form", ["{}'s", "a {}", "1{}2"])
+def test_every_code_point_equals_both_libraries(reference_bytes, form):
+    points = [form.format(chr(i)) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["\n".join(points[i:i + 512]) for i in range(0, len(points), 512)]
+    ids, at = byte_bpe.tokenizer(RANKS).encode(pa.array(texts))
+    want = reference_bytes.encode_ordinary_batch(texts)
+    assert np.array_equal(np.diff(at), [len(w) for w in want]) and np.array_equal(ids, [i for w in want for i in w])
+    library = Tokenizer.from_file(WORDS)
+    ids, at = packing.tokenizer(WORDS).encode(pa.array(texts))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert np.array_equal(np.diff(at), [len(w) for w in want]) and np.array_equal(ids, [i for w in want for i in w])
+
+
 def test_cache_limit_changes_nothing(reference_bytes):
     own = byte_bpe.ByteBpe(RANKS)
     own.cache.limit = 5
