@@ -16,10 +16,12 @@ order, outside nearly every prefix.
 
 Rows with the same set are one class from the start. Within a posting list
 classes are first compared with a pivot of the list, not with each other, and
-what is linked becomes one component; then every pair that shares a list and
-still lies in two components is compared, and lists within one component are
-passed over. A large group of near copies so costs a number of comparisons in
-proportion to its size, and no link between components is missed.
+what is linked becomes one component; lists within one component are passed
+over. What is left is compared by the differences from the list's pivot, with
+a prefix filter of their own (:meth:`NgramJoin._remaining_pairs`): near copies have most
+tokens in common, their differences hardly any. A large group of near copies so
+costs comparisons about in proportion to its size and its links, and no link
+between components is missed.
 
 Behaviour on awkward input: null and empty texts, and white space only, have
 no shingles and are linked with nothing, a component each; rows that repeat
@@ -252,7 +254,14 @@ class NgramJoin:
             rows = shared if labels is None else stored(self._open(shared, labels), "open")
             if labels is not None and rows.isEmpty():
                 break
-            pairs = self._pivot_pairs(rows) if i < PIVOT_ROUNDS else self._all_pairs(stored(self._placed(rows, sets, labels), "placed"))
+            if i < PIVOT_ROUNDS:
+                pairs = self._pivot_pairs(rows)
+            else:
+                with arrow_rows(self.docs.sparkSession, PAIRS_AT_ONCE):
+                    apart = stored(self._differences(self._placed(rows, sets, labels), sets), "differences")
+                edges = edges.unionAll(stored(self._pivot_links(apart), "pivot-links"))
+                labels = components(edges)
+                pairs = self._remaining_pairs(apart, labels)
             with arrow_rows(self.docs.sparkSession, PAIRS_AT_ONCE):
                 found = stored(self.links(pairs, sets), "links")
             edges = found if edges is None else edges.unionAll(found)
@@ -312,17 +321,67 @@ class NgramJoin:
         placed = placed.where(F.col("pos") < prefix_size(F.col("n"), self.num, self.den)).select("token", "node", "n", "pos", "alone")
         return self._open(placed, labels)
 
-    def _all_pairs(self, rows: DataFrame) -> DataFrame:
-        """Every pair of a list whose components differ, by size and position: what follows the first shared token
-        must leave room for the overlap."""
+    def _differences(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """``pivot, node, n, n_pivot, d, token``: the ``d`` tokens that a class or the pivot of one of its lists has and the
+        other has not."""
+        members = rows.select("node", "pivot").distinct()
+        whole = members.join(sets.select("node", "n", "tokens"), "node").join(
+            sets.select(F.col("node").alias("pivot"), F.col("n").alias("n_pivot"), F.col("tokens").alias("tokens_pivot")), "pivot").select(
+            "pivot", "node", "n", "n_pivot", "tokens", "tokens_pivot")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for x, y in zip(batch.column("tokens"), batch.column("tokens_pivot")):
+                    both = np.concatenate([np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")])
+                    both.sort(kind="stable")  # merges the two sorted runs
+                    twice = np.zeros(len(both) + 1, bool)
+                    twice[1:-1] = both[1:] == both[:-1]
+                    found.append(both[~(twice[1:] | twice[:-1])].view(np.int64))
+                counts = np.array([len(f) for f in found], np.int64)
+                at = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(at) for c in ("pivot", "node", "n", "n_pivot")), pa.array(np.repeat(counts, counts)),
+                     pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["pivot", "node", "n", "n_pivot", "d", "token"])
+        return whole.mapInArrow(run, "pivot bigint, node bigint, n bigint, n_pivot bigint, d bigint, token bigint")
+
+    def _pivot_links(self, apart: DataFrame) -> DataFrame:
+        """Each class with each pivot of its lists that it is similar to: sets with ``d`` tokens not in both are if
+        ``(den + num) d <= (den - num) (n + n_pivot)``."""
         num, den = self.num, self.den
-        x = rows.where("label != main").select("token", *[F.col(c).alias(c + "_x") for c in ("node", "n", "pos", "label")])
-        y = rows.select("token", "main", *[F.col(c).alias(c + "_y") for c in ("node", "n", "pos", "label")])
-        room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-        meet = ((x["token"] == y["token"]) & (F.col("label_x") != F.col("label_y"))
-                & ((F.col("label_y") == F.col("main")) | (F.col("node_x") < F.col("node_y")))
+        similar = apart.where(F.col("d") * (den + num) <= (F.col("n") + F.col("n_pivot")) * (den - num))
+        return similar.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+    def _remaining_pairs(self, apart: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs of a list that may still be similar though their components differ, by their differences from the pivot.
+
+        What x and y do not share, their differences Dx and Dy do not share either, so they are similar if and only
+        if ``|Dx| + |Dy| - 2 |Dx & Dy| <= H = (den - num) / (den + num) (n_x + n_y)``. Where ``|Dx| + |Dy| <= H`` both are similar
+        to the pivot (the one with the smaller difference; the other one's is at most H of its own pair with it), so they are in
+        one component by now. Otherwise the differences share tokens, and a prefix filter on them finds the pair: tokens that no
+        other component has come first, then the rarest. Near copies share most of their tokens, but their differences
+        consist of edits of their own, so that few of them meet, however many there are."""
+        num, den = self.num, self.den
+        known = stored(apart.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-differences")
+        shared = known.groupBy("pivot", "token").agg(
+            F.count(F.lit(1)).alias("df"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").drop("least", "most")
+        own = Window.partitionBy("pivot", "node")
+        placed = known.join(shared, ["pivot", "token"]).withColumn("alone", F.col("d") - F.count(F.lit(1)).over(own))
+        placed = placed.withColumn("pos", F.col("alone") + F.row_number().over(own.orderBy("df", "token")) - 1)
+        # H is at most (den - num) / num n for a set and any that is similar to it.
+        most = F.col("n") * (den - num)
+        placed = stored(placed.where(2 * num * F.col("pos") <= num * F.col("d") + most).select(
+            "pivot", "token", "node", "n", "d", "pos", "label", (2 * num * F.col("pos") <= most).alias("early")), "placed-differences")
+
+        def side(rows: DataFrame, name: str) -> DataFrame:
+            return rows.select("pivot", "token", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "d", "pos", "label")])
+        x, y = side(placed, "x"), side(placed.where("early"), "y")  # x has the larger difference
+        room = F.least(F.col("d_x") - F.col("pos_x"), F.col("d_y") - F.col("pos_y"))
+        size = F.col("n_x") + F.col("n_y")
+        meet = ((x["pivot"] == y["pivot"]) & (x["token"] == y["token"]) & (F.col("label_x") != F.col("label_y"))
+                & ((F.col("d_x") > F.col("d_y")) | (F.col("d_x") == F.col("d_y")) & (F.col("node_x") > F.col("node_y")))
                 & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
-                & (room * (num + den) >= (F.col("n_x") + F.col("n_y")) * num))
+                & (2 * room * (den + num) >= (F.col("d_x") + F.col("d_y")) * (den + num) - size * (den - num)))
         return x.join(y, meet).select(
             F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 

@@ -172,6 +172,43 @@ def test_join_components_against_brute_force(spark, seed, k, num, den):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, k, num, den)
 
 
+@pytest.mark.parametrize("seed,k,num,den", [(11, 3, 9, 10), (12, 5, 4, 5), (13, 1, 1, 2), (14, 2, 7, 10)])
+def test_differences_from_pivots_find_what_is_left(spark, monkeypatch, seed, k, num, den):
+    """With a single pivot round most links are left to the last step."""
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 1)
+    rows = near_rows(seed)
+    rng = random.Random(seed)
+    base = rng.choices([f"v{i}" for i in range(400)], k=60)
+    for i in range(40):  # many that lie about the threshold from each other
+        text = list(base)
+        for _ in range(rng.randint(1, 4)):
+            text[rng.randrange(20)] = rng.choice(["x", "y", f"v{rng.randrange(400)}"])
+        rows.append((5000 + i, " ".join(text)))
+    got = ngram_join.join_components(frame(spark, rows), k, num, den)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, k, num, den)
+
+
+def test_comparisons_of_a_crowd_grow_with_its_size(spark, monkeypatch):
+    """Near copies just under the threshold from their text: they share posting lists, but are hardly ever compared."""
+    rng, base, made = random.Random(3), [f"b{i}" for i in range(60)], []
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1500):
+        text = list(base)
+        for at in rng.sample(range(0, 60, 4), 2):  # two words replaced, or one replaced and one left out
+            text[at] = f"n{i}x{at}" if at % 8 else rng.choice([f"n{i}x{at}", ""])
+        rows.append((i, " ".join(w for w in text if w)))
+    links = ngram_join.NgramJoin.links
+
+    def counted(self, pairs, sets):
+        pairs = ngram_join.stored(pairs, "counted")
+        made.append(pairs.count())
+        return links(self, pairs, sets)
+    monkeypatch.setattr(ngram_join.NgramJoin, "links", counted)
+    got = ngram_join.join_components(frame(spark, rows), 3, 9, 10).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows, 3, 9, 10)
+    assert sum(made) < 5 * len(rows)
+
+
 def test_join_components_on_awkward_rows(spark, awkward, nothing):
     got = sorted(map(tuple, ngram_join.join_components(awkward, 3, 9, 10).collect()), key=repr)
     rows = [r for r in ROWS if words(r[1])]
