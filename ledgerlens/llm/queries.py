@@ -212,8 +212,7 @@ ORACLE_SQL: dict[str, str] = {
                          lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS dst FROM j WHERE host <> '')
             WHERE host <> dst GROUP BY ALL),
         e AS (
-            SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS out_share, n / sum(n) OVER (PARTITION BY dst) AS in_share
-            FROM l),
+            SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM l),
         s AS (
             SELECT host, sum(t) AS t, sum(d) AS d FROM (
                 SELECT host, avg((what IS NOT DISTINCT FROM 'allow')::INT) AS t, avg((what IS NOT DISTINCT FROM 'block')::INT) AS d
@@ -226,8 +225,8 @@ ORACLE_SQL: dict[str, str] = {
             SELECT any_value(f.i) + 1, s.host, 0.15 * any_value(s.t) + 0.85 * sum(f.t), 0.15 * any_value(s.d) + 0.85 * sum(f.d)
             FROM s JOIN (
                 SELECT i, host, 0.0 AS t, 0.0 AS d FROM k
-                UNION ALL SELECT k.i, e.dst, k.trust * e.out_share, 0.0 FROM k JOIN e ON e.src = k.host
-                UNION ALL SELECT k.i, e.src, 0.0, k.distrust * e.in_share FROM k JOIN e ON e.dst = k.host) f ON f.host = s.host
+                UNION ALL SELECT k.i, e.dst, k.trust * e.share, 0.0 FROM k JOIN e ON e.src = k.host
+                UNION ALL SELECT k.i, e.src, 0.0, k.distrust * e.share FROM k JOIN e ON e.dst = k.host) f ON f.host = s.host
             WHERE f.i < 20 GROUP BY s.host)
         SELECT j.page_id, j.host, j.path, j.rule,
                coalesce(j.what, CASE WHEN k.distrust - k.trust > 0.075 + 1e-9 THEN 'block' ELSE 'allow' END) AS verdict

@@ -3,9 +3,13 @@
 Rules decide the pages they fit. Hosts whose pages rules allow are trusted
 seeds, hosts whose pages rules block are distrusted ones, each by the share of
 its pages. Trust runs along links (personalised PageRank from the trusted
-seeds), distrust runs against them (the same from the blocked seeds over the
-reversed links: who links to bad hosts is suspect). A page no rule fits gets
-its host's verdict: block where distrust exceeds trust by the threshold.
+seeds). Distrust runs from the blocked seeds over the reversed links (who links
+to bad hosts is suspect): a host takes the distrust of the hosts it links to,
+each by its share of the host's own links. That is the part of the personalised
+PageRank started at the host that ends on blocked seeds, between 0 and 1: one
+linker of a blocked host or thousands get the same distrust, and a host with
+few bad links among many gets little. A page no rule fits gets its host's
+verdict: block where distrust exceeds trust by the threshold.
 
 Links are counted per pair of hosts before anything is joined, so a host with
 a third of all pages is one seed row and one row for each host that it links to.
@@ -77,16 +81,13 @@ def seeds(judged: DataFrame) -> DataFrame:
 
 
 def host_links(judged: DataFrame) -> DataFrame:
-    """``src, dst, out_share, in_share``: links between hosts, one per page and target,
-    as shares of all links out of the source and into the target."""
+    """``src, dst, share``: links between hosts, one per page and target, as shares of all links out of the source."""
     targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1), ascii_lower))
     links = (judged.where("host != ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
              .where("src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
     links = stored(links, "host-links")
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
-    into = links.groupBy("dst").agg(F.sum("n").alias("into"))
-    return (links.hint("merge").join(out, "src").hint("merge").join(into, "dst")
-            .select("src", "dst", (F.col("n") / F.col("out")).alias("out_share"), (F.col("n") / F.col("into")).alias("in_share")))
+    return links.hint("merge").join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
 
 
 def propagate(start: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
@@ -101,9 +102,9 @@ def propagate(start: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     for i in range(1, rounds + 1):
         last = ranks
         a = links.hint("merge").join(last, F.col("src") == F.col("host")).select(
-            F.col("dst").alias("to"), (F.col("trust") * F.col("out_share")).alias("t"), F.lit(0.0).alias("d"))
+            F.col("dst").alias("to"), (F.col("trust") * F.col("share")).alias("t"), F.lit(0.0).alias("d"))
         b = links.hint("merge").join(last, F.col("dst") == F.col("host")).select(
-            F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("in_share")).alias("d"))
+            F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("share")).alias("d"))
         flow = a.unionAll(b).groupBy("to").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         ranks = nodes.hint("merge").join(flow, nodes["host"] == flow["to"], "left").select(
             "host", (kept * F.col("trusted") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),

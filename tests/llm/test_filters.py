@@ -224,10 +224,10 @@ def brute_urls(pages):
     m = np.zeros((len(hosts),) * 2)
     for (a, b), w in links.items():
         m[at[a], at[b]] = w
-    out, into = m / np.maximum(m.sum(axis=1, keepdims=True), 1), m / np.maximum(m.sum(axis=0, keepdims=True), 1)
+    out = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
     t, d = 0.15 * seed
     for _ in range(20):
-        t, d = 0.15 * seed[0] + 0.85 * t @ out, 0.15 * seed[1] + 0.85 * into @ d
+        t, d = 0.15 * seed[0] + 0.85 * t @ out, 0.15 * seed[1] + 0.85 * out @ d
     bad = {h for h in hosts if d[at[h]] - t[at[h]] > 0.075 + 1e-9}
     return [(i, h, p, rule, what or ("block" if h in bad else "allow")) for (i, _, _), (h, p, rule, what) in zip(pages, judged)], bad
 
@@ -252,6 +252,20 @@ def test_url_filter_against_brute_force(spark):
     assert url_filter.filter_urls(df.limit(0), URL_RULES).collect() == []
 
 
+@pytest.mark.parametrize("linkers", [1, 2, 20, 2000])
+def test_distrust_does_not_shrink_with_the_number_of_linkers(spark, linkers):
+    pages = [(0, "https://farm.net/es/1", "")]
+    pages += [(1 + i, f"https://l{i}.org/", "<a href='https://farm.net/es/1'>") for i in range(linkers)]
+    # An honest host with many links, one of them bad.
+    pages += [(10000 + i, f"https://honest.org/{i}", f"<a href='https://{'farm.net' if i == 0 else f'other{i}.org'}/'>") for i in range(50)]
+    df = "page_id long, url string, html string"
+    got = {r["host"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(pages, df), URL_RULES).collect()}
+    assert {got[f"l{i}.org"] for i in range(linkers)} == {"block"} and got["honest.org"] == "allow"
+    if linkers == 20:  # every page ten times
+        again = url_filter.filter_urls(spark.createDataFrame(pages * 10, df), URL_RULES).collect()
+        assert {r["host"]: r["verdict"] for r in again} == got
+
+
 FILES = [
     ("LICENSE", license_scan.TEMPLATES[4][1]), ("a/b/COPYING", license_scan.TEMPLATES[8][1]), ("a/b/c/x.py", "print()"),
     ("a/y.py", "# only code"), ("a/b/z.py", "# Licensed under CC BY-NC 4.0.\ncode"), ("q/r/LICENCE.txt", "no words of that kind"),
