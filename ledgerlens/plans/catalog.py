@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import with_statement_date, with_statement_date_by_file
 from ledgerlens.functions.replies import with_parsed_category, with_parsed_remark
-from ledgerlens.operators import questions, rules, similar, summary, wordlists
+from ledgerlens.operators import overlap, questions, rules, similar, summary, wordlists
+from ledgerlens.operators.balance import balance_breaks, running_sum
 from ledgerlens.operators.backends import EchoBackend, ScriptedBackend
 from ledgerlens.operators.enrich import ReplyStore, clean_remarks, enrich_statement
 from ledgerlens.operators.prompts import category_prompt, remark_prompt
 from ledgerlens.plans import fixtures
+from ledgerlens.schema import MONEY
 from ledgerlens.session import apply_semantic_conf, materialize_at, shared_dir, spread
 from ledgerlens.sources.statement import normalize_statement, statement_to_display
 
@@ -336,6 +338,32 @@ def q_date_order_by_file(spark, sf_dir):
     return with_statement_date_by_file(st).select("s_no", "source_file", F.date_format("txn_date", "yyyy-MM-dd").alias("txn_date"))
 
 
+def q_balance_breaks(spark, sf_dir):
+    """Twenty files, one with a third of all rows, whose balances are running totals with gaps and, in some files, errors."""
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"))
+    k, amount, paid = F.col("o_orderkey"), F.col("o_totalprice").cast(MONEY), F.col("o_orderstatus") == "F"
+    file = F.when(k % 3 == 0, 0).otherwise(F.col("o_custkey") % 20)
+    st = o.select(k.alias("s_no"), file.alias("file"), F.when(~paid, amount).alias("withdrawal"), F.when(paid, amount).alias("deposit"))
+    st = running_sum(st, "file", ["s_no"], F.coalesce("deposit", F.lit(0)) - F.coalesce("withdrawal", F.lit(0)), "total")
+    wrong = (F.col("file") % 4 < 2) & (F.col("s_no") % 101 == 7)
+    st = st.select(F.concat(F.lit("file "), F.col("file").cast("string")).alias("source_file"), "s_no", "withdrawal", "deposit",
+                   F.when(F.col("s_no") % 13 != 0, F.col("total") + F.when(wrong, 1).otherwise(0)).alias("balance"))
+    return balance_breaks(st)
+
+
+def q_export_difference(spark, sf_dir):
+    """Two exports of one account: rows only in one, corrected rows, rows written twice, and a third of all rows alike."""
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_totalprice"))
+    k, cash = F.col("o_orderkey"), F.col("o_orderkey") % 3 == 0
+    st = o.select(k, F.when(~cash, k).alias("s_no"), F.when(cash, "Cash").otherwise(F.col("o_orderpriority")).alias("remarks"),
+                  F.when(~cash, F.col("o_totalprice").cast(MONEY)).alias("withdrawal"))
+    first = st.where(k % 7 != 0).withColumn("copies", F.when(k % 5 == 0, 2).otherwise(1))
+    second = (st.where(k % 11 != 0).withColumn("withdrawal", (F.col("withdrawal") + F.when(k % 13 == 0, 1).otherwise(0)).cast(MONEY))
+              .withColumn("copies", F.when(k % 17 == 0, 2).otherwise(1)))
+    exports = [e.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("s_no", "remarks", "withdrawal") for e in (first, second)]
+    return overlap.export_difference(*exports).withColumns(_dbl("withdrawal"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "statement_scan": q_statement_scan,
     "remark_prompts": q_remark_prompts,
@@ -368,4 +396,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similar_remarks": q_similar_remarks,
     "date_order_by_file": q_date_order_by_file,
     "templated_calls": q_templated_calls,
+    "balance_breaks": q_balance_breaks,
+    "export_difference": q_export_difference,
 }

@@ -592,6 +592,37 @@ SELECT k AS s_no, 'file ' || v.f AS source_file, strftime(CASE
 FROM v JOIN u ON u.f = v.f"""
 
 
+def q_balance_breaks() -> str:
+    return f"""WITH o AS (
+  SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 20 END AS f,
+    CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * CAST(o_totalprice AS {MONEY}) AS move FROM orders),
+t AS (SELECT *, sum(move) OVER (PARTITION BY f ORDER BY k) AS total FROM o),
+b AS (SELECT *, CASE WHEN k % 13 <> 0 THEN total + CASE WHEN f % 4 < 2 AND k % 101 = 7 THEN 1 ELSE 0 END END AS balance FROM t),
+g AS (SELECT *, balance - sum(move) OVER (PARTITION BY f ORDER BY k) AS gap FROM b),
+p AS (SELECT *, last_value(gap IGNORE NULLS) OVER (PARTITION BY f ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM g)
+SELECT 'file ' || f AS source_file, count(*) AS transactions, count(gap) AS checked, count(*) FILTER (WHERE gap <> known) AS breaks,
+  min(k) FILTER (WHERE gap <> known) AS first_broken FROM p GROUP BY f"""
+
+
+def q_export_difference() -> str:
+    return f"""WITH st AS (
+  SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS s_no,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'Cash' ELSE o_orderpriority END AS remarks,
+    CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_totalprice AS {MONEY}) END AS w FROM orders),
+a AS (SELECT s_no, remarks, w FROM st WHERE k % 7 <> 0 UNION ALL SELECT s_no, remarks, w FROM st WHERE k % 7 <> 0 AND k % 5 = 0),
+c AS (SELECT k, s_no, remarks, w + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS w FROM st WHERE k % 11 <> 0),
+b AS (SELECT s_no, remarks, w FROM c UNION ALL SELECT s_no, remarks, w FROM c WHERE k % 17 = 0),
+d AS (
+  SELECT *, 0 AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+  UNION ALL SELECT *, 1 FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)),
+n AS (
+  SELECT s_no, remarks, w, count(*) FILTER (WHERE side = 0) AS removed, count(*) FILTER (WHERE side = 1) AS added FROM d GROUP BY ALL),
+s AS (SELECT s_no, sum(removed) > 0 AND sum(added) > 0 AS both_sides FROM n WHERE s_no IS NOT NULL GROUP BY s_no)
+SELECT n.s_no, remarks, CAST(w AS DOUBLE) AS withdrawal, removed, added,
+  CASE WHEN s.both_sides THEN 'changed' WHEN added > 0 THEN 'added' ELSE 'removed' END AS kind
+FROM n LEFT JOIN s ON s.s_no = n.s_no"""
+
+
 ORACLE = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
 
 
