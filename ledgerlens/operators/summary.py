@@ -41,7 +41,8 @@ def grouped(df: DataFrame) -> DataFrame:
         F.sum("deposit").alias("deposits"), F.min("txn_date").alias("start"), F.max("txn_date").alias("end"))
 
 
-def _totals(groups: DataFrame, has_category: bool, has_subcategory: bool) -> DataFrame:
+def totals_of(groups: DataFrame, has_category: bool, has_subcategory: bool) -> DataFrame:
+    """:func:`summary_totals` of a :func:`grouped` statement."""
     s = F.col("subcategory")
     kept = F.count(F.when(_kept_subcategory(s), 1))
     distinct = F.count_distinct(F.when(_kept_subcategory(s), s))
@@ -59,7 +60,7 @@ def summary_totals(df: DataFrame) -> DataFrame:
     categories_found, subcategories_found (NULL when that column is absent,
     or, for subcategories, when no row has a non-empty value). The distinct
     counts run over the grouped rows, not over the statement."""
-    return _totals(grouped(df), find_col(df, "category") is not None, find_col(df, "subcategory") is not None)
+    return totals_of(grouped(df), find_col(df, "category") is not None, find_col(df, "subcategory") is not None)
 
 
 def quality_counts(df: DataFrame) -> DataFrame:
@@ -156,7 +157,12 @@ def chat_context(df: DataFrame) -> DataFrame:
     cat = find_col(df, "category", pick="first")
     spending = cat is not None and "withdrawal" in df.columns
     source = df if cat is None else df.select(*[F.col(quote(c)) for c in df.columns if c == cat or c.lower() != "category"])
-    per = grouped(source).groupBy("category").agg(
+    return context_of(grouped(source), spending)
+
+
+def context_of(groups: DataFrame, spending: bool) -> DataFrame:
+    """:func:`chat_context` of a :func:`grouped` statement; without ``spending`` no categories are listed."""
+    per = groups.groupBy("category").agg(
         F.sum("transactions").alias("n"), F.coalesce(F.sum("withdrawals"), F.lit(0)).cast(MONEY).alias("spent"),
         F.min("start").alias("start"), F.max("end").alias("end"))
     listed = F.when(F.col("category").isNotNull() & F.lit(spending), F.struct("category", "spent"))
@@ -183,10 +189,14 @@ def summary_report(df: DataFrame) -> DataFrame:
 
     The statement is read once; its grouped rows are stored and every section comes from them.
     """
-    groups = materialize(grouped(df), "summary_groups")
-    has_category, has_subcategory = find_col(df, "category") is not None, find_col(df, "subcategory") is not None
+    return report_of(grouped(df), find_col(df, "category") is not None, find_col(df, "subcategory") is not None)
+
+
+def report_of(groups: DataFrame, has_category: bool, has_subcategory: bool) -> DataFrame:
+    """:func:`summary_report` of a :func:`grouped` statement, which is stored once."""
+    groups = materialize(groups, "summary_groups")
     # Section names and labels of the single-file tool's summary.
-    scalars = _totals(groups, has_category, has_subcategory).select(F.expr(
+    scalars = totals_of(groups, has_category, has_subcategory).select(F.expr(
         "stack(5, 1, 1, 'Totals', 'Total Transactions', cast(total_transactions as string),"
         " 1, 2, 'Totals', 'Total Withdrawals', concat('₹', format_number(total_withdrawals, 2)),"
         " 1, 3, 'Totals', 'Total Deposits', concat('₹', format_number(total_deposits, 2)),"

@@ -18,6 +18,7 @@ from ledgerlens.operators import overlap, questions, rules, similar, summary, wo
 from ledgerlens.operators.balance import balance_breaks, running_sum
 from ledgerlens.operators.backends import EchoBackend, ScriptedBackend
 from ledgerlens.operators.enrich import ReplyStore, clean_remarks, enrich_statement
+from ledgerlens.operators.incremental import SummaryStore
 from ledgerlens.operators.prompts import category_prompt, remark_prompt
 from ledgerlens.plans import fixtures
 from ledgerlens.schema import MONEY
@@ -364,6 +365,27 @@ def q_export_difference(spark, sf_dir):
     return overlap.export_difference(*exports).withColumns(_dbl("withdrawal"))
 
 
+def q_incremental_summary(spark, sf_dir):
+    """Summary of eight folders of statement files, brought up to date after one was added, one corrected and one removed."""
+    from ledgerlens.session import fresh_shared_dir, intermediate
+    work = fresh_shared_dir(spark, "ledgerlens/tables/incremental")
+    intermediate(work)
+    part = F.col("s_no") % 8
+    st = fixtures.statement(spark, sf_dir)
+    write = lambda df, mode: statement_to_display(df).withColumn("part", F.col("`S No.`") % 8).write.mode(mode).partitionBy("part").parquet(f"{work}/files")
+    store = SummaryStore(spark, f"{work}/store", f"{work}/files", enrich=lambda df: with_parsed_category(
+        df.withColumn("_reply", fixtures._pick(F.col("s_no"), fixtures.CATEGORY_REPLIES)), "_reply").drop("_reply"))
+    write(st.where(part != 7), "overwrite")
+    store.refresh()
+    write(st.where(part == 7), "append")
+    corrected = st.where(part == 0).withColumns({c: (F.col(c) + 1).cast(MONEY) for c in ("withdrawal", "deposit")})
+    statement_to_display(corrected).write.mode("overwrite").parquet(f"{work}/files/part=0")
+    statement_to_display(st.limit(0)).write.mode("overwrite").parquet(f"{work}/files/part=1")
+    store.refresh()
+    return store.grouped().select("category", "subcategory", "transactions", *[F.col(c).cast("double").alias(c) for c in ("withdrawals", "deposits")],
+                                  *[F.date_format(c, "yyyy-MM-dd").alias(f"{c}_date") for c in ("start", "end")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "statement_scan": q_statement_scan,
     "remark_prompts": q_remark_prompts,
@@ -398,4 +420,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "templated_calls": q_templated_calls,
     "balance_breaks": q_balance_breaks,
     "export_difference": q_export_difference,
+    "incremental_summary": q_incremental_summary,
 }

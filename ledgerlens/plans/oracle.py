@@ -623,6 +623,15 @@ SELECT n.s_no, remarks, CAST(w AS DOUBLE) AS withdrawal, removed, added,
 FROM n LEFT JOIN s ON s.s_no = n.s_no"""
 
 
+def q_incremental_summary() -> str:
+    # Of the files by s_no % 8, those of 0 were corrected and those of 1 are gone.
+    ctes, cs = categorised_ctes()
+    sums = ", ".join(f"{dbl(f'sum({c} + CASE WHEN s_no % 8 = 0 THEN 1 ELSE 0 END)')} AS {c}s" for c in ("withdrawal", "deposit"))
+    return with_ctes(ctes + [f"d AS (SELECT *, {date_parse('txn_date_raw')} AS txn_date FROM {cs} WHERE s_no % 8 <> 1)"],
+                     f"SELECT category, subcategory, count(*) AS transactions, {sums}, strftime(min(txn_date), '%Y-%m-%d') AS start_date, "
+                     "strftime(max(txn_date), '%Y-%m-%d') AS end_date FROM d GROUP BY ALL")
+
+
 ORACLE = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
 
 
