@@ -198,7 +198,11 @@ def read_workbooks(spark: SparkSession, paths) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     ship_package(spark)
     files = _list_files(spark, paths)
+    return _decoded(files, _columns(files))
 
+
+def _columns(files: DataFrame) -> list[str]:
+    """Column names of all workbooks, required ones first."""
     def headers(batches):
         for pdf in batches:
             yield pd.DataFrame({"columns": [sheet_header(b) for b in pdf["content"]]})
@@ -209,7 +213,28 @@ def read_workbooks(spark: SparkSession, paths) -> DataFrame:
         for c in cols:
             if c not in names:
                 names.append(c)
-    ordered = [c for c in REQUIRED_COLUMNS if c in names] + [c for c in names if c not in REQUIRED_COLUMNS]
+    return [c for c in REQUIRED_COLUMNS if c in names] + [c for c in names if c not in REQUIRED_COLUMNS]
+
+
+def stream_workbooks(spark: SparkSession, source_dir: str, columns: list[str] | None = None,
+                     max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of what :func:`read_workbooks` gives, for the workbooks that arrive under ``source_dir``.
+
+    ``columns`` names the display columns, as a stream needs them before it starts: by default those of the workbooks
+    there now, or the required ones where there are none. Columns of later workbooks beyond them are left out, and are
+    missing (null) where a workbook lacks them. Which files were read is kept by Spark's file source in the checkpoint."""
+    ship_package(spark)
+    if columns is None:
+        columns = _columns(_list_files(spark, [source_dir])) or REQUIRED_COLUMNS
+    reader = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+              .option("pathGlobFilter", SUFFIX_GLOB).option("recursiveFileLookup", "true"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return _decoded(reader.load(source_dir).select("path", "content"), columns)
+
+
+def _decoded(files: DataFrame, ordered: list[str]) -> DataFrame:
+    """Rows of workbooks given as ``path, content``."""
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in ordered)
     schema += ", _source_file string, _row_id bigint"
 

@@ -1,7 +1,7 @@
 """Streaming ingest of new statement files.
 
-``start_statement_stream`` watches a folder of statement files (parquet or
-CSV, display or engine column names), and for every micro-batch runs the
+``start_statement_stream`` watches a folder of statement files (parquet,
+CSV or workbooks, display or engine column names), and for every micro-batch runs the
 same batch enrichment as the offline pipeline inside ``foreachBatch``:
 validate -> clean remarks -> categorise -> write. Each epoch is written to
 its own folder with overwrite, so a replayed epoch (after a driver or
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens.functions.dates import with_statement_date
 from ledgerlens.operators.enrich import enrich_statement
@@ -26,7 +27,7 @@ from ledgerlens.operators.rules import RuleBackend
 from ledgerlens.schema import ENGINE_TYPES, REQUIRED_COLUMNS, STATEMENT_DDL, quote
 from ledgerlens.session import apply_semantic_conf, scratch_scope, shared_dir
 from ledgerlens.sources.statement import CSV_READ_OPTIONS, normalize_statement
-
+from ledgerlens.sources.workbook import stream_workbooks
 
 
 def _prepare(batch: DataFrame) -> DataFrame:
@@ -63,11 +64,16 @@ def start_statement_stream(spark: SparkSession, source_dir: str, output_dir: str
     apply_semantic_conf(spark)
     backend = backend or RuleBackend()
     options = CSV_READ_OPTIONS if fmt == "csv" else {}
-    schema = schema or _source_schema(spark, source_dir, fmt, options, display_names)
-    reader = spark.readStream.schema(schema).format(fmt).options(**options)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.load(source_dir).withColumn("source_file", F.col("_metadata.file_path"))
+    if fmt == "xlsx":
+        names = StructType.fromDDL(schema).names if schema else None
+        stream = stream_workbooks(spark, source_dir, names, max_files_per_trigger)
+        stream = stream.withColumnRenamed("_source_file", "source_file").drop("_row_id")
+    else:
+        schema = schema or _source_schema(spark, source_dir, fmt, options, display_names)
+        reader = spark.readStream.schema(schema).format(fmt).options(**options)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        stream = reader.load(source_dir).withColumn("source_file", F.col("_metadata.file_path"))
     checkpoint = checkpoint or shared_dir(spark, "ledgerlens", "streams", query_name)
 
     def handle(batch: DataFrame, epoch_id: int) -> None:

@@ -61,3 +61,36 @@ def test_ingest_with_a_call_backend_matches_batch(spark, scratch):
     cols = want.columns
     got = spark.read.parquet(out).select(*cols)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_workbooks_arriving_one_by_one(spark, scratch):
+    from ledgerlens.schema import REQUIRED_COLUMNS
+    from ledgerlens.sources.statement import read_statements
+    from ledgerlens.sources.workbook import read_workbooks, stream_workbooks
+    from tests.xlsx_fixture import write_xlsx
+    src, out, ck = (os.path.join(scratch, d) for d in ("in", "out", "ck"))
+    os.makedirs(os.path.join(src, "sub"))
+
+    def book(name, n, extra=()):
+        write_xlsx(os.path.join(src, name), REQUIRED_COLUMNS + list(extra),
+                   [[i, ("date", 45000 + i), f"UPI/SHOP {i}/petrol/Bank", i + 0.5, None, 9, *extra] for i in range(n)])
+
+    def run():
+        q = start_statement_stream(spark, src, out, fmt="xlsx", checkpoint=ck, max_files_per_trigger=1, query_name="t_books")
+        q.awaitTermination(200)
+        assert q.exception() is None
+
+    book("a.xlsx", 5, ["Branch"])
+    book("sub/B.XLSX", 3)
+    run()
+    assert len([d for d in os.listdir(out) if d.startswith("epoch=")]) == 2
+    book("c.xlsx", 4)
+    run()  # from the checkpoint: only the new workbook is read
+    got = spark.read.parquet(out)
+    want = enrich_statement(read_statements(spark, src, "xlsx"), RuleBackend())
+    cols = ["s_no", "txn_date_raw", "remarks", "withdrawal", "balance", "category", "cleaned_remark", "Branch", "source_file"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect())) and got.count() == 12
+    rows = stream_workbooks(spark, src).writeStream.format("memory").queryName("t_book_rows").trigger(availableNow=True).start()
+    rows.awaitTermination(200)
+    same = read_workbooks(spark, src)
+    assert sorted(map(str, spark.table("t_book_rows").collect())) == sorted(map(str, same.collect()))
