@@ -10,6 +10,7 @@ strings), so they are set explicitly. Money is DECIMAL, so no float text
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlens.schema import INTERNAL_COLUMNS
 from ledgerlens.sources.statement import statement_to_display
@@ -39,15 +40,17 @@ def write_csv(df: DataFrame, path: str, display_names: bool = True,
     that ingest added for its own use.
 
     Output is one part file per task; ``partition_by_source`` writes one
-    folder per input statement instead, named by its full path, its rows
-    brought together first. Rows are ordered only when ``sort_keys`` is given
-    (a global sort is a range shuffle).
+    folder per input statement instead, named by its full path. Its rows are
+    brought together first, into several part files where a statement is
+    large. Rows are ordered only when ``sort_keys`` is given (a range
+    shuffle); part files then follow each other in that order.
     """
     out = df.drop(*INTERNAL_COLUMNS) if display_names else df
     if partition_by_source and "source_file" in out.columns:
-        out = out.repartition("source_file")
         if sort_keys:
-            out = out.sortWithinPartitions("source_file", *sort_keys)
+            out = out.repartitionByRange("source_file", *sort_keys).sortWithinPartitions("source_file", *sort_keys)
+        else:  # adaptive execution splits large statements and joins small ones
+            out = out.hint("rebalance", F.col("source_file"))
         out = statement_to_display(out) if display_names else out
         out.write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("source_file").csv(path)
         return

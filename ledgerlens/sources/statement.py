@@ -100,7 +100,8 @@ def _check_paths(spark: SparkSession, paths: list[str]) -> None:
             raise FileNotFoundError(f"File not found: {p}")
 
 
-# How the CSV sink writes, which is what its reader expects.
+# How the CSV sink writes, which is what its reader expects. Cells may hold line breaks, so a file is one task; the option
+# multiLine=false, for files known to hold none, lets Spark split large ones.
 CSV_READ_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "emptyValue": "",
                     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 

@@ -159,3 +159,27 @@ def test_statements_of_one_name_stay_apart_by_source(spark, scratch):
     df = spark.createDataFrame([(1, "/a/stmt.xlsx"), (2, "/b/stmt.xlsx")], "s_no long, source_file string")
     write_csv(df, f"{scratch}/o", partition_by_source=True)
     assert len([d for d in os.listdir(f"{scratch}/o") if d.startswith("source_file=")]) == 2
+
+
+def test_a_large_statement_is_written_by_several_tasks(spark, scratch):
+    import glob
+    from ledgerlens.sources.sink import write_csv
+    st = spark.range(4000).selectExpr("id AS s_no", "'01/02/2024' AS txn_date_raw", "md5(cast(id as string)) AS remarks",
+                                      "cast(1 as decimal(18,2)) AS withdrawal", "cast(null as decimal(18,2)) AS deposit",
+                                      "cast(null as decimal(18,2)) AS balance", "if(id % 50 = 0, 'small', 'large') AS source_file")
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        for name, keys in (("plain", None), ("sorted", ["s_no"])):
+            path = f"{scratch}/{name}"
+            write_csv(st.repartition(4), path, partition_by_source=True, sort_keys=keys)
+            parts = sorted(glob.glob(f"{path}/source_file=large/part-*"))
+            assert len(parts) > 1
+            rows = [line.split(",")[0] for p in parts for line in open(p).read().splitlines()[1:]]
+            want = [str(i) for i in range(4000) if i % 50]
+            assert rows == want if keys else sorted(rows) == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
