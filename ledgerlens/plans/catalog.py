@@ -312,7 +312,7 @@ def q_similar_remarks(spark, sf_dir):
     written = (F.when(k % 5 == 1, F.concat(before, after)).when(k % 5 == 2, F.concat(before, F.lit("x"), after))
                .when(k % 5 == 3, F.concat(F.substring(shop, F.lit(1), at), F.lit("zz"), after)).otherwise(shop))
     st = o.select(k.alias("s_no"), F.concat(F.lit("UPI/"), written, F.lit("/5"), F.lpad(k.cast("string"), 11, "0")).alias("remarks"))
-    read, _ = materialize_at(rules.read_remark(st), "similar_in")
+    read, _ = materialize_at(rules.read_remark(st).select("s_no", "remark_key", "cleaned_remark"), "similar_in")
     out = similar.similar_consensus(read)
     return out.select("s_no", "remark_key", "remark_group", "cleaned_remark", "consensus_remark")
 

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import similar
 
@@ -55,6 +56,38 @@ def test_groups_against_brute_force(spark, edits, seed):
     assert {(r["i"], r["remark_group"]) for r in got.collect()} == {(i, want.get(k)) for i, k in rows}
 
 
+@pytest.mark.parametrize("split_rows", [0, 3, 10 ** 6])
+def test_links_by_halves_join_what_is_one_edit_apart(spark, split_rows):
+    # Halves that more keys share than split_rows are dealt by half and rest; the empty key and single letters have halves too.
+    rng = random.Random(8)
+    keys = sorted({"", "a", "b", "ab"} | {"shop name " + "".join(rng.choices("01", k=6)) for _ in range(40)} | set(words(9, 60)))
+    links = [tuple(r) for r in similar.similar_links(spark.createDataFrame([(k,) for k in keys], "key string"), 1, split_rows).collect()]
+    assert len(links) == len(set(links)) and all(distance(a, b) == 1 for a, b in links)
+    label = {k: k for k in keys}
+    for _ in keys:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert label == brute(keys, 1)
+
+
+def test_a_key_is_dealt_four_times_whatever_its_length(spark):
+    keys = spark.createDataFrame([("k" * n + "x",) for n in (5, 50, 500)], "key string")
+    assert {r["n"] for r in similar._halves(keys).groupBy("key").agg(F.count("half").alias("n")).collect()} == {4}
+
+
+def test_groups_of_links_in_rounds(spark):
+    rng = random.Random(10)
+    keys = [f"k{i:03d}" for i in range(150)]
+    links = [(keys[i], keys[i + 1]) for i in range(99)] + [tuple(rng.sample(keys[100:], 2)) for _ in range(40)]
+    got = {r["key"]: r["label"] for r in similar.groups(spark.createDataFrame(links, "a string, b string")).collect()}
+    label = {k: k for pair in links for k in pair}
+    for _ in keys:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+    assert similar.groups(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_every_link_is_a_pair_and_a_crowd_costs_its_size(spark, edits):
     rng = random.Random(6)
