@@ -72,6 +72,10 @@ def remark_prompt(remarks) -> Column:
 
 # A place in a template where a row's own text goes: mark, number from 1, mark.
 SLOT_OPEN, SLOT_CLOSE = "⟦", "⟧"
+# An id part (:data:`ledgerlens.operators.rules.ID_PATTERN`) between slashes: spaces before it, the id, spaces after it. A line
+# break may follow a number or code, as ``$`` has it.
+_LAST_BREAK = r"(?:\r\n|[\n\r\u0085\u2028\u2029])?"
+_ID_PART = (rf"(?<![^/])( *)([0-9]{{6,}}{_LAST_BREAK}|ICI[0-9a-fA-F]+{_LAST_BREAK}|(?=[^/]*@)[^ /](?:[^/]*[^ /])?)( *)(?![^/])")
 
 
 def with_remark_template(df, remarks: str = "remarks", template: str = "_template", slots: str = "_slots"):
@@ -80,16 +84,14 @@ def with_remark_template(df, remarks: str = "remarks", template: str = "_templat
     Remarks that differ in such parts only have one template. A part is what slashes divide, without the spaces
     around it; the rest of the remark stays as it is. A remark that holds a slot mark itself is its own template, without slots."""
     text = as_text(_c(remarks))
-    d = df.withColumn("_tp_parts", F.split(text, "/"))
-    is_id = F.transform("_tp_parts", lambda p: F.trim(p).rlike(ID_PATTERN))
+    # Built-in regex functions, each over the whole remark; what stands between the ids is joined by the numbered slots.
+    marked = F.regexp_replace(text, F.lit(_ID_PART), F.lit("$1" + SLOT_OPEN + SLOT_CLOSE + "$3"))
+    numbered = F.transform(F.split(marked, SLOT_OPEN + SLOT_CLOSE, -1), lambda p, i: F.when(i > 0, F.concat(
+        F.lit(SLOT_OPEN), i.cast("string"), F.lit(SLOT_CLOSE), p)).otherwise(p))
     plain = F.contains(text, F.lit(SLOT_OPEN)) | F.contains(text, F.lit(SLOT_CLOSE))
-    d = d.withColumn("_tp_ids", F.when(plain, F.transform("_tp_parts", lambda p: F.lit(False))).otherwise(is_id))
-    numbered = F.transform("_tp_parts", lambda p, i: F.when(
-        F.get(F.col("_tp_ids"), i), F.regexp_replace(p, F.lit(r"^( *).*?( *)$"), F.concat(
-            F.lit("$1" + SLOT_OPEN), F.size(F.filter(F.slice(F.col("_tp_ids"), F.lit(1), i + 1), lambda x: x)).cast("string"),
-            F.lit(SLOT_CLOSE + "$2")))).otherwise(p))
-    own = F.transform(F.filter("_tp_parts", lambda p, i: F.get(F.col("_tp_ids"), i)), lambda p: F.trim(p))
-    return d.withColumns({template: F.when(_c(remarks).isNotNull(), F.array_join(numbered, "/")), slots: own}).drop("_tp_parts", "_tp_ids")
+    own = F.regexp_extract_all(text, F.lit(_ID_PART), F.lit(2))
+    return df.withColumns({template: F.when(plain, _c(remarks).cast("string")).when(_c(remarks).isNotNull(), F.array_join(numbered, "")),
+                           slots: F.when(plain, F.array().cast("array<string>")).otherwise(own)})
 
 
 def filled(reply: Column, slots: Column) -> Column:
@@ -98,7 +100,8 @@ def filled(reply: Column, slots: Column) -> Column:
         written = F.to_json(F.struct(slot["v"].alias("v")))
         return F.replace(text, F.concat(F.lit(SLOT_OPEN), slot["i"].cast("string"), F.lit(SLOT_CLOSE)),
                          F.substring(written, F.lit(7), F.length(written) - 8))
-    return F.aggregate(F.transform(slots, lambda v, i: F.struct((i + 1).alias("i"), v.alias("v"))), reply, put)
+    put_back = F.aggregate(F.transform(slots, lambda v, i: F.struct((i + 1).alias("i"), v.alias("v"))), reply, put)
+    return F.when(F.contains(reply, F.lit(SLOT_OPEN)), put_back).otherwise(reply)
 
 
 def amount_or_zero(c) -> Column:

@@ -92,3 +92,27 @@ def test_chunks_are_read_once_and_committed_in_few_files(spark, scratch):
 
 def listed(path):
     return [f"{d}/{f}" for d, _, files in os.walk(path) for f in files if f.endswith(".parquet")]
+
+
+def test_templates_against_plain_python(spark):
+    import re
+    texts = ["", "   ", "/", "//", " 1234567 /x", "a/ 123456/ICIab01 /p q@r s/", "12345/1234567x/ICIxyz/ICI/x ICIab", "@", " @ /a @ b/ / 000000",
+             "UPI/a@b/c@d/e@f", "1234567", "⟦1⟧/1234567/a@b", "$1/1234567/$3", "x/\t1234567/ICIAB", "123456\n/x", "a@b\nc/999999"]
+    got = {r["i"]: (r["_template"], r["_slots"]) for r in with_remark_template(
+        spark.createDataFrame(list(enumerate(texts)), "i int, remarks string")).collect()}
+    for i, text in enumerate(texts):
+        parts, slots = [], []
+        for p in text.split("/"):
+            core = p.strip(" ")
+            if not re.search(r"^[0-9]{6,}$|^ICI[0-9a-fA-F]+$|@", core) or "⟦" in text:
+                parts.append(p)
+                continue
+            slots.append(core)
+            parts.append(p[:len(p) - len(p.lstrip(" "))] + f"⟦{len(slots)}⟧" + p[len(p.rstrip(" ")):])
+        assert got[i] == ("/".join(parts), slots), text
+
+
+def test_no_regex_runs_inside_a_lambda(spark):
+    # A regex per part, in a lambda that is inlined wherever the template is read, was most of the query's time.
+    plan = with_remark_template(frame(spark)).where(F.col("_template").isNotNull())._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "rlike" not in plan.lower()
