@@ -46,6 +46,9 @@ REPLY_SCHEMA = ("prompt_key binary, prompt string, response string, error string
 DEFAULT_MAX_CONCURRENCY = 10
 # Prompts called between two commits of the reply store: what a lost run pays for again, at most.
 CHUNK_PROMPTS = 100_000
+# Commits of one run at most, so what commits cost does not grow with a run of millions of calls: a lost run pays again for
+# the larger of a chunk and this part of its calls.
+MOST_COMMITS = 20
 # Partitions of the reply store: first hex digits of the digest.
 PREFIXES = 16
 
@@ -142,11 +145,12 @@ def _caller(backend: Backend, system_prompt: str | None, pool_size: int, run_id:
 
 def call_missing(prompts: DataFrame, backend: Backend, system_prompt: str | None,
                  store: ReplyStore, max_concurrency: int = DEFAULT_MAX_CONCURRENCY,
-                 partitions: int | None = None, chunk_prompts: int = CHUNK_PROMPTS) -> None:
+                 partitions: int | None = None, chunk_prompts: int = CHUNK_PROMPTS, most_commits: int = MOST_COMMITS) -> None:
     """Call the backend once per row of ``prompts`` (distinct ``prompt_key``,
     ``prompt``) that ``store`` has no response for, and append the replies.
 
-    The calls are committed to the store in chunks of about ``chunk_prompts``,
+    The calls are committed to the store in chunks of about ``chunk_prompts``, or of
+    a ``most_commits``-th of the run where that is more,
     so a run that is lost repeats the calls of one chunk at most."""
     spark = prompts.sparkSession
     ship_package(spark)
@@ -157,16 +161,16 @@ def call_missing(prompts: DataFrame, backend: Backend, system_prompt: str | None
     k = max(1, min(partitions or max_concurrency, max_concurrency))
     pool = max(1, max_concurrency // k)
     run_id = uuid.uuid4().hex
-    for part in _in_chunks(materialize(todo, "prompts_to_call"), chunk_prompts):
+    for part in _in_chunks(materialize(todo, "prompts_to_call"), chunk_prompts, most_commits):
         replies = part.repartition(k).mapInPandas(_caller(backend, system_prompt, pool, run_id), REPLY_SCHEMA)
         store.append(replies.repartition(PREFIXES, "key_prefix"))  # a file for each prefix
 
 
-def _in_chunks(todo: DataFrame, chunk_prompts: int) -> Iterator[DataFrame]:
-    """The calls in chunks of about ``chunk_prompts``, by their digest. They are written once more with a folder for each
+def _in_chunks(todo: DataFrame, chunk_prompts: int, most: int) -> Iterator[DataFrame]:
+    """The calls in chunks of about ``chunk_prompts``, ``most`` chunks at most, by their digest. They are written once more with a folder for each
     chunk, and a chunk is read from its own folder: each call is read once, however many chunks there are."""
     spark = todo.sparkSession
-    chunks = -(-todo.count() // chunk_prompts)
+    chunks = min(-(-todo.count() // chunk_prompts), most)
     if chunks < 2:
         yield from [todo] * chunks
         return

@@ -300,6 +300,17 @@ def test_calls_are_committed_in_chunks_within_the_cap(spark, scratch):
     assert store.raw().select("written_at").distinct().count() >= 5
 
 
+def test_commits_of_a_large_run_are_bounded(spark, scratch):
+    from ledgerlens.operators.enrich import call_missing, prompt_key
+    prompts = spark.range(60).select(F.concat(F.lit("p"), "id").alias("prompt")).select(prompt_key("prompt").alias("prompt_key"), "prompt")
+    store = ReplyStore(spark, os.path.join(scratch, "store"))
+    commits, append = [], store.append
+    store.append = lambda df: (append(df), commits.append(1))
+    call_missing(prompts, ScriptedBackend(["x"]), None, store, chunk_prompts=1, most_commits=4)
+    assert len(commits) == 4
+    assert store.raw().count() == store.raw().select("prompt_key").distinct().count() == 60
+
+
 def test_unparseable_amount_is_unclear_without_a_call(spark, scratch):
     log = os.path.join(scratch, "calls.log")
     df = spark.createDataFrame([(1, "petrol", True), (2, "petrol", False)], "s_no int, remarks string, amount_unparseable boolean")
