@@ -49,6 +49,8 @@ CHUNK_PROMPTS = 100_000
 # Commits of one run at most, so what commits cost does not grow with a run of millions of calls: a lost run pays again for
 # the larger of a chunk and this part of its calls.
 MOST_COMMITS = 20
+# Files that a chunk of calls is dealt into, at most.
+CHUNK_FILES = 8
 # Partitions of the reply store: first hex digits of the digest.
 PREFIXES = 16
 
@@ -157,11 +159,11 @@ def call_missing(prompts: DataFrame, backend: Backend, system_prompt: str | None
     answered = store.answered(prompts)
     todo = prompts.select("prompt_key", "prompt")
     if answered is not None:
-        todo = todo.join(answered, "prompt_key", "left_anti")
+        todo = materialize(todo.join(answered, "prompt_key", "left_anti"), "prompts_to_call")
     k = max(1, min(partitions or max_concurrency, max_concurrency))
     pool = max(1, max_concurrency // k)
     run_id = uuid.uuid4().hex
-    for part in _in_chunks(materialize(todo, "prompts_to_call"), chunk_prompts, most_commits):
+    for part in _in_chunks(todo, chunk_prompts, most_commits):
         replies = part.repartition(k).mapInPandas(_caller(backend, system_prompt, pool, run_id), REPLY_SCHEMA)
         store.append(replies.repartition(PREFIXES, "key_prefix"))  # a file for each prefix
 
@@ -176,7 +178,8 @@ def _in_chunks(todo: DataFrame, chunk_prompts: int, most: int) -> Iterator[DataF
         return
     path = fresh_shared_dir(spark, "ledgerlens/tables/prompts_by_chunk")
     dealt = todo.withColumn("chunk", F.pmod(F.xxhash64("prompt_key"), F.lit(chunks)).cast("int"))
-    dealt.repartitionByRange("chunk", "prompt_key").write.partitionBy("chunk").parquet(path)
+    piece = F.pmod(F.xxhash64("prompt_key", F.lit(1)), F.lit(CHUNK_FILES))
+    dealt.repartition("chunk", piece).write.partitionBy("chunk").parquet(path)
     intermediate(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
