@@ -198,12 +198,14 @@ def remark_tokens(df: DataFrame, col: str = "remarks", short_forms: DataFrame |
     # regex over the joined parts; parts never contain "/".
     live = ~F.col("_rt_blank")
     if short_forms is None:
-        purpose = expand_words(F.nullif(F.regexp_extract(F.array_join(candidates, "/"), _PURPOSE_PART, 1), F.lit("")))
+        d = d.withColumn("_rt_purpose", F.regexp_extract(F.array_join(candidates, "/"), _PURPOSE_PART, 1))
+        purpose = F.when(F.col("_rt_purpose") != "", expand_words(F.col("_rt_purpose")))
     else:
         from ledgerlens.operators.wordlists import expand_short_forms
         d = d.withColumn("_rt_candidates", F.array_join(candidates, "/"))
         d = expand_short_forms(d, "_rt_candidates", short_forms, "_rt_expanded")
-        purpose = F.nullif(F.regexp_extract("_rt_expanded", _EXPANDED_PURPOSE_PART, 1), F.lit(""))
+        d = d.withColumn("_rt_purpose", F.regexp_extract("_rt_expanded", _EXPANDED_PURPOSE_PART, 1))
+        purpose = F.nullif("_rt_purpose", F.lit(""))
     d = d.withColumns({
         "channel": F.when(F.col("_rt_has"), F.col("_rt_first")),
         "party": F.when(live & F.col("_rt_has"), F.try_element_at("_rt_kept", F.lit(1))),
@@ -215,7 +217,7 @@ def remark_tokens(df: DataFrame, col: str = "remarks", short_forms: DataFrame |
         "remark_key": F.when(live & (F.size("_rt_kept") > 0), F.lower(F.array_join("_rt_kept", "/"))),
     })
     return d.drop("_rt_text", "_rt_parts", "_rt_first", "_rt_blank", "_rt_low", "_rt_has",
-                  "_rt_rest", "_rt_kept", "_rt_candidates", "_rt_expanded")
+                  "_rt_rest", "_rt_kept", "_rt_candidates", "_rt_expanded", "_rt_purpose")
 
 
 def read_remark(df: DataFrame, col: str = "remarks", short_forms: DataFrame | None = None) -> DataFrame:

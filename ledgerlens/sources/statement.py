@@ -12,7 +12,7 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import spread
+from ledgerlens.session import spread, spread_rows
 from ledgerlens.functions.dates import with_statement_date, with_statement_date_by_file
 from ledgerlens.functions.text import is_blank
 from ledgerlens.schema import (AMOUNT_UNPARSEABLE, DISPLAY_NAMES, ENGINE_NAMES, ENGINE_TYPES, MONEY,
@@ -147,10 +147,12 @@ def derive_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer key, left to the planner (AQE turns it into a broadcast only
     when the runtime size of ``customer`` is under Spark's own threshold).
     """
-    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    rows = o.count()  # from the files' footers
+    o = spread(o)
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
-    j = o.join(c, o.o_custkey == c.c_custkey, "inner")
+    j = spread_rows(o.join(c, o.o_custkey == c.c_custkey, "inner").drop("o_custkey", "c_custkey"), rows)
     k = F.col("o_orderkey")
     key_text = k.cast("string")
     txn_date = (F.when(k % 11 == 0, F.lit(None).cast("string"))

@@ -183,3 +183,12 @@ def test_a_large_statement_is_written_by_several_tasks(spark, scratch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_costly_rows_are_spread_over_tasks_of_bounded_size(spark):
+    from ledgerlens.session import spread_rows
+    few, many = spark.range(0, 1000, 1, 2), spark.range(0, 1000, 1, 2)
+    assert spread_rows(few, 1000, 1000).rdd.getNumPartitions() == 2
+    dealt = spread_rows(many, 1000, 50)
+    sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 20 and max(sizes) <= 60 and sum(sizes) == 1000
